@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Documents are long, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
 #: Our own folder, set only where spark.checkpoint.dir is unset.
@@ -25,6 +26,7 @@ def tune(spark: SparkSession) -> None:
     """Bound Arrow batches, so that a Python worker holds a few MB of text at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are done: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- words and hashes
 
 #: Odd multipliers for combining the hashes of consecutive words: powers of one odd constant.

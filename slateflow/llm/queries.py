@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_wrapper, langid, near_dedup, packing, sharding, substring_dedup, url_filter
+from . import ann, decontaminate, html_wrapper, langid, near_dedup, packing, pii, sharding, substring_dedup, url_filter
 from .common import read
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_block_join": lambda s, d: ann.op2_block_join(s, read(s, d, "embeddings")),
         "op3_virtual_slots": lambda s, d: sharding.op3_virtual_slots(s, read(s, d, "documents")),
         "op4_suffix_trees": lambda s, d: substring_dedup.op4_suffix_trees(s, read(s, d, "documents")),
+        "op5_bootstrap": lambda s, d: pii.op5_bootstrap(s, read(s, d, "documents")),
         "op6_best_fit": lambda s, d: packing.op6_best_fit(s, read(s, d, "documents")),
         "op7_wrapper": lambda s, d: html_wrapper.op7_wrapper(s, read(s, d, "pages")),
         "op8_pigeonhole": lambda s, d: decontaminate.op8_pigeonhole(s, read(s, d, "documents"), read(s, d, "benchmark")),

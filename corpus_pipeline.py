@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateflow.llm import decontaminate, langid, packing
+from slateflow.llm import decontaminate, langid, near_dedup, packing, pii
 from slateflow.llm.common import new_path, read
 
 #: A document whose best language has a smaller mean probability than this is rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; those without letters or of unclear language go."""
     net = langid.fit(docs)
-    out = langid.identify(docs.select("*", F.col("text").alias("text")) if "text" not in docs.columns else docs, net, docs.columns)
+    out = langid.identify(docs, net, docs.columns)
     return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
@@ -24,12 +24,28 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids: a row for each piece."""
     return packing.op6_best_fit(spark, docs)
 
 
-STAGES = [("language_id", language), ("decontamination", decontaminated), ("packing", packed)]
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("pii", masked),
+    ("packing", packed),
+]
 
 #: A trained network and a tokenizer decide the rows; tests compare run() with a brute-force version.
 ORACLE_SQL = None

@@ -53,6 +53,11 @@ def _code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return code, scale, np.sqrt((back * back).sum(axis=1)), np.sqrt(((u - back) ** 2).sum(axis=1))
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Row sums in order of the components, so that a pair's cosine has the same last bit in every tile."""
+    return np.add.accumulate(x, axis=1)[:, -1]
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of int8 codes, exact: float32 holds sums of up to 1024 of them."""
     out = 0
@@ -73,7 +78,7 @@ def _scan(k: int):
                     at, heaps = (row.dim, row.qblock), {}
                     qid = np.frombuffer(row.qids, dtype=np.int64)
                     qv = np.frombuffer(row.qvectors, dtype=np.float32).reshape(-1, row.dim).astype(np.float64)
-                    q = (qid, qv, np.sqrt((qv * qv).sum(axis=1)), *_code(qv))
+                    q = (qid, qv, np.sqrt(_sums(qv * qv)), *_code(qv))
                 _tile(q, row, k, heaps)
         if heaps:
             yield _emit(heaps)
@@ -87,7 +92,7 @@ def _tile(q, row, k: int, heaps: dict[int, list]) -> None:
     rv = np.frombuffer(row.vectors, dtype=np.float32).reshape(-1, row.dim).astype(np.float64)
     if not len(rid) or not len(qid):
         return
-    rn = np.sqrt((rv * rv).sum(axis=1))
+    rn = np.sqrt(_sums(rv * rv))
     rc, rs, rlen, rerr = _code(rv)
     for lo in range(0, len(qid), 128):  # 128 x 4096 doubles at a time
         s = slice(lo, lo + 128)
@@ -102,7 +107,7 @@ def _tile(q, row, k: int, heaps: dict[int, list]) -> None:
             j = np.flatnonzero((near[i] + err[i] >= least) & ~own[i])
             if not len(j):
                 continue
-            score = (rv[j] * qv[lo + i]).sum(axis=1) / (rn[j] * qn[lo + i])
+            score = _sums(rv[j] * qv[lo + i]) / (rn[j] * qn[lo + i])
             if len(j) > k:
                 top = np.lexsort((rid[j], -score))[:k]
                 j, score = j[top], score[top]

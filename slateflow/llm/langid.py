@@ -8,6 +8,8 @@ of a whole text counts. Training is backpropagation through time in numpy with A
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import regex
@@ -181,6 +183,18 @@ class WordScores(dict):
         self.update((w, at + i) for i, w in enumerate(new))
 
 
+#: The last network's word scores in a Python worker, kept from task to task.
+_MEMORY: dict[bytes, WordScores] = {}
+
+
+def word_scores(net: ByteNetwork) -> WordScores:
+    key = hashlib.sha256(b"".join(p.tobytes() for p in net.params())).digest()
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = WordScores(net)
+    return _MEMORY[key]
+
+
 def predict(scores: WordScores, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, mean probability) of whole texts; `und` with 0.0 for null or no letter. Ties go to the first language in order."""
     words = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
@@ -255,7 +269,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None, columns: list[str] | None
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)
 
     def run(frames):
-        scores = WordScores(net) if net else None
+        scores = word_scores(net) if net else None
         for pdf in frames:
             got = predict(scores, pdf["_text"].tolist()) if scores is not None else [(UNKNOWN, 0.0)] * len(pdf)
             out = pdf.drop(columns="_text")

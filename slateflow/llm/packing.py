@@ -9,7 +9,9 @@ depend on the number of documents; every piece finds its place from its rank amo
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -28,31 +30,72 @@ LANES = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A chunk of letters that have one normal form, then signs: two pre-tokens at most, the letters lower-cased.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class ChunkTokens(dict):
-    """Ids of blank-separated chunks as little-endian bytes. The tokenizer drops white space and never joins across it."""
+    """Ids of blank-separated chunks as little-endian bytes. The tokenizer drops white space and never joins across it.
+
+    Remembered for chunks and for their parts, up to `most` of each.
+    """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks.difference(self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(chunks)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            texts = [x.decode("utf-8", "replace") for x in part]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self[x] = np.array(e.ids, dtype="<u4").tobytes()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        m = _PLAIN.match(text)
+        if m:
+            out = self.part(m[1].lower())
+            if m[2]:
+                out += self.part(m[2])
+        else:
+            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def part(self, word: str) -> bytes:
+        got = self.parts.get(word)
+        if got is None:
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= self.most:
+                self.parts.clear()
+            if len(word) <= 64:
+                self.parts[word] = got
+        return got
 
     def ids(self, chunks: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, chunks))
 
 
+#: One memory for each tokenizer in a Python worker, kept from task to task.
+_MEMORY: dict[str, ChunkTokens] = {}
+
+
+def chunk_tokens(path: str) -> ChunkTokens:
+    if path not in _MEMORY:
+        _MEMORY[path] = ChunkTokens(path)
+    return _MEMORY[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian bytes) on request.
 
@@ -64,13 +107,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     step = 4 * capacity
 
     def run(frames):
-        memo = ChunkTokens(tokenizer)
+        memo = chunk_tokens(tokenizer)
         for pdf in frames:
-            words = [[] if t is None else t.encode("utf-8", "surrogatepass").split() for t in pdf["text"]]
-            memo.learn(set().union(*words))
             rows = []
-            for doc_id, w in zip(pdf["doc_id"], words):
-                raw = memo.ids(w) + end
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                raw = memo.ids(text.encode("utf-8", "surrogatepass").split()) + end if text else end
                 for i, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else ())))
@@ -114,7 +155,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
             bins.append([capacity - a - b, m, [(a, 1), (b, 1)]])
             left[a] -= m
             left[b] -= m
-        big = [n for n in big if left[n]] if not all(left[n] for n in (a, big[fit], big[max(fit - 1, 0)])) else big
+        big = [n for n in big if left[n]]
     by_gap: dict[int, list[int]] = {}
     gaps: list[int] = []
 

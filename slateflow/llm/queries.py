@@ -25,5 +25,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+_OP2 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+_OP4 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM win),
+r AS (SELECT doc_id, i FROM k SEMI JOIN (SELECT h FROM k GROUP BY h HAVING count(*) > 1) t USING (h)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+_OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS h, g FROM s),
+rep AS (SELECT h, min(doc_id) AS rep FROM u WHERE n > 0 GROUP BY h),
+x AS (SELECT u.doc_id, u.n, unnest(u.g) AS sh FROM u JOIN rep ON u.doc_id = rep.rep),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(node, root) AS (SELECT rep, rep FROM rep UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(root) AS component FROM c GROUP BY 1)
+SELECT u.doc_id, u.n::BIGINT AS n_shingles, coalesce(m.component, u.doc_id) AS component_id, u.doc_id = coalesce(m.component, u.doc_id) AS kept FROM u LEFT JOIN rep ON rep.h = u.h AND u.n > 0 LEFT JOIN m ON m.node = rep.rep"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, op1 needs relative links resolved, op3 a balance, op5 and op10 a fit, op6 a tokenizer, op7 a parser, op8 Myers' distance: tests compare them with brute force."""
+    return {"op2_block_join": _OP2, "op4_suffix_trees": _OP4, "op9_star_minhash": _OP9}

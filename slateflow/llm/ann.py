@@ -23,7 +23,7 @@ _BLOCK = "dim int, block int, ids binary, vectors binary"
 
 
 def _pack(k: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, block = key
         x = np.array(pdf["embedding"].tolist(), dtype=np.float32).reshape(len(pdf), dim)
         ids = pdf["vec_id"].to_numpy(dtype=np.int64)

@@ -9,6 +9,7 @@ of a whole text counts. Training is backpropagation through time in numpy with A
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -257,29 +258,39 @@ def fit(docs: DataFrame, seed: int = 7) -> ByteNetwork | None:
     return net
 
 
-def identify(docs: DataFrame, net: ByteNetwork | None, columns: list[str] | None = None) -> DataFrame:
-    """`columns` of docs (default doc_id) with lang_pred and score for every row; other columns play no part.
+def prediction(net: ByteNetwork | None):
+    """The network as a function of a text column: struct (lang_pred, score). Other columns don't pass through Python."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scores = word_scores(net) if net else None
+        for x in texts:
+            got = predict(scores, x.tolist()) if scores is not None else [(UNKNOWN, 0.0)] * len(x)
+            yield pd.DataFrame(got, columns=["lang_pred", "score"])
+
+    return F.pandas_udf(run, "lang_pred string, score double")
+
+
+def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
+    """doc_id, lang_pred and score for every row of docs (doc_id, text); other columns play no part.
 
     Null text, empty text and text without a letter: `und`, 0.0; so is all if nothing could be learned.
     """
     tune(docs.sparkSession)
-    keep = columns or ["doc_id"]
-    fields = {f.name: f for f in docs.schema.fields}
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prediction(net)(F.col("text").cast("string")).alias("p"))
+    return got.select("doc_id", "p.lang_pred", "p.score")
 
-    def run(frames):
-        scores = word_scores(net) if net else None
-        for pdf in frames:
-            got = predict(scores, pdf["_text"].tolist()) if scores is not None else [(UNKNOWN, 0.0)] * len(pdf)
-            out = pdf.drop(columns="_text")
-            out["lang_pred"], out["score"] = [g[0] for g in got], [g[1] for g in got]
-            yield out
 
-    return src.mapInPandas(run, schema + ", lang_pred string, score double")
+def keep_known(docs: DataFrame, net: ByteNetwork | None, least: float) -> DataFrame:
+    """The rows of `docs`, all columns, that have a known language with at least this score."""
+    tune(docs.sparkSession)
+    names = docs.columns
+    rows = docs.toDF(*[f"c_{i}" for i in range(len(names))])  # names of its own, so that none clashes
+    text = F.col(f"c_{names.index('text')}").cast("string")
+    rows = rows.withColumn("p", prediction(net)(text)).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least))
+    return rows.drop("p").toDF(*names)
 
 
 def op10_byte_gru(spark: SparkSession, docs: DataFrame) -> DataFrame:
     net = fit(docs)
-    out = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
+    out = identify(docs, net)
     return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")

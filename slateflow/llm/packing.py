@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,6 @@ END_ID = 1
 #: Pieces of one length are ranked in this many lanes, so that a hot length has no single sort.
 LANES = 64
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
 
 #: A chunk of letters that have one normal form, then signs: two pre-tokens at most, the letters lower-cased.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -106,21 +105,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     end = np.array([END_ID], dtype="<u4").tobytes()
     step = 4 * capacity
 
-    def run(frames):
+    fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = chunk_tokens(tokenizer)
-        for pdf in frames:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+        for x in texts:
+            out = []
+            for text in x:
                 raw = memo.ids(text.encode("utf-8", "surrogatepass").split()) + end if text else end
-                for i, at in enumerate(range(0, len(raw), step)):
-                    part = raw[at : at + step]
-                    rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else ())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else ())])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                cut = [raw[at : at + step] for at in range(0, len(raw), step)]
+                out.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c), **({"ids": c} if keep_ids else {})} for i, c in enumerate(cut)])
+            yield pd.Series(out)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(run, PIECES + (", ids binary" if keep_ids else ""))
+    cut = F.pandas_udf(run, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>>")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(F.col("text").cast("string")).alias("p"))
+    return got.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -221,22 +220,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     w = Window.partitionBy("length", "_lane").orderBy("doc_id", "piece", "ids_crc32")
     ranked = parts.withColumn("_rank", F.row_number().over(w))
 
-    def place(frames):
-        first = {int(s): int(i) for i, s in reversed(list(enumerate(r[:, 0])))}
-        last = {int(s): i + 1 for i, s in enumerate(r[:, 0])}
-        for pdf in frames:
-            rank = base[np.searchsorted(key, pdf["length"] * LANES + pdf["_lane"])] + pdf["_rank"].to_numpy() - 1
-            at = np.empty(len(pdf), dtype=np.int64)
-            for s, idx in pdf.groupby("length").indices.items():
-                lo, hi = first[int(s)], last[int(s)]
-                at[idx] = lo + np.searchsorted(r[lo:hi, 1], rank[idx], side="right") - 1
-            out = pdf.drop(columns=["_lane", "_rank"])
-            out["sequence_id"] = r[at, 2] + rank - r[at, 1]
-            out["offset"] = r[at, 3]
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.drop("_lane").schema.fields)
-    return ranked.mapInPandas(place, fields + ", sequence_id long, offset long")
+    def place(length: pd.Series, lane: pd.Series, nth: pd.Series) -> pd.DataFrame:
+        rank = base[np.searchsorted(key, length * LANES + lane)] + nth.to_numpy() - 1
+        at = np.empty(len(length), dtype=np.int64)
+        for s, idx in length.groupby(length).indices.items():
+            lo, hi = np.searchsorted(r[:, 0], [s, s + 1])
+            at[idx] = lo + np.searchsorted(r[lo:hi, 1], rank[idx], side="right") - 1
+        return pd.DataFrame({"sequence_id": r[at, 2] + rank - r[at, 1], "offset": r[at, 3]})
+
+    found = F.pandas_udf(place, "sequence_id long, offset long")("length", "_lane", "_rank")
+    return ranked.withColumn("_at", found).select(*[c for c in parts.columns if c != "_lane"], "_at.sequence_id", "_at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from slateflow.llm import decontaminate, langid, near_dedup, packing, pii
 from slateflow.llm.common import new_path, read
@@ -14,9 +13,7 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows; those without letters or of unclear language go."""
-    net = langid.fit(docs)
-    out = langid.identify(docs, net, docs.columns)
-    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid.keep_known(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame operations only.
 
-Base spans (email, ip, card, phone) follow fixed patterns. They seed a graph of lexical patterns (the one or
-two words before an identifier-like token) and instances (the tokens): a pattern's confidence is the mean
+Base spans (email, ip, card, phone) follow fixed patterns. They seed a graph of lexical patterns (the two
+words before an identifier-like token: one word is too little to tell) and instances (the tokens): a pattern's confidence is the mean
 score of its distinct instances, an unseen instance's score the best confidence it stands under, and Spark
 repeats the two aggregates ROUNDS times. Patterns of high confidence with enough distinct seeds then mark
 the unseen identifiers that follow them, under the kind `context`.
@@ -91,12 +91,12 @@ def _identifiers(df: DataFrame) -> DataFrame:
     core = r"regexp_replace(x.match, r'^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
     df = df.withColumn("_tokens", F.expr(
         f"transform(_id, x -> named_struct('start', x.start + {head}, 'token', {core},"
-        r" 'one', regexp_extract(lower(x.before), r'(\S+)\s+$', 1), 'two', regexp_replace(regexp_extract(lower(x.before), r'(\S+\s+\S+)\s+$', 1), r'\s+', ' ')))"
+        r" 'two', regexp_replace(regexp_extract(lower(x.before), r'(\S+\s+\S+)\s+$', 1), r'\s+', ' ')))"
     )).drop("_id")
     df = df.withColumn("_all", F.concat(*KINDS))
     return df.withColumn("_tokens", F.expr(
         "transform(filter(_tokens, x -> length(x.token) BETWEEN 4 AND 128), x -> named_struct('start', x.start, 'end', x.start + length(x.token), 'token', x.token,"
-        " 'one', x.one, 'two', x.two, 'seed', exists(_all, b -> b.start < x.start + length(x.token) AND b.end > x.start)))"
+        " 'two', x.two, 'seed', exists(_all, b -> b.start < x.start + length(x.token) AND b.end > x.start)))"
     )).drop("_all")
 
 
@@ -125,7 +125,7 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     df = _identifiers(base_spans(df)).drop("_digit", "_text").withColumn("_row", F.monotonically_increasing_id())
     df = materialize(df, "spans")
     token = df.select("_row", F.explode("_tokens").alias("t")).select("_row", "t.*")
-    marked = token.select("_row", "start", "end", "seed", F.col("token").alias("instance"), F.explode(F.filter(F.array("one", "two"), lambda x: x != "")).alias("pattern"))
+    marked = token.select("_row", "start", "end", "seed", F.col("token").alias("instance"), F.col("two").alias("pattern")).where("pattern <> ''")
     good = confident_patterns(marked.select("pattern", "instance", "seed"))
     hits = marked.where("not seed").join(good, "pattern").select("_row", F.struct(F.lit(DISCOVERED).alias("kind"), "start", "end").alias("span"))
     extra = materialize(hits.groupBy("_row").agg(F.sort_array(F.collect_set("span")).alias(DISCOVERED)), "discovered")

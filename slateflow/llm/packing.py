@@ -29,8 +29,10 @@ END_ID = 1
 LANES = 64
 
 
-#: A chunk of letters that have one normal form, then signs: two pre-tokens at most, the letters lower-cased.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)\Z")
+# Text whose normal form is itself and whose lower case is one letter for one, without apostrophes, which
+# begin contractions: its pre-tokens are runs of letters, single digits and runs of signs.
+_PLAIN = re.compile(r"[\t-\r -&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*\Z")
+_PRETOKEN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def _byte_letters() -> list[str]:
@@ -40,58 +42,49 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class ChunkTokens(dict):
-    """Ids of blank-separated chunks as little-endian bytes. The tokenizer drops white space and never joins across it.
+class TextTokens(dict):
+    """A tokenizer's ids as little-endian bytes, remembered for up to `most` pre-tokens.
 
-    Remembered for chunks and for their parts, up to `most` of each.
+    The tokenizer drops white space and never joins across it, so other than plain text is taken chunk by
+    chunk, and only chunks that aren't plain go through all of its steps.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.parts: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        m = _PLAIN.match(text)
-        if m:
-            out = self.part(m[1].lower())
-            if m[2]:
-                out += self.part(m[2])
-        else:
-            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def part(self, word: str) -> bytes:
-        got = self.parts.get(word)
-        if got is None:
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            if len(word) <= 64:
-                self.parts[word] = got
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
         return got
 
-    def ids(self, chunks: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+    def ids(self, text: str) -> bytes:
+        if _PLAIN.match(text) and "<|" not in text:  # which special tokens begin with
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
+        return b"".join(map(self.chunk, text.encode("utf-8", "surrogatepass").split()))
+
+    def chunk(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if _PLAIN.match(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 #: One memory for each tokenizer in a Python worker, kept from task to task.
-_MEMORY: dict[str, ChunkTokens] = {}
+_MEMORY: dict[str, TextTokens] = {}
 
 
-def chunk_tokens(path: str) -> ChunkTokens:
+def text_tokens(path: str) -> TextTokens:
     if path not in _MEMORY:
-        _MEMORY[path] = ChunkTokens(path)
+        _MEMORY[path] = TextTokens(path)
     return _MEMORY[path]
 
 
@@ -108,11 +101,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = chunk_tokens(tokenizer)
+        memo = text_tokens(tokenizer)
         for x in texts:
             out = []
             for text in x:
-                raw = memo.ids(text.encode("utf-8", "surrogatepass").split()) + end if text else end
+                raw = memo.ids(text) + end if text else end
                 cut = [raw[at : at + step] for at in range(0, len(raw), step)]
                 out.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c), **({"ids": c} if keep_ids else {})} for i, c in enumerate(cut)])
             yield pd.Series(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,32 @@ class FixedEmbedder:
         return queries.withColumn("vector", F.array(*[F.lit(v).cast("float") for v in self.vector]))
 
 
+class HttpEmbedder:
+    """Vectors from an embedding service: POST {base}/embedding with {"content": text} gives {"embedding": [...]}.
+
+    Rows go out from the executors, in Arrow batches; a failing call fails its task.
+    """
+
+    def __init__(self, base: str, timeout: float = 30.0):
+        self.base, self.timeout = base.rstrip("/"), timeout
+
+    def embed(self, queries: DataFrame, text: str = "query", out: str = "vector") -> DataFrame:
+        url, timeout = f"{self.base}/embedding", self.timeout
+
+        def call(texts: pd.Series) -> pd.Series:
+            import json
+            from urllib.request import Request, urlopen
+
+            found = []
+            for t in texts:
+                ask = Request(url, json.dumps({"content": t}).encode(), {"Content-Type": "application/json"})
+                with urlopen(ask, timeout=timeout) as r:  # noqa: S310
+                    found.append(json.load(r)["embedding"])
+            return pd.Series(found)
+
+        return queries.withColumn(out, F.pandas_udf(call, "array<float>")(F.col(text)))
+
+
 class TableStore:
     """Records in Parquet, partitioned by shard, so that a query reads only its sources' shards."""
 

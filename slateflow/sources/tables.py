@@ -136,3 +136,39 @@ def enabled_sources(registry: DataFrame, source_id: str | None = None, cadence:
     if source_id is not None:
         out = out.where(F.col("source_id") == source_id)
     return out.where(F.col("cadence") == cadence) if cadence is not None else out
+
+
+def collect(spark: SparkSession, registry: DataFrame, collected_at: str, timeout: float = 20.0) -> DataFrame:
+    """One snapshot (schemas.RAW) of every source's URLs, items in order of role, label and URL; a failed fetch fails the run."""
+    items = fetch_documents(spark, raw_urls(registry), timeout)
+    row = F.struct(*schemas.ITEM.names)
+    rows = items.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("role", "label", "url", row.alias("i")))).alias("x"))
+    found = registry.select("source_id").join(rows, "source_id", "left")
+    none = F.array().cast(schemas.RAW["items"].dataType)
+    return found.select("source_id", F.lit(collected_at).alias("collected_at"), F.coalesce(F.transform("x", lambda x: x["i"]), none).alias("items"))
+
+
+def write_raw(raw: DataFrame, path: str) -> None:
+    """Append a snapshot; latest_snapshot() over the table is its newest state."""
+    raw.withColumn("snapshot", F.replace("collected_at", F.lit(":"), F.lit("-"))).write.mode("append").partitionBy("snapshot").json(path)
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Normalized payloads, a folder for each source."""
+    payloads.select(*schemas.PAYLOAD.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").json(path)
+
+
+def read_payloads(spark: SparkSession, path: str, source_id: str | None = None) -> DataFrame:
+    """Normalized payloads; one source's folder alone if `source_id` is given."""
+    rows = spark.read.schema(schemas.PAYLOAD).json(path)
+    return rows if source_id is None else rows.where(F.col("source_id") == source_id)
+
+
+#: States of deployed instances: a kind, and what that kind carries.
+INSTANCE_KINDS = ("empty", "pending", "creation", "installation", "setting_up", "running")
+INSTANCE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("principal", T.StringType()), T.StructField("message", T.StringType())])
+
+
+def list_instances(spark: SparkSession, path: str) -> DataFrame:
+    """Instances as rows of (kind, principal, message)."""
+    return read_jsonl(spark, path, INSTANCE)

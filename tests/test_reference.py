@@ -245,3 +245,36 @@ def test_oracle_keys():
 
     assert set(driver_queries.oracle_sql()) <= set(driver_queries.queries())
     assert B.SEED_QUERIES
+
+
+def test_collect_and_embed_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            n = len(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["content"])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embedding": [n, 0.5]}).encode())
+
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<p>hi</p>")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    q = spark.createDataFrame([(0, "abc")], "query_id int, query string")
+    assert memory.HttpEmbedder(base).embed(q).first()["vector"] == [3.0, 0.5]
+    link = lambda x: [{"label": x, "url": f"{base}/{x}"}]
+    got = tables.collect(spark, registry(spark, public_urls=link("p"), discovery_urls=link("d")), "2026-01-01T00:00:00Z")
+    tables.write_raw(got, str(tmp_path / "raw"))
+    back = tables.latest_snapshot(spark.read.schema(schemas.RAW).json(str(tmp_path / "raw"))).first()
+    server.shutdown()
+    assert [(i["role"], i["body"], i["content_type"]) for i in back["items"]] == [("discovery_urls", "<p>hi</p>", "text/html"), ("public_urls", "<p>hi</p>", "text/html")]

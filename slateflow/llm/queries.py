@@ -27,6 +27,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+#: op1: links as written, then as keys; a key is host, path (at least /) and query.
+_OP1 = r"""WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*[^?#]*(\?[^#]*)?', 1) AS query FROM u),
+p AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key, regexp_extract_all(html, '(?i)(<(?:link|meta)\b[^>]*>)', 1) AS tags FROM h),
+t AS (SELECT p.*, unnest(list_filter(list_concat(
+    list_transform(list_filter(tags, lambda x: regexp_matches(x, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)),
+    list_transform(list_filter(tags, lambda x: regexp_matches(x, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>;]*)', 1))), lambda x: x <> '')) AS to_raw FROM p WHERE key IS NOT NULL),
+a AS (SELECT key, regexp_replace(to_raw, '(?i)&amp;', '&', 'g') AS t, coalesce(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), ''), 'http') || '://' AS root, host, path, regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '(?s)^(.*/)', 1) AS folder FROM t),
+b AS (SELECT key, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN root || substring(t, 3) WHEN starts_with(t, '/') THEN root || host || t WHEN starts_with(t, '?') THEN root || host || path || t ELSE root || host || folder || t END AS target FROM a),
+c AS (SELECT key, substring(target, instr(target, '://') + 3) AS rest FROM b),
+d AS (SELECT key AS x, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END || regexp_extract(rest, '^[^/?#]*[^?#]*(\?[^#]*)?', 1) AS y FROM c WHERE regexp_extract(rest, '^([^/?#]*)', 1) <> ''),
+e AS (SELECT x, y FROM d WHERE x <> y UNION SELECT y, x FROM d WHERE x <> y),
+r(node, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+cl AS (SELECT node, min(root) AS class_key FROM r GROUP BY 1),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+nd AS (SELECT cl.*, regexp_extract(node, '^([^/?#]*)', 1) AS nh, regexp_extract(node, '^[^/?#]*([^?#]*)', 1) AS np FROM cl),
+nv AS (SELECT class_key, verdict FROM nd LEFT JOIN rules ON (nh = rh OR ends_with(nh, '.' || rh)) AND starts_with(np, rp) QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC) = 1),
+cv AS (SELECT class_key, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS v FROM nv GROUP BY 1),
+n AS (SELECT *, row_number() OVER () AS i FROM p),
+own AS (SELECT n.i, n.page_id, n.host, n.path, n.key, rh || rp AS rule, verdict FROM n LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY n.i ORDER BY length(rh || rp) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, v, 'allow') AS verdict, cl.class_key FROM own LEFT JOIN cl ON cl.node = own.key LEFT JOIN cv USING (class_key)"""
+
 _OP2 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(q.e, q.e))) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e))
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
@@ -54,5 +76,5 @@ SELECT u.doc_id, u.n::BIGINT AS n_shingles, coalesce(m.component, u.doc_id) AS c
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of the others, op1 needs relative links resolved, op3 a balance, op5 and op10 a fit, op6 a tokenizer, op7 a parser, op8 Myers' distance: tests compare them with brute force."""
-    return {"op2_block_join": _OP2, "op4_suffix_trees": _OP4, "op9_star_minhash": _OP9}
+    """Of the others, op3 needs a balance, op5 and op10 a fit, op6 a tokenizer, op7 a parser, op8 Myers' distance: tests compare them with brute force."""
+    return {"op1_redirect_classes": _OP1, "op2_block_join": _OP2, "op4_suffix_trees": _OP4, "op9_star_minhash": _OP9}

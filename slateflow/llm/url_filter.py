@@ -22,8 +22,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def split_url(url: Column) -> tuple[Column, Column, Column]:
     """Host, path and query of a URL; empty strings for null or a URL without ://."""
     u = F.coalesce(url, F.lit(""))
-    part = lambda i: F.regexp_extract(u, r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)(\?[^#]*)?", i)
-    return F.translate(part(1), UPPER, LOWER), part(2), part(3)
+    rest = F.when(F.contains(u, F.lit("://")), F.substring(u, F.instr(u, F.lit("://")) + 3, F.length(u))).otherwise(F.lit(""))
+    part = lambda p: F.regexp_extract(rest, p, 1)
+    return F.translate(part(r"^([^/?#]*)"), UPPER, LOWER), part(r"^[^/?#]*([^?#]*)"), part(r"^[^/?#]*[^?#]*(\?[^#]*)?")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -44,7 +44,7 @@ def test_urls(spark):
         (6, "http://a.org/1", link.format("http://shop.net/fr/a")), (7, "http://b.org/2", '<meta http-equiv="refresh" content="0; url=http://a.org/1">'), (8, "http://c.org", None),
         (9, "http://d.org/d/e", link.format("/f")), (10, "http://d.org/f", link.format("//good.com/x")), (11, "http://a.org/1#frag", None), (11, "http://a.org/1#frag", None),
         (12, "http://xnet/es/", None), (13, "http://net/es/", None), (14, "http://e.org/a", link.format("http://e.org/a")), (15, "http://f.org/a?x=1&y", link.format("b?x=1&amp;y")), (16, "http://f.org/b?x=1&y", link.format("http://z.net/es/1")),
-        (17, "http://g.org/loop", link.format("http://h.org/loop")), (18, "http://h.org/loop", link.format("http://g.org/loop")),
+        (17, "http://g.org/loop", link.format("http://h.org/loop")), (18, "http://h.org/loop", link.format("http://g.org/loop")), (19, "x" * 50_000 + "://n.net/fr/" + "y/" * 20_000, None), (20, "a://b://c.com/", None),
     ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.op1_redirect_classes(spark, df).collect()}
@@ -57,6 +57,7 @@ def test_urls(spark):
     assert got[9][3] == got[10][3] == "allow"
     assert got[12] == ("xnet", "/es/", None, "allow") and got[13] == ("net", "/es/", "net/es/", "block")
     assert got[15][3] == got[16][3] == "block" and got[17][3] == got[18][3] == "allow"
+    assert got[19][0] == "n.net" and got[19][3] == "block" and got[20][:2] == ("b:", "//c.com/")
     assert url_filter.op1_redirect_classes(spark, df).count() == len(rows)
     assert url_filter.op1_redirect_classes(spark, df.limit(0)).count() == 0
     both = spark.createDataFrame([(1, "http://a.org/1", link.format("http://b.net/fr/")), (2, "http://a.org/2", link.format("http://a.org/1")), (3, "http://c.com/", link.format("http://a.org/2"))], "page_id long, url string, html string")

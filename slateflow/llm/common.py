@@ -74,6 +74,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_WORKER: dict = {}
+
+
+def worker_memory(key, make):
+    """What a Python worker keeps from task to task: one thing only, so that operators run one after another don't add up."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 # ---------------------------------------------------------------- words and hashes
 
 #: Odd multipliers for combining the hashes of consecutive words: powers of one odd constant.
@@ -84,7 +95,7 @@ MULTIPLIERS = np.array([pow(_STEP, 2 * i + 1, 1 << 64) for i in range(64)], dtyp
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for words seen; the memory is bounded by `most` entries."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -97,6 +108,10 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes() -> WordHashes:
+    return worker_memory("words", WordHashes)
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8: bytes.split() cuts at exactly those six characters; bytes.lower() maps A-Z only."""
     if not text:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import tune, words_of
+from .common import tune, worker_memory, words_of
 
 #: Longer words are read in pieces of this many bytes.
 WORD_BYTES = 24
@@ -156,7 +156,7 @@ def cut(word: bytes) -> list[bytes]:
 class WordScores(dict):
     """A word's summed position probabilities, remembered up to a bound."""
 
-    def __init__(self, net: ByteNetwork, most: int = 300_000):
+    def __init__(self, net: ByteNetwork, most: int = 250_000):
         super().__init__()
         self.net, self.most = net, most
         self.table = np.zeros((0, len(net.langs)))
@@ -184,16 +184,9 @@ class WordScores(dict):
         self.update((w, at + i) for i, w in enumerate(new))
 
 
-#: The last network's word scores in a Python worker, kept from task to task.
-_MEMORY: dict[bytes, WordScores] = {}
-
-
 def word_scores(net: ByteNetwork) -> WordScores:
     key = hashlib.sha256(b"".join(p.tobytes() for p in net.params())).digest()
-    if key not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[key] = WordScores(net)
-    return _MEMORY[key]
+    return worker_memory(("scores", key), lambda: WordScores(net))
 
 
 def predict(scores: WordScores, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, gram_hashes, hash_words, materialize, release, tune
+from .common import WordHashes, discard, gram_hashes, hash_words, materialize, release, tune, word_hashes
 
 WINDOW, GRAM = 35, 8
 EDGES = (12, 12, 11)
@@ -149,7 +149,7 @@ def _within(x: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _emit_anchors(bits: int):
     def run(frames):
-        cache = WordHashes()
+        cache = word_hashes()
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 keys, many = Windows(*pack_words(row.lens, row.body), cache).anchors()
@@ -196,7 +196,7 @@ def _anchors_of(parts) -> np.ndarray:
 
 
 def _emit_leaves(frames):
-    cache = WordHashes()
+    cache = word_hashes()
     for pdf in frames:
         for row in pdf.itertuples(index=False):
             w = Windows(*pack_words(row.lens, row.body), cache)
@@ -292,7 +292,7 @@ def repeated_leaves(leaves: DataFrame, limit: int = GROUP_SUFFIXES) -> DataFrame
 
 def _cover(keep_text: bool):
     def run(frames):
-        cache = WordHashes()
+        cache = word_hashes()
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 words, ends = pack_words(row.lens, row.body)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, tune
+from .common import materialize, tune, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -49,7 +49,7 @@ class TextTokens(dict):
     chunk, and only chunks that aren't plain go through all of its steps.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,16 +78,6 @@ class TextTokens(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-#: One memory for each tokenizer in a Python worker, kept from task to task.
-_MEMORY: dict[str, TextTokens] = {}
-
-
-def text_tokens(path: str) -> TextTokens:
-    if path not in _MEMORY:
-        _MEMORY[path] = TextTokens(path)
-    return _MEMORY[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian bytes) on request.
 
@@ -101,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = text_tokens(tokenizer)
+        memo = worker_memory(("tokens", tokenizer), lambda: TextTokens(tokenizer))
         for x in texts:
             out = []
             for text in x:

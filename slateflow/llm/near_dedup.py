@@ -7,7 +7,9 @@
    near 0.75 go; their ends meet once more in buckets of two bands.
 3. Components of what is left are candidate clusters. Clusters are cut into groups of bounded size, and a
    group's overlaps are counted on full shingle sets, exactly. Groups of one cluster are joined through
-   their best-linked members, and star edges that still lead across components are verified as well.
+   their best-linked members and star edges that still lead across components. What is then outside a
+   cluster's largest component meets every other member: by signature, then exactly, in bounded tasks
+   that give a row for each link that joins two components, never one for each pair.
 
 A pair of similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32, about 5 in a million.
 """
@@ -29,11 +31,16 @@ BINS, BANDS, ROWS = 128, 32, 4
 LEAST_ESTIMATE = 0.6
 #: Bounds of a group that is compared exactly in memory: documents, and shingles on average.
 GROUP_DOCS, GROUP_SHINGLES = 256, 300_000
+#: Strays that a task holds, and members that it lets stream past them. No bound on either in total.
+HELD, STREAMED = 4096, 65_536
 
 _rng = np.random.default_rng(20)
 #: Bins that an empty bin asks, attempt by attempt.
 DONORS = _rng.integers(0, BINS, (64, BINS))
 
+#: Whether so many equal marks of BINS make the least estimate.
+ENOUGH = (np.arange(BINS + 1) / BINS - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
+
 SIGNATURES = "n_shingles long, set_key binary, bands array<long>, marks binary"
 
 
@@ -184,9 +191,8 @@ def link_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(done, columns=["group", "doc_id", "root"])
 
     spark = members.sparkSession
-    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = members.join(texts, "doc_id").select("group", "doc_id", "text")
-    return rows.repartition(parts, "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, "group long, doc_id long, root long")
+    return rows.repartition(_parts(spark), "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, "group long, doc_id long, root long")
 
 
 def _grouped(nodes: DataFrame) -> DataFrame:
@@ -217,6 +223,127 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(link_groups(members, texts), "links")
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with_strays(rows: DataFrame) -> DataFrame:
+    """Rows (block, doc_id, k, ...) of blocks with several components k, and whether k is not the block's largest."""
+    main = rows.groupBy("block", "k").count().groupBy("block").agg(F.max_by("k", F.struct("count", -F.col("k"))).alias("main"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(main.drop("n"), "block").withColumn("stray", F.col("k") != F.col("main")).drop("main")
+
+
+def _faced(rows: DataFrame) -> DataFrame:
+    """(task, side, part, doc_id, k, marks) from (block, part, doc_id, k, marks, stray): every stray of a block meets every member in one task.
+
+    A task has some strays (side 0) first, then the members of some of the block's parts (side 1), part by part.
+    """
+    size = rows.groupBy("block").agg(
+        F.ceil(F.sum(F.col("stray").cast("long")) / HELD).cast("long").alias("n_held"), F.ceil(F.count("*") / STREAMED).cast("long").alias("n_streamed")
+    )
+    rows = rows.join(size.where("n_held > 0"), "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = rows.where("stray").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("n_held"))).withColumn("j", every("n_streamed"))
+    sent = rows.withColumn("i", every("n_held")).withColumn("j", F.pmod(F.xxhash64("part", F.lit(17)), F.col("n_streamed")))
+    cols = [F.xxhash64("block", "i", "j", F.lit(19)).alias("task"), "side", "part", "doc_id", "k", "marks"]
+    both = held.withColumn("side", F.lit(0)).select(*cols).unionByName(sent.withColumn("side", F.lit(1)).select(*cols))
+    return both.repartition(_parts(rows.sparkSession), "task").sortWithinPartitions("task", "side", "part", "doc_id")
+
+
+def _near_groups(rows: DataFrame) -> DataFrame:
+    """(x, group) from (block, part = group, doc_id, k, marks, stray): strays and the groups where a member of another component agrees enough."""
+
+    def run(frames):
+        task, part, ids, ks, marks, held, hit = None, None, [], [], [], None, None
+        out = []
+
+        def close():
+            if hit is not None:
+                out.extend((ids[i], part) for i in np.flatnonzero(hit))
+
+        for pdf in frames:
+            for t, side, p, d, k, m in pdf[["task", "side", "part", "doc_id", "k", "marks"]].itertuples(index=False):
+                if t != task:
+                    close()
+                    task, part, ids, ks, marks, held, hit = t, None, [], [], [], None, None
+                if side == 0:
+                    ids.append(d), ks.append(k), marks.append(m)
+                    continue
+                if held is None:
+                    held, ks = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BINS).T.copy(), np.array(ks)
+                if p != part:
+                    close()
+                    part, hit = p, np.zeros(len(ids), dtype=bool)
+                hit |= ENOUGH[(held == np.frombuffer(m, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)] & (ks != k)
+            if out:
+                yield pd.DataFrame(out, columns=["x", "group"])
+                out.clear()
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["x", "group"])
+
+    return _faced(rows).mapInPandas(run, "x long, group long")
+
+
+def _known_as(names: dict, k: int) -> int:
+    """The component that k has been joined to in a task."""
+    at = k
+    while at in names:
+        at = names[at]
+    if at != k:
+        names[k] = at
+    return at
+
+
+def _stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (doc_id, root) that join components, by exact overlaps of x with all members of the group, for pairs (x, group).
+
+    `named`: (group, doc_id, k). A task holds a group and lets some of its strays stream past.
+    """
+
+    def run(frames):
+        cache = word_hashes()
+        task, sets, ks, terms, who, size, ids, names = None, {}, [], None, None, None, [], {}
+        for pdf in frames:
+            out = []
+            for t, side, d, k, text in pdf[["task", "side", "doc_id", "k", "text"]].itertuples(index=False):
+                if t != task:
+                    task, sets, ks, terms, names = t, {}, [], None, {}
+                s = shingle_set(words_of(text, lower=True), cache)
+                if side == 0:
+                    if d not in sets:
+                        sets[d] = s
+                        ks.append(k)
+                    continue
+                if terms is None:
+                    ids, ks, size = list(sets), np.array(ks), np.array([len(x) for x in sets.values()])
+                    terms = np.concatenate(list(sets.values()))
+                    order = np.argsort(terms, kind="stable")
+                    terms, who = terms[order], np.repeat(np.arange(len(ids)), size)[order]
+                    sets = {}
+                lo, hi = np.searchsorted(terms, s, "left"), np.searchsorted(terms, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                both = np.bincount(who[at], minlength=len(ids))
+                k = _known_as(names, k)
+                linked = 100 * both >= 75 * (size + len(s) - both)
+                for other in np.unique(ks[linked]).tolist():
+                    if other != k:
+                        out.append((d, ids[int(np.flatnonzero(linked & (ks == other))[0])]))
+                        ks[ks == other] = k
+                        names[other] = k
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "root"])
+
+    many = pairs.groupBy("group").agg(F.ceil(F.count("*") / HELD).cast("long").alias("n"))
+    cols = [F.xxhash64("group", "i", F.lit(23)).alias("task"), "side", "doc_id", "k"]
+    held = named.join(many, "group").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("side", F.lit(0)).select(*cols)
+    sent = pairs.join(many, "group").withColumnRenamed("x", "doc_id").join(named.select("doc_id", "k"), "doc_id")
+    sent = sent.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.col("n"))).withColumn("side", F.lit(1)).select(*cols)
+    rows = held.unionByName(sent).join(texts, "doc_id").select("task", "side", "doc_id", "k", "text")
+    return rows.repartition(_parts(texts.sparkSession), "task").sortWithinPartitions("task", "side", "doc_id").mapInPandas(run, "doc_id long, root long")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) for every row of docs, and (rep, component) for linked representatives."""
     sig = materialize(signatures(docs), "signatures")
@@ -232,7 +359,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = materialize(rows.join(nodes.select("doc_id"), "doc_id", "left_semi"), "texts")
     links = materialize(link_groups(nodes.select("group", "doc_id"), texts), "links")
     found = [links]
-    # Groups of one cluster meet through their roots, until a cluster's roots fit one group or stop getting fewer.
+    # Groups of one cluster meet through their roots, until a cluster's roots fit one group or stop getting fewer: what stays apart then is for the strays.
     level = nodes.where("n_groups > 1").join(links.where("doc_id = root").select("doc_id"), "doc_id", "left_semi").select("cluster", "doc_id", "n_shingles")
     before = None
     while True:
@@ -251,10 +378,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = joined.unionByName(x)
     # A root without links leads to itself only, and components() drops that.
     comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    if len(found) > 1:  # some cluster had several groups: verify star edges that still lead across
+    if len(found) > 1:  # some cluster had several groups: verify star edges, then all pairs, that still lead across
         crossing = _across(edges, comp).join(nodes.where("n_groups > 1").select(F.col("doc_id").alias("x")), "x", "left_semi")
-        joined = joined.unionByName(_verified(crossing, texts))
+        joined = joined.select("doc_id", "root").unionByName(_verified(crossing, texts).select("doc_id", "root"))
         comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+        named = nodes.where("n_groups > 1").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        named = named.select(F.col("cluster").alias("block"), "group", "doc_id", F.coalesce("component", "doc_id").alias("k"))
+        named = materialize(_with_strays(named), "strays")
+        if not named.isEmpty():
+            faced = named.join(reps.select("doc_id", "marks"), "doc_id").withColumnRenamed("group", "part")
+            pairs = materialize(_near_groups(faced), "pairs")
+            joined = joined.unionByName(materialize(_stray_links(pairs, named.select("group", "doc_id", "k"), texts), "links"))
+            comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     discard(texts)
     comp = comp.select(F.col("node").alias("rep"), "component")
     return sig.select("doc_id", "n_shingles", "set_key").join(same, "set_key", "left").select("doc_id", "n_shingles", "rep"), comp

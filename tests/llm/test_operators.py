@@ -454,6 +454,28 @@ def test_near_duplicates(spark, monkeypatch, size):
         assert near_dedup.op9_star_minhash(spark, d.limit(0)).count() == 0
 
 
+def versions(rng, n, words, step, at):
+    """Independent versions of a text, each with `step` other words: pairs lie about the threshold, and all buckets of a pair are the family's."""
+    base, out = prose(rng, words, 5000).split(), []
+    for i in range(n):
+        w = list(base)
+        for j in rng.sample(range(words), step):
+            w[j] = f"new{rng.randrange(10**6)}"
+        out.append((at + i, " ".join(w)))
+    return out
+
+
+def test_links_between_members_of_different_groups(spark, monkeypatch):
+    """Families over many groups, whose links hang on pairs that are neither roots nor centres."""
+    for name, value in (("GROUP_DOCS", 8), ("HELD", 5), ("STREAMED", 20)):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    rng = random.Random(4)
+    texts = versions(rng, 150, 200, 4, 0) + versions(rng, 120, 150, 3, 1000)
+    want = linked(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.op9_star_minhash(spark, docs_of(spark, texts)).collect()}
+    assert sum(got[i] != x for i, x in want.items()) == 0 and len(got) == len(want)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.75, 0.9):

@@ -4,7 +4,8 @@
    (bin, attempt) names. Documents with equal shingle sets fold into one class, so copies never pair up.
 2. BANDS bands of ROWS bins are buckets. In a bucket, each member has one edge, to the member with the
    smallest id: as many edges as members, never all pairs. Edges whose signatures agree too little to be
-   near 0.75 go; their ends meet once more in buckets of two bands.
+   near 0.75 go. In a bucket that then has several components, all members outside the largest one meet
+   all others by signature, so that every pair of a bucket that agrees enough ends in one cluster.
 3. Components of what is left are candidate clusters. Clusters are cut into groups of bounded size, and a
    group's overlaps are counted on full shingle sets, exactly. Groups of one cluster are joined through
    their best-linked members and star edges that still lead across components. What is then outside a
@@ -110,20 +111,54 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(centre, "key").where("doc_id <> c").withColumnRenamed("doc_id", "x")
 
 
+def _near_pairs(rows: DataFrame) -> DataFrame:
+    """(x, c) from (block, part, doc_id, k, marks, stray): pairs that agree enough, one for each two components that a task joins."""
+
+    def run(frames):
+        task, ids, ks, marks, held, names = None, [], [], [], None, {}
+        for pdf in frames:
+            out = []
+            for t, side, d, k, m in pdf[["task", "side", "doc_id", "k", "marks"]].itertuples(index=False):
+                if t != task:
+                    task, ids, ks, marks, held, names = t, [], [], [], None, {}
+                if side == 0:
+                    ids.append(d), ks.append(k), marks.append(m)
+                    continue
+                if held is None:
+                    held, ks = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BINS).T.copy(), np.array(ks)
+                k = _known_as(names, k)
+                hit = ENOUGH[(held == np.frombuffer(m, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)]
+                for other in np.unique(ks[hit]).tolist():
+                    if other != k:
+                        out.append((d, ids[int(np.flatnonzero(hit & (ks == other))[0])]))
+                        ks[ks == other] = k
+                        names[other] = k
+            if out:
+                yield pd.DataFrame(out, columns=["x", "c"])
+
+    return _faced(rows).mapInPandas(run, "x long, c long")
+
+
 def star_edges(reps: DataFrame) -> DataFrame:
-    """Candidate edges (x, c) whose signatures agree enough."""
+    """Candidate edges (x, c) whose signatures agree enough: any two members of a bucket that agree enough are connected by them."""
     marks = reps.select("doc_id", "marks")
-    wide = reps.select("doc_id", F.posexplode("bands").alias("i", "key"), F.col("bands"))
-    nxt = F.element_at("bands", F.pmod(F.col("i") + 1, F.lit(BANDS)) + 1)
-    first = materialize(_stars(wide.select("doc_id", "key", nxt.alias("more"))), "stars")
+    first = materialize(_stars(reps.select("doc_id", F.explode("bands").alias("key"))), "stars")
     judged = materialize(_agreement(marks, first.select("x", "c").distinct()), "agreement")
     near = judged.where(F.col("estimate") >= LEAST_ESTIMATE).select("x", "c")
     far = judged.where(F.col("estimate") < LEAST_ESTIMATE).select("x", "c")
-    again = first.join(far, ["x", "c"]).select(F.col("x").alias("doc_id"), F.xxhash64("key", "more").alias("key"))
-    second = _agreement(marks, _stars(again).select("x", "c").distinct()).where(F.col("estimate") >= LEAST_ESTIMATE).select("x", "c")
-    out = materialize(near.unionByName(second).distinct(), "edges")
-    discard(first)
-    discard(judged)
+    comp = components(near.select(F.col("x").alias("a"), F.col("c").alias("b")))
+    keys = first.join(_across(far, comp), ["x", "c"], "left_semi").select("key").distinct()
+    part = first.join(keys, "key", "left_semi")
+    part = part.select("key", F.col("x").alias("doc_id")).unionByName(part.select("key", F.col("c").alias("doc_id")).distinct())
+    named = part.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    named = materialize(named.select(F.col("key").alias("block"), "doc_id", F.coalesce("component", "doc_id").alias("k")), "buckets")
+    edges = near
+    if not named.isEmpty():
+        faced = _with_strays(named).join(marks, "doc_id").withColumn("part", F.col("doc_id"))
+        edges = edges.unionByName(_near_pairs(faced))
+    out = materialize(edges.distinct(), "edges")
+    for x in (first, judged, named):
+        discard(x)
     return out
 
 

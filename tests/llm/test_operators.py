@@ -476,6 +476,37 @@ def test_links_between_members_of_different_groups(spark, monkeypatch):
     assert sum(got[i] != x for i, x in want.items()) == 0 and len(got) == len(want)
 
 
+def test_pairs_of_a_bucket_that_agree_end_in_one_cluster(spark, monkeypatch):
+    """Also where the bucket's centre is far from one end or from both."""
+    for name, value in (("HELD", 5), ("STREAMED", 20)):
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    reps = []
+    for i in range(160):  # a row differs from its family's in 20 to 80 of 128 marks; bands are few, so buckets are crowded
+        if i % 40 == 0:
+            base = rng.integers(0, 256, near_dedup.BINS)
+        m = np.where(rng.permutation(near_dedup.BINS) < rng.integers(20, 80), rng.integers(0, 256, near_dedup.BINS), base)
+        reps.append((1 + (i * 37) % 160, 100, [int(rng.integers(0, 12)) + 1000 * b if b < 3 else 10**6 * (i + 1) + b for b in range(near_dedup.BANDS)], m.astype(np.uint8)))
+    df = spark.createDataFrame([(*r[:3], bytearray(r[3].tobytes())) for r in reps], "doc_id long, n_shingles long, bands array<long>, marks binary")
+    root = {r[0]: r[0] for r in reps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in reps:
+        for b in reps:
+            if set(a[2]) & set(b[2]) and ((a[3] == b[3]).mean() - 1 / 256) / (1 - 1 / 256) >= near_dedup.LEAST_ESTIMATE:
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in root}
+    assert 10 < len(set(want.values())) < 150
+    edges = near_dedup.star_edges(df)
+    got = {r["node"]: r["component"] for r in common.components(edges.select(F.col("x").alias("a"), F.col("c").alias("b"))).collect()}
+    assert {i: got.get(i, i) for i in root} == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.75, 0.9):

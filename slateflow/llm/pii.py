@@ -1,8 +1,8 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) follow fixed patterns. They seed a graph of lexical patterns (the two
-words before an identifier-like token: one word is too little to tell) and instances (the tokens): a pattern's confidence is the mean
-score of its distinct instances, an unseen instance's score the best confidence it stands under, and Spark
+words before a base span or another identifier-like token, earlier ones included: one word is too little to tell)
+and instances (base spans as a whole, and tokens outside them): a pattern's confidence is the mean score of its distinct instances, an unseen instance's score the best confidence it stands under, and Spark
 repeats the two aggregates ROUNDS times. Patterns of high confidence with enough distinct seeds then mark
 the unseen identifiers that follow them, under the kind `context`.
 """
@@ -29,11 +29,13 @@ IDENTIFIER = r"(?<!\S)(?=\S*?(?:[0-9]{3}|@))\S++"
 
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 _CHUNK = 256
+#: Code points of a piece of text, and those first looked at for the two words before an instance.
+_PIECE, _NEAR = 4096, 400
 _SPAN = "struct<kind:string,start:int,end:int>"
 
 
 def _matches(df: DataFrame, name: str, pattern: str, needed: Column) -> DataFrame:
-    """Column `name`: array of (start, match, before) for every match, starts in code points.
+    """Column `name`: array of (start, match) for every match, starts in code points.
 
     The text between matches, from split(), and the matches themselves have the starts as running sums;
     sums run in chunks, so that texts with very many matches cost little more than others.
@@ -42,15 +44,15 @@ def _matches(df: DataFrame, name: str, pattern: str, needed: Column) -> DataFram
     empty = F.array().cast("array<string>")
     df = df.withColumn(m, F.when(needed, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(empty))
     df = df.withColumn(p, F.when(F.size(m) > 0, F.split("_text", pattern, -1)).otherwise(empty))
-    df = df.withColumn(adv, F.expr(f"transform({m}, (x, i) -> struct({p}[i] AS before, length({p}[i]) AS gap, length({p}[i]) + length(x) AS adv, x AS match))"))
+    df = df.withColumn(adv, F.expr(f"transform({m}, (x, i) -> struct(length({p}[i]) AS gap, length({p}[i]) + length(x) AS adv, x AS match))"))
     df = df.withColumn(
         sums,
         F.expr(f"transform(sequence(0, greatest(cast(ceil(size({adv}) / {_CHUNK}D) AS int) - 1, 0)), c -> slice({adv}, c * {_CHUNK} + 1, {_CHUNK}))"),
     )
     df = df.withColumn(adv, F.expr(f"transform({sums}, c -> aggregate(c, 0, (s, v) -> s + v.adv))"))
     out = f"""flatten(transform({sums}, (c, k) -> aggregate(c,
-        struct(aggregate(slice({adv}, 1, k), 0, (s, v) -> s + v) AS at, cast(array() AS array<struct<start:int,match:string,before:string>>) AS found),
-        (s, v) -> struct(s.at + v.adv AS at, array_append(s.found, struct(s.at + v.gap AS start, v.match AS match, right(v.before, 80) AS before)) AS found),
+        struct(aggregate(slice({adv}, 1, k), 0, (s, v) -> s + v) AS at, cast(array() AS array<struct<start:int,match:string>>) AS found),
+        (s, v) -> struct(s.at + v.adv AS at, array_append(s.found, struct(s.at + v.gap AS start, v.match AS match)) AS found),
         s -> s.found)))"""
     return df.withColumn(name, F.expr(out)).drop(m, p, adv, sums)
 
@@ -66,12 +68,8 @@ def _luhn(x: str) -> str:
     return f"(length({d}) BETWEEN 13 AND 19 AND {total} % 10 = 0)"
 
 
-def _spans(kind: str, found: str, keep: str) -> Column:
-    return F.expr(f"transform(filter({found}, x -> {keep}), x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.start + length(x.match)))").cast(f"array<{_SPAN}>")
-
-
 def base_spans(df: DataFrame) -> DataFrame:
-    """df (with _text) and a column for each kind: its spans in order of start."""
+    """df (with _text) and a column for each kind: its spans in order of start. Column _seeds: all of them, (start, match)."""
     digit = F.rlike("_text", F.lit("[0-9]"))
     df = df.withColumn("_digit", digit)
     df = _matches(df, "_email", EMAIL, F.contains("_text", F.lit("@")))
@@ -80,24 +78,39 @@ def base_spans(df: DataFrame) -> DataFrame:
     df = _matches(df, "_phone", PHONE, F.col("_digit") & F.contains("_text", F.lit("+")))
     checks = {"email": "true", "ip": f"rlike(x.match, r'{OCTETS}')", "card": f"length(x.match) >= 13 AND {_luhn('x.match')}", "phone": f"length({_digits('x.match')}) BETWEEN 9 AND 15"}
     for kind, check in checks.items():
-        df = df.withColumn(kind, _spans(kind, f"_{kind}", check)).drop(f"_{kind}")
-    return df
+        df = df.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, x -> {check})"))
+        span = f"transform(_{kind}, x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.start + length(x.match)))"
+        df = df.withColumn(kind, F.expr(span).cast(f"array<{_SPAN}>"))
+    return df.withColumn("_seeds", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+
+
+def _two_words(start: str) -> str:
+    """SQL: the two words before the blank-separated token that holds code point `start`, from _pieces; all text before it where the nearest is not enough."""
+    k, words = f"cast({start} div {_PIECE} AS int)", r"r'(?<!\S)(\S++\s++\S++)\s++\S*+$'"
+    near = f"right(concat(CASE WHEN {k} > 0 THEN _pieces[{k} - 1] ELSE '' END, left(_pieces[{k}], {start} % {_PIECE})), {_NEAR})"
+    whole = f"concat(array_join(slice(_pieces, 1, {k}), ''), left(_pieces[{k}], {start} % {_PIECE}))"
+    # Text that starts in the middle of a word or of a gap is cut before its first blank, so that no part of a word is taken for a word.
+    inner = f"regexp_extract(CASE WHEN {start} > {_NEAR} THEN regexp_replace({near}, r'^\\S++', '') ELSE {near} END, {words}, 1)"
+    two = f"CASE WHEN {inner} <> '' OR {start} <= {_NEAR} THEN {inner} ELSE regexp_extract({whole}, {words}, 1) END"
+    return rf"regexp_replace(lower({two}), r'\s+', ' ')"
 
 
 def _identifiers(df: DataFrame) -> DataFrame:
-    """Column _tokens: identifier-like tokens with place, the words before them, and whether a base span overlaps."""
-    df = _matches(df, "_id", IDENTIFIER, F.col("_digit") | F.contains("_text", F.lit("@")))
+    """Column _tokens: base spans, and identifier-like tokens that none overlaps, with place and the two words before them."""
+    some = F.col("_digit") | F.contains("_text", F.lit("@"))
+    df = _matches(df, "_id", IDENTIFIER, some)
+    df = df.withColumn("_pieces", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
     head = "length(x.match) - length(regexp_replace(x.match, r'^[^A-Za-z0-9]+', ''))"
     core = r"regexp_replace(x.match, r'^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
-    df = df.withColumn("_tokens", F.expr(
-        f"transform(_id, x -> named_struct('start', x.start + {head}, 'token', {core},"
-        r" 'two', regexp_replace(regexp_extract(lower(x.before), r'(\S+\s+\S+)\s+$', 1), r'\s+', ' ')))"
-    )).drop("_id")
-    df = df.withColumn("_all", F.concat(*KINDS))
-    return df.withColumn("_tokens", F.expr(
-        "transform(filter(_tokens, x -> length(x.token) BETWEEN 4 AND 128), x -> named_struct('start', x.start, 'end', x.start + length(x.token), 'token', x.token,"
-        " 'two', x.two, 'seed', exists(_all, b -> b.start < x.start + length(x.token) AND b.end > x.start)))"
-    )).drop("_all")
+    df = df.withColumn("_found", F.expr(f"transform(_id, x -> named_struct('at', x.start, 'start', x.start + {head}, 'token', {core}))"))
+    df = df.withColumn("_found", F.expr(
+        "filter(_found, x -> length(x.token) BETWEEN 4 AND 128 AND NOT exists(_seeds, b -> b.start < x.start + length(x.token) AND b.start + length(b.match) > x.start))"
+    ))
+    df = df.withColumn("_found", F.expr(
+        "concat(transform(_seeds, x -> named_struct('at', x.start, 'start', x.start, 'token', x.match, 'seed', true)), transform(_found, x -> named_struct('at', x.at, 'start', x.start, 'token', x.token, 'seed', false)))"
+    ))
+    tokens = f"transform(_found, x -> named_struct('start', x.start, 'end', x.start + length(x.token), 'token', x.token, 'two', {_two_words('x.at')}, 'seed', x.seed))"
+    return df.withColumn("_tokens", F.expr(tokens)).drop("_id", "_found", "_pieces", "_seeds")
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least: float = LEAST_CONFIDENCE, seeds: int = LEAST_SEEDS) -> DataFrame:

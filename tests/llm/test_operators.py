@@ -235,6 +235,21 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert masked[301] == "a é <EMAIL> <PHONE>"
 
 
+def test_context_is_the_text_before_a_whole_span(spark):
+    """Phones of several words seed a pattern; earlier identifiers and long gaps are part of the text before a token."""
+    rng = random.Random(8)
+    long = "x" * 6000
+    rows = [(i, f"you may call me at +1 (0{i:02d}) 555-{7000 + i} now") for i in range(30)]
+    rows += [(100 + i, f"reach ids 12345 and user{i}@a.org or") for i in range(30)]
+    rows += [(200 + i, f"{long} key" + " " * 5000 + f"u{i}@b.org") for i in range(30)]
+    new = [(300, "please call me at ext-5550199 soon"), (301, "ids 12345 and acct-99812"), (302, f"{long} key acct-77123"), (303, f"y{long[1:]} key acct-77124"), (304, "pad " * 2000 + "é me at ref-4410 end")]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.op5_bootstrap(spark, docs_of(spark, rows + new)).collect()}
+    for (i, t), token in zip(new, ("ext-5550199", "acct-99812", "acct-77123", None, "ref-4410")):
+        assert got[i] == (f"context:{t.index(token)}:{t.index(token) + len(token)}" if token else ""), i
+    assert got[0] == "phone:19:36"
+
+
 # ---------------------------------------------------------------- op6
 
 

@@ -5,7 +5,8 @@ repeated groups. A host's wrapper starts with its commonest stream; others are a
 and what only one side has becomes an optional group, what one side repeats a repeated group. Each wrapper
 position counts how often its slot lay in the article, by the tags around it, and the majority decides, so
 that a page with a lost or stray tag follows its host's other pages. Streams are counted over all pages;
-only their distinct forms, the commonest WRAPPER_FORMS of a host, meet in one task.
+their distinct forms meet in parts of about WRAPPER_FORMS, and the wrappers of a host's parts are aligned and
+summed MERGED at a time until one is left, so that every page votes and every form is in the expression.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize, tune
 from .url_filter import split_url
 
-#: Distinct folded streams of a host that its wrapper is made from, and the longest group that can repeat.
+#: Distinct folded streams that meet in one task, and the longest group that can repeat.
 WRAPPER_FORMS, LONGEST_GROUP = 64, 12
+#: Wrappers of a host that are merged in one task.
+MERGED = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -208,26 +210,30 @@ def units(items: list) -> set:
     return {x for x in items if isinstance(x, tuple)}
 
 
+def _wrapped(items: list, votes: list, optional: list[bool], repeated: set) -> tuple[list, list, list[bool]]:
+    """wrap() for items with votes; a new group is optional where all its items are."""
+    items, tagged = wrap(list(items), [[(p, o) for p in v] for v, o in zip(votes, optional)], repeated)
+    return items, [[p for p, _ in v] for v in tagged], [all(o for _, o in v) for v in tagged]
+
+
 class Wrapper:
     """items, votes (for each item, [article, outside] of each place) and which items are optional."""
 
     def __init__(self, items: list, votes: list, optional: list[bool]):
         self.items, self.votes, self.optional = items, votes, optional
 
-    def add(self, items: list, votes: list) -> None:
-        items, votes = wrap(list(items), [list(v) for v in votes], units(self.items))
-        optional = self.optional
+    def add(self, items: list, votes: list, optional: list[bool] | None = None) -> None:
+        theirs = optional or [False] * len(items)
+        items, votes, theirs = _wrapped(items, votes, theirs, units(self.items))
+        mine = self.optional
         if units(items) - units(self.items):
-            tagged = [[(p, o) for p in v] for v, o in zip(self.votes, optional)]
-            mine, tagged = wrap(list(self.items), tagged, units(items))
-            self.items, self.votes = mine, [[p for p, _ in v] for v in tagged]
-            optional = [all(o for _, o in v) for v in tagged]
+            self.items, self.votes, mine = _wrapped(self.items, self.votes, mine, units(items))
         out_i, out_v, out_o = [], [], []
         for i, j in align(self.items, items):
             if i is not None and j is not None:
                 out_i.append(self.items[i])
                 out_v.append([[x[0] + y[0], x[1] + y[1]] for x, y in zip(self.votes[i], votes[j])])
-                out_o.append(optional[i])
+                out_o.append(mine[i] or theirs[j])
             elif i is not None:
                 out_i.append(self.items[i]), out_v.append(self.votes[i]), out_o.append(True)
             else:
@@ -291,17 +297,37 @@ def _forms(pages: pd.Series) -> pd.Series:
     return pd.Series([form(*stream(x)[:2]) for x in pages], dtype=object)
 
 
+PARTS = "host string, part long, n long, wrapper string"
+
+
 def _infer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["n", "form"], ascending=[False, True])
-    return pd.DataFrame({"host": [key[0]], "wrapper": [infer(list(zip(pdf["form"], pdf["n"].tolist()))).dump()]})
+    wrapper = infer(list(zip(pdf["form"], pdf["n"].tolist())))
+    return pd.DataFrame({"host": [key[0]], "part": [key[1]], "n": [int(pdf["n"].sum())], "wrapper": [wrapper.dump()]})
+
+
+def _sum(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["n", "wrapper"], ascending=[False, True])
+    first, *others = map(Wrapper.load, pdf["wrapper"])
+    for x in others:
+        first.add(x.items, x.votes, x.optional)
+    return pd.DataFrame({"host": [key[0]], "part": [key[1]], "n": [int(pdf["n"].sum())], "wrapper": [first.dump()]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from the folded streams of all pages (host, html)."""
     seen = pages.select("host", F.pandas_udf(_forms, "string")("html").alias("form")).groupBy("host", "form").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("host").orderBy(F.desc("n"), "form")
-    top = seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= WRAPPER_FORMS).drop("_r")
-    return top.groupBy("host").applyInPandas(_infer, "host string, wrapper string")
+    seen = materialize(seen, "forms")
+    size = seen.groupBy("host").agg(F.ceil(F.count("*") / WRAPPER_FORMS).cast("long").alias("n_parts"))
+    part = F.pmod(F.xxhash64("form", F.lit(31)), F.coalesce("n_parts", F.lit(1))).cast("long").alias("part")
+    level = seen.join(size, "host", "left").select("host", part, "form", "n").groupBy("host", "part").applyInPandas(_infer, PARTS)
+    level = materialize(level, "parts")
+    parts = size.agg(F.max("n_parts")).first()[0] or 1
+    while parts > 1:
+        parts = -(-parts // MERGED)
+        up = level.withColumn("part", F.floor(F.col("part") / MERGED).cast("long"))
+        level = materialize(up.groupBy("host", "part").applyInPandas(_sum, PARTS), "parts")
+    return level.select("host", "wrapper")
 
 
 def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -331,7 +357,7 @@ def extract(pages: DataFrame) -> DataFrame:
     tune(pages.sparkSession)
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     src = src.withColumn("host", split_url(F.col("url"))[0])
-    found = materialize(wrappers(src), "wrappers")
+    found = wrappers(src)
     rows = src.join(found, "host", "left").select("page_id", "url", F.pandas_udf(_extract, "string")("html", "wrapper").alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 

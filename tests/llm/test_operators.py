@@ -347,6 +347,23 @@ def test_wrapper_alignment():
     assert len(w.decide(tags, inside)) == len(tags)
 
 
+def test_every_form_votes(spark, monkeypatch):
+    """Forms of one page each outvote the commonest ones together, over several parts and levels."""
+    for name, value in (("WRAPPER_FORMS", 4), ("MERGED", 3)):
+        monkeypatch.setattr(html_wrapper, name, value, raising=False)
+    tail = lambda i: f"<div class='{chr(97 + i // 26)}{chr(97 + i % 26)}'></div>"
+    rows = [(i, f"<article></article><section class='x'>own {i}</section>{tail(i // 2)}") for i in range(8)]
+    rows += [(100 + i, f"<article><section class='x'>in {i}</section></article>{tail(30 + i)}") for i in range(60)]
+    df = spark.createDataFrame([(i, "http://h.org/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.op7_wrapper(spark, df).collect()}
+    assert [got[i] for i in range(8)] == [f"own {i}" for i in range(8)] and got[100] == "in 0"
+    found = html_wrapper.wrappers(df.withColumn("host", F.lit("h.org"))).collect()
+    assert len(found) == 1
+    wrapper = html_wrapper.Wrapper.load(found[0]["wrapper"])
+    assert sum(wrapper.votes[0][0]) == 68 and not wrapper.optional[0]
+    assert sum(isinstance(x, str) and x.startswith("div.") for x in wrapper.items) == 64
+
+
 # ---------------------------------------------------------------- op8
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-#: Edits allowed per character of an item, and the least length of a piece.
+#: Edits allowed per character of an item, and half the least length of an item that is matched with edits.
 ERROR_RATE, LEAST_PIECE = 0.05, 16
 #: Items of fewer characters than this are matched whole, without edits, between non-word characters.
 LEAST_ITEM = 2 * LEAST_PIECE
@@ -28,7 +28,8 @@ def normalize(text: str | None) -> str:
 
 
 def budget(n: int, rate: float = ERROR_RATE) -> int:
-    return max(0, min(int(n * rate), n // LEAST_PIECE - 1))
+    """The whole share of edits for an item of n characters, however short its pieces become."""
+    return max(0, min(int(n * rate), n - 1)) if n >= LEAST_ITEM else 0
 
 
 def split_item(item: str, edits: int) -> list[tuple[int, str]]:

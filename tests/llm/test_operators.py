@@ -429,6 +429,16 @@ def test_decontaminate(spark, monkeypatch):
     assert decontaminate.op8_pigeonhole(spark, d.limit(0), b).count() == 0 and decontaminate.op8_pigeonhole(spark, d, b.limit(0)).count() == 0
 
 
+def test_budget_is_the_stated_share_at_every_length():
+    rng = random.Random(2)
+    for n in range(decontaminate.LEAST_ITEM, 130):
+        e = n * 5 // 100
+        item = "".join(rng.choice("abcdefghij") for _ in range(n))
+        ends = [(k + 1) * n // (e + 1) - 1 for k in range(e)]  # one edit in each piece but the last
+        text = "".join("z" if i in ends else c for i, c in enumerate(item))
+        assert decontaminate.Matcher([(1, item)]).find(f"some {text} other") == {1: (e, e)}, n
+
+
 # ---------------------------------------------------------------- op9
 
 

@@ -114,16 +114,10 @@ def word_hashes() -> WordHashes:
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8: bytes.split() cuts at exactly those six characters; bytes.lower() maps A-Z only."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = utf8(text) or b""
     return (raw.lower() if lower else raw).split()
 
 
-def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over all 64 output bits."""
     x = x.copy()
@@ -135,6 +129,105 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# ---------------------------------------------------------------- words of whole blocks of text
+
+#: Bytes of text that are taken at once; a longer text is cut between words.
+BLOCK_BYTES = 1 << 20
+_SEGMENT = 1 << 16
+SPACES = b" \t\n\v\f\r"
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[list(SPACES)] = True
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+def _powers(base: int) -> np.ndarray:
+    """base ** 0 to base ** _SEGMENT modulo 2 ** 64."""
+    out = np.full(_SEGMENT + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, whatever its place: a polynomial modulo 2 ** 64 over a table of letters, mixed."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + _SEGMENT, "right"))
+        if j <= i:  # one span longer than a segment
+            h, scale = 0, 1
+            for at in range(lo, int(ends[i]), _SEGMENT):
+                part = _LETTER[buf[at : min(at + _SEGMENT, int(ends[i]))]]
+                h += int((part * _POWERS[: len(part)]).sum(dtype=np.uint64)) * scale
+                scale = scale * int(_POWERS[_SEGMENT]) % (1 << 64)
+            out[i] = h % (1 << 64)
+            i += 1
+            continue
+        n = int(ends[j - 1]) - lo
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_LETTER[buf[lo : lo + n]] * _POWERS[:n], out=total[1:])
+        a = starts[i:j] - lo
+        out[i:j] = (total[ends[i:j] - lo] - total[a]) * _INVERSES[a]
+        i = j
+    return mix64(out + (ends - starts).astype(np.uint64) * MULTIPLIERS[1])
+
+
+def byte_blocks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
+    """(bytes with white space at both ends, which texts are in it, where each begins): whole short texts, or a part of a long one."""
+    parts: list[bytes] = []
+    who: list[int] = []
+    size = 0
+
+    def close():
+        at = np.cumsum([1, *(len(p) + 1 for p in parts)])[:-1].tolist()
+        return np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", dtype=np.uint8), list(who), at
+
+    for i, raw in enumerate(texts):
+        raw = raw or b""
+        lo = 0
+        while True:
+            hi = len(raw)
+            if hi - lo > BLOCK_BYTES:
+                hi = max(raw.rfind(bytes([c]), lo, lo + BLOCK_BYTES) for c in SPACES) + 1
+                if hi <= lo:  # no white space in so many bytes
+                    hi = min((k for k in (raw.find(bytes([c]), lo) for c in SPACES) if k >= 0), default=len(raw) - 1) + 1
+            if parts and size + hi - lo > BLOCK_BYTES:
+                yield close()
+                parts, who, size = [], [], 0
+            parts.append(raw[lo:hi])
+            who.append(i)
+            size += hi - lo
+            lo = hi
+            if lo >= len(raw):
+                break
+    if parts:
+        yield close()
+
+
+def utf8(text: str | None) -> bytes | None:
+    return None if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def block_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words `[^\\x20\\x09-\\x0D]+` of a block begin and end."""
+    space = _IS_SPACE[buf]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    return turn[0::2], turn[1::2]
+
+
+def texts_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after another, and how many words each text has."""
+    hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
+    for buf, who, at in byte_blocks(texts):
+        starts, ends = block_words(buf)
+        hashes.append(span_hashes(buf, starts, ends))
+        np.add.at(counts, who, np.diff(np.r_[np.searchsorted(starts, at), len(starts)]))
+    return (np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)), counts
+
+
 def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each k consecutive word hashes, in order of place; empty for fewer than k."""
     n = len(h) - k + 1
@@ -146,6 +239,26 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix64(acc)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
+    """For each text, lower-cased, the sorted distinct hashes of its k-word shingles; fewer words make one shingle; none make the empty set."""
+    h, counts = texts_words([t and t.lower() for t in texts])  # bytes.lower() maps A-Z only
+    grams = gram_hashes(h, k)
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(distinct(grams[at : at + n - k + 1]) if n >= k else gram_hashes(h[at : at + n], max(n, 1), seed=n))
+        at += n
+    return out
+
+
+def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def shingle_set(words: list[bytes], cache: WordHashes, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of k-word shingles; fewer words make one shingle; none make the empty set."""
     if not words:
@@ -155,10 +268,6 @@ def shingle_set(words: list[bytes], cache: WordHashes, k: int = 5) -> np.ndarray
     return np.unique(gram_hashes(hash_words(words, cache), k))
 
 
-def batches(frames: Iterator) -> Iterator:
-    return (pdf for pdf in frames if len(pdf))
-
-
 # ---------------------------------------------------------------- connected components
 
 

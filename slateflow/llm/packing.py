@@ -8,31 +8,53 @@ depend on the number of documents; every piece finds its place from its rank amo
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, tune, worker_memory
+from .common import SPACES, block_words, byte_blocks, materialize, span_hashes, tune, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are ranked in this many lanes, so that a hot length has no single sort.
-LANES = 64
-
-
-# Text whose normal form is itself and whose lower case is one letter for one, without apostrophes, which
-# begin contractions: its pre-tokens are runs of letters, single digits and runs of signs.
-_PLAIN = re.compile(r"[\t-\r -&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*\Z")
-_PRETOKEN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Pieces of one length are ranked in lanes of about so many, so that a hot length has no single sort.
+LANE_ROWS = 50_000
+
+
+#: The steps before the merges that TextTokens takes by itself, as written in a tokenizer's file.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+# Kinds of bytes: white space, letters, digits, signs, and what only the tokenizer itself may read: apostrophes,
+# which begin contractions, control characters, and letters beyond U+00FF.
+_SPACE, _ALPHA, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[list(SPACES)] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _ALPHA
+_KIND[39] = _OTHER
+#: The second byte of U+00C0 to U+00FF but for the two signs among them; those below 0x9F are upper case.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 
 
 def _byte_letters() -> list[str]:
@@ -42,40 +64,138 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class TextTokens(dict):
-    """A tokenizer's ids as little-endian bytes, remembered for up to `most` pre-tokens.
+def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a block, where its units begin and end, and which units are whole chunks.
 
-    The tokenizer drops white space and never joins across it, so other than plain text is taken chunk by
-    chunk, and only chunks that aren't plain go through all of its steps.
+    White space is dropped and nothing joins across it. A chunk between white space whose normal form is
+    itself and whose lower case is one letter for one falls into pre-tokens: runs of letters, single digits
+    and runs of signs. Any other chunk is one unit, its bytes unchanged.
+    """
+    kind = _KIND[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    second = buf[lead + 1]
+    latin = lead[_LATIN[second]]
+    kind[latin] = kind[latin + 1] = _ALPHA
+    kind[np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))] = _OTHER  # which special tokens begin with
+    low = buf + 32 * ((buf >= 65) & (buf <= 90)).astype(np.uint8)
+    low[latin + 1] += 32 * (buf[latin + 1] < 0x9F).astype(np.uint8)
+    if (kind == _OTHER).any():
+        a, b = block_words(buf)
+        odd = np.add.reduceat(kind == _OTHER, np.c_[a, b].ravel())[::2] > 0
+        edge = np.zeros(len(buf) + 1, dtype=np.int8)
+        edge[a[odd]] = 1
+        edge[b[odd]] = -1
+        odd = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        kind[odd] = _OTHER
+        low[odd] = buf[odd]
+    turn = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1
+    of = kind[turn]
+    ends = np.r_[turn[1:], len(buf)]
+    keep = of != _SPACE
+    return low, turn[keep], ends[keep], of[keep] == _OTHER
+
+
+class TextTokens:
+    """A tokenizer's ids of whole texts, with the ids of up to `most` units remembered in a table by hash.
+
+    The units are those of one pair of normalizer and pre-tokenizer; for a tokenizer with other steps, each
+    text goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        steps = json.loads(self.tokenizer.to_str())
+        self.known = {k: steps[k] for k in _STEPS} == _STEPS and steps["model"]["type"] == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-
-    def __missing__(self, word: str) -> bytes:
-        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-    def ids(self, text: str) -> bytes:
-        if _PLAIN.match(text) and "<|" not in text:  # which special tokens begin with
-            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
-        return b"".join(map(self.chunk, text.encode("utf-8", "surrogatepass").split()))
-
-    def chunk(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "replace")
-        if _PLAIN.match(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.bits = (4 * most).bit_length() - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.named = np.zeros(1 << self.bits, dtype=np.int32)
+        self.first, self.often, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), 0
+        self.flat, self.used = np.zeros(4096, dtype="<u4"), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of remembered units by their hashes; -1 for others."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        left, slot, last = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(left):
+            at = self.keys[slot]
+            hit = at == h[left]
+            out[left[hit]] = self.named[slot[hit]]
+            go = ~hit & (at != 0)
+            left, slot = left[go], (slot[go] + 1) & last
+        return out
+
+    def learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """Remember units with distinct hashes that are not in the table."""
+        n, flat = len(h), np.fromiter(chain.from_iterable(ids), dtype="<u4")
+        while self.count + n > len(self.first):
+            self.first, self.often = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.often))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=n)
+        self.often[self.count : self.count + n] = sizes
+        self.first[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        left, slot, last = np.arange(n), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]  # of several that want a slot one gets it
+            done = free & (self.keys[slot] == h[left])
+            self.named[slot[done]] = self.count + left[done]
+            left, slot = left[~done], (slot[~done] + 1) & last
+        self.count += n
+        self.used += len(flat)
+
+    def unit(self, raw: bytes, whole: bool) -> list[int]:
+        if whole:
+            return self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+        shown = raw.decode() if raw.isascii() else "".join([self.letters[b] for b in raw])
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def block(self, buf: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block, and how many of them belong to each text that begins at `at`."""
+        low, starts, ends, whole = units(buf)
+        hashes = span_hashes(low, starts, ends)
+        hashes[hashes == 0] = 1
+        out, sizes = [], np.zeros(len(starts) + 1, dtype=np.int64)
+        step = self.most // 4
+        for a in range(0, len(starts), step):
+            h = hashes[a : a + step]
+            found = self.find(h)
+            new, where = np.unique(h[found < 0], return_index=True)
+            if len(new):
+                if self.count + len(new) > self.most:
+                    self.clear()
+                    new, where = np.unique(h, return_index=True)
+                else:
+                    where = np.flatnonzero(found < 0)[where]
+                raw = low.tobytes()
+                self.learn(new, [self.unit(raw[s:e], w) for s, e, w in zip(starts[a + where].tolist(), ends[a + where].tolist(), whole[a + where].tolist())])
+                found = self.find(h)
+            n = self.often[found]
+            sizes[a + 1 : a + 1 + len(n)] = n
+            total = np.cumsum(n)
+            out.append(self.flat[np.repeat(self.first[found] - (total - n), n) + np.arange(total[-1] if len(n) else 0)])
+        upto = np.cumsum(sizes)
+        return (np.concatenate(out) if out else self.flat[:0]), np.diff(np.r_[upto[np.searchsorted(starts, at)], upto[-1]])
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each text (UTF-8)."""
+        if not self.known:
+            return [np.array(self.tokenizer.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4") for t in texts]
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for buf, who, at in byte_blocks(texts):
+            got, n = self.block(buf, at)
+            ends = np.cumsum(n)
+            for i, a, b in zip(who, (ends - n).tolist(), ends.tolist()):
+                parts[i].append(got[a:b])
+        return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -85,24 +205,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     `capacity` are cut, into pieces of `capacity`.
     """
     tune(docs.sparkSession)
-    end = np.array([END_ID], dtype="<u4").tobytes()
-    step = 4 * capacity
+    end = np.array([END_ID], dtype="<u4")
 
-    fields = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memory(("tokens", tokenizer), lambda: TextTokens(tokenizer))
-        for x in texts:
-            out = []
-            for text in x:
-                raw = memo.ids(text) + end if text else end
-                cut = [raw[at : at + step] for at in range(0, len(raw), step)]
-                out.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c), **({"ids": c} if keep_ids else {})} for i, c in enumerate(cut)])
-            yield pd.Series(out)
-
-    cut = F.pandas_udf(run, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>>")
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(F.col("text").cast("string")).alias("p"))
-    return got.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+        for batch in frames:
+            who, nth, cut = [], [], []
+            for i, ids in enumerate(memo.ids(batch.column(1).to_pylist())):
+                ids = np.concatenate([ids, end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    who.append(i), nth.append(k), cut.append(ids[at : at + capacity])
+            nth = np.array(nth, dtype=np.int32)
+            sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+            cols = [batch.column(0).take(pa.array(who, type=pa.int32())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity), pa.array(sizes)]
+            cols.append(pa.array([zlib.crc32(c) for c in cut], type=pa.int64()))
+            if keep_ids:
+                cols.append(pa.array([c.tobytes() for c in cut], type=pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+    names = [f.split()[0] for f in fields.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, fields)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -191,28 +314,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`parts` (pieces(), written once) with sequence_id and offset. Collected: a count for each length and lane, capacity * LANES at most."""
-    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(LANES)).cast("int")
-    parts = parts.withColumn("_lane", lane)
-    counted = parts.groupBy("length", "_lane").count().toPandas().sort_values(["length", "_lane"])
-    runs, _ = plan({int(k): int(v) for k, v in counted.groupby("length")["count"].sum().items()}, capacity)
-    before = counted.groupby("length")["count"].cumsum() - counted["count"]
-    key = (counted["length"] * LANES + counted["_lane"]).to_numpy(dtype=np.int64)
-    base = before.to_numpy(dtype=np.int64)
+    """`parts` (pieces(), written once) with sequence_id and offset. Collected: a count for each length, `capacity` at most."""
+    spark = parts.sparkSession
+    counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    runs, _ = plan(counts, capacity)
     r = np.array(runs, dtype=np.int64).reshape(-1, 4)
+    lanes = spark.createDataFrame([(k, -(-n // LANE_ROWS)) for k, n in counts.items()], "length long, _lanes long")
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_lanes"))
+    laned = parts.join(F.broadcast(lanes), "length").withColumn("_lane", key).drop("_lanes")
+    before = Window.partitionBy("length").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    base = laned.groupBy("length", "_lane").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     w = Window.partitionBy("length", "_lane").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = parts.withColumn("_rank", F.row_number().over(w))
+    ranked = laned.withColumn("_nth", F.row_number().over(w)).join(base, ["length", "_lane"])
 
-    def place(length: pd.Series, lane: pd.Series, nth: pd.Series) -> pd.DataFrame:
-        rank = base[np.searchsorted(key, length * LANES + lane)] + nth.to_numpy() - 1
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        rank = rank.to_numpy()
         at = np.empty(len(length), dtype=np.int64)
         for s, idx in length.groupby(length).indices.items():
             lo, hi = np.searchsorted(r[:, 0], [s, s + 1])
             at[idx] = lo + np.searchsorted(r[lo:hi, 1], rank[idx], side="right") - 1
         return pd.DataFrame({"sequence_id": r[at, 2] + rank - r[at, 1], "offset": r[at, 3]})
 
-    found = F.pandas_udf(place, "sequence_id long, offset long")("length", "_lane", "_rank")
-    return ranked.withColumn("_at", found).select(*[c for c in parts.columns if c != "_lane"], "_at.sequence_id", "_at.offset")
+    found = F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("_base") + F.col("_nth") - 1)
+    return ranked.withColumn("_at", found).select(*parts.columns, "_at.sequence_id", "_at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -223,9 +347,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
     return pack(materialize(pieces(docs, tokenizer, capacity, keep_ids), "pieces"), capacity)
 
 
-def op6_best_fit(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
-        import public_tokenizers
+def public_tokenizer() -> str:
+    import public_tokenizers
 
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(docs, tokenizer)
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    return pack_documents(docs, tokenizer or public_tokenizer())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,85 +44,99 @@ class Selector:
         return tag in self.tags or attrs.get("id") in self.ids or not self.classes.isdisjoint(attrs.get("class", "").split())
 
 
-class Sections(HTMLParser):
-    """Reads a page once; text gathers in a buffer that block tags empty into the section of the last heading."""
+OPEN, CLOSE, TEXT = "open", "close", "text"
+#: What a tag does to the outline of a page; others do nothing.
+ROLES = {"title": "title"} | dict.fromkeys(HEADINGS, "heading") | dict.fromkeys(BODIES, "body")
+#: The label of text inside a title element, which is no section.
+TITLE = ("__title__", None)
 
-    TITLE = object()
 
-    def __init__(self, roots: list[str], drops: list[str]):
+class Events(HTMLParser):
+    """A page as (kind, name or text, attributes) events."""
+
+    def __init__(self):
         super().__init__()
-        self.roots, self.drops = Selector(roots), Selector(drops)
-        self.bounded = bool(roots)
-        self.skipping = self.inside = self.found_roots = 0
-        self.heading = None  # None, TITLE, or (id, text)
-        self.buffer: list[str] = []
-        self.all: list[str] = []
-        self.title: str | None = None
-        self.sections: list[tuple[str, str, str]] = []
-
-    @property
-    def outside(self) -> bool:
-        """After a root was seen, between roots; text before the first root counts."""
-        return self.bounded and self.found_roots > 0 and self.inside == 0
-
-    def emit(self) -> None:
-        text = _clean(" ".join(self.buffer))
-        self.buffer = []
-        if text and self.heading is not Sections.TITLE:
-            ident, name = self.heading or ("", "")
-            self.sections.append((ident, _clean(name), text))
+        self.seen: list[tuple[str, str, dict[str, str]]] = []
+        self.handle_endtag = lambda tag: self.seen.append((CLOSE, tag, {}))
+        self.handle_data = lambda data: self.seen.append((TEXT, data, {}))
 
     def handle_starttag(self, tag, attrs):
-        known = {k: v or "" for k, v in attrs}
-        if tag in ("script", "style") or self.drops.hits(tag, known):
-            self.skipping += 1
-            return
-        if self.roots.hits(tag, known):
-            self.found_roots += 1
-            self.inside += 1
-        if self.skipping or (self.outside and tag != "title"):
-            return
-        if tag == "title":
-            self.heading, self.buffer = Sections.TITLE, []
-        elif tag in HEADINGS:
-            self.emit()
-            self.heading = (known.get("id", ""), tag)
-        elif tag in BODIES:
-            self.emit()
-            self.heading = self.heading or ("", "p")
-
-    def handle_endtag(self, tag):
-        if tag in UNSKIP:
-            self.skipping = max(0, self.skipping - 1)
-            return
-        if self.skipping:
-            return
-        if self.inside and tag in self.roots.tags:
-            self.inside -= 1
-        if tag == "title":
-            self.title = _clean(" ".join(self.buffer)) or self.title
-            self.heading, self.buffer = None, []
-        elif tag in BODIES:
-            self.emit()
-        elif tag in HEADINGS:
-            ident = self.heading[0] if isinstance(self.heading, tuple) else ("__title__" if self.heading is Sections.TITLE else "")
-            self.heading, self.buffer = (ident, _clean(" ".join(self.buffer)) or tag), []
-
-    def handle_data(self, data):
-        if self.skipping or self.outside:
-            return
-        text = _clean(data)
-        if text:
-            self.all.append(text)
-            self.buffer.append(text)
-
-
-def read_sections(body: str, roots: list[str], drops: list[str]) -> Sections:
-    """Feed and flush; never closed, so that an unfinished reference at the end takes its run of text with it."""
-    out = Sections(roots, drops)
-    out.feed(body)
-    out.emit()
-    return out
+        self.seen.append((OPEN, tag, {k: v or "" for k, v in attrs}))
+
+
+class Extract(NamedTuple):
+    title: str | None
+    raw_text: str
+    roots: int
+    sections: list[tuple[str, str, str]]
+
+
+def shown(events: list, roots: Selector, drops: Selector) -> tuple[list, int]:
+    """Events that are neither dropped nor, once a root was met, between roots; and how many start tags matched a root.
+
+    Text before the first root is shown. Roots count also where they are dropped. A dropped element ends at
+    the next end tag of a kind that is dropped by default, whichever started it, and only roots given by tag
+    name ever end.
+    """
+    out, dropped, depth, met = [], 0, 0, 0
+    bounded = bool(roots.tags or roots.classes or roots.ids)
+    for event in events:
+        kind, name, attrs = event
+        if kind == OPEN and (name in ("script", "style") or drops.hits(name, attrs)):
+            dropped += 1
+        elif kind == CLOSE and name in UNSKIP:
+            dropped -= dropped > 0
+        else:
+            begins = kind == OPEN and roots.hits(name, attrs)
+            met += begins
+            depth += begins
+            if not dropped:
+                depth -= kind == CLOSE and depth > 0 and name in roots.tags
+                between = bounded and met > 0 and depth == 0
+                if kind == CLOSE or not between or (kind, name) == (OPEN, "title"):
+                    out.append(event)
+    return out, met
+
+
+def outline(events: list) -> tuple[str | None, str, list[tuple[str, str, str]]]:
+    """Title, all text, and sections (id, heading, text) of a page's shown events."""
+    # Cut the events at the tags that count, so that each piece is a run of texts and the tag after it.
+    pieces, texts, everything = [], [], []
+    for kind, name, attrs in events:
+        if kind == TEXT:
+            texts += filter(None, [_clean(name)])
+        elif name in ROLES:
+            pieces.append((texts, (kind, ROLES[name]), name, attrs))
+            texts = []
+    pieces.append((texts, (CLOSE, "page"), "", {}))
+    title, label, sections, run = None, None, [], []
+    for texts, step, name, attrs in pieces:
+        everything += texts
+        run = run + texts
+        said = _clean(" ".join(run))
+        if said and label is not TITLE and step not in ((OPEN, "title"), (CLOSE, "title"), (CLOSE, "heading")):
+            ident, heading = label or ("", "")
+            sections.append((ident, _clean(heading), said))
+        run = []
+        match step:
+            case (kind, "title") if kind == OPEN:
+                label = TITLE
+            case (_, "title"):
+                title, label = said or title, None
+            case (kind, "heading"):
+                label = (attrs.get("id", ""), name) if kind == OPEN else (label[0] if label else "", said or name)
+            case (kind, "body") if kind == OPEN:
+                label = label or ("", "p")
+    return title, " ".join(everything), sections
+
+
+def read_sections(body: str, roots: list[str], drops: list[str]) -> Extract:
+    """Fed but never closed, so that an unfinished reference at the end takes its run of text with it."""
+    events = Events()
+    events.feed(body)
+    kept, met = shown(events.seen, Selector(roots), Selector(drops))
+    title, text, sections = outline(kept)
+    return Extract(title, _clean(text), met, sections)
 
 
 _EXTRACTED = "title string, raw_text string, roots int, sections array<struct<heading_id:string,heading:string,text:string>>"
@@ -140,7 +155,7 @@ def extract_sections(pages: DataFrame, body: str = "body", roots: list[str] | No
             mine = getattr(r, "content_roots", None)
             less = getattr(r, "drop_selectors", None)
             s = read_sections(r.body or "", roots if mine is None else list(mine), drops if less is None else list(less))
-            out.append((s.title, _clean(" ".join(s.all)), s.found_roots, [{"heading_id": a, "heading": b, "text": c} for a, b, c in s.sections]))
+            out.append((s.title, s.raw_text, s.roots, [{"heading_id": a, "heading": b, "text": c} for a, b, c in s.sections]))
         return pd.DataFrame(out, columns=["title", "raw_text", "roots", "sections"])
 
     args = F.struct(F.col(body).alias("body"), *[F.col(c) for c in own])
@@ -251,7 +266,6 @@ REGISTRY_KEYS = [
 
 def validate_registry(entries: DataFrame) -> DataFrame:
     """(position, message) from entries (position, entry): the entry as JSON text, so that a missing key differs from a null."""
-    v = F.try_parse_json(F.col("entry"))
     rows = entries.withColumn("_id", F.coalesce(F.get_json_object("entry", "$.source_id"), F.lit("<missing>")))
     checks = []
     for parent, keys in REGISTRY_KEYS:
@@ -260,7 +274,6 @@ def validate_registry(entries: DataFrame) -> DataFrame:
         for k in keys:
             text = F.concat("_id", F.lit(f": {parent} missing `{k}`" if parent else f": missing `{k}`"))
             checks.append(F.when(~F.array_contains(have, k), text))
-    del v
     missing = rows.select("position", F.explode(F.array_compact(F.array(*checks))).alias("message"))
     return missing.unionByName(duplicate_ids(rows.select("position", F.get_json_object("entry", "$.source_id").alias("source_id"))).select("position", F.concat("source_id", F.lit(": duplicate source_id")).alias("message")))
 

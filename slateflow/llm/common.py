@@ -151,7 +151,8 @@ _POWERS, _INVERSES = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, whatever its place: a polynomial modulo 2 ** 64 over a table of letters, mixed."""
+    """64-bit hash of each span of bytes, or of hashes, whatever its place: a polynomial modulo 2 ** 64, mixed. Ends don't decrease."""
+    letters = (lambda x: _LETTER[x]) if buf.dtype == np.uint8 else (lambda x: x)
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -160,7 +161,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if j <= i:  # one span longer than a segment
             h, scale = 0, 1
             for at in range(lo, int(ends[i]), _SEGMENT):
-                part = _LETTER[buf[at : min(at + _SEGMENT, int(ends[i]))]]
+                part = letters(buf[at : min(at + _SEGMENT, int(ends[i]))])
                 h += int((part * _POWERS[: len(part)]).sum(dtype=np.uint64)) * scale
                 scale = scale * int(_POWERS[_SEGMENT]) % (1 << 64)
             out[i] = h % (1 << 64)
@@ -168,7 +169,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             continue
         n = int(ends[j - 1]) - lo
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[buf[lo : lo + n]] * _POWERS[:n], out=total[1:])
+        np.cumsum(letters(buf[lo : lo + n]) * _POWERS[:n], out=total[1:])
         a = starts[i:j] - lo
         out[i:j] = (total[ends[i:j] - lo] - total[a]) * _INVERSES[a]
         i = j

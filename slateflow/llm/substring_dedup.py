@@ -1,37 +1,43 @@
 """Repeated passages of WINDOW words, by prefix-partitioned suffix trees.
 
-Suffixes of all documents, cut at WINDOW words, are read as three edges: words 1-12, 13-24 and 25-35.
-The hash of the first edge deals suffixes into cells; a cell with more suffixes than fit in memory is
-dealt further by the 24-word prefix, and by all 35 words if it must be. In each group the suffixes are
-sorted and their common prefixes give the tree's internal nodes; nodes as deep as WINDOW with two leaves
-or more are repeats, and joined over neighbouring starts they are the maximal ones.
-
-Before that, suffixes that can't repeat are left out: a window's smallest 8-word hash stands for it, two
-equal windows have the same one, and only windows whose smallest hash occurs twice become leaves. In a
-pack of documents equal suffixes are one leaf with a mark, so a passage that many documents share costs a
-leaf for each pack, not for each document.
+Words are symbols (64-bit hashes). Suffixes are taken where they begin with an anchor: the 8 words with the
+smallest hash in some window, so that equal windows hold the same anchor at the same place. A suffix has the
+words from its anchor on and, read backwards, those before it, as far as windows with that anchor reach.
+
+Suffixes fall into groups by prefix. For most that is the anchor, 8 words; suffixes under an anchor that more
+than `limit` share go by the whole prefix of WINDOW words, where a tree would have one leaf edge and counting
+is enough: counts are combined before the shuffle and no such group meets in one task. In each other group,
+suffixes are sorted word by word; the common prefixes of neighbours (lcp) give the tree's internal nodes as
+intervals. A window that begins o words before the anchor repeats if another suffix below the same node of
+depth WINDOW - o agrees with it in the o words on the left; neighbouring windows join to the maximal repeats.
+
+Anchors that occur once in the corpus are left out before. In a pack of documents equal suffixes are one with
+a mark.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, gram_hashes, hash_words, materialize, release, tune, word_hashes
+from .common import discard, gram_hashes, materialize, mix64, release, span_hashes, texts_words, tune
 
 WINDOW, GRAM = 35, 8
-EDGES = (12, 12, 11)
+#: Places an anchor can have in a window.
+SPAN = WINDOW - GRAM + 1
 #: Bytes of text and documents in a pack; suffixes that a group may hold.
-PACK_BYTES, PACK_DOCS, GROUP_SUFFIXES = 1 << 20, 1024, 600_000
-CELL_BITS = 8
+PACK_BYTES, PACK_DOCS, GROUP_SUFFIXES = 1 << 20, 1024, 20_000
 
-LEAF = np.dtype([("p", "<u8"), ("q", "<u4"), ("t", "<u4")])
+#: A suffix: its number in the pack, words before the anchor, the least place of the anchor in a window, words in all, whether the pack holds several.
+HEAD = np.dtype([("place", "<u4"), ("left", "u1"), ("low", "u1"), ("n", "u1"), ("many", "u1")])
 
 
 # ---------------------------------------------------------------- packs of documents
@@ -39,101 +45,97 @@ LEAF = np.dtype([("p", "<u8"), ("q", "<u4"), ("t", "<u4")])
 
 def pack_texts(docs: DataFrame) -> DataFrame:
     """(pack, ids, lens, body): neighbouring rows as one compressed text. Written once, so that packs keep their numbers."""
+    schema = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("body", pa.binary())])
 
-    def run(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
         squeeze = zstandard.ZstdCompressor(level=3)
         ids, parts, size = [], [], 0
 
         def close():
-            return pd.DataFrame({"pack": [base + n], "ids": [ids], "lens": [[len(p) for p in parts]], "body": [squeeze.compress(b"".join(parts))]})
+            return pa.RecordBatch.from_pydict({"pack": [base + n], "ids": [ids], "lens": [[len(p) for p in parts]], "body": [squeeze.compress(b"".join(parts))]}, schema)
 
-        for pdf in frames:
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        for batch in batches:
+            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = raw or b""
                 if ids and (size + len(raw) > PACK_BYTES or len(ids) >= PACK_DOCS):
                     yield close()
                     n += 1
                     ids, parts, size = [], [], 0
-                ids.append(None if d is None or d != d else int(d))
+                ids.append(d)
                 parts.append(raw)
                 size += len(raw)
         if ids:
             yield close()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # As text, a null id stays apart from numbers in a batch that holds both.
-    src = src.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return src.mapInPandas(run, "pack long, ids array<long>, lens array<long>, body binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "pack long, ids array<long>, lens array<long>, body binary")
 
 
-def pack_words(lens, body: bytes) -> tuple[list[list[bytes]], np.ndarray]:
-    """Words of each document of a pack, and where each document's words end among all."""
-    raw = zstandard.ZstdDecompressor().decompress(body) if sum(lens) else b""
-    words, at = [], 0
+def unpack(lens: list[int], body: bytes) -> list[bytes]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(body) if sum(lens) else b"", [], 0
     for n in lens:
-        words.append(raw[at : at + n].split())
+        out.append(raw[at : at + n])
         at += n
-    return words, np.cumsum([len(w) for w in words])
-
-
-class Windows:
-    """Window starts of a pack, their smallest 8-word hash, and their three edges."""
-
-    def __init__(self, words: list[list[bytes]], ends: np.ndarray, cache: WordHashes):
-        h = np.concatenate([hash_words(w, cache) for w in words]) if len(words) else np.empty(0, dtype=np.uint64)
-        self.h, n = h, len(h)
-        if n < WINDOW:
-            self.start = np.empty(0, dtype=np.int64)
-            self.least = self.grams = np.empty(0, dtype=np.uint64)
-            return
-        counts = np.diff(np.r_[0, ends])
-        stop = np.repeat(ends, counts)  # of each word's document
-        place = np.arange(n)
-        g = gram_hashes(h, GRAM)
-        m, width = g, 1
-        span = WINDOW - GRAM + 1
-        while 2 * width <= span:
-            m = np.minimum(m[:-width], m[width:])
-            width *= 2
-        if span > width:
-            m = np.minimum(m[: n - WINDOW + 1], m[span - width :][: n - WINDOW + 1])
-        ok = place[: n - WINDOW + 1] + WINDOW <= stop[: n - WINDOW + 1]
-        self.start = place[: n - WINDOW + 1][ok]
-        self.least = m[: n - WINDOW + 1][ok]
-        self.grams = g[place[: len(g)] + GRAM <= stop[: len(g)]]
+    return out
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct smallest hashes, sorted, and whether each occurs at two places of this pack."""
-        keys = np.unique(self.least)
-        g = np.sort(self.grams)
-        many = np.searchsorted(g, keys, "right") - np.searchsorted(g, keys, "left") > 1
-        return keys, many
-
-    def leaves(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of windows whose anchor is shared, the leaf of each, and the leaves: distinct, in order of their edges."""
-        at = self.start[_within(self.least, shared)]
-        out = np.empty(len(at), dtype=LEAF)
-        lo = 0
-        for name, k, seed in zip(LEAF.names, EDGES, (1, 2, 3)):
-            if len(at):
-                out[name] = (gram_hashes(self.h[lo:], k, seed)[at] if len(at) * 4 > len(self.h) else _some_grams(self.h, at + lo, k, seed)).astype(LEAF[name])
-            lo += k
-        order = np.lexsort((out["t"], out["q"], out["p"]))
-        s = out[order]
-        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, dtype=bool)
-        leaf = np.empty(len(at), dtype=np.int64)
-        leaf[order] = np.cumsum(new) - 1
-        return at, leaf, s[new]
 
+class Suffixes:
+    """The suffixes of a pack: for each run of windows with one anchor its first and last window, the anchor's place and hash."""
 
-def _some_grams(h: np.ndarray, at: np.ndarray, k: int, seed: int) -> np.ndarray:
-    from .common import MULTIPLIERS, mix64
+    def __init__(self, texts: list[bytes]):
+        self.h, self.counts = texts_words(texts)
+        h, n = self.h, len(self.h)
+        m = max(0, n - WINDOW + 1)
+        g = gram_hashes(h, GRAM)
+        best, width = np.arange(len(g)), 1
+        while 2 * width <= SPAN and m:
+            a, b = best[:-width], best[width:]
+            best = np.where(g[a] <= g[b], a, b)
+            width *= 2
+        a, b = best[:m], best[SPAN - width :][:m]
+        best = np.where(g[a] <= g[b], a, b)  # the leftmost smallest gram of each window
+        stop = np.repeat(np.cumsum(self.counts), self.counts)[:m]
+        start = np.flatnonzero(np.arange(m) + WINDOW <= stop)
+        anchor = best[start]
+        new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+        self.first, self.anchor, self.key = start[new], anchor[new], g[anchor[new]]
+        self.last = start[np.r_[new[1:], len(start)] - 1] if len(new) else start
 
-    acc = np.full(len(at), seed, dtype=np.uint64)
-    for i in range(k):
-        acc += h[at + i] * MULTIPLIERS[i]
-    return mix64(acc)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors and how many suffixes have each."""
+        return np.unique(self.key, return_counts=True)
+
+    def distinct(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes whose anchor is shared, the distinct one each of them is, and of the distinct ones an example and the number."""
+        own = np.flatnonzero(_within(self.key, shared))
+        digest = span_hashes(self.h, self.first[own], self.last[own] + WINDOW)
+        digest = mix64(digest + (self.anchor[own] - self.first[own]).astype(np.uint64))
+        _, example, which, often = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        return own, which, own[example], often
+
+    def records(self, shared: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(cell, heads, words) of the distinct suffixes with a shared anchor, by the last bits of the anchor's hash: the first ones are small in a minimum."""
+        _, _, one, often = self.distinct(shared)
+        cell = (self.key[one] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        one, cell = one[order], cell[order]
+        head = np.empty(len(one), dtype=HEAD)
+        head["place"], head["many"] = order, often[order] > 1
+        head["left"], head["low"] = self.anchor[one] - self.first[one], self.anchor[one] - self.last[one]
+        n = self.last[one] + WINDOW - self.first[one]
+        head["n"] = n
+        ends = np.cumsum(n)
+        words = self.h[np.repeat(self.first[one] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
+        cut = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)) if len(cell) else []
+        for a, b in zip(cut, cut[1:]):
+            yield int(cell[a]), head[a:b].tobytes(), words[ends[a] - n[a] : ends[b - 1]].tobytes()
+
+    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows with these anchors, and two hashes of each window."""
+        own = np.flatnonzero(_within(self.key, anchors))
+        n = self.last[own] - self.first[own] + 1
+        at = np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, (gram_hashes(self.h, WINDOW)[at] if len(at) else self.h[:0]), span_hashes(self.h, at, at + WINDOW)
 
 
 def _within(x: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -144,178 +146,132 @@ def _within(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[i] == x
 
 
+def _hashes(values) -> np.ndarray:
+    return np.sort(np.array(values or [], dtype=np.int64).view(np.uint64))
+
+
 # ---------------------------------------------------------------- anchors
 
 
-def _emit_anchors(bits: int):
-    def run(frames):
-        cache = word_hashes()
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                keys, many = Windows(*pack_words(row.lens, row.body), cache).anchors()
-                cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                cut = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else [0]
-                rows = [(int(cell[a]), row.pack, keys[a:b].tobytes(), many[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["cell", "pack", "keys", "many"])
+def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys, often = Suffixes(unpack(row["lens"], row["body"])).anchors()
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["pack"])), pa.array(keys.view(np.int64)), pa.array(often.astype(np.int64))], names=["pack", "anchor", "n"])
 
-    return run
 
+# ---------------------------------------------------------------- trees
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one cell: for each pack, the anchors that occur twice anywhere."""
-    keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint64)
-    many = np.frombuffer(b"".join(pdf["many"]), dtype=bool)
-    n = [len(k) // 8 for k in pdf["keys"]]
-    who = np.repeat(np.arange(len(pdf)), n)
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    size = np.diff(np.r_[first, len(s)])
-    twice = (size > 1) | (np.add.reduceat(many[order].astype(np.int64), first) > 0)
-    keep = np.empty(len(s), dtype=bool)
-    keep[order] = np.repeat(twice, size)
-    ends = np.cumsum(n)
-    rows = [(pdf["pack"].iloc[i], keys[b - k : b][keep[b - k : b]].tobytes()) for i, (k, b) in enumerate(zip(n, ends)) if keep[b - k : b].any()]
-    del who
-    return pd.DataFrame(rows, columns=["pack", "shared"])
-
-
-def shared_anchors(packs: DataFrame, bits: int) -> DataFrame:
-    """(pack, shared): the pack's anchors that occur twice in the corpus, as sorted bytes by cell, one array for each pack."""
-    rows = packs.mapInPandas(_emit_anchors(bits), "cell long, pack long, keys binary, many binary")
-    found = rows.groupBy("cell").applyInPandas(_shared, "pack long, shared binary")
-    return found.groupBy("pack").agg(F.collect_list("shared").alias("shared"))
-
-
-def _anchors_of(parts) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(parts), dtype=np.uint64)) if parts is not None and len(parts) else np.empty(0, dtype=np.uint64)
-
-
-# ---------------------------------------------------------------- suffix groups and trees
-
-
-def _emit_leaves(frames):
-    cache = word_hashes()
-    for pdf in frames:
-        for row in pdf.itertuples(index=False):
-            w = Windows(*pack_words(row.lens, row.body), cache)
-            at, leaf, leaves = w.leaves(_anchors_of(row.shared))
-            many = np.bincount(leaf, minlength=len(leaves)) > 1
-            cell = (leaves["p"] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            cut = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else [0]
-            rows = [(int(cell[a]), row.pack, int(a), int(b - a), leaves[a:b].tobytes(), np.packbits(many[a:b]).tobytes()) for a, b in zip(cut, cut[1:])]
-            if rows:
-                yield pd.DataFrame(rows, columns=["cell", "pack", "first", "n", "leaves", "many"])
-
-
-def _extend(plan: dict[int, tuple[int, int]]):
-    """Deal the leaves of crowded cells by a longer prefix. plan: cell -> (edges of the prefix, parts)."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.leaves, dtype=LEAF)
-                many = np.unpackbits(np.frombuffer(r.many, dtype=np.uint8), count=len(x)).astype(bool)
-                edges, parts = plan.get(r.cell, (1, 1))
-                place = np.arange(r.first, r.first + len(x), dtype="<u4")
-                if parts == 1:
-                    rows.append((r.cell, 0, r.pack, place.tobytes(), r.leaves, many.tobytes()))
-                    continue
-                k = x["p"].copy()
-                if edges > 1:
-                    k += x["q"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                if edges > 2:
-                    k += x["t"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                part = ((k >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                for s in np.unique(part):
-                    o = part == s
-                    rows.append((r.cell, int(s), r.pack, place[o].tobytes(), x[o].tobytes(), many[o].tobytes()))
-            yield pd.DataFrame(rows, columns=["cell", "part", "pack", "place", "leaves", "many"])
 
-    return run
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words, word by word, and how many words each sorted row has in common with the one before."""
+    order = np.lexsort(rows.T[::-1])
+    s = rows[order]
+    differ = s[1:] != s[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return order, np.r_[0, lcp][: len(rows)]
 
 
-def deep_nodes(leaves: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Whether each suffix lies below an internal node as deep as WINDOW: sorted suffixes and common prefixes of neighbours.
+def nodes(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the tree's node that it lies below and that is the first at least as deep: an interval of the sorted rows."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(lcp < depth) if depth else 0
+    return out
 
-    `many` marks leaves that stand for several suffixes already.
-    """
-    order = np.lexsort((leaves["t"], leaves["q"], leaves["p"]))
-    s = leaves[order]
-    lcp = np.zeros(len(s), dtype=np.int64)  # words in common with the suffix before
-    same = np.ones(len(s) - 1, dtype=bool)
-    for name, k in zip(LEAF.names, EDGES):
-        same &= s[name][1:] == s[name][:-1]
-        lcp[1:] += k * same
-    node = np.cumsum(lcp < WINDOW) - 1  # intervals of the sorted suffixes whose common prefix reaches WINDOW
-    count = np.bincount(node, minlength=1) + np.bincount(node, weights=many[order], minlength=1)
-    out = np.empty(len(s), dtype=bool)
-    out[order] = count[node] > 1
+
+def deep_repeats(head: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each suffix of a group a mask: bit o is set if the window that begins o words before the anchor occurs again."""
+    n, left, low = (head[k].astype(np.int64) for k in ("n", "left", "low"))
+    ends = np.cumsum(n)
+    anchor = ends - n + left
+    right = _side(words, anchor, np.minimum(ends - anchor, WINDOW), 1, WINDOW)
+    before = _side(words, anchor - 1, left, -1, SPAN - 1)
+    tree, back = suffix_order(right), suffix_order(before)
+    weight, out = 1 + head["many"].astype(np.int64), np.zeros(len(head), dtype="<u4")
+    for o in range(SPAN):
+        ok = np.flatnonzero((low <= o) & (o <= left))
+        if len(ok):
+            pair = nodes(*tree, WINDOW - o)[ok] * (len(head) + 1) + nodes(*back, o)[ok]
+            _, which = np.unique(pair, return_inverse=True)
+            out[ok[np.bincount(which, weights=weight[ok])[which] > 1]] |= np.uint32(1 << o)
     return out
 
 
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    leaves = np.frombuffer(b"".join(pdf["leaves"]), dtype=LEAF)
-    many = np.frombuffer(b"".join(pdf["many"]), dtype=bool)
-    deep = deep_nodes(leaves, many)
-    rows, at = [], 0
-    for pack, place in zip(pdf["pack"], pdf["place"]):
-        n = len(place) // 4
-        hit = deep[at : at + n]
-        at += n
-        if hit.any():
-            rows.append((pack, np.frombuffer(place, dtype="<u4")[hit].tobytes()))
-    return pd.DataFrame(rows, columns=["pack", "repeats"])
-
-
-def repeated_leaves(leaves: DataFrame, limit: int = GROUP_SUFFIXES) -> DataFrame:
-    """(pack, repeats): numbers of the pack's leaves that repeat. Collected: a count for each cell, 2**CELL_BITS at most."""
-    cols = "cell long, part long, pack long, place binary, leaves binary, many binary"
-    count = {r["cell"]: r["n"] for r in leaves.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    plan = {c: (2, -(-n // limit)) for c, n in count.items() if n > limit}
-    groups = leaves.mapInPandas(_extend(plan), cols)
-    if plan:  # a prefix of 24 words may still be crowded
-        size = groups.where(F.col("cell").isin(list(plan))).groupBy("cell", "part").agg(F.sum(F.octet_length("place") / 4).alias("n"))
-        full = [r["cell"] for r in size.groupBy("cell").agg(F.max("n").alias("n")).where(F.col("n") > 2 * limit).collect()]
-        if full:
-            plan |= {c: (3, plan[c][1]) for c in full}
-            groups = leaves.mapInPandas(_extend(plan), cols)
-    found = groups.groupBy("cell", "part").applyInPandas(_tree, "pack long, repeats binary")
-    return found.groupBy("pack").agg(F.collect_list("repeats").alias("repeats"))
+def _side(words: np.ndarray, at: np.ndarray, n: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Rows of `width` words from each place on, or back from it; 0 beyond n."""
+    j = np.arange(width)
+    inside = j < n[:, None]
+    return np.where(inside, words[np.where(inside, at[:, None] + step * j, 0)], np.uint64(0))
+
+
+def _tree(table: pa.Table) -> pa.Table:
+    heads = [np.frombuffer(x, dtype=HEAD) for x in table["heads"].to_pylist()]
+    found = deep_repeats(np.concatenate(heads), np.frombuffer(b"".join(table["words"].to_pylist()), dtype=np.uint64))
+    packs, places, masks, at = [], [], [], 0
+    for pack, head in zip(table["pack"].to_pylist(), heads):
+        mask = found[at : at + len(head)]
+        at += len(head)
+        if mask.any():
+            packs.append(pack), places.append(head["place"][mask > 0].tobytes()), masks.append(mask[mask > 0].tobytes())
+    return pa.table({"pack": pa.array(packs, pa.int64()), "places": pa.array(places, pa.binary()), "masks": pa.array(masks, pa.binary())})
+
+
+def _emit_suffixes(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = [(c, row["pack"], a, b) for c, a, b in Suffixes(unpack(row["lens"], row["body"])).records(_hashes(row["shared"]), bits)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "pack", "heads", "words"])
+
+    return run
+
+
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            at, *h = Suffixes(unpack(row["lens"], row["body"])).windows(_hashes(row["crowded"]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["pack"])), pa.array(at), *(pa.array(x.view(np.int64)) for x in h)], names=["pack", "start", "h", "k"])
 
 
 # ---------------------------------------------------------------- removal
 
 
 def _cover(keep_text: bool):
-    def run(frames):
-        cache = word_hashes()
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                words, ends = pack_words(row.lens, row.body)
-                total = int(ends[-1]) if len(ends) else 0
-                gone = np.zeros(total + 1, dtype=np.int64)
-                if row.repeats is not None and len(row.repeats):
-                    at, leaf, leaves = Windows(words, ends, cache).leaves(_anchors_of(row.shared))
-                    hit = np.zeros(len(leaves), dtype=bool)
-                    hit[np.frombuffer(b"".join(row.repeats), dtype="<u4")] = True
-                    start = at[hit[leaf]]
-                    np.add.at(gone, start, 1)
-                    np.add.at(gone, np.minimum(start + WINDOW, total), -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                rows, lo = [], 0
-                for d, w, hi in zip(row.ids, words, ends.tolist()):
-                    cut = gone[lo:hi]
-                    n = int(cut.sum())
-                    text = b" ".join(w if not n else [x for x, g in zip(w, cut.tolist()) if not g])
-                    rows.append((d, len(w), n, hashlib.sha256(text).hexdigest(), *([text.decode("utf-8", "replace")] if keep_text else ())))
-                    lo = hi
-                out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else ())])
-                out["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in out["doc_id"]], dtype="Int64")
-                yield out
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts = unpack(row["lens"], row["body"])
+                starts = [np.array(row["starts"] or [], dtype=np.int64)]
+                if row["places"]:
+                    s = Suffixes(texts)
+                    own, which, one, _ = s.distinct(_hashes(row["shared"]))
+                    mask = np.zeros(len(one), dtype="<u4")
+                    mask[np.frombuffer(b"".join(row["places"]), dtype="<u4")] = np.frombuffer(b"".join(row["masks"]), dtype="<u4")
+                    mask = mask[which]
+                    starts += [s.anchor[own[mask >> np.uint32(o) & np.uint32(1) > 0]] - o for o in range(SPAN)]
+                start = np.concatenate(starts)
+                words = [t.split() for t in texts]
+                counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                gone = np.zeros(int(counts.sum()) + 1, dtype=np.int64)
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + WINDOW, -1)
+                keep = np.cumsum(gone[:-1]) == 0
+                n_removed, digests, kept, at = [], [], [], 0
+                for w, n in zip(words, counts.tolist()):
+                    mine = keep[at : at + n]
+                    at += n
+                    left = int(mine.sum())
+                    text = b" ".join(w if left == n else compress(w, mine.tolist()))
+                    n_removed.append(n - left), digests.append(hashlib.sha256(text).hexdigest())
+                    if keep_text:
+                        kept.append(text.decode("utf-8", "replace"))
+                cols = [pa.array(row["ids"], pa.int64()), pa.array(counts), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names=names)
 
     return run
 
@@ -326,21 +282,37 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, limit: int = GROUP_
     A word goes if a window of WINDOW words over it starts anywhere else too. Null and blank texts have no
     words, and the digest of the empty string. Documents shorter than WINDOW keep all. Repeated rows count as
     separate documents, null ids as any other; an empty table gives no rows; other columns are ignored.
+    Collected: two numbers.
     """
     spark = docs.sparkSession
     tune(spark)
     packs = materialize(pack_texts(docs), "packs")
-    n_packs = packs.count()
-    bits = max(4, min(24, int(np.ceil(np.log2(n_packs / 8 + 1)))))
-    shared = materialize(shared_anchors(packs, bits), "anchors")
-    leaves = materialize(packs.join(shared, "pack").mapInPandas(_emit_leaves, "cell long, pack long, first long, n long, leaves binary, many binary"), "leaves")
+    anchors = materialize(packs.mapInArrow(_emit_anchors, "pack long, anchor long, n long"), "anchors")
+    total = materialize(anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1"), "totals")
+    some = total.agg(F.sum(F.when(F.col("total") <= limit, F.col("total"))).alias("n"), F.max("total").alias("most")).first()
+    told = anchors.join(total, "anchor").groupBy("pack").agg(
+        F.collect_list(F.when(F.col("total") <= limit, F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("total") > limit, F.col("anchor"))).alias("crowded")
+    )
+    told = materialize(told, "told")
+    discard(anchors)
+    discard(total)
     release(spark)
-    repeats = materialize(repeated_leaves(leaves, limit), "repeats")
-    discard(leaves)
+    bits = max(4, min(30, int(np.ceil(np.log2((some["n"] or 0) / GROUP_SUFFIXES + 1)))))
+    both = packs.join(told, "pack")
+    suffixes = both.select("pack", "lens", "body", "shared").mapInArrow(_emit_suffixes(bits), "cell long, pack long, heads binary, words binary")
+    found = suffixes.groupBy("cell").applyInArrow(_tree, "pack long, places binary, masks binary")
+    found = materialize(found.groupBy("pack").agg(F.collect_list("places").alias("places"), F.collect_list("masks").alias("masks")), "repeats")
     release(spark)
-    told = shared.join(repeats, "pack")
+    if (some["most"] or 0) > limit:
+        windows = materialize(both.where(F.size("crowded") > 0).select("pack", "lens", "body", "crowded").mapInArrow(_emit_windows, "pack long, start long, h long, k long"), "windows")
+        again = windows.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        starts = windows.join(again, ["h", "k"]).groupBy("pack").agg(F.collect_list("start").alias("starts"))
+        found = found.join(materialize(starts, "starts"), "pack", "full")
+    else:
+        found = found.withColumn("starts", F.lit(None).cast("array<long>"))
+    found = found.join(told.select("pack", "shared"), "pack")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    return packs.join(told, "pack", "left").select("pack", "ids", "lens", "body", "shared", "repeats").mapInPandas(_cover(keep_text), schema)
+    return packs.join(found, "pack", "left").select("ids", "lens", "body", "shared", "places", "masks", "starts").mapInArrow(_cover(keep_text), schema)
 
 
 def op4_suffix_trees(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,26 +92,6 @@ _STEP = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([pow(_STEP, 2 * i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered for words seen; the memory is bounded by `most` entries."""
-
-    def __init__(self, most: int = 250_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-def word_hashes() -> WordHashes:
-    return worker_memory("words", WordHashes)
-
-
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8: bytes.split() cuts at exactly those six characters; bytes.lower() maps A-Z only."""
     raw = utf8(text) or b""
@@ -256,45 +236,65 @@ def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+# ---------------------------------------------------------------- connected components
 
 
-def shingle_set(words: list[bytes], cache: WordHashes, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of k-word shingles; fewer words make one shingle; none make the empty set."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh3_64_intdigest(b"\x00" + b" ".join(words))], dtype=np.uint64)
-    return np.unique(gram_hashes(hash_words(words, cache), k))
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of edges (a, b) but the smallest of its component, with that smallest one."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    to = np.arange(len(names))
+    while True:
+        low, high = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
+        if (low == high).all():
+            away = to != np.arange(len(names))
+            return names[away], names[to[away]]
+        np.minimum.at(to, high, low)
+        while not (to[to] == to).all():
+            to = to[to]
 
 
-# ---------------------------------------------------------------- connected components
+def _contract(frames):
+    """Edges (u, v) of a partition, a bounded part of them at a time, as one edge for each node, to its smallest there."""
+    held, n = [], 0
+
+    def close():
+        u, v = roots(*(np.concatenate(x) for x in zip(*held)))
+        return pd.DataFrame({"u": u, "v": v})
+
+    for pdf in frames:
+        held.append((pdf["u"].to_numpy(), pdf["v"].to_numpy()))
+        n += len(pdf)
+        if n > 2_000_000:
+            yield close()
+            held, n = [], 0
+    if n:
+        yield close()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (a, b): component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds, joins and aggregates only; each round is written
-    to the shared folder. Nulls and self-loops are dropped; nodes without another end don't appear.
-    A hub's edges meet its minimum in a join, which AQE splits, never in one collected group.
+    Each partition first contracts its own edges; then alternating large-star and small-star rounds, joins
+    and aggregates only, each written to the shared folder. Nulls and self-loops are dropped; nodes without
+    another end don't appear. A hub's edges meet its minimum in a join, which AQE splits where the hub's
+    partition is beyond its size, never in one collected group.
     """
     a, b = F.col("a"), F.col("b")
-    e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialize(e, "cc")
+    e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    e = materialize(e.mapInPandas(_contract, "u long, v long"), "cc")
     state = None
     while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or (mark["n"], mark["h"]) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).distinct()
+            roots_ = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots_)
         state = (mark["n"], mark["h"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        new = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))), "cc")
         discard(e)
         e = new

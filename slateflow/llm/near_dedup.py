@@ -4,15 +4,15 @@
    (bin, attempt) names. Documents with equal shingle sets fold into one class, so copies never pair up.
 2. BANDS bands of ROWS bins are buckets. In a bucket, each member has one edge, to the member with the
    smallest id: as many edges as members, never all pairs. Edges whose signatures agree too little to be
-   near 0.75 go. In a bucket that then has several components, all members outside the largest one meet
-   all others by signature, so that every pair of a bucket that agrees enough ends in one cluster.
-3. Components of what is left are candidate clusters. Clusters are cut into groups of bounded size, and a
-   group's overlaps are counted on full shingle sets, exactly. Groups of one cluster are joined through
-   their best-linked members and star edges that still lead across components. What is then outside a
-   cluster's largest component meets every other member: by signature, then exactly, in bounded tasks
-   that give a row for each link that joins two components, never one for each pair.
-
-A pair of similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32, about 5 in a million.
+   near 0.75 go; the others of one centre meet in groups of bounded size, where all overlaps of full shingle
+   sets are counted. Their links give components.
+3. What a star can lose is a pair that shares a bucket but no near centre. So in every bucket that still has
+   several components, all members outside its largest one meet all its members by signature, and where
+   those agree the full sets are compared: in bounded tasks that give a row for each link that joins two
+   components, never one for each pair.
+
+A pair of similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32, about 5 in a million, and its
+signatures agree in fewer than LEAST_ESTIMATE of the bins with probability 1e-6. No other link is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, components, discard, materialize, mix64, shingle_set, tune, word_hashes, words_of
+from .common import MULTIPLIERS, components, discard, materialize, mix64, shingle_sets, tune, utf8
 
 BINS, BANDS, ROWS = 128, 32, 4
-#: Least estimated similarity of an edge: four standard errors of BINS minima below 0.75.
-LEAST_ESTIMATE = 0.6
-#: Bounds of a group that is compared exactly in memory: documents, and shingles on average.
-GROUP_DOCS, GROUP_SHINGLES = 256, 300_000
+#: Least estimated similarity of two documents whose full sets are compared: five standard errors of BINS minima below 0.75.
+LEAST_ESTIMATE = 0.55
+#: Documents of a group that is compared exactly in memory.
+GROUP_DOCS = 256
 #: Strays that a task holds, and members that it lets stream past them. No bound on either in total.
 HELD, STREAMED = 4096, 65_536
 
@@ -71,11 +71,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     seeds = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = word_hashes()
         for x in texts:
             n, keys, bands, marks = [], [], [], []
-            for t in x:
-                s = shingle_set(words_of(t, lower=True), cache)
+            for s in shingle_sets([utf8(t) for t in x]):
                 n.append(len(s))
                 if not len(s):
                     keys.append(None), bands.append([]), marks.append(None)
@@ -91,75 +89,33 @@ def signatures(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "s.*")
 
 
-def _agreement(marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (x, c) with the estimated similarity of their signatures."""
+def _parts(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(frames):
-        for pdf in frames:
-            a = np.frombuffer(b"".join(pdf["mx"]), dtype=np.uint8).reshape(-1, BINS)
-            b = np.frombuffer(b"".join(pdf["mc"]), dtype=np.uint8).reshape(-1, BINS)
-            same = (a == b).mean(axis=1)
-            yield pd.DataFrame({"x": pdf["x"], "c": pdf["c"], "estimate": (same - 1 / 256) / (1 - 1 / 256)})
 
-    both = pairs.join(marks.select(F.col("doc_id").alias("x"), F.col("marks").alias("mx")), "x").join(marks.select(F.col("doc_id").alias("c"), F.col("marks").alias("mc")), "c")
-    return both.select("x", "c", "mx", "mc").mapInPandas(run, "x long, c long, estimate double")
+# ---------------------------------------------------------------- stars
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(x, c, key): each member of a bucket with its smallest member, itself left out."""
+def stars(reps: DataFrame) -> DataFrame:
+    """(key, x, c): each member of a bucket with its smallest member, itself left out. Buckets of one have no row."""
+    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
     centre = buckets.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("_last")).where("c < _last").drop("_last")
-    return buckets.join(centre, "key").where("doc_id <> c").withColumnRenamed("doc_id", "x")
+    return buckets.join(centre, "key").where("doc_id <> c").select("key", F.col("doc_id").alias("x"), "c")
 
 
-def _near_pairs(rows: DataFrame) -> DataFrame:
-    """(x, c) from (block, part, doc_id, k, marks, stray): pairs that agree enough, one for each two components that a task joins."""
+def near_stars(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct edges (x, c) whose signatures agree enough."""
 
     def run(frames):
-        task, ids, ks, marks, held, names = None, [], [], [], None, {}
         for pdf in frames:
-            out = []
-            for t, side, d, k, m in pdf[["task", "side", "doc_id", "k", "marks"]].itertuples(index=False):
-                if t != task:
-                    task, ids, ks, marks, held, names = t, [], [], [], None, {}
-                if side == 0:
-                    ids.append(d), ks.append(k), marks.append(m)
-                    continue
-                if held is None:
-                    held, ks = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BINS).T.copy(), np.array(ks)
-                k = _known_as(names, k)
-                hit = ENOUGH[(held == np.frombuffer(m, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)]
-                for other in np.unique(ks[hit]).tolist():
-                    if other != k:
-                        out.append((d, ids[int(np.flatnonzero(hit & (ks == other))[0])]))
-                        ks[ks == other] = k
-                        names[other] = k
-            if out:
-                yield pd.DataFrame(out, columns=["x", "c"])
+            if len(pdf):
+                a = np.frombuffer(b"".join(pdf["mx"]), dtype=np.uint8).reshape(-1, BINS)
+                b = np.frombuffer(b"".join(pdf["mc"]), dtype=np.uint8).reshape(-1, BINS)
+                yield pdf.loc[ENOUGH[(a == b).sum(axis=1)], ["x", "c"]]
 
-    return _faced(rows).mapInPandas(run, "x long, c long")
-
-
-def star_edges(reps: DataFrame) -> DataFrame:
-    """Candidate edges (x, c) whose signatures agree enough: any two members of a bucket that agree enough are connected by them."""
-    marks = reps.select("doc_id", "marks")
-    first = materialize(_stars(reps.select("doc_id", F.explode("bands").alias("key"))), "stars")
-    judged = materialize(_agreement(marks, first.select("x", "c").distinct()), "agreement")
-    near = judged.where(F.col("estimate") >= LEAST_ESTIMATE).select("x", "c")
-    far = judged.where(F.col("estimate") < LEAST_ESTIMATE).select("x", "c")
-    comp = components(near.select(F.col("x").alias("a"), F.col("c").alias("b")))
-    keys = first.join(_across(far, comp), ["x", "c"], "left_semi").select("key").distinct()
-    part = first.join(keys, "key", "left_semi")
-    part = part.select("key", F.col("x").alias("doc_id")).unionByName(part.select("key", F.col("c").alias("doc_id")).distinct())
-    named = part.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = materialize(named.select(F.col("key").alias("block"), "doc_id", F.coalesce("component", "doc_id").alias("k")), "buckets")
-    edges = near
-    if not named.isEmpty():
-        faced = _with_strays(named).join(marks, "doc_id").withColumn("part", F.col("doc_id"))
-        edges = edges.unionByName(_near_pairs(faced))
-    out = materialize(edges.distinct(), "edges")
-    for x in (first, judged, named):
-        discard(x)
-    return out
+    pairs = edges.select("x", "c").distinct()
+    both = pairs.join(marks.select(F.col("doc_id").alias("x"), F.col("marks").alias("mx")), "x").join(marks.select(F.col("doc_id").alias("c"), F.col("marks").alias("mc")), "c")
+    return both.select("x", "c", "mx", "mc").mapInPandas(run, "x long, c long").distinct()
 
 
 def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -201,69 +157,49 @@ def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int, i
 
 
 def link_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, root, group) for members (group, doc_id); groups of bounded size stream through, one in memory at a time."""
+    """(x, y) for members (group, doc_id): each linked document of a group with the root of its component there.
+
+    Groups of bounded size stream through, one in memory at a time.
+    """
 
     def run(frames):
-        cache = word_hashes()
-        at, held, done = None, {}, []
+        at, ids, held = None, [], []
 
         def close():
-            done.extend((at, *r[:2]) for r in link_group(list(held), list(held.values())))
+            sets = shingle_sets(held)
+            return [r[:2] for r in link_group(ids, sets) if r[0] != r[1]]
 
         for pdf in frames:
+            done = []
             for g, d, t in zip(pdf["group"], pdf["doc_id"], pdf["text"]):
                 if g != at:
-                    if held:
-                        close()
-                    at, held = g, {}
-                held[d] = shingle_set(words_of(t, lower=True), cache)
-            if len(done) > 2000:
-                yield pd.DataFrame(done, columns=["group", "doc_id", "root"])
-                done = []
-        if held:
-            close()
-        if done:
-            yield pd.DataFrame(done, columns=["group", "doc_id", "root"])
-
-    spark = members.sparkSession
-    rows = members.join(texts, "doc_id").select("group", "doc_id", "text")
-    return rows.repartition(_parts(spark), "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, "group long, doc_id long, root long")
-
+                    if len(held) > 1:
+                        done += close()
+                    at, ids, held = g, [], []
+                ids.append(d), held.append(utf8(t))
+            if done:
+                yield pd.DataFrame(done, columns=["x", "y"])
+        if len(held) > 1 and (done := close()):
+            yield pd.DataFrame(done, columns=["x", "y"])
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """(cluster, doc_id, group) from (cluster, doc_id, n_shingles): enough groups for each cluster that each stays in its bounds."""
-    size = nodes.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("long").alias("n_groups")
-    )
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("n_groups"))
-    return nodes.join(size, "cluster").select("cluster", "doc_id", "n_groups", "n_shingles", F.xxhash64("cluster", part, F.lit(5)).alias("group"))
-
-
-def _across(edges: DataFrame, comp: DataFrame) -> DataFrame:
-    """Edges (x, c) whose ends lie in different components."""
-    return (
-        edges.join(comp.select(F.col("node").alias("x"), F.col("component").alias("kx")), "x", "left")
-        .join(comp.select(F.col("node").alias("c"), F.col("component").alias("kc")), "c", "left")
-        .where(F.coalesce("kx", "x") != F.coalesce("kc", "c")).select("x", "c")
-    )
+    rows = members.join(texts, "doc_id").select("group", "doc_id", "text")
+    return rows.repartition(_parts(members.sparkSession), "group").sortWithinPartitions("group", "doc_id").mapInPandas(run, "x long, y long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among pairs (x, c): each c with its x in groups of bounded size, however many they are."""
-    pairs = materialize(pairs, "pairs")
-    many = pairs.groupBy("c").agg(F.ceil(F.count("*") / (GROUP_DOCS - 1)).cast("long").alias("n"))
-    sided = pairs.join(many, "c").select("x", "c", F.pmod(F.xxhash64("x", F.lit(9)), F.col("n")).alias("salt"))
-    group = F.xxhash64("c", "salt", F.lit(11)).alias("group")
-    members = sided.select(group, F.col("x").alias("doc_id")).unionByName(sided.select(group, F.col("c").alias("doc_id")).distinct())
-    return materialize(link_groups(members, texts), "links")
+def star_groups(near: DataFrame) -> DataFrame:
+    """(group, doc_id): each centre c with its x, in groups of bounded size, however many they are."""
+    many = near.groupBy("c").agg(F.ceil(F.count("*") / (GROUP_DOCS - 1)).cast("long").alias("n"))
+    sided = near.join(many, "c").withColumn("group", F.xxhash64("c", F.pmod(F.xxhash64("x", F.lit(9)), F.col("n")), F.lit(11)))
+    return sided.select("group", F.col("x").alias("doc_id")).unionByName(sided.select("group", F.col("c").alias("doc_id")).distinct())
 
 
-def _parts(spark: SparkSession) -> int:
-    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+# ---------------------------------------------------------------- what stars lose
 
 
-def _with_strays(rows: DataFrame) -> DataFrame:
-    """Rows (block, doc_id, k, ...) of blocks with several components k, and whether k is not the block's largest."""
+def strays(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """(block, doc_id, k, stray) for buckets whose members lie in several components k: whether k is not the bucket's largest."""
+    members = edges.select(F.col("key").alias("block"), F.col("x").alias("doc_id")).unionByName(edges.groupBy(F.col("key").alias("block")).agg(F.min("c").alias("doc_id")))
+    rows = members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("k"))
     main = rows.groupBy("block", "k").count().groupBy("block").agg(F.max_by("k", F.struct("count", -F.col("k"))).alias("main"), F.count("*").alias("n")).where("n > 1")
     return rows.join(main.drop("n"), "block").withColumn("stray", F.col("k") != F.col("main")).drop("main")
 
@@ -285,7 +221,7 @@ def _faced(rows: DataFrame) -> DataFrame:
     return both.repartition(_parts(rows.sparkSession), "task").sortWithinPartitions("task", "side", "part", "doc_id")
 
 
-def _near_groups(rows: DataFrame) -> DataFrame:
+def near_groups(rows: DataFrame) -> DataFrame:
     """(x, group) from (block, part = group, doc_id, k, marks, stray): strays and the groups where a member of another component agrees enough."""
 
     def run(frames):
@@ -330,37 +266,36 @@ def _known_as(names: dict, k: int) -> int:
     return at
 
 
-def _stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (doc_id, root) that join components, by exact overlaps of x with all members of the group, for pairs (x, group).
+def stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (x, y) that join components, by exact overlaps of x with all members of the group, for pairs (x, group).
 
     `named`: (group, doc_id, k). A task holds a group and lets some of its strays stream past.
     """
 
     def run(frames):
-        cache = word_hashes()
-        task, sets, ks, terms, who, size, ids, names = None, {}, [], None, None, None, [], {}
+        task, ids, ks, held, terms, who, size, names = None, [], [], [], None, None, None, {}
         for pdf in frames:
             out = []
-            for t, side, d, k, text in pdf[["task", "side", "doc_id", "k", "text"]].itertuples(index=False):
+            sets = shingle_sets([utf8(t) for t in pdf["text"]])
+            for t, side, d, k, s in zip(pdf["task"].tolist(), pdf["side"].tolist(), pdf["doc_id"].tolist(), pdf["k"].tolist(), sets):
                 if t != task:
-                    task, sets, ks, terms, names = t, {}, [], None, {}
-                s = shingle_set(words_of(text, lower=True), cache)
+                    task, ids, ks, held, terms, names = t, [], [], [], None, {}
                 if side == 0:
-                    if d not in sets:
-                        sets[d] = s
-                        ks.append(k)
+                    ids.append(d), ks.append(k), held.append(s)
                     continue
                 if terms is None:
-                    ids, ks, size = list(sets), np.array(ks), np.array([len(x) for x in sets.values()])
-                    terms = np.concatenate(list(sets.values()))
+                    ks, size = np.array(ks), np.array([len(x) for x in held])
+                    terms = np.concatenate(held)
                     order = np.argsort(terms, kind="stable")
                     terms, who = terms[order], np.repeat(np.arange(len(ids)), size)[order]
-                    sets = {}
+                    held = []
+                k = _known_as(names, k)
+                if (ks == k).all():
+                    continue
                 lo, hi = np.searchsorted(terms, s, "left"), np.searchsorted(terms, s, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 both = np.bincount(who[at], minlength=len(ids))
-                k = _known_as(names, k)
                 linked = 100 * both >= 75 * (size + len(s) - both)
                 for other in np.unique(ks[linked]).tolist():
                     if other != k:
@@ -368,7 +303,7 @@ def _stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFr
                         ks[ks == other] = k
                         names[other] = k
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "root"])
+                yield pd.DataFrame(out, columns=["x", "y"])
 
     many = pairs.groupBy("group").agg(F.ceil(F.count("*") / HELD).cast("long").alias("n"))
     cols = [F.xxhash64("group", "i", F.lit(23)).alias("task"), "side", "doc_id", "k"]
@@ -376,70 +311,77 @@ def _stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFr
     sent = pairs.join(many, "group").withColumnRenamed("x", "doc_id").join(named.select("doc_id", "k"), "doc_id")
     sent = sent.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.col("n"))).withColumn("side", F.lit(1)).select(*cols)
     rows = held.unionByName(sent).join(texts, "doc_id").select("task", "side", "doc_id", "k", "text")
-    return rows.repartition(_parts(texts.sparkSession), "task").sortWithinPartitions("task", "side", "doc_id").mapInPandas(run, "doc_id long, root long")
+    return rows.repartition(_parts(texts.sparkSession), "task").sortWithinPartitions("task", "side", "doc_id").mapInPandas(run, "x long, y long")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) for every row of docs, and (rep, component) for linked representatives."""
-    sig = materialize(signatures(docs), "signatures")
-    same = sig.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    same = materialize(same, "classes")
-    reps = sig.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "n_shingles", "bands", "marks"), "reps")
-    edges = star_edges(reps)
-    clusters = components(edges.select(F.col("x").alias("a"), F.col("c").alias("b")))
-    clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    nodes = materialize(_grouped(clusters.join(reps.select("doc_id", "n_shingles"), "doc_id")), "nodes")
+def meetings(edges: DataFrame, comp: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (x, group) and members (group, doc_id, k), where x agrees enough with a member of another component that it shares a bucket with.
+
+    None if no bucket has several components.
+    """
+    apart = materialize(strays(edges, comp), "strays")
+    if apart.isEmpty():
+        return None
+    # Members that have a centre in common come together in groups; which ones do matters for speed only.
+    first = edges.groupBy("x").agg(F.min("c").alias("c")).select(F.col("x").alias("doc_id"), "c")
+    ends = apart.groupBy("doc_id").agg(F.min("k").alias("k")).join(first, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    size = ends.groupBy("c").agg(F.ceil(F.count("*") / GROUP_DOCS).cast("long").alias("n"))
+    ends = ends.join(size, "c").select(F.xxhash64("c", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("n")), F.lit(5)).alias("group"), "doc_id", "k")
+    named = materialize(ends.join(marks, "doc_id"), "named")
+    faced = apart.select("block", "doc_id", "stray").join(named.withColumnRenamed("group", "part"), "doc_id")
+    return materialize(near_groups(faced).distinct(), "pairs"), named.select("group", "doc_id", "k").distinct()
+
+
+def representatives(sig: DataFrame) -> DataFrame:
+    """(set_key, doc_id, n_shingles, bands, marks): of each class of equal sets the smallest id."""
+    told = F.min_by(F.struct("n_shingles", "bands", "marks"), "doc_id")
+    got = sig.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), told.alias("s"))
+    return got.select("set_key", "doc_id", "s.*")
+
+
+def same_documents(sig: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, y): ids that occur with several different texts, each with the representatives of those texts."""
+    several = sig.where("set_key is not null and doc_id is not null").groupBy("doc_id").agg((F.min("set_key") < F.max("set_key")).alias("several")).where("several").drop("several")
+    rows = sig.join(several, "doc_id").select("doc_id", "set_key").distinct()
+    return rows.join(reps.select("set_key", F.col("doc_id").alias("y")), "set_key").select(F.col("doc_id").alias("x"), "y").where("x <> y")
+
+
+def links(sig: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) for representatives that are linked with others."""
+    marks = reps.select("doc_id", "marks")
+    edges = materialize(stars(reps), "stars")
+    near = materialize(near_stars(edges, marks), "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(rows.join(nodes.select("doc_id"), "doc_id", "left_semi"), "texts")
-    links = materialize(link_groups(nodes.select("group", "doc_id"), texts), "links")
-    found = [links]
-    # Groups of one cluster meet through their roots, until a cluster's roots fit one group or stop getting fewer: what stays apart then is for the strays.
-    level = nodes.where("n_groups > 1").join(links.where("doc_id = root").select("doc_id"), "doc_id", "left_semi").select("cluster", "doc_id", "n_shingles")
-    before = None
-    while True:
-        grouped = materialize(_grouped(level), "roots")
-        count = grouped.count()
-        if count == 0 or count == before:
-            break
-        before = count
-        links = materialize(link_groups(grouped.select("group", "doc_id"), texts), "links")
-        found.append(links)
-        if grouped.where("n_groups > 1").isEmpty():
-            break
-        level = grouped.join(links.where("doc_id = root").select("doc_id"), "doc_id", "left_semi").select("cluster", "doc_id", "n_shingles")
-    joined = found[0]
-    for x in found[1:]:
-        joined = joined.unionByName(x)
-    # A root without links leads to itself only, and components() drops that.
-    comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    if len(found) > 1:  # some cluster had several groups: verify star edges, then all pairs, that still lead across
-        crossing = _across(edges, comp).join(nodes.where("n_groups > 1").select(F.col("doc_id").alias("x")), "x", "left_semi")
-        joined = joined.select("doc_id", "root").unionByName(_verified(crossing, texts).select("doc_id", "root"))
-        comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        named = nodes.where("n_groups > 1").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        named = named.select(F.col("cluster").alias("block"), "group", "doc_id", F.coalesce("component", "doc_id").alias("k"))
-        named = materialize(_with_strays(named), "strays")
-        if not named.isEmpty():
-            faced = named.join(reps.select("doc_id", "marks"), "doc_id").withColumnRenamed("group", "part")
-            pairs = materialize(_near_groups(faced), "pairs")
-            joined = joined.unionByName(materialize(_stray_links(pairs, named.select("group", "doc_id", "k"), texts), "links"))
-            comp = components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    discard(texts)
-    comp = comp.select(F.col("node").alias("rep"), "component")
-    return sig.select("doc_id", "n_shingles", "set_key").join(same, "set_key", "left").select("doc_id", "n_shingles", "rep"), comp
+    who = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("c").alias("doc_id"))).distinct()
+    rows = rows.join(who, "doc_id", "left_semi")
+    texts = materialize(rows.groupBy("doc_id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t"), "texts")
+    found = link_groups(star_groups(near), texts).unionByName(same_documents(sig, reps))
+    comp = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    met = meetings(edges, comp, marks)
+    if met is not None:
+        more = stray_links(*met, texts)
+        joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        comp = components(joined)
+    for x in (edges, near, texts):
+        discard(x)
+    return comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
-    Null or blank text: empty set, a component of its own. Rows that repeat a doc_id are one document and
-    share its component. A null doc_id takes no part: null component_id, kept. Other columns are ignored.
+    Null or blank text: empty set, a component of its own. Rows that repeat a doc_id are one document: their
+    texts all count, and a row has the component of its text. A null doc_id takes no part: null component_id,
+    kept. An empty table gives no rows; other columns are ignored.
     """
-    rows, comp = classes(docs)
-    out = rows.join(comp, "rep", "left")
-    ident = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", ident.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    sig = materialize(signatures(docs), "signatures")
+    reps = materialize(representatives(sig), "reps")
+    comp = links(sig, reps, docs)
+    told = reps.join(comp, F.col("doc_id") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = sig.select("doc_id", "n_shingles", "set_key")
+    alone = rows.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where("set_key is not null and doc_id is not null").join(told, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -510,7 +510,7 @@ def versions(rng, n, words, step, at):
 def test_links_between_members_of_different_groups(spark, monkeypatch):
     """Families over many groups, whose links hang on pairs that are neither roots nor centres."""
     for name, value in (("GROUP_DOCS", 8), ("HELD", 5), ("STREAMED", 20)):
-        monkeypatch.setattr(near_dedup, name, value, raising=False)
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(4)
     texts = versions(rng, 150, 200, 4, 0) + versions(rng, 120, 150, 3, 1000)
     want = linked(texts)
@@ -518,10 +518,10 @@ def test_links_between_members_of_different_groups(spark, monkeypatch):
     assert sum(got[i] != x for i, x in want.items()) == 0 and len(got) == len(want)
 
 
-def test_pairs_of_a_bucket_that_agree_end_in_one_cluster(spark, monkeypatch):
-    """Also where the bucket's centre is far from one end or from both."""
-    for name, value in (("HELD", 5), ("STREAMED", 20)):
-        monkeypatch.setattr(near_dedup, name, value, raising=False)
+def test_members_of_a_bucket_that_agree_meet(spark, monkeypatch):
+    """Every pair that shares a bucket and agrees enough, whatever the bucket's centre, is handed to the exact comparison unless it is joined already."""
+    for name, value in (("HELD", 5), ("STREAMED", 20), ("GROUP_DOCS", 8)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(6)
     reps = []
     for i in range(160):  # a row differs from its family's in 20 to 80 of 128 marks; bands are few, so buckets are crowded
@@ -530,23 +530,65 @@ def test_pairs_of_a_bucket_that_agree_end_in_one_cluster(spark, monkeypatch):
         m = np.where(rng.permutation(near_dedup.BINS) < rng.integers(20, 80), rng.integers(0, 256, near_dedup.BINS), base)
         reps.append((1 + (i * 37) % 160, 100, [int(rng.integers(0, 12)) + 1000 * b if b < 3 else 10**6 * (i + 1) + b for b in range(near_dedup.BANDS)], m.astype(np.uint8)))
     df = spark.createDataFrame([(*r[:3], bytearray(r[3].tobytes())) for r in reps], "doc_id long, n_shingles long, bands array<long>, marks binary")
-    root = {r[0]: r[0] for r in reps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in reps:
-        for b in reps:
-            if set(a[2]) & set(b[2]) and ((a[3] == b[3]).mean() - 1 / 256) / (1 - 1 / 256) >= near_dedup.LEAST_ESTIMATE:
-                x, y = find(a[0]), find(b[0])
-                root[max(x, y)] = min(x, y)
-    want = {i: find(i) for i in root}
-    assert 10 < len(set(want.values())) < 150
-    edges = near_dedup.star_edges(df)
-    got = {r["node"]: r["component"] for r in common.components(edges.select(F.col("x").alias("a"), F.col("c").alias("b"))).collect()}
-    assert {i: got.get(i, i) for i in root} == want
+    for joined in (0, 20):  # none, or so many of each family in one component
+        comp = spark.createDataFrame([(r[0], 1 + 40 * (i // 40)) for i, r in enumerate(reps) if i % 40 < joined], "node long, component long")
+        k = {r[0]: r[0] for r in reps} | {r["node"]: r["component"] for r in comp.collect()}
+        pairs, named = near_dedup.meetings(near_dedup.stars(df), comp, df.select("doc_id", "marks"))
+        group = {r["doc_id"]: r["group"] for r in named.collect()}
+        got = {(r["x"], r["group"]) for r in pairs.collect()}
+        want = 0
+        for a in reps:
+            for b in reps:
+                if a[0] < b[0] and k[a[0]] != k[b[0]] and set(a[2]) & set(b[2]) and ((a[3] == b[3]).mean() - 1 / 256) / (1 - 1 / 256) >= near_dedup.LEAST_ESTIMATE:
+                    want += 1
+                    assert (a[0], group[b[0]]) in got or (b[0], group[a[0]]) in got
+        assert want > 20 and Counter(group.values()).most_common(1)[0][1] < 40
+
+
+def test_long_chain_and_hot_family(spark):
+    """3,000 documents of which only neighbours are linked, at 0.75 exactly, and 3,000 versions of one text about the threshold."""
+    words = [f"c{i}" for i in range(10 * 3000 + 74)]
+    chain = [(i, " ".join(words[10 * i : 10 * i + 74])) for i in range(3000)]
+    assert [100 * len(a & b) == 75 * len(a | b) for a, b in [(shingles(chain[7][1]), shingles(chain[8][1]))]] == [True]
+    rng = random.Random(12)
+    base = prose(rng, 150, 5000).split()
+    family = []
+    for i in range(3000):
+        w = list(base)
+        for j in rng.sample(range(150), rng.randrange(0, 14)):
+            w[j] = f"n{rng.randrange(10**7)}"
+        family.append((10_000 + i, " ".join(w)))
+    rng.shuffle(family)
+    sets = [shingles(t) for _, t in family]
+    name = {}
+    at = [np.array([name.setdefault(x, len(name)) for x in s]) for s in sets]
+    size, both = np.array([len(s) for s in sets]), np.zeros((3000, 3000), dtype=np.float32)
+    for lo in range(0, len(name), 4096):
+        m = np.zeros((3000, 4096), dtype=np.float32)
+        for i, x in enumerate(at):
+            m[i, x[(x >= lo) & (x < lo + 4096)] - lo] = 1
+        both += m @ m.T
+    near = 100 * both >= 75 * (size[:, None] + size - both)
+    label = np.array([i for i, _ in family])
+    while True:
+        low = np.where(near, label, 10**9).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    want = {i: 0 for i, _ in chain} | {i: int(x) for (i, _), x in zip(family, label)}
+    got = by_id(near_dedup.near_duplicates(docs_of(spark, chain + family)), "component_id")
+    assert sum(got[i] != (x,) for i, x in want.items()) == 0
+    assert len(set(label.tolist())) > 20
+
+
+def test_one_id_with_several_texts(spark):
+    """Rows of one id are one document: all its texts count, in whatever order they come."""
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    texts = [(5, a), (5, b), (5, a), (7, b + " tail"), (8, a + " end"), (3, c), (9, c), (9, b + " other"), (2, None), (2, "")]
+    rng.shuffle(texts)
+    rows = near_dedup.near_duplicates(docs_of(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {5: 3, 7: 3, 8: 3, 3: 3, 9: 3, 2: 2} and len(rows) == len(texts)
 
 
 def test_signature_estimates_similarity():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -80,11 +82,62 @@ _WORKER: dict = {}
 def worker_memory(key, make):
     """What a Python worker keeps from task to task: one thing only, so that operators run one after another don't add up."""
     if key not in _WORKER:
-        _WORKER.clear()
+        if _WORKER:
+            _WORKER.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give free memory back to the system, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
         _WORKER[key] = make()
     return _WORKER[key]
 
 
+class HashTable:
+    """Numbers for up to `most` distinct hashes, in order of their coming: an open table in two arrays. 0 is no hash."""
+
+    def __init__(self, most: int):
+        self.most, self.bits = most, (4 * most).bit_length() - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.numbers = np.zeros(1 << self.bits, dtype=np.int32)
+        self.count = 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that aren't there."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        left, slot, last = np.arange(len(h)), self._slots(h), (1 << self.bits) - 1
+        while len(left):
+            at = self.keys[slot]
+            hit = at == h[left]
+            out[left[hit]] = self.numbers[slot[hit]]
+            go = ~hit & (at != 0)
+            left, slot = left[go], (slot[go] + 1) & last
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number distinct hashes that aren't there, from `count` on."""
+        left, slot, last = np.arange(len(h)), self._slots(h), (1 << self.bits) - 1
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]  # of several that want a slot one gets it
+            done = free & (self.keys[slot] == h[left])
+            self.numbers[slot[done]] = self.count + left[done]
+            left, slot = left[~done], (slot[~done] + 1) & last
+        self.count += len(h)
+
+    def unseen(self, h: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Distinct hashes of h without a number, a place of each, and whether the table had to be emptied to make room: then all of h are."""
+        new, where = np.unique(h[found < 0], return_index=True)
+        if not len(new) or self.count + len(new) <= self.most:
+            return new, np.flatnonzero(found < 0)[where], False
+        self.clear()
+        return *np.unique(h, return_index=True), True
+
+
 # ---------------------------------------------------------------- words and hashes
 
 #: Odd multipliers for combining the hashes of consecutive words: powers of one odd constant.
@@ -153,7 +206,9 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         a = starts[i:j] - lo
         out[i:j] = (total[ends[i:j] - lo] - total[a]) * _INVERSES[a]
         i = j
-    return mix64(out + (ends - starts).astype(np.uint64) * MULTIPLIERS[1])
+    out = mix64(out + (ends - starts).astype(np.uint64) * MULTIPLIERS[1])
+    out[out == 0] = 1  # 0 is for no hash
+    return out
 
 
 def byte_blocks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
@@ -272,17 +327,18 @@ def _contract(frames):
         yield close()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, native: bool = False) -> DataFrame:
     """(node, component) for undirected edges (a, b): component is the smallest node reachable.
 
-    Each partition first contracts its own edges; then alternating large-star and small-star rounds, joins
+    Each partition first contracts its own edges of numbers, unless `native` asks for DataFrame operations
+    alone; then alternating large-star and small-star rounds, joins
     and aggregates only, each written to the shared folder. Nulls and self-loops are dropped; nodes without
     another end don't appear. A hub's edges meet its minimum in a join, which AQE splits where the hub's
     partition is beyond its size, never in one collected group.
     """
     a, b = F.col("a"), F.col("b")
     e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = materialize(e.mapInPandas(_contract, "u long, v long"), "cc")
+    e = materialize(e.distinct() if native else e.mapInPandas(_contract, "u long, v long"), "cc")
     state = None
     while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -2,8 +2,8 @@
 
 The network reads the bytes of a word in both directions, gives every byte position a distribution over
 languages, and a document's distribution is the mean over all its positions. State starts anew at each
-word, so a word's contribution is computed once for each worker and looked up after that, and every byte
-of a whole text counts. Training is backpropagation through time in numpy with Adam.
+word, so a word's contribution is computed once for each worker and found by its hash after that, and every
+byte of a whole text counts. Training is backpropagation through time in numpy with Adam.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import tune, worker_memory, words_of
+from .common import HashTable, block_words, byte_blocks, span_hashes, tune, utf8, worker_memory, words_of
 
-#: Longer words are read in pieces of this many bytes.
-WORD_BYTES = 24
+#: Longer words, as scripts without blanks have, are judged in pieces of about so many bytes, each read with CONTEXT bytes on both sides.
+WORD_BYTES, CONTEXT = 64, 16
 HIDDEN, EPOCHS, RATE, WORD_BATCH = 16, 6, 0.02, 256
 #: Bounds of the labelled sample: documents of each language, words of each document, words of each language.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LANG_WORDS = 200, 100, 6000
@@ -60,6 +60,27 @@ class Direction:
             out[:, t] = h
         return out
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """run() for prediction: states by step (steps, words, hidden), computed in place."""
+        n, w = self.n, self.w + self.b
+        out = np.zeros((x.shape[1] + 1, len(x), n), dtype=np.float32)
+        gates, inner = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
+        for t in range(x.shape[1]):
+            h, a = out[t], w[x[:, t]]
+            zr = h @ gates
+            zr += a[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = (zr[:, n:] * h) @ inner
+            c += a[:, 2 * n :]
+            np.tanh(c, out=c)
+            c -= h
+            c *= zr[:, :n]
+            np.add(h, c, out=out[t + 1])
+        return out[1:]
+
     def back(self, x: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of w, u, b, given those of every state."""
         n, gw, gu, gb = self.n, np.zeros_like(self.w), np.zeros_like(self.u), np.zeros_like(self.b)
@@ -96,6 +117,15 @@ class ByteNetwork:
         s = np.concatenate([self.fwd.run(x), self.bwd.run(x[:, ::-1])[:, ::-1]], axis=2)
         return self._softmax(s @ self.v + self.c)
 
+    def sums(self, x: np.ndarray, first: int = 0, end: int | None = None) -> np.ndarray:
+        """positions() of each word summed over its steps from `first` to `end` (words, languages)."""
+        n = self.fwd.n
+        forth, back = self.fwd.states(x), self.bwd.states(x[:, ::-1])[::-1]
+        out = np.zeros((len(x), len(self.langs)))
+        for f, b in zip(forth[first:end], back[first:end]):
+            out += self._softmax(f @ self.v[:n] + b @ self.v[n:] + self.c)
+        return out
+
     @staticmethod
     def _softmax(a: np.ndarray) -> np.ndarray:
         e = np.exp(a - a.max(axis=-1, keepdims=True))
@@ -149,39 +179,66 @@ class ByteNetwork:
         return loss
 
 
-def cut(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= WORD_BYTES else [word[i : i + WORD_BYTES] for i in range(0, len(word), WORD_BYTES)]
-
-
-class WordScores(dict):
-    """A word's summed position probabilities, remembered up to a bound."""
-
-    def __init__(self, net: ByteNetwork, most: int = 250_000):
-        super().__init__()
-        self.net, self.most = net, most
-        self.table = np.zeros((0, len(net.langs)))
-
-    def learn(self, words: set[bytes]) -> None:
-        new = sorted(words.difference(self), key=len)
-        if len(self) + len(new) > self.most:
-            self.clear()
-            self.table = np.zeros((0, len(self.net.langs)))
-            new = sorted(words, key=len)
-        if not new:
-            return
-        parts = [(i, p) for i, w in enumerate(new) for p in cut(w)]
-        sums = np.zeros((len(new), len(self.net.langs)))
-        by_len: dict[int, list[tuple[int, bytes]]] = {}
-        for i, p in parts:
-            by_len.setdefault(len(p), []).append((i, p))
-        for n, group in sorted(by_len.items()):
-            for lo in range(0, len(group), 2048):
-                some = group[lo : lo + 2048]
+def cut(word: bytes) -> list[tuple[bytes, int, int]]:
+    """Pieces of a word, each with its context and the part of it that counts; cut between characters."""
+    if len(word) <= WORD_BYTES:
+        return [(word, 0, len(word))]
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + WORD_BYTES, len(word))
+        for _ in range(3):
+            if end < len(word) and word[end] & 0xC0 == 0x80:
+                end -= 1
+        lo = max(0, at - CONTEXT)
+        out.append((word[lo : end + CONTEXT], at - lo, end - lo))
+        at = end
+    return out
+
+
+class WordScores:
+    """Summed position probabilities of words, remembered by hash for up to `most` of them."""
+
+    def __init__(self, net: ByteNetwork, most: int = 1_000_000):
+        self.net, self.table = net, HashTable(most)
+        self.sums = np.zeros((1024, len(net.langs)), dtype=np.float32)
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """Summed position probabilities of each word, through the network."""
+        out = np.zeros((len(words), len(self.net.langs)))
+        by_len: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
+        for i, w in enumerate(words):
+            for p, a, b in cut(w):
+                by_len.setdefault((len(p), a, b), []).append((i, p))
+        for (n, a, b), group in sorted(by_len.items()):
+            for lo in range(0, len(group), 1024):
+                some = group[lo : lo + 1024]
                 x = np.frombuffer(b"".join(p for _, p in some), dtype=np.uint8).reshape(len(some), n)
-                np.add.at(sums, [i for i, _ in some], self.net.positions(x).sum(axis=1, dtype=np.float64))
-        at = len(self.table)
-        self.table = np.concatenate([self.table, sums])
-        self.update((w, at + i) for i, w in enumerate(new))
+                np.add.at(out, [i for i, _ in some], self.net.sums(x, a, b))
+        return out
+
+    def block(self, buf: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed probabilities and the number of bytes in words, of each text that begins at `at`."""
+        starts, ends = block_words(buf)
+        hashes = span_hashes(buf, starts, ends)
+        total = np.zeros((len(starts) + 1, len(self.net.langs)))
+        step = self.table.most // 4
+        for a in range(0, len(starts), step):
+            h = hashes[a : a + step]
+            found = self.table.find(h)
+            new, where, _ = self.table.unseen(h, found)
+            if len(new):
+                n = self.table.count + len(new)
+                if n > len(self.sums):
+                    self.sums = np.concatenate([self.sums, np.zeros((max(n - len(self.sums), len(self.sums)), self.sums.shape[1]), dtype=np.float32)])
+                raw = buf.tobytes()
+                self.sums[self.table.count : n] = self.score([raw[s:e] for s, e in zip(starts[a + where].tolist(), ends[a + where].tolist())])
+                self.table.add(new)
+                found = self.table.find(h)
+            total[a + 1 : a + 1 + len(h)] = self.sums[found]
+        cuts = np.r_[np.searchsorted(starts, at), len(starts)]
+        size = np.r_[0, np.cumsum(ends - starts)]
+        # Each text's sum by itself, so that it doesn't depend on its neighbours.
+        return np.array([total[a + 1 : b + 1].sum(axis=0) for a, b in zip(cuts, cuts[1:])]).reshape(len(at), -1), np.diff(size[cuts])
 
 
 def word_scores(net: ByteNetwork) -> WordScores:
@@ -191,18 +248,14 @@ def word_scores(net: ByteNetwork) -> WordScores:
 
 def predict(scores: WordScores, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, mean probability) of whole texts; `und` with 0.0 for null or no letter. Ties go to the first language in order."""
-    words = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
-    scores.learn(set().union(*words))
-    out = []
-    for w in words:
-        if not w:
-            out.append((UNKNOWN, 0.0))
-            continue
-        idx = np.fromiter(map(scores.__getitem__, w), dtype=np.int64, count=len(w))
-        p = scores.table[idx].sum(axis=0) / sum(map(len, w))
-        k = int(p.argmax())
-        out.append((scores.net.langs[k], float(min(1.0, p[k]))))
-    return out
+    sums, size = np.zeros((len(texts), len(scores.net.langs))), np.zeros(len(texts))
+    for buf, who, at in byte_blocks([utf8(t) if t and _LETTER.search(t) else None for t in texts]):
+        s, n = scores.block(buf, at)
+        np.add.at(sums, who, s)
+        np.add.at(size, who, n)
+    p = sums / np.maximum(size, 1)[:, None]
+    best = p.argmax(axis=1)
+    return [(scores.net.langs[k], float(min(1.0, p[i, k]))) if size[i] else (UNKNOWN, 0.0) for i, k in enumerate(best.tolist())]
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -229,7 +282,7 @@ def fit(docs: DataFrame, seed: int = 7) -> ByteNetwork | None:
             for d, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
                 w = words_of(text)
                 pick = [w[i * len(w) // SAMPLE_WORDS] for i in range(SAMPLE_WORDS)] if len(w) > SAMPLE_WORDS else w
-                out += [(d, lang, i, p) for i, x in enumerate(pick) for p in cut(x)]
+                out += [(d, lang, i, p) for i, x in enumerate(pick) for p, _, _ in cut(x)]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "i", "word"])
 
     got = rows.select("doc_id", "lang", "text").where(F.col("doc_id").isin(chosen)).mapInPandas(sample, "doc_id long, lang string, i int, word binary").toPandas()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, block_words, byte_blocks, materialize, span_hashes, tune, worker_memory
+from .common import SPACES, HashTable, block_words, byte_blocks, materialize, span_hashes, tune, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -102,7 +102,7 @@ class TextTokens:
     text goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,47 +110,26 @@ class TextTokens:
         steps = json.loads(self.tokenizer.to_str())
         self.known = {k: steps[k] for k in _STEPS} == _STEPS and steps["model"]["type"] == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.bits = (4 * most).bit_length() - 1
+        self.table = HashTable(most)
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.named = np.zeros(1 << self.bits, dtype=np.int32)
-        self.first, self.often, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), 0
+        self.first, self.often = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.flat, self.used = np.zeros(4096, dtype="<u4"), 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The numbers of remembered units by their hashes; -1 for others."""
-        out = np.full(len(h), -1, dtype=np.int64)
-        left, slot, last = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            at = self.keys[slot]
-            hit = at == h[left]
-            out[left[hit]] = self.named[slot[hit]]
-            go = ~hit & (at != 0)
-            left, slot = left[go], (slot[go] + 1) & last
-        return out
-
     def learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
         """Remember units with distinct hashes that are not in the table."""
-        n, flat = len(h), np.fromiter(chain.from_iterable(ids), dtype="<u4")
-        while self.count + n > len(self.first):
+        at, n, flat = self.table.count, len(h), np.fromiter(chain.from_iterable(ids), dtype="<u4")
+        while at + n > len(self.first):
             self.first, self.often = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.often))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=n)
-        self.often[self.count : self.count + n] = sizes
-        self.first[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
+        self.often[at : at + n] = sizes
+        self.first[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(flat)] = flat
-        left, slot, last = np.arange(n), (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]  # of several that want a slot one gets it
-            done = free & (self.keys[slot] == h[left])
-            self.named[slot[done]] = self.count + left[done]
-            left, slot = left[~done], (slot[~done] + 1) & last
-        self.count += n
         self.used += len(flat)
+        self.table.add(h)
 
     def unit(self, raw: bytes, whole: bool) -> list[int]:
         if whole:
@@ -162,22 +141,18 @@ class TextTokens:
         """The ids of a block, and how many of them belong to each text that begins at `at`."""
         low, starts, ends, whole = units(buf)
         hashes = span_hashes(low, starts, ends)
-        hashes[hashes == 0] = 1
         out, sizes = [], np.zeros(len(starts) + 1, dtype=np.int64)
         step = self.most // 4
         for a in range(0, len(starts), step):
             h = hashes[a : a + step]
-            found = self.find(h)
-            new, where = np.unique(h[found < 0], return_index=True)
+            found = self.table.find(h)
+            new, where, emptied = self.table.unseen(h, found)
+            if emptied:
+                self.clear()
             if len(new):
-                if self.count + len(new) > self.most:
-                    self.clear()
-                    new, where = np.unique(h, return_index=True)
-                else:
-                    where = np.flatnonzero(found < 0)[where]
                 raw = low.tobytes()
                 self.learn(new, [self.unit(raw[s:e], w) for s, e, w in zip(starts[a + where].tolist(), ends[a + where].tolist(), whole[a + where].tolist())])
-                found = self.find(h)
+                found = self.table.find(h)
             n = self.often[found]
             sizes[a + 1 : a + 1 + len(n)] = n
             total = np.cumsum(n)

@@ -15,8 +15,10 @@ from .common import components, materialize
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Up to so many rules are one expression; more are joined by the suffixes of hosts.
+LISTED_RULES = 100
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -36,6 +38,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
+def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """`urls` (with host and path) with a column r: rule_of() for rules (verdict, host, path) of any number, by joins on the suffixes of hosts."""
+    parts = F.split("host", "[.]", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    told = rules.select("verdict", F.col("host").alias("_rh"), F.col("path").alias("_rp")).distinct()
+    places = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("_rh"))
+    order = F.struct(F.length("_rh") + F.length("_rp"), "verdict", "_rh", "_rp")
+    one = F.max_by(F.struct(F.concat("_rh", "_rp").alias("rule"), "verdict"), order).alias("r")
+    fits = places.join(told, "_rh").where(F.startswith("path", F.col("_rp"))).groupBy("host", "path").agg(one)
+    return urls.join(fits, ["host", "path"], "left")
+
+
+def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """`urls` with a column r, the longest rule that fits."""
+    if len(rules) <= LISTED_RULES:
+        return urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    return match_rules(urls, urls.sparkSession.createDataFrame(rules, "verdict string, host string, path string"))
+
+
 def _key(host: Column, path: Column, query: Column) -> Column:
     """What names a resource: scheme and fragment don't count, nor does an empty path differ from /."""
     return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.coalesce(query, F.lit(""))))
@@ -83,16 +104,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, def
     base = base.select("*", _key(F.col("host"), F.col("path"), F.col("query")).alias("key"))
     out = F.explode(links(F.col("html")))
     found = base.where(F.col("key").isNotNull() & F.rlike(F.coalesce("html", F.lit("")), F.lit("(?i)canonical|refresh"))).select("key", "url", "host", "path", out.alias("to"))
-    to = resolve(F.col("to"), F.col("url"), F.col("host"), F.col("path"))
-    th, tp, tq = split_url(to)
-    edges = materialize(found.select(F.col("key").alias("a"), _key(th, tp, tq).alias("b")).where("b is not null and a <> b").distinct(), "redirects")
-    classes = components(edges)
+    # Exploding an array of one keeps the target a column, in place of copies of its expression in all that follows.
+    to = found.select("key", F.explode(F.array(resolve(F.col("to"), F.col("url"), F.col("host"), F.col("path")))).alias("to"))
+    edges = materialize(to.select(F.col("key").alias("a"), _key(*split_url(F.col("to"))).alias("b")).where("b is not null and a <> b").distinct(), "redirects")
+    classes = components(edges, native=True)
     # A member's own rule follows from its key, whether or not its page was crawled.
-    member = F.regexp_extract("node", r"(?s)^([^/?#]*)", 1), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1)
-    judged = classes.select("node", "component", rule_of(*member, rules)["verdict"].alias("v"))
+    member = F.regexp_extract("node", r"(?s)^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path")
+    judged = with_rule(classes.select("node", "component", *member), rules).select("node", "component", F.col("r.verdict").alias("v"))
     decided = judged.groupBy("component").agg(F.max(F.coalesce(F.col("v") == "allow", F.lit(False))).alias("allowed"), F.max(F.coalesce(F.col("v") == "block", F.lit(False))).alias("blocked"))
     spread = judged.join(decided, "component").select("node", "component", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("class_verdict"))
-    own = base.select("page_id", "host", "path", "key", rule_of(F.col("host"), F.col("path"), rules).alias("r"))
+    own = with_rule(base.select("page_id", "host", "path", "key"), rules)
     return own.join(spread, own["key"] == spread["node"], "left").select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
         F.coalesce(F.col("r.verdict"), "class_verdict", F.lit(default)).alias("verdict"), F.col("component").alias("class_key"),

@@ -17,19 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows of a block: blocks grow to the larger size before their number grows beyond the shuffle's partitions, as every
+#: block of queries goes to every block of rows. A tile is worked off TILE_ROWS by TILE_QUERIES.
+ROW_BLOCK, MOST_ROWS, QUERY_BLOCK = 4096, 65_536, 1024
+TILE_ROWS, TILE_QUERIES = 4096, 128
 
 _BLOCK = "dim int, block int, ids binary, vectors binary"
 
 
-def _pack(k: int):
+def _pack(k: int, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, block = key
-        x = np.array(pdf["embedding"].tolist(), dtype=np.float32).reshape(len(pdf), dim)
+        x = np.array(pdf["embedding"].tolist(), dtype=kind).reshape(len(pdf), dim)
         ids = pdf["vec_id"].to_numpy(dtype=np.int64)
-        ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-        order = np.argsort(ids[ok], kind="stable")
-        x, ids = x[ok][order], ids[ok][order]
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
         if k and len(x):  # of equal vectors, only the k smallest ids can be among a query's nearest
             _, same = np.unique(x, axis=0, return_inverse=True)
             same = same.reshape(-1)
@@ -66,9 +68,9 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(k: int):
+def _scan(k: int, kind: str):
     def run(frames):
-        heaps: dict[int, list] = {}
+        heaps: dict[tuple[int, int], list] = {}
         at, q = None, None
         for pdf in frames:
             for row in pdf.itertuples(index=False):
@@ -77,41 +79,48 @@ def _scan(k: int):
                         yield _emit(heaps)
                     at, heaps = (row.dim, row.qblock), {}
                     qid = np.frombuffer(row.qids, dtype=np.int64)
-                    qv = np.frombuffer(row.qvectors, dtype=np.float32).reshape(-1, row.dim).astype(np.float64)
+                    qv = np.frombuffer(row.qvectors, dtype=kind).reshape(-1, row.dim).astype(np.float64)
                     q = (qid, qv, np.sqrt(_sums(qv * qv)), *_code(qv))
-                _tile(q, row, k, heaps)
+                ids = np.frombuffer(row.ids, dtype=np.int64)
+                vectors = np.frombuffer(row.vectors, dtype=kind).reshape(-1, row.dim)
+                if len(ids) and len(q[0]):
+                    # Tiles are cut where an id begins, so that all vectors of an id lie in one.
+                    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                    cuts = np.r_[first[:: TILE_ROWS], len(ids)]
+                    for lo, hi in zip(cuts, cuts[1:]):
+                        _tile(q, ids[lo:hi], vectors[lo:hi].astype(np.float64), k, heaps)
         if heaps:
             yield _emit(heaps)
 
     return run
 
 
-def _tile(q, row, k: int, heaps: dict[int, list]) -> None:
+def _tile(q, rid: np.ndarray, rv: np.ndarray, k: int, heaps: dict[tuple[int, int], list]) -> None:
+    """Offer a tile's nearest rows to the heaps of its queries, one for each query vector. An id counts with its best vector."""
     qid, qv, qn, qc, qs, qlen, qerr = q
-    rid = np.frombuffer(row.ids, dtype=np.int64)
-    rv = np.frombuffer(row.vectors, dtype=np.float32).reshape(-1, row.dim).astype(np.float64)
-    if not len(rid) or not len(qid):
-        return
     rn = np.sqrt(_sums(rv * rv))
     rc, rs, rlen, rerr = _code(rv)
-    for lo in range(0, len(qid), 128):  # 128 x 4096 doubles at a time
-        s = slice(lo, lo + 128)
+    first = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+    for lo in range(0, len(qid), TILE_QUERIES):
+        s = slice(lo, lo + TILE_QUERIES)
         near = _product(qc[s], rc) * qs[s, None] * rs
         err = qerr[s, None] * rlen + qlen[s, None] * rerr + qerr[s, None] * rerr + 1e-9
         own = qid[s, None] == rid
         low = np.where(own, -9.0, near - err)
-        floor = np.partition(low, -k, axis=1)[:, -k] if len(rid) > k else np.full(len(low), -9.0)
+        if len(first) < len(rid):
+            low = np.maximum.reduceat(low, first, axis=1)
+        floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -9.0)
         for i in range(len(floor)):
-            heap = heaps.setdefault(int(qid[lo + i]), [])
+            heap = heaps.setdefault((int(qid[lo + i]), lo + i), [])
             least = max(floor[i], heap[0][0] - 1e-9) if len(heap) == k else floor[i]
             j = np.flatnonzero((near[i] + err[i] >= least) & ~own[i])
             if not len(j):
                 continue
             score = _sums(rv[j] * qv[lo + i]) / (rn[j] * qn[lo + i])
-            if len(j) > k:
-                top = np.lexsort((rid[j], -score))[:k]
-                j, score = j[top], score[top]
-            for sc, v in zip(score.tolist(), rid[j].tolist()):
+            top = np.lexsort((-score, rid[j]))
+            top = top[np.r_[True, rid[j][top][1:] != rid[j][top][:-1]]]  # the best vector of each id
+            top = top[np.lexsort((rid[j][top], -score[top]))[:k]]
+            for sc, v in zip(score[top].tolist(), rid[j][top].tolist()):
                 item = (sc, -v)
                 if len(heap) < k:
                     heapq.heappush(heap, item)
@@ -119,35 +128,42 @@ def _tile(q, row, k: int, heaps: dict[int, list]) -> None:
                     heapq.heapreplace(heap, item)
 
 
-def _emit(heaps: dict[int, list]) -> pd.DataFrame:
-    rows = [(q, -v, s) for q, h in heaps.items() for s, v in h]
+def _emit(heaps: dict[tuple[int, int], list]) -> pd.DataFrame:
+    rows = [(q, -v, s) for (q, _), h in heaps.items() for s, v in h]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, ties to the smaller vec_id.
 
-    Both frames have vec_id and embedding. A repeated vec_id counts once, with its smallest vector. Null ids
-    and vectors that are null, empty, zero or hold a null or non-finite component take no part; vectors of
-    different lengths are not compared. A query whose id is the only one gets no row.
+    Both frames have vec_id and embedding, and other columns are ignored. Null ids and vectors that are null,
+    empty, zero or hold a null or non-finite component take no part; vectors of different lengths are not
+    compared. Every other row counts: an id with several vectors, on either side, is as near as its nearest.
+    Equal rows count once. A query whose id is the only one gets no row; an empty table gives none.
     """
     spark = vectors.sparkSession
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "float32" if element == "float" else "float64"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def clean(df: DataFrame) -> DataFrame:
-        v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-        v = v.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda e: e.isNull()))
-        return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-
-    def blocks(v: DataFrame, size: int, equal: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-v.count() // size))
+        v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "float32" else "array<double>").alias("embedding"))
+        odd = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
+        v = v.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", odd) & F.exists("embedding", lambda e: e != 0))
+        return v.distinct().withColumn("dim", F.size("embedding"))
+
+    def blocks(v: DataFrame, least: int, most: int, equal: int) -> tuple[DataFrame, int]:
+        count = v.count()
+        n = max(1, -(-count // most), min(-(-count // least), parts))
         v = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-        return v.groupBy("dim", "block").applyInPandas(_pack(equal), _BLOCK), n
+        return v.groupBy("dim", "block").applyInPandas(_pack(equal, kind), _BLOCK), n
 
-    rows, n_rows = blocks(clean(vectors), ROW_BLOCK, k + 1)
-    asked, n_asked = blocks(clean(queries), QUERY_BLOCK, 0)
+    rows, n_rows = blocks(clean(vectors), ROW_BLOCK, MOST_ROWS, k + 1)
+    asked, n_asked = blocks(clean(queries), QUERY_BLOCK, QUERY_BLOCK, 0)
     asked = asked.select("dim", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("block"))
-    tiles = rows.join(asked, ["dim", "block"]).repartition(max(1, min(n_rows * n_asked, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "dim", "block")
-    best = tiles.sortWithinPartitions("dim", "qblock").mapInPandas(_scan(k), "query_id long, vec_id long, score double")
+    tiles = rows.join(asked, ["dim", "block"]).repartition(max(1, min(n_rows * n_asked, 4 * parts)), "dim", "block")
+    best = tiles.sortWithinPartitions("dim", "qblock").mapInPandas(_scan(k, kind), "query_id long, vec_id long, score double")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from slateflow.sources.versions import versions
+
 from .common import materialize, new_path
 
 N_SLOTS = 4096
@@ -24,19 +26,23 @@ MAP_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()), T.StructFi
 
 
 class SlotMap:
-    """Versions of the slot-to-shard map, kept as a Parquet table with one folder for each version."""
+    """Versions of the slot-to-shard map, kept as a Parquet table with one folder for each version.
+
+    A path that holds a map already is opened at its newest complete version, and edits go on from there.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "slotmap")
-        self.version = -1
-        self.shards: list[int] = []
+        found = versions(spark, self.path)
+        self.version = found[-1] if found else -1
+        self.shards: list[int] = [r["shard"] for r in self.load().orderBy("vslot").collect()] if found else []
 
     def save(self, shards: list[int]) -> int:
         """Store `shards` (by slot) as the next version. Rows: one for each slot, N_SLOTS at most."""
         self.version += 1
         self.shards = list(shards)
         rows = [(self.version, s, d) for s, d in enumerate(shards)]
-        self.spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{self.path}/v={self.version}")
+        self.spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={self.version}")
         return self.version
 
     def load(self, version: int | None = None) -> DataFrame:
@@ -115,19 +121,27 @@ def _near(pairs: list[tuple[int, int]], value: float) -> list[tuple[int, int]]:
 def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
     """Each row of `docs` (doc_id, text) with its virtual slot, its shard and its place in the shard; the map used.
 
-    Slots are hashes of doc_id and the text's checksum, so neither a hot source nor a group of equal
-    texts or null ids fills one slot more than a share by number of distinct ids. Null text has size 1 and
-    checksum of the empty string. Repeated rows share a slot and are numbered apart. An empty table
-    gives no rows. Collected to the driver: one sum for each slot, `n_slots` at most.
+    Slots are hashes of doc_id, or of the text where the id is null, so that a hot source or a group of equal
+    texts with ids of their own fills none. An id, or a text without id, that repeats on more rows than an
+    average slot has is salted by row over all slots. Null text has size 1 and the checksum of the empty
+    string. Repeated rows are numbered apart. An empty table gives no rows. Other columns are ignored.
+    Collected to the driver: one sum for each slot and lane, `n_slots` times LANES at most; broadcast: those,
+    and hot keys, `n_slots` at most.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("doc_id").isNull(), text)).alias("_h"),
-    ).select(
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    base = materialize(base, "rows")  # rows keep their numbers
+    total = base.count()
+    hot = base.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") * n_slots > F.lit(total)).where("_n > 1").select("_h", F.lit(True).alias("_hot"))
+    salted = F.when(F.col("_hot"), F.xxhash64("_h", "_row")).otherwise(F.col("_h"))
+    base = base.join(F.broadcast(hot), "_h", "left").withColumn("_h", salted).select(
         "doc_id", "size", "text_crc32",
         F.pmod("_h", F.lit(n_slots)).cast("int").alias("vslot"),
         F.pmod(F.shiftright("_h", 32), F.lit(LANES)).cast("int").alias("lane"),
@@ -139,6 +153,7 @@ def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, slot_map: Slot
         weight[r["vslot"]] += r["bytes"]
     if slot_map is None:
         slot_map = SlotMap(spark)
+    if not slot_map.shards:
         slot_map.save([s % n_shards for s in range(n_slots)])
     slot_map.rebalance(weight, n_shards)
     # First place of each lane in its shard: a table of n_slots * LANES rows at most.

@@ -1,9 +1,10 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) follow fixed patterns. They seed a graph of lexical patterns (the two
-words before a base span or another identifier-like token, earlier ones included: one word is too little to tell)
-and instances (base spans as a whole, and tokens outside them): a pattern's confidence is the mean score of its distinct instances, an unseen instance's score the best confidence it stands under, and Spark
-repeats the two aggregates ROUNDS times. Patterns of high confidence with enough distinct seeds then mark
+words before a base span or another identifier-like token, earlier ones included: one word is too little to
+tell) and instances (base spans as a whole, and tokens outside them): a pattern's confidence is the mean score
+of its distinct instances, an unseen instance's score the best confidence it stands under, and Spark repeats
+the two aggregates ROUNDS times. Patterns of high confidence with enough distinct seeds then mark
 the unseen identifiers that follow them, under the kind `context`.
 """
 
@@ -103,9 +104,12 @@ def _identifiers(df: DataFrame) -> DataFrame:
     head = "length(x.match) - length(regexp_replace(x.match, r'^[^A-Za-z0-9]+', ''))"
     core = r"regexp_replace(x.match, r'^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
     df = df.withColumn("_found", F.expr(f"transform(_id, x -> named_struct('at', x.start, 'start', x.start + {head}, 'token', {core}))"))
-    df = df.withColumn("_found", F.expr(
-        "filter(_found, x -> length(x.token) BETWEEN 4 AND 128 AND NOT exists(_seeds, b -> b.start < x.start + length(x.token) AND b.start + length(b.match) > x.start))"
-    ))
+    # Both lists are in order of start but for base spans of different kinds; a chunk of tokens meets the spans near it only.
+    chunk = f"slice(_found, c * {_CHUNK} + 1, {_CHUNK})"
+    near = f"filter(_seeds, b -> b.start < element_at({chunk}, -1).start + length(element_at({chunk}, -1).token) AND b.start + length(b.match) > element_at({chunk}, 1).start)"
+    apart = "x -> length(x.token) >= 4 AND NOT exists(g.near, b -> b.start < x.start + length(x.token) AND b.start + length(b.match) > x.start)"
+    groups = f"transform(sequence(0, cast(ceil(size(_found) / {_CHUNK}D) AS int) - 1), c -> named_struct('some', {chunk}, 'near', {near}))"
+    df = df.withColumn("_found", F.expr(f"CASE WHEN size(_found) = 0 THEN _found ELSE flatten(transform({groups}, g -> filter(g.some, {apart}))) END"))
     df = df.withColumn("_found", F.expr(
         "concat(transform(_seeds, x -> named_struct('at', x.start, 'start', x.start, 'token', x.match, 'seed', true)), transform(_found, x -> named_struct('at', x.at, 'start', x.start, 'token', x.token, 'seed', false)))"
     ))
@@ -131,14 +135,18 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least: float = LE
 def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: the columns `carry`, the spans of each base kind, and `context`, those discovered.
 
-    Null text is the empty text. Rows need no key: a number given when the spans are first written joins them.
+    Null text is the empty text and has no spans; an empty table gives no rows. Repeated rows are found alike,
+    each by itself, while a pattern counts an instance once however often it stands there. Rows need no key: a
+    number given when the spans are first written joins them. Other columns may have any name. Discovered
+    identifiers have 4 code points at least.
     """
     carry = carry or []
     df = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     df = _identifiers(base_spans(df)).drop("_digit", "_text").withColumn("_row", F.monotonically_increasing_id())
     df = materialize(df, "spans")
     token = df.select("_row", F.explode("_tokens").alias("t")).select("_row", "t.*")
-    marked = token.select("_row", "start", "end", "seed", F.col("token").alias("instance"), F.col("two").alias("pattern")).where("pattern <> ''")
+    name = F.when(F.length("token") > 64, F.sha2("token", 256)).otherwise(F.col("token")).alias("instance")  # a long token by its digest
+    marked = token.select("_row", "start", "end", "seed", name, F.col("two").alias("pattern")).where("pattern <> ''")
     good = confident_patterns(marked.select("pattern", "instance", "seed"))
     hits = marked.where("not seed").join(good, "pattern").select("_row", F.struct(F.lit(DISCOVERED).alias("kind"), "start", "end").alias("span"))
     extra = materialize(hits.groupBy("_row").agg(F.sort_array(F.collect_set("span")).alias(DISCOVERED)), "discovered")
@@ -159,7 +167,11 @@ def digest(found: DataFrame, key: list[Column]) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """`docs` with every span, discovered ones too, replaced by its kind in brackets; overlapping spans as one. Other texts, and null, stay."""
+    """`docs`, row by row and with all its columns, every span in the text, discovered ones too, replaced by its kind in brackets.
+
+    Overlapping spans are replaced as one, by the kind of the first. Other texts, and null, stay as they are; an
+    empty table stays empty.
+    """
     cols = docs.columns
     found = find(docs, cols)
     at = {c: f"c_{i}" for i, c in enumerate(cols)}

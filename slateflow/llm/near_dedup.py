@@ -355,11 +355,12 @@ def links(sig: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     who = edges.select(F.col("x").alias("doc_id")).unionByName(edges.select(F.col("c").alias("doc_id"))).distinct()
     rows = rows.join(who, "doc_id", "left_semi")
     texts = materialize(rows.groupBy("doc_id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text")).drop("_t"), "texts")
-    found = link_groups(star_groups(near), texts).unionByName(same_documents(sig, reps))
+    # Written before components() reads it: one Python worker for each running task, not two.
+    found = materialize(link_groups(star_groups(near), texts).unionByName(same_documents(sig, reps)), "links")
     comp = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     met = meetings(edges, comp, marks)
     if met is not None:
-        more = stray_links(*met, texts)
+        more = materialize(stray_links(*met, texts), "links")
         joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
         comp = components(joined)
     for x in (edges, near, texts):

@@ -48,10 +48,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/slateflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Intermediate tables have small row groups and pages, also of few long rows, so that neither writing nor reading holds many of those.
+_WRITING = {
+    "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1000",
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1000",
+}
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**_WRITING).option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._slateflow_path = path
     return out

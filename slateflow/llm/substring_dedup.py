@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, limit: int = GROUP_
     """
     spark = docs.sparkSession
     tune(spark)
-    packs = materialize(pack_texts(docs), "packs")
+    packs = materialize(pack_texts(docs), "packs", "uncompressed")  # the texts are compressed already
     anchors = materialize(packs.mapInArrow(_emit_anchors, "pack long, anchor long, n long"), "anchors")
     total = materialize(anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1"), "totals")
     some = total.agg(F.sum(F.when(F.col("total") <= limit, F.col("total"))).alias("n"), F.max("total").alias("most")).first()

@@ -1,4 +1,4 @@
-"""Read-only command line: resolve, query, pack, cite, list and filter over a published catalog and store."""
+"""Read-only command line: resolve, query, pack, cite, list, filter and instances, over a published catalog and store."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--catalog", help="Parquet path of the catalog; the built-in sources if left out")
     p.add_argument("--memory", help="Parquet path of the memory records")
     p.add_argument("--vector", help="the query's vector, comma-separated")
+    p.add_argument("--embedding-endpoint", help="a service that gives a text its vector, where no vector is given")
     p.add_argument("--pretty", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     r = sub.add_parser("resolve")
@@ -19,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--include-skills", action="store_true")
     q = sub.add_parser("query")
     q.add_argument("source_id")
+    q.add_argument("query", nargs="?", default="", help="free text; needs an embedding endpoint unless a vector is given")
     q.add_argument("--version")
     q.add_argument("--top-k", type=int, default=5)
     k = sub.add_parser("pack")
@@ -35,20 +37,41 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument(f"--{o}")
     f.add_argument("--limit", type=int)
     f.add_argument("--include-skills", action="store_true")
+    i = sub.add_parser("instances")
+    i.add_argument("--path", help="JSON lines of deployed instances")
     return p
 
 
+def embedded(df, vector: str | None, endpoint: str | None):
+    """Rows of (query) with their vector: the given one, or the embedding service's."""
+    from slateflow.operators.memory import FixedEmbedder, HttpEmbedder
+
+    if vector:
+        return FixedEmbedder([float(x) for x in vector.split(",")]).embed(df)
+    if endpoint:
+        return HttpEmbedder(endpoint).embed(df)
+    raise SystemExit("a vector or an embedding endpoint is needed")
+
+
 def run(spark, a: argparse.Namespace) -> dict:
     """The command's result, its shape alone telling which command it was."""
+    from pyspark.sql import functions as F
+
     from slateflow import schemas
     from slateflow.operators import catalog, memory, pack, resolve
+    from slateflow.settings import ReadSettings, load
     from slateflow.sources import tables
 
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if a.command == "cite":
         text = pack.cite_json(spark, a.pack)
         return {"citations": [{k: v for k, v in r.items() if k not in ("position", "query")} for r in rows(text.orderBy("position"))]}
-    sources = spark.read.schema(schemas.SOURCE).parquet(a.catalog) if a.catalog else tables.seed_catalog(spark)
+    s = load(ReadSettings, catalog=a.catalog, memory=a.memory, embedding_endpoint=a.embedding_endpoint, instances=getattr(a, "path", None))
+    if a.command == "instances":
+        if not s.instances:
+            raise SystemExit("a path of instances is needed")
+        return {"instances": rows(tables.list_instances(spark, s.instances))}
+    sources = _catalog(spark, s.catalog) if s.catalog else tables.seed_catalog(spark)
     if a.command == "list":
         got = rows(catalog.list_sources(sources, a.include_skills))
         return {"count": len(got), "filters": None, "sources": got}
@@ -61,17 +84,25 @@ def run(spark, a: argparse.Namespace) -> dict:
         told = resolve.describe(q).first()
         found = rows(resolve.resolve(q, sources, a.max_sources, a.include_skills).orderBy("rank").drop("query_id", "rank"))
         return {"query": a.query, "intent": told["intent"], "entities": told["entities"], "candidates": found}
-    vector = [float(x) for x in a.vector.split(",")] if a.vector else []
-    records = memory.TableStore(spark, a.memory).read() if a.memory else spark.createDataFrame([], schemas.MEMORY)
-    if a.command == "pack":
-        return pack.pack_one(spark, a.query, vector, sources, records, max_sources=a.max_sources, max_tokens=a.max_tokens, include_skills=a.include_skills)
-    if catalog.get_source(sources, a.source_id).isEmpty():
+    records = memory.TableStore(spark, s.memory).read() if s.memory else spark.createDataFrame([], schemas.MEMORY)
+    if a.command == "query" and catalog.get_source(sources, a.source_id).isEmpty():
         raise SystemExit(f"source not found: {a.source_id}")
-    ask = spark.createDataFrame([(0, a.source_id, vector, a.version, a.top_k)], "query_id int, source_id string, vector array<float>, version string, top_k int")
+    asked = embedded(spark.createDataFrame([(0, a.query)], "query_id int, query string"), a.vector, s.embedding_endpoint)
+    if a.command == "pack":
+        return pack.pack_one(asked, sources, records, max_sources=a.max_sources, max_tokens=a.max_tokens, include_skills=a.include_skills)
+    ask = asked.select("query_id", F.lit(a.source_id).alias("source_id"), "vector", F.lit(a.version).cast("string").alias("version"), F.lit(a.top_k).alias("top_k"))
     found = memory.query(ask, sources, records).orderBy("hit_rank").drop("query_id", "src_rank", "hit_rank")
     return {"source_id": a.source_id, "snippets": rows(found)}
 
 
+def _catalog(spark, path: str):
+    """A catalog that a refresh published, or a plain table."""
+    from slateflow import schemas
+    from slateflow.sources import versions
+
+    return versions.read_version(spark, path, schemas.SOURCE) if versions.versions(spark, path) else spark.read.schema(schemas.SOURCE).parquet(path)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession

@@ -83,6 +83,12 @@ def _text(v: str, key: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col(v), f"$.{key}", "string"))
 
 
+def _payload_version(payload: Column) -> Column:
+    """The version of a payload, if it is a string."""
+    value = F.try_variant_get(F.try_parse_json(payload), "$.version", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(payload), "$.version", "string"))
+
+
 def parse_payload(df: DataFrame, payload: str = "payload", source_id: str = "source_id") -> DataFrame:
     """df with p_title, p_snippet, p_citation, p_version from a JSON or plain payload; only string fields count."""
     raw = F.col(payload)
@@ -98,30 +104,34 @@ def parse_payload(df: DataFrame, payload: str = "payload", source_id: str = "sou
 def search(asked: DataFrame, sources: DataFrame, memory: DataFrame, k: int | None = None, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Snippets and outcomes of (query_id, source_id, src_rank, vector, version, top_k) rows.
 
-    Snippets have each pair's best top_k, ranked. An outcome is `ok`, `empty` (no snippet) or `error`: the
-    source has no shards, or no snippet is left and a shard failed (`errors`: shard_id, error). Records meet
-    only the shards of resolved sources: a join on shard_id, which prunes partitions of the store.
+    Snippets have each pair's best top_k, ranked; payloads are parsed once that is settled, and before it only
+    where a version is asked for. An outcome is `ok`, `empty` (no snippet), `missing` (the source is not among
+    `sources`) or `error`: the source has no shards, or no snippet is left and a shard failed (`errors`:
+    shard_id, error). Records meet only the shards of resolved sources: a join on shard_id, which prunes
+    partitions of the store.
     """
-    meta = sources.select("source_id", "trust", "retrieved_at", "shard_ids")
-    pairs = asked.join(meta, "source_id")
+    meta = sources.select("source_id", "trust", "retrieved_at", "shard_ids", F.lit(True).alias("_known"))
+    pairs = asked.join(meta, "source_id", "left")
     shards = pairs.select("query_id", "source_id", "src_rank", "vector", "version", "top_k", "trust", "retrieved_at", F.posexplode(F.array_sort("shard_ids")).alias("shard_pos", "shard_id"))
     live = shards if errors is None else shards.join(errors.select("shard_id"), "shard_id", "left_anti")
     hits = live.join(memory, "shard_id").withColumn("score", X.dot(F.col("vector"), F.col("embedding")))
-    hits = parse_payload(hits).where(F.col("version").isNull() | F.coalesce(F.col("p_version") == F.col("version"), F.lit(False)))
+    hits = hits.where(F.col("version").isNull() | F.coalesce(_payload_version(F.col("payload")) == F.col("version"), F.lit(False)))
     w = Window.partitionBy("query_id", "source_id").orderBy(F.desc("score"), "shard_pos", "hit_pos")
     ranked = hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= F.greatest(F.col("top_k"), F.lit(1)))
-    snippets = ranked.select(
+    snippets = parse_payload(ranked).select(
         "query_id", "src_rank", "hit_rank", "source_id", F.col("p_title").alias("title"), F.col("p_snippet").alias("snippet"), F.col("p_citation").alias("citation"),
         "trust", "retrieved_at", F.col("p_version").alias("version"), F.lit(False).alias("stale"), F.col("score").cast("float").alias("score"),
     )
-    got = snippets.groupBy("query_id", "source_id").agg(F.count("*").alias("n"))
-    failed = pairs.select("query_id", "source_id", F.lit(0).alias("failed")) if errors is None else (
-        shards.join(errors.select("shard_id"), "shard_id", "left_semi").select("query_id", "source_id").distinct().withColumn("failed", F.lit(1))
-    )
-    failed = failed.distinct()
-    out = pairs.select("query_id", "source_id", "src_rank", F.size("shard_ids").alias("shards")).join(got, ["query_id", "source_id"], "left").join(failed, ["query_id", "source_id"], "left")
+    got = ranked.groupBy("query_id", "source_id").agg(F.count("*").alias("n"))
+    out = pairs.select("query_id", "source_id", "src_rank", F.coalesce("_known", F.lit(False)).alias("known"), F.coalesce(F.size("shard_ids"), F.lit(0)).alias("shards")).join(got, ["query_id", "source_id"], "left")
+    if errors is None:
+        out = out.withColumn("failed", F.lit(False))
+    else:
+        failed = shards.join(errors.select("shard_id"), "shard_id", "left_semi").select("query_id", "source_id", F.lit(True).alias("failed")).distinct()
+        out = out.join(failed, ["query_id", "source_id"], "left")
     status = (
-        F.when(F.col("shards") == 0, "error").when(F.coalesce("n", F.lit(0)) > 0, "ok").when(F.coalesce("failed", F.lit(0)) == 1, "error").otherwise("empty")
+        F.when(~F.col("known"), "missing").when(F.col("shards") <= 0, "error").when(F.coalesce("n", F.lit(0)) > 0, "ok")
+        .when(F.coalesce("failed", F.lit(False)), "error").otherwise("empty")
     )
     return snippets, out.select("query_id", "source_id", "src_rank", status.alias("outcome"))
 

@@ -54,25 +54,29 @@ def summary(titles) -> F.Column:
     return F.when(F.size(titles) > 0, F.concat(F.lit("Top evidence came from: "), F.array_join(F.slice(titles, 1, 3), ", "))).otherwise(F.lit("No evidence found for the query."))
 
 
-def evidence(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, include_skills: bool = False, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resolved sources, snippets without repeats, and outcomes, for (query_id, query, vector) rows."""
+def evidence(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, include_skills: bool = False, errors: DataFrame | None = None, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolved sources, snippets without repeats, and outcomes, for (query_id, query, vector) rows.
+
+    `metadata`: where a resolved source's shards and trust are looked up, if that is not the catalog it was
+    resolved in; a source that isn't there has the outcome `missing`.
+    """
     found = resolve(queries, sources, max_sources, include_skills).withColumnRenamed("rank", "src_rank")
     asked = found.select("query_id", "source_id", "src_rank").join(queries.select("query_id", "vector"), "query_id")
     asked = asked.withColumns({"version": F.lit(None).cast("string"), "top_k": F.lit(HITS_PER_SOURCE)})
-    snippets, outcomes = search(asked, sources, memory, errors=errors)
+    snippets, outcomes = search(asked, sources if metadata is None else metadata, memory, errors=errors)
     return found, drop_repeats(snippets), outcomes
 
 
-def pack(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, max_tokens: int = 3000, include_skills: bool = False, errors: DataFrame | None = None) -> DataFrame:
+def pack(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, max_tokens: int = 3000, include_skills: bool = False, errors: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """One row for each query, as schemas.PACK with query_id and `failed`: no source answered and nothing was found."""
-    found, snippets, outcomes = evidence(queries, sources, memory, max_sources, include_skills, errors)
+    found, snippets, outcomes = evidence(queries, sources, memory, max_sources, include_skills, errors, metadata)
     kept = trim(snippets, max_tokens)
     ev = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*schemas.SNIPPET.names).alias("s")))).alias("e"))
     ev = ev.select("query_id", F.transform("e", lambda x: x["s"]).alias("evidence"))
     warn = warnings_of(outcomes).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("src_rank", F.struct("kind", "message").alias("w")))).alias("w"))
     warn = warn.select("query_id", F.transform("w", lambda x: x["w"]).alias("warnings"))
     ids = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("src_rank", "source_id"))).alias("r")).select("query_id", F.transform("r", lambda x: x["source_id"]).alias("resolved_sources"))
-    answered = outcomes.groupBy("query_id").agg(F.count_if(F.col("outcome") != "error").alias("answered"))
+    answered = outcomes.groupBy("query_id").agg(F.count_if(F.col("outcome").isin("ok", "empty")).alias("answered"))
     any_found = snippets.groupBy("query_id").agg(F.count("*").alias("found"))
     out = queries.select("query_id", "query")
     for part in (ids, ev, warn, answered, any_found):
@@ -90,10 +94,9 @@ def pack(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources:
     )
 
 
-def pack_one(spark: SparkSession, text: str, vector: list[float], sources: DataFrame, memory: DataFrame, **options) -> dict:
-    """One query's pack as a dictionary; raises NoSources if nothing answered."""
-    q = spark.createDataFrame([(0, text, vector)], "query_id int, query string, vector array<float>")
-    row = pack(q, sources, memory, **options).first().asDict(recursive=True)
+def pack_one(asked: DataFrame, sources: DataFrame, memory: DataFrame, **options) -> dict:
+    """The pack of one (query_id, query, vector) row as a dictionary; raises NoSources if nothing answered."""
+    row = pack(asked, sources, memory, **options).first().asDict(recursive=True)
     if row.pop("failed"):
         raise NoSources("all resolved sources failed")
     row.pop("query_id")

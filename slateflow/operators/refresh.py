@@ -14,12 +14,14 @@ from slateflow.functions import text as X
 from slateflow.operators import catalog, ingest, pack as packs
 from slateflow.operators.memory import TableStore, search
 from slateflow.operators.resolve import resolve
+from slateflow.sources.tables import warnings_by_source
+from slateflow.sources.versions import read_version, write_version
 
 
-def record_hashes(payloads: DataFrame, position: str | None = None, volatile: tuple[str, ...] = ()) -> DataFrame:
+def record_hashes(payloads: DataFrame, position: str, volatile: tuple[str, ...] = ()) -> DataFrame:
     """(source_id, record_key, hash) of payloads; of rows with one key the last by `position` wins. `volatile` fields don't count."""
-    fields = [(f, F.col(f)) for f in payloads.columns if f not in (*volatile, position, "item_pos")]
-    rows = payloads.select("source_id", X.record_key(F.col("citation"), F.col("section_index"), F.col("chunk_index")).alias("record_key"), X.canonical_hash(*fields).alias("hash"), (F.col(position) if position else F.lit(0)).alias("_p"))
+    fields = [(f, F.col(f)) for f in payloads.columns if f not in (*volatile, position)]
+    rows = payloads.select("source_id", X.record_key(F.col("citation"), F.col("section_index"), F.col("chunk_index")).alias("record_key"), X.canonical_hash(*fields).alias("hash"), F.col(position).alias("_p"))
     return rows.groupBy("source_id", "record_key").agg(F.max_by("hash", "_p").alias("hash"))
 
 
@@ -42,6 +44,12 @@ def diff_status(changes: DataFrame, max_changed: int = 200, max_deleted: int = 2
     return out.select("source_id", "added_records", "removed_records", "changed_records", total.alias("total_changes"), status.alias("status"), ((total > max_changed) | (F.col("removed_records") > max_deleted)).alias("needs_review"))
 
 
+def diff_report(changes: DataFrame) -> DataFrame:
+    """For each source the keys that were added, removed and changed, each list in code-point order."""
+    keys = lambda c: F.array_sort(F.collect_list(F.when(F.col("change") == c, F.col("record_key")))).alias(c)
+    return changes.groupBy("source_id").agg(*map(keys, ("added", "removed", "changed")))
+
+
 def fingerprint(hashes: DataFrame) -> DataFrame:
     """One digest of each source's records: of the per-record digests in order of key."""
     rows = F.array_sort(F.collect_list(F.struct("record_key", "hash")))
@@ -90,7 +98,7 @@ def last_success(snapshots: DataFrame, failed: DataFrame) -> DataFrame:
 
 @dataclass
 class Stores:
-    """Where a cycle reads and writes: a store and a catalog path for each environment, and the state's paths."""
+    """Where a cycle reads and writes: a store and a versioned catalog for each environment, the versioned state, and snapshots."""
 
     staging: TableStore
     prod: TableStore
@@ -109,15 +117,25 @@ class Report:
 
 
 def records_for(payloads: DataFrame, registry: DataFrame, env: str, embed) -> DataFrame:
-    """Records of an environment: each payload, tagged, for every shard of its source. `embed` adds an embedding to (text) rows."""
+    """Records of an environment: each payload, tagged, for every shard of its source. `embed` adds an embedding to (text) rows.
+
+    hit_pos puts a shard's records in order of source, citation, section and chunk: a sort by ranges, whose
+    rows are numbered where they lie, so that no task holds a whole shard.
+    """
     target = registry.select("source_id", F.explode(f"memory_targets.{env}_shard_ids").alias("shard_id"), F.col("catalog_metadata.supported_versions").alias("_versions"))
     rows = payloads.join(target, "source_id").withColumn("memory_tag", X.memory_tag(F.col("source_id"), F.col("_versions")))
     fields = [F.col(c) for c in sorted([*schemas.PAYLOAD.names, "memory_tag"])]
-    w = Window.partitionBy("shard_id").orderBy("source_id", "citation", "section_index", "chunk_index")
-    rows = rows.select("shard_id", (F.row_number().over(w) - 1).cast("long").alias("hit_pos"), X.embedding_text(F.col("title"), F.col("snippet"), F.col("content")).alias("text"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
+    rows = rows.orderBy("shard_id", "source_id", "citation", "section_index", "chunk_index", "content").withColumn("hit_pos", F.monotonically_increasing_id())
+    rows = rows.select("shard_id", "hit_pos", X.embedding_text(F.col("title"), F.col("snippet"), F.col("content")).alias("text"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
     return embed(rows).select("shard_id", "hit_pos", "embedding", "payload")
 
 
+def without_shards(registry: DataFrame, env: str) -> DataFrame:
+    """(source_id, message) of entries that name no shard of an environment: nothing could be written for them."""
+    none = F.coalesce(F.size(f"memory_targets.{env}_shard_ids"), F.lit(0)) <= 0
+    return registry.where(none).select("source_id", F.concat("source_id", F.lit(f": no {env} memory shard ids configured")).alias("message"))
+
+
 def catalog_rows(registry: DataFrame, env: str) -> DataFrame:
     return registry.select(
         "source_id", *[F.col(f"catalog_metadata.{c}").alias(c) for c in ("title", "aliases", "trust", "domain", "skill_kind", "targets", "capabilities")],
@@ -137,105 +155,132 @@ def smoke(registry: DataFrame, sources: DataFrame, memory: DataFrame, embed) ->
     return out.select(F.col("query_id").alias("source_id"), fails.alias("failures"))
 
 
-def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores: Stores, embed, dry_run: bool = False, max_changed: int = 200, max_deleted: int = 25, volatile: tuple[str, ...] = ()) -> Report:
-    """One batch cycle over all given sources at once: normalize, validate, diff, stage, smoke, gate, publish or roll back, commit.
+def _publisher(spark: SparkSession, stores: Stores, embed, dry_run: bool):
+    """publish(env, entries, content): write memory and catalog of some registry entries, and (source_id, failures) of their smoke queries.
 
-    Decisions, a row for each source, are the only thing that reaches the driver.
+    In a dry run nothing is written, and the smoke queries run on what would be. Failures, a row for each
+    entry, are taken once and don't change with what is written later.
     """
-    from slateflow.sources.tables import _exists
+    places = {"staging": (stores.staging, stores.staging_catalog), "prod": (stores.prod, stores.prod_catalog)}
 
-    report = Report(datetime.now(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z"))
-    entries = registry.select(F.row_number().over(Window.orderBy("source_id")).alias("position"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("entry"))
-    bad = [r["message"] for r in ingest.validate_registry(entries).orderBy("position").collect()]
-    if bad:
-        return Report(report.run_at, "invalid_registry", errors=bad)
-    payloads, meta = ingest.normalize(raw, registry)
-    payloads = payloads.persist()
+    def publish(env: str, entries: DataFrame, content: DataFrame) -> DataFrame:
+        store, path = places[env]
+        records = records_for(content.join(entries.select("source_id"), "source_id", "left_semi"), entries, env, embed)
+        sources = catalog_rows(entries, env)
+        if not dry_run:
+            store.reset(records)
+            write_version(catalog.upsert(read_version(spark, path, schemas.SOURCE), sources), path)
+            records, sources = store.read(), read_version(spark, path, schemas.SOURCE)
+        return spark.createDataFrame(smoke(entries, sources, records, embed).collect(), "source_id string, failures array<string>")
+
+    return publish
+
+
+def problems_of(registry: DataFrame, payloads: DataFrame, meta: DataFrame) -> DataFrame:
+    """(source_id, message): why a source can't be published: suspicious pages first, else no payloads, else payloads that break a rule."""
+    small = meta.where("suspicious").select("source_id", F.concat("source_id", F.lit(": extracted text from `"), "url", F.lit("` looks too small; upstream HTML may have changed")).alias("message"))
+    fine = registry.select("source_id").join(small.select("source_id"), "source_id", "left_anti")
+    none = fine.join(payloads.select("source_id"), "source_id", "left_anti").select("source_id", F.concat("source_id", F.lit(": payload collection is empty")).alias("message"))
     w = Window.partitionBy("source_id").orderBy("citation", "section_index", "chunk_index", "item_pos")
-    problems = ingest.validate_payloads(payloads.withColumn("_pos", F.row_number().over(w) - 1), F.col("source_id"), F.col("_pos"))
-    problems = problems.select(F.col("expected_id").alias("source_id")).unionByName(meta.where("suspicious").select("source_id"))
-    state = spark.read.schema(schemas.STATE).parquet(stores.state) if _exists(spark, stores.state) else spark.createDataFrame([], schemas.STATE)
+    rows = payloads.join(fine, "source_id", "left_semi").withColumn("_pos", F.row_number().over(w) - 1)
+    broken = ingest.validate_payloads(rows, F.col("source_id"), F.col("_pos")).select(F.col("expected_id").alias("source_id"), "message")
+    return small.unionByName(none).unionByName(broken)
+
+
+def assess(registry: DataFrame, payloads: DataFrame, meta: DataFrame, state: DataFrame, max_changed: int = 200, max_deleted: int = 25, volatile: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What gate() needs to know of each source before anything is written, with its counts and messages; and the new record hashes."""
     old = state.select("source_id", F.explode("record_hashes").alias("record_key", "hash"))
-    new = record_hashes(payloads, "item_pos", volatile)
-    status = diff_status(diff_records(old, new.join(registry.select("source_id"), "source_id", "left_semi")), max_changed, max_deleted)
+    new = record_hashes(payloads, "item_pos", volatile).join(registry.select("source_id"), "source_id", "left_semi")
+    changes = diff_records(old.join(registry.select("source_id"), "source_id", "left_semi"), new)
     meta_hash = registry.select("source_id", F.sha2(F.to_json("catalog_metadata", {"ignoreNullFields": "false"}), 256).alias("new_meta"))
-    rows = (
-        registry.select("source_id").join(status, "source_id", "left").join(meta_hash, "source_id").join(state.select("source_id", "metadata_hash", "success_snapshot"), "source_id", "left")
-        .join(problems.groupBy("source_id").agg(F.count("*").alias("errors")), "source_id", "left")
-        .join(meta.groupBy("source_id").agg(F.sum(F.size("warnings")).alias("warnings")), "source_id", "left")
-    )
-    empty = F.col("status").isNull()
+    problems = problems_of(registry, payloads, meta).groupBy("source_id").agg(F.array_sort(F.collect_list("message")).alias("messages"))
+    rows = registry.select("source_id")
+    for part in (diff_status(changes, max_changed, max_deleted), meta_hash, state.select("source_id", "metadata_hash", "success_snapshot"), problems, warnings_by_source(meta).withColumnRenamed("warnings", "extraction_warnings")):
+        rows = rows.join(part, "source_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("added_records", "removed_records", "changed_records", "total_changes")]
+    no_words, no_warnings = F.array().cast("array<string>"), F.array().cast(schemas.META["warnings"].dataType)
     rows = rows.select(
-        "source_id", F.when(empty, F.lit(1)).otherwise(F.coalesce("errors", F.lit(0))).alias("errors"), F.coalesce("status", F.lit("noop")).alias("status"), "new_meta",
-        metadata_changed(F.col("metadata_hash"), F.col("new_meta")).alias("metadata_changed"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"),
-        F.coalesce("warnings", F.lit(0)).alias("warnings"), F.col("success_snapshot").isNotNull().alias("has_snapshot"), F.col("success_snapshot").alias("snapshot"),
-    ).persist()
-    live = rows.where("errors = 0 and not (status = 'noop' and not metadata_changed)").select("source_id")
-    part = registry.join(live, "source_id", "left_semi")
-
-    def publish(env: str, ids: DataFrame, store: TableStore, path: str, content: DataFrame) -> DataFrame:
-        some = registry.join(ids, "source_id", "left_semi")
-        records = records_for(content.join(ids, "source_id", "left_semi"), some, env, embed)
-        if not dry_run:
-            store.reset(records)
-            now = spark.read.schema(schemas.SOURCE).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schemas.SOURCE)
-            done = catalog.upsert(now, catalog_rows(some, env))
-            done.write.mode("overwrite").parquet(path + ".next")
-            spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
-        return smoke(some, catalog_rows(some, env) if dry_run else spark.read.schema(schemas.SOURCE).parquet(path), records if dry_run else store.read(), embed)
+        "source_id", F.coalesce(F.size("messages"), F.lit(0)).alias("errors"), F.coalesce("messages", no_words).alias("messages"), F.coalesce("status", F.lit("noop")).alias("status"), *counts, "new_meta",
+        metadata_changed(F.col("metadata_hash"), F.col("new_meta")).alias("metadata_changed"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.coalesce("warning_count", F.lit(0)).alias("warnings"),
+        F.coalesce("extraction_warnings", no_warnings).alias("extraction_warnings"), F.col("success_snapshot").isNotNull().alias("has_snapshot"), F.col("success_snapshot").alias("snapshot"),
+    )
+    return rows, new
+
 
-    decided = {}
+def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores: Stores, embed, dry_run: bool = False, max_changed: int = 200, max_deleted: int = 25, volatile: tuple[str, ...] = ()) -> Report:
+    """One batch cycle over all given sources at once: normalize, validate, diff, stage, smoke, gate, publish or roll back, commit.
+
+    A source without payloads, with a suspicious page or with a broken payload fails and stays as it was.
+    gate() decides three times: with nothing published yet, who goes to staging; with staging's result, who
+    goes to production; and with production's, what each source ends as. One row a source reaches the driver,
+    for the report.
+    """
+    report = Report(datetime.now(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z"))
+    entries = registry.select(F.monotonically_increasing_id().alias("position"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("entry"))
+    bad = [r["message"] for r in ingest.validate_registry(entries).orderBy("position", "message").collect()]
+    for env in ("staging", "prod"):
+        bad += [r["message"] for r in without_shards(registry, env).orderBy("source_id").collect()]
+    if bad:
+        return Report(report.run_at, "invalid_registry", errors=bad)
+    payloads, meta = ingest.normalize(raw, registry)
+    payloads, meta = payloads.persist(), meta.persist()
+    state = read_version(spark, stores.state, schemas.STATE)
+    rows, new = assess(registry, payloads, meta, state, max_changed, max_deleted, volatile)
+    rows = rows.persist()
+    publish = _publisher(spark, stores, embed, dry_run)
+    of = lambda ids: registry.join(ids.select("source_id"), "source_id", "left_semi")
+    told = {"staging": None, "prod": None, "rollback": None}
+
+    def decide(told: dict) -> DataFrame:
+        """gate() over what is known so far; a step that hasn't run counts as passed."""
+        out = rows
+        for step, checked in told.items():
+            ok, failures = f"{step}_ok", f"{step}_failures"
+            if checked is None:
+                out = out.withColumns({ok: F.lit(True), failures: F.array().cast("array<string>")})
+            else:
+                out = out.join(checked.withColumnRenamed("failures", failures), "source_id", "left").withColumn(ok, F.coalesce(F.size(failures), F.lit(0)) <= 0)
+        return gate(out, dry_run)
+
+    live = decide(told).where("errors = 0 and decision <> 'noop'")
     if not live.isEmpty():
-        staged = {r["source_id"]: list(r["failures"]) for r in publish("staging", live, stores.staging, stores.staging_catalog, payloads).collect()}
-    else:
-        staged = {}
-    for r in rows.collect():
-        review = r["needs_review"] or r["warnings"] > 0
-        if r["errors"]:
-            d = "failed"
-        elif r["status"] == "noop" and not r["metadata_changed"]:
-            d = "noop"
-        elif staged.get(r["source_id"]):
-            d = "failed"
-        elif review:
-            d = "needs_review"
-        else:
-            d = "dry_run" if dry_run else "publish"
-        decided[r["source_id"]] = d
-    ids = [(s,) for s, d in decided.items() if d == "publish"]
-    if ids:
-        go = spark.createDataFrame(ids, "source_id string")
-        failures = {r["source_id"]: list(r["failures"]) for r in publish("prod", go, stores.prod, stores.prod_catalog, payloads).collect()}
-        snapshot = report.run_at.replace(":", "-")
-        good = [(s,) for (s,) in ids if not failures.get(s)]
-        for (s,) in ids:
-            if not failures.get(s):
-                decided[s] = "applied"
-        if good:
-            payloads.join(spark.createDataFrame(good, "source_id string"), "source_id", "left_semi").select(*schemas.PAYLOAD.names).withColumn("snapshot", F.lit(snapshot)).write.mode("append").partitionBy("snapshot").parquet(stores.snapshots)
-        lost = [(s,) for (s,) in ids if failures.get(s)]
-        has = {r["source_id"]: r["snapshot"] for r in rows.where("has_snapshot").collect()}
-        back = [(s,) for (s,) in lost if s in has]
-        for (s,) in lost:
-            decided[s] = "rolled_back" if s in has else "unavailable"
-        if back:
-            ids_back = spark.createDataFrame(back, "source_id string")
-            content = last_success(spark.read.parquet(stores.snapshots), ids_back).select(*schemas.PAYLOAD.names)
-            again = {r["source_id"]: list(r["failures"]) for r in publish("prod", ids_back, stores.prod, stores.prod_catalog, content).collect()}
-            for (s,) in back:
-                if again.get(s):
-                    decided[s] = "rollback_failed"
-    report.sources = [{"source_id": s, "status": d} for s, d in sorted(decided.items())]
-    if any(d not in ("noop", "applied", "dry_run") for d in decided.values()):
-        report.status = "partial"
-    keep = [(s, report.run_at.replace(":", "-") if d == "applied" else None) for s, d in decided.items() if d in ("applied", "noop")]
-    if keep and not dry_run:
-        marks = spark.createDataFrame(keep, "source_id string, success_snapshot string")
+        told["staging"] = publish("staging", of(live), payloads)
+    go = decide(told).where("decision = 'applied'")
+    if not go.isEmpty():
+        told["prod"] = publish("prod", of(go), payloads)
+        snapshot = X.file_safe(F.lit(report.run_at))
+        good = decide(told).where("decision = 'applied'").select("source_id")
+        if not good.isEmpty():
+            payloads.join(good, "source_id", "left_semi").select(*schemas.PAYLOAD.names).withColumn("snapshot", snapshot).write.mode("append").partitionBy("snapshot").parquet(stores.snapshots)
+        lost = decide(told).where("decision = 'rolled_back'").select("source_id")
+        if not lost.isEmpty():
+            before = state.join(lost, "source_id").select(F.from_json("success_entry", schemas.REGISTRY).alias("e")).select("e.*")
+            told["rollback"] = publish("prod", before, last_success(spark.read.parquet(stores.snapshots), lost).select(*schemas.PAYLOAD.names))
+    final = decide(told).persist()
+    report.status = report_status(final).first()["status"]
+    report.sources = [_told(r) for r in final.orderBy("source_id").collect()]
+    if not dry_run:
+        applied = F.col("decision") == "applied"
+        whole = registry.select("source_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_entry"))
+        marks = final.where("merges_state").join(whole, "source_id").select(
+            "source_id", "status", F.col("new_meta").alias("metadata_hash"), F.when(applied, X.file_safe(F.lit(report.run_at))).alias("success_snapshot"), F.when(applied, F.col("_entry")).alias("success_entry"))
         maps = new.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("record_key", "hash"))).alias("record_hashes"))
-        updates = rows.join(marks, "source_id").join(maps, "source_id").join(fingerprint(new), "source_id").select(
-            "source_id", "status", F.col("fingerprint").alias("normalized_fingerprint"), F.col("new_meta").alias("metadata_hash"), "record_hashes", "success_snapshot")
-        merge_state(state, updates).write.mode("overwrite").parquet(stores.state + ".next")
-        spark.read.parquet(stores.state + ".next").write.mode("overwrite").parquet(stores.state)
-    payloads.unpersist()
-    rows.unpersist()
+        updates = marks.join(maps, "source_id").join(fingerprint(new), "source_id").withColumnRenamed("fingerprint", "normalized_fingerprint").withColumn("last_run_at", F.lit(report.run_at))
+        write_version(merge_state(state, updates.select(*schemas.STATE.names)).withColumn("last_run_at", F.lit(report.run_at)), stores.state)
+    for x in (payloads, meta, rows, final):
+        x.unpersist()
     return report
+
+
+def _told(r) -> dict:
+    """A source's part of the report."""
+    out = {"source_id": r["source_id"], "status": r["decision"]}
+    if r["errors"]:
+        return out | {"errors": list(r["messages"])}
+    out["diff"] = {k: r[k] for k in ("status", "metadata_changed", "added_records", "removed_records", "changed_records", "total_changes")}
+    out["diff"]["needs_review"] = bool(r["needs_review"] or r["warnings"])
+    if r["warnings"]:
+        out["diff"]["extraction_warning_count"] = r["warnings"]
+        out["warnings"] = [w.asDict() for w in r["extraction_warnings"]]
+    failed = {step: list(r[f"{step}_failures"] or []) for step in ("staging", "prod", "rollback")}
+    return out | {"failures": {k: v for k, v in failed.items() if v}} if any(failed.values()) else out

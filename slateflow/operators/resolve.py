@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from slateflow.functions import text as X
 from slateflow.operators.catalog import is_skill
 
-#: Sources in a block of the match join; each query meets every block once.
-BLOCK_SOURCES = 4096
+#: A catalog of up to so many sources meets each query whole; in a larger one they find each other by pieces of text.
+SMALL_CATALOG = 4096
+#: Length of the pieces of text by which queries and sources find each other; shorter texts count as a whole.
+GRAM = 3
 
 
 def _prepared(sources: DataFrame) -> DataFrame:
@@ -22,19 +24,60 @@ def _prepared(sources: DataFrame) -> DataFrame:
     )
 
 
-def score_sources(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every (query, source) of positive score: score (float) and reasons.
+def _pieces(x: Column, n: int) -> Column:
+    """All pieces of n characters of a text."""
+    places = F.sequence(F.lit(1), F.length(x) - (n - 1))
+    return F.when(F.length(x) >= n, F.transform(places, lambda i: x.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _offers(x: Column) -> Column:
+    """What a text can be found by: the empty piece and all pieces of up to GRAM characters."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(x, n) for n in range(1, GRAM + 1)]))
+
 
-    Containment of text in text has no key to join on, so sources lie in blocks of bounded size and each
-    query is sent to every block: an equi-join on the block that spreads over the cluster and broadcasts
-    neither side unless Spark knows that it is small.
+def _wants(x: Column) -> Column:
+    """Pieces that every text has which contains x: those of GRAM characters, or x itself if it is shorter."""
+    return F.when(F.length(x) < GRAM, F.array(x)).otherwise(F.array_distinct(_pieces(x, GRAM)))
+
+
+def _keyed(texts: DataFrame, name: str, offered: DataFrame) -> DataFrame:
+    """`texts` with `piece`: of the pieces that column `name` wants the one that the fewest offers have; without rows that want one none has.
+
+    Normalized text has 39 different characters, so the counts of pieces are 60,879 rows at most and can be broadcast.
     """
+    often = offered.groupBy("piece").agg(F.count("*").alias("_often"))
+    wanted = texts.withColumn("_w", _wants(F.col(name))).withColumn("_all", F.size("_w")).withColumn("piece", F.explode("_w")).drop("_w")
+    found = wanted.join(F.broadcast(often), "piece")
+    least = found.groupBy(*texts.columns, "_all").agg(F.min_by("piece", F.struct("_often", "piece")).alias("piece"), F.count("*").alias("_n"))
+    return least.where("_n = _all").drop("_n", "_all")
+
+
+def candidates(q: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(query_id, source_id) of all pairs that score: a text of the source is in the query, or all of the query's tokens are in an alias.
+
+    Both are found by an equi-join on short pieces of text, the rarest that a text must have, and then verified.
+    """
+    none = F.array().cast("array<string>")
+    texts = prepared.select("source_id", F.explode(F.array_distinct(F.concat(F.coalesce("_aliases", none), F.array("_title", "_id")))).alias("text")).where("text is not null")
+    asked = q.select("query_id", "_q", F.explode(_offers(F.col("_q"))).alias("piece"))
+    inside = asked.join(_keyed(texts, "text", asked), "piece").where(F.contains("_q", F.col("text"))).select("query_id", "source_id")
+    aliases = prepared.select("source_id", F.explode("_aliases").alias("alias")).where("alias is not null").distinct()
+    offered = aliases.select("source_id", "alias", F.explode(_offers(F.col("alias"))).alias("piece"))
+    longest = F.coalesce(F.element_at(F.array_sort(F.transform("_toks", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"], F.lit(""))
+    whole = q.select("query_id", F.array_join("_toks", " ").alias("_t"), F.when(F.size("_toks") > 0, longest).otherwise(F.lit("")).alias("token"))
+    covers = offered.join(_keyed(whole, "token", offered), "piece").where(F.forall(X.tokens(F.col("_t")), lambda t: F.contains("alias", t))).select("query_id", "source_id")
+    return inside.unionByName(covers).distinct()
+
+
+def score_sources(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every (query, source) of positive score: score (float) and reasons. Ids are keys of their tables."""
     prepared = _prepared(sources)
-    blocks = max(1, -(-sources.count() // BLOCK_SOURCES))
-    prepared = prepared.withColumn("_block", F.pmod(F.xxhash64("source_id"), F.lit(blocks)).cast("int"))
-    q = queries.select("query_id", "query", X.normalize_catalog(F.col("query")).alias("_q"))
-    q = q.withColumn("_toks", X.tokens(F.col("_q"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = q.join(prepared, "_block")
+    q = queries.select("query_id", "query", X.normalize_catalog(F.col("query")).alias("_q")).where("_q is not null")
+    q = q.withColumn("_toks", X.tokens(F.col("_q")))
+    if sources.limit(SMALL_CATALOG + 1).count() <= SMALL_CATALOG:
+        both = q.withColumn("_all", F.lit(0)).join(F.broadcast(prepared.withColumn("_all", F.lit(0))), "_all").drop("_all")
+    else:
+        both = candidates(q, prepared).join(q, "query_id").join(prepared, "source_id")
     points = F.transform("_aliases", lambda a: X.alias_points(a, F.col("_q"), F.col("_toks")))
     both = both.withColumn("_points", points).withColumn("_has_title", F.contains("_q", F.col("_title"))).withColumn("_has_id", F.contains("_q", F.col("_id")))
     score = (

@@ -91,6 +91,8 @@ LABELS = [
     {"source_id": f"/label/{i}", "title": f"Label {i}", "aliases": sorted(["label", f"group {i}"]), "trust": "official" if i % 2 else "curated", "domain": "skill_knowledge" if i == 9 else "code_docs", "skill_kind": None, "targets": [], "capabilities": [], "shard_ids": [] if i == 8 else sorted([str(2 * i), str(2 * i + 1)]), "supported_versions": ["1", "2"], "retrieved_at": "2026-02-01T00:00:00Z", "citations": [f"https://example.org/label/{i}"]}
     for i in range(10)
 ]
+#: What fails in the failing variants: shards, and a source whose metadata is gone.
+FAILED_SHARDS, LOST_SOURCE = ["0", "4", "5"], "/label/1"
 #: Queries, each with the vector of one record.
 ASKED = [(0, "label", 7), (1, "group 3", 11), (2, "group 8", 20), (3, "group 9 label", 42), (4, "group 4 /label/4", 100), (5, "nothing fits", 3)]
 
@@ -106,20 +108,19 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
     text = F.coalesce("text", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
-    short = F.substring(text, 1, 120)
     n = F.col("vec_id")
     url = F.concat(F.lit("https://example.org/doc/"), (n % 50).cast("string"))
     payload = (
-        F.when(n % 4 == 0, F.to_json(F.struct(short.alias("snippet"), F.concat(F.lit("Doc "), (n % 7).cast("string")).alias("title"), url.alias("citation"), F.lit("1").alias("version"))))
+        F.when(n % 4 == 0, F.to_json(F.struct(text.alias("snippet"), F.concat(F.lit("Doc "), (n % 7).cast("string")).alias("title"), url.alias("citation"), F.lit("1").alias("version"))))
         .when(n % 4 == 1, F.to_json(F.struct(text.alias("text"), url.alias("url"), F.lit("2").alias("version"))))
         .when(n % 4 == 2, text)
-        .otherwise(F.to_json(F.struct(short.alias("content"), F.lit(3).alias("version"), F.lit(5).alias("title"))))
+        .otherwise(F.to_json(F.struct(text.alias("content"), F.lit(3).alias("version"), F.lit(5).alias("title"))))
     )
     return e.join(d, "vec_id", "left").select((F.col("label") * 2 + n % 2).cast("string").alias("shard_id"), n.alias("hit_pos"), "embedding", payload.alias("payload"))
 
 
 MEMORY_SQL = """SELECT (e.label * 2 + e.vec_id % 2)::VARCHAR AS shard_id, e.vec_id AS hit_pos, e.embedding,
-  CASE WHEN e.vec_id % 4 = 0 THEN substring(t, 1, 120) WHEN e.vec_id % 4 = 3 THEN substring(t, 1, 120) ELSE t END AS p_snippet,
+  t AS p_snippet,
   CASE WHEN e.vec_id % 4 = 0 THEN 'Doc ' || (e.vec_id % 7) END AS given_title,
   CASE WHEN e.vec_id % 4 IN (0, 1) THEN 'https://example.org/doc/' || (e.vec_id % 50) END AS given_citation,
   CASE WHEN e.vec_id % 4 = 0 THEN '1' WHEN e.vec_id % 4 = 1 THEN '2' END AS p_version
@@ -139,16 +140,16 @@ ASKED_SQL = "SELECT a.query_id, a.query, v.embedding AS vector FROM (VALUES " +
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Old and new (source_id, citation, section_index, chunk_index, content) of documents, by source."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     cols = [F.concat(F.lit("/src/"), "source").alias("source_id"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("citation"), F.lit(0).alias("section_index"), (F.col("doc_id") % 3).cast("int").alias("chunk_index")]
     old = d.where("doc_id % 10 <> 0").select(*cols, F.col("text").alias("content"))
-    new = d.where("doc_id % 7 <> 0").select(*cols, F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("content"))
+    new = d.where("doc_id % 7 <> 0 or doc_id % 10 = 0").select(*cols, F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("content"))
     return old, new
 
 
-SNAPSHOT_SQL = """d AS (SELECT '/src/' || source AS source_id, 'https://example.org/' || doc_id || '#0:' || (doc_id % 3) AS record_key, doc_id, text FROM documents WHERE text IS NOT NULL),
+SNAPSHOT_SQL = """d AS (SELECT '/src/' || source AS source_id, 'https://example.org/' || doc_id || '#0:' || (doc_id % 3) AS record_key, doc_id, coalesce(text, '') AS text FROM documents),
 old AS (SELECT source_id, record_key, sha256(text) AS hash FROM d WHERE doc_id % 10 <> 0),
-new AS (SELECT source_id, record_key, sha256(CASE WHEN doc_id % 13 = 0 THEN text || ' changed' ELSE text END) AS hash FROM d WHERE doc_id % 7 <> 0),
+new AS (SELECT source_id, record_key, sha256(CASE WHEN doc_id % 13 = 0 THEN text || ' changed' ELSE text END) AS hash FROM d WHERE doc_id % 7 <> 0 OR doc_id % 10 = 0),
 changes AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.record_key, n.record_key) AS record_key,
   CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'changed' ELSE 'same' END AS change
   FROM old o FULL JOIN new n ON o.source_id = n.source_id AND o.record_key = n.record_key)"""

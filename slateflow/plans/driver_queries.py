@@ -179,6 +179,20 @@ def pack_summary(s, d):
     return p.select("query_id", "query", F.array_join("resolved_sources", "|").alias("resolved_sources"), F.size("evidence").alias("n_evidence"), F.size("warnings").alias("n_warnings"), "pack_summary", "token_budget", "failed")
 
 
+def _failing(s) -> dict:
+    errors = s.createDataFrame([(x, "no answer") for x in B.FAILED_SHARDS], "shard_id string, error string")
+    return {"errors": errors, "metadata": B.labels(s).where(F.col("source_id") != B.LOST_SOURCE)}
+
+
+def pack_warnings_failing(s, d):
+    return pack.warnings_of(pack.evidence(B.asked(s, d), B.labels(s), B.memory(s, d), 5, **_failing(s))[2]).select("query_id", "kind", "message")
+
+
+def pack_summary_failing(s, d):
+    p = pack.pack(B.asked(s, d), B.labels(s), B.memory(s, d), max_tokens=3000, **_failing(s))
+    return p.select("query_id", F.array_join("resolved_sources", "|").alias("resolved_sources"), F.size("evidence").alias("n_evidence"), F.size("warnings").alias("n_warnings"), "pack_summary", "failed")
+
+
 def pack_flagship(s, d):
     p = pack.pack(B.asked(s, d), B.labels(s), B.memory(s, d))
     return _flat(p.select("query_id", F.posexplode("evidence").alias("pos", "e")).select("query_id", "pos", "e.source_id", "e.title", F.sha2("e.snippet", 256).alias("snippet_digest"), "e.citation", "e.trust", "e.version", "e.score"))
@@ -248,7 +262,7 @@ def _payloads(s, d) -> DataFrame:
     n = F.col("doc_id")
     t = F.coalesce("text", F.lit(""))
     return B.table(s, d, "documents").select(
-        n.alias("position"), F.when(n % 11 == 0, "/other").otherwise("/react/docs").alias("source_id"), F.when(n % 5 == 0, "  ").otherwise(F.substring(t, 1, 20)).alias("title"),
+        n.alias("position"), F.when(n % 11 == 0, "/other").otherwise("/react/docs").alias("source_id"), F.when(n % 5 == 0, "  ").otherwise(t).alias("title"),
         t.alias("snippet"), F.when(n % 3 == 0, t).otherwise(F.lit("short")).alias("content"), F.when(n % 4 == 0, "ftp://x").otherwise("https://example.org").alias("citation"), F.when(n % 6 == 0, "").when(n % 6 == 1, None).otherwise("19").alias("version"),
     )
 
@@ -302,6 +316,15 @@ def diff_fingerprint(s, d):
     return refresh.fingerprint(_hashes(B.snapshots(s, d)[1]))
 
 
+def diff_keys(s, d):
+    return refresh.diff_report(_changes(s, d)).select("source_id", *[F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("added", "removed", "changed")])
+
+
+def page_meta(s, d):
+    _, meta = ingest.normalize(_raw(s, d), _page_registry(s, d))
+    return tables.warnings_by_source(meta).select("source_id", "warning_count", F.array_join(F.transform("warnings", lambda w: F.concat(w["url"], F.lit(" "), w["kind"])), "|").alias("warnings"))
+
+
 def _gate_rows(s, d) -> DataFrame:
     n = F.col("o_orderkey")
     return B.table(s, d, "orders").select(
@@ -334,7 +357,7 @@ def rollback_snapshot(s, d):
 
 
 def raw_union_roles(s, d):
-    p = B.table(s, d, "pages").where("url is not null").select(F.col("page_id"), "url")
+    p = B.table(s, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     link = F.array(F.struct(F.lit("page").alias("label"), F.col("url")))
     other = F.array(F.struct(F.lit("host").alias("label"), F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("url")))
     reg = p.select(F.concat(F.lit("/pages/"), F.col("page_id").cast("string")).alias("source_id"), link.alias("public_urls"), other.alias("discovery_urls"))
@@ -356,7 +379,7 @@ def enabled_daily(s, d):
 
 def embedding_text(s, d):
     t = F.coalesce("text", F.lit(""))
-    return B.table(s, d, "documents").select("doc_id", F.sha2(X.embedding_text(X.summarize_title(t), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.substring(t, 1, 50)), t), 256).alias("digest"))
+    return B.table(s, d, "documents").select("doc_id", F.sha2(X.embedding_text(X.summarize_title(t), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(t), t), 256).alias("digest"))
 
 
 def slugs(s, d):
@@ -374,16 +397,16 @@ def memory_tags(s, d):
 
 
 def citation_fragments(s, d):
-    p = B.table(s, d, "pages").where("url is not null")
+    p = B.table(s, d, "pages").withColumn("url", F.coalesce("url", F.lit("")))
     return p.select("page_id", X.with_fragment(F.col("url"), F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.concat(F.lit("h"), F.col("page_id").cast("string")))).alias("citation"), X.is_absolute(F.col("url")).alias("absolute"), X.section_slug(F.col("url")).alias("section"))
 
 
 _QUERIES = [
     catalog_list, catalog_list_with_skills, catalog_get, catalog_filter_domain_trust_version, catalog_filter_limit_before_hide, catalog_upsert, catalog_replace, catalog_seed_ignore, catalog_child_arrays,
     resolve_seed, resolve_scale, resolve_skill_excluded, resolve_skill_reranked, resolve_overfetch_cut, query_intent, query_entities, query_task_kind_topics, normalize_catalog_text, normalize_engine_text,
-    vector_topk_query, vector_topk_per_source, vector_version_filter, payload_parse, payload_parse_non_string, pack_dedup, pack_budget, pack_warnings, pack_summary, pack_flagship, cite_pack,
-    page_title, page_clean_text, page_sections, page_chunks, extraction_guard, doc_chunks, doc_summaries, doc_token_estimate, payload_validate, registry_validate, registry_duplicates,
-    diff_records, diff_counts, diff_status, diff_fingerprint, refresh_gate, refresh_report_status, refresh_merge_state, rollback_snapshot, raw_union_roles, latest_snapshot, enabled_daily,
+    vector_topk_query, vector_topk_per_source, vector_version_filter, payload_parse, payload_parse_non_string, pack_dedup, pack_budget, pack_warnings, pack_warnings_failing, pack_summary, pack_summary_failing, pack_flagship, cite_pack,
+    page_title, page_clean_text, page_sections, page_chunks, extraction_guard, page_meta, doc_chunks, doc_summaries, doc_token_estimate, payload_validate, registry_validate, registry_duplicates,
+    diff_records, diff_counts, diff_status, diff_fingerprint, diff_keys, refresh_gate, refresh_report_status, refresh_merge_state, rollback_snapshot, raw_union_roles, latest_snapshot, enabled_daily,
     embedding_text, slugs, record_keys, memory_tags, citation_fragments,
 ]
 

@@ -106,6 +106,24 @@ def packed(select: str, budget: int = 3000) -> str:
     return PACKED.replace("{budget}", str(budget)) + select
 
 
+def failing(select: str, budget: int = 3000) -> str:
+    """packed() with failed shards and a source whose metadata is gone."""
+    shards = "[" + ", ".join(f"'{x}'" for x in B.FAILED_SHARDS) + "]"
+    out = packed(select, budget)
+    for old, new in (
+        ("FROM pairs p JOIN lab USING (source_id)),\nraw", f"FROM pairs p JOIN lab USING (source_id) WHERE p.source_id <> '{B.LOST_SOURCE}'),\nraw"),
+        ("FROM sh JOIN mem m USING (shard_id))", f"FROM sh JOIN mem m USING (shard_id) WHERE NOT list_contains({shards}, sh.shard_id))"),
+        ("CASE WHEN len(lab.shard_ids) = 0", f"CASE WHEN p.source_id = '{B.LOST_SOURCE}' THEN 'missing' WHEN len(lab.shard_ids) = 0"),
+        ("THEN 'ok' ELSE 'empty' END AS outcome", f"THEN 'ok' WHEN list_has_any(lab.shard_ids, {shards}) THEN 'error' ELSE 'empty' END AS outcome"),
+    ):
+        assert out.count(old) == 1, old
+        out = out.replace(old, new)
+    return out
+
+
+_WARNED = """SELECT query_id, CASE WHEN outcome = 'empty' THEN 'empty_source' ELSE 'source_error' END AS kind,
+ CASE outcome WHEN 'empty' THEN 'No snippets matched for ' WHEN 'missing' THEN 'Failed to load source metadata for ' ELSE 'Failed to query source canisters for ' END || source_id AS message FROM outc WHERE outcome <> 'ok'"""
+
 _CHANGES = "WITH " + B.SNAPSHOT_SQL + " "
 
 
@@ -162,13 +180,20 @@ SQL: dict[str, str] = {
     "payload_parse_non_string": f"SELECT event_id, {title_of('props')} AS p_title, props AS p_snippet, 'memory:///events/' || event_type AS p_citation, NULL::VARCHAR AS p_version FROM events",
     "pack_dedup": packed("SELECT query_id, source_id, hit_rank, title, citation, round(score::FLOAT::DOUBLE, 4) AS score FROM ded"),
     "pack_budget": packed("SELECT query_id, position, cost, source_id, citation, round(score::FLOAT::DOUBLE, 4) AS score FROM ev", 300),
-    "pack_warnings": packed("SELECT query_id, CASE WHEN outcome = 'empty' THEN 'empty_source' ELSE 'source_error' END AS kind, CASE WHEN outcome = 'empty' THEN 'No snippets matched for ' ELSE 'Failed to query source shards for ' END || source_id AS message FROM outc WHERE outcome <> 'ok'").replace("source shards", "source canisters"),
+    "pack_warnings": packed(_WARNED),
+    "pack_warnings_failing": failing(_WARNED),
     "pack_summary": packed("""SELECT a.query_id, a.query, coalesce(r.ids, '') AS resolved_sources, coalesce(e.n, 0)::INT AS n_evidence, coalesce(w.n, 0)::INT AS n_warnings,
         CASE WHEN coalesce(e.n, 0) > 0 THEN 'Top evidence came from: ' || e.titles ELSE 'No evidence found for the query.' END AS pack_summary, 300::BIGINT AS token_budget, coalesce(w.answered, 0) = 0 AND coalesce(dd.n, 0) = 0 AS failed
         FROM asked a LEFT JOIN (SELECT query_id, string_agg(source_id, '|' ORDER BY rank) AS ids FROM r5 GROUP BY 1) r USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(title, ', ' ORDER BY position) FILTER (position <= 3) AS titles FROM ev GROUP BY 1) e USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) FILTER (outcome <> 'ok') AS n, count(*) FILTER (outcome <> 'error') AS answered FROM outc GROUP BY 1) w USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS n FROM ded GROUP BY 1) dd USING (query_id)""", 300),
+    "pack_summary_failing": failing("""SELECT a.query_id, coalesce(r.ids, '') AS resolved_sources, coalesce(e.n, 0)::INT AS n_evidence, coalesce(w.n, 0)::INT AS n_warnings,
+        CASE WHEN coalesce(e.n, 0) > 0 THEN 'Top evidence came from: ' || e.titles ELSE 'No evidence found for the query.' END AS pack_summary, coalesce(w.answered, 0) = 0 AND coalesce(dd.n, 0) = 0 AS failed
+        FROM asked a LEFT JOIN (SELECT query_id, string_agg(source_id, '|' ORDER BY rank) AS ids FROM r5 GROUP BY 1) r USING (query_id)
+        LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(title, ', ' ORDER BY position) FILTER (position <= 3) AS titles FROM ev GROUP BY 1) e USING (query_id)
+        LEFT JOIN (SELECT query_id, count(*) FILTER (outcome <> 'ok') AS n, count(*) FILTER (outcome IN ('ok', 'empty')) AS answered FROM outc GROUP BY 1) w USING (query_id)
+        LEFT JOIN (SELECT query_id, count(*) AS n FROM ded GROUP BY 1) dd USING (query_id)"""),
     "pack_flagship": packed("SELECT query_id, (position - 1)::INT AS pos, source_id, title, sha256(snippet) AS snippet_digest, citation, trust, version, round(score::FLOAT::DOUBLE, 4) AS score FROM ev"),
     "cite_pack": packed("SELECT query_id, a.query, (position - 1)::INT AS position, source_id, title, citation, trust, retrieved_at, version, false AS stale FROM ev JOIN (SELECT query_id, query FROM asked) a USING (query_id)", 300),
     "page_title": f"SELECT page_id, coalesce(nullif({_clean("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, ''), 'Untitled') AS title FROM pages",
@@ -180,7 +205,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, k::INT AS chunk_index, length(chunk)::INT AS n, sha256(chunk) AS digest FROM g""",
     "doc_summaries": f"""WITH d AS (SELECT doc_id, {collapse("regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')")} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(substring(t, 1, 237), '{SPACE}+$', '') || '...' ELSE t END AS summary FROM d""",
     "doc_token_estimate": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS s FROM documents) SELECT doc_id, ((length({title_of('t')}) + length(t) + length(s) + 3) // 4)::BIGINT AS tokens FROM d""",
-    "payload_validate": f"""WITH p AS (SELECT doc_id AS position, CASE WHEN doc_id % 11 = 0 THEN '/other' ELSE '/react/docs' END AS source_id, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE substring(coalesce(text, ''), 1, 20) END AS title, coalesce(text, '') AS snippet,
+    "payload_validate": f"""WITH p AS (SELECT doc_id AS position, CASE WHEN doc_id % 11 = 0 THEN '/other' ELSE '/react/docs' END AS source_id, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE coalesce(text, '') END AS title, coalesce(text, '') AS snippet,
           CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE 'short' END AS content, CASE WHEN doc_id % 4 = 0 THEN 'ftp://x' ELSE 'https://example.org' END AS citation, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN NULL ELSE '19' END AS version FROM documents),
         m AS (SELECT position, unnest([CASE WHEN {strip('title')} = '' THEN 'missing `title`' END, CASE WHEN {strip('snippet')} = '' THEN 'missing `snippet`' END, CASE WHEN source_id <> '/react/docs' THEN 'payload source_id mismatch' END,
           CASE WHEN citation LIKE 'ftp%' THEN 'citation must be absolute' END, CASE WHEN version = '' THEN 'version is required' END, CASE WHEN length(content) > 280 AND content = snippet THEN 'snippet should not duplicate long content' END]) AS m FROM p)
@@ -191,17 +216,18 @@ SQL: dict[str, str] = {
     "diff_counts": _CHANGES + "SELECT source_id, count(*) FILTER (change = 'added') AS added_records, count(*) FILTER (change = 'removed') AS removed_records, count(*) FILTER (change = 'changed') AS changed_records, count(*) FILTER (change <> 'same') AS total_changes FROM changes GROUP BY 1",
     "diff_status": _CHANGES + "SELECT source_id, CASE WHEN bool_and(change = 'added') THEN 'new' WHEN bool_and(change = 'removed') THEN 'deleted' WHEN bool_or(change <> 'same') THEN 'updated' ELSE 'noop' END AS status, count(*) FILTER (change <> 'same') > 3 OR count(*) FILTER (change = 'removed') > 2 AS needs_review FROM changes GROUP BY 1",
     "diff_fingerprint": _CHANGES + "SELECT source_id, sha256(string_agg(hash, ',' ORDER BY record_key)) AS fingerprint FROM new GROUP BY 1",
+    "diff_keys": _CHANGES + "SELECT source_id, " + ", ".join(f"sha256(coalesce(string_agg(record_key, ',' ORDER BY record_key) FILTER (change = '{c}'), '')) AS {c}" for c in ("added", "removed", "changed")) + " FROM changes GROUP BY 1",
     "refresh_gate": GATED,
     "refresh_report_status": f"SELECT CASE WHEN coalesce(bool_or(partial), false) THEN 'partial' ELSE 'ok' END AS status FROM ({GATED})",
     "refresh_merge_state": """WITH s AS (SELECT c_custkey AS source_id, c_name AS status, c_mktsegment AS success_snapshot FROM customer), n AS (SELECT source_id, 'new ' || status AS status, CASE WHEN source_id % 4 = 0 THEN success_snapshot END AS success_snapshot FROM s WHERE source_id % 2 = 0),
         o AS (SELECT * FROM s WHERE source_id % 3 <> 0) SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(n.status, o.status) AS status, coalesce(n.success_snapshot, o.success_snapshot) AS success_snapshot FROM o FULL JOIN n USING (source_id)""",
     "rollback_snapshot": "WITH s AS (SELECT '/c/' || o_custkey AS source_id, strftime(o_orderdate, '%Y-%m-%d') AS snapshot, o_orderkey AS record, o_custkey FROM orders) SELECT source_id, snapshot, record FROM s WHERE o_custkey % 3 = 0 QUALIFY snapshot = max(snapshot) OVER (PARTITION BY source_id)",
-    "raw_union_roles": "SELECT '/pages/' || page_id AS source_id, 'page' AS label, url, 'public_urls' AS role FROM pages WHERE url IS NOT NULL UNION ALL SELECT '/pages/' || page_id, 'host', regexp_extract(url, '^[a-z]+://[^/?#]*'), 'discovery_urls' FROM pages WHERE url IS NOT NULL",
+    "raw_union_roles": "SELECT '/pages/' || page_id AS source_id, 'page' AS label, coalesce(url, '') AS url, 'public_urls' AS role FROM pages UNION ALL SELECT '/pages/' || page_id, 'host', regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*'), 'discovery_urls' FROM pages",
     "latest_snapshot": "SELECT '/u/' || user_id AS source_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS collected_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "enabled_daily": "SELECT '/p/' || p_partkey AS source_id, true AS enabled, 'daily' AS cadence FROM part WHERE p_size % 3 = 1 AND p_type <> 'PROMO'",
-    "embedding_text": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, list_filter([{strip(title_of('t'))}, {strip("CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE substring(t, 1, 50) END")}, {strip('t')}], lambda x: x <> '') AS parts FROM d) SELECT doc_id, sha256(array_to_string(parts, chr(10) || chr(10))) AS digest FROM p",
+    "embedding_text": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, list_filter([{strip(title_of('t'))}, {strip("CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE t END")}, {strip('t')}], lambda x: x <> '') AS parts FROM d) SELECT doc_id, sha256(array_to_string(parts, chr(10) || chr(10))) AS digest FROM p",
     "slugs": f"WITH p AS ({B.PARTS_SQL}) SELECT source_id, replace(replace(trim(source_id, '/'), '/', '__'), '.', '_') AS slug, replace(replace(trim('//v1.2' || source_id || '/', '/'), '/', '__'), '.', '_') AS deep FROM p",
     "record_keys": "SELECT doc_id, 'https://example.org/' || doc_id || '#' || CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 ELSE 0 END || ':' || CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END AS record_key FROM documents",
     "memory_tags": f"WITH p AS ({B.PARTS_SQL}) SELECT source_id, 'source:' || source_id || ':' || CASE WHEN trust = 'curated' THEN 'unversioned' ELSE '9' END AS tag FROM p",
-    "citation_fragments": "SELECT page_id, CASE WHEN page_id % 3 = 0 OR contains(url, '#') THEN url ELSE url || '#h' || page_id END AS citation, regexp_matches(url, '^(http|https|file)://') AS absolute, substring(replace(lower(url), ' ', '-'), 1, 80) AS section FROM pages WHERE url IS NOT NULL",
+    "citation_fragments": "WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 OR contains(url, '#') THEN url ELSE url || '#h' || page_id END AS citation, regexp_matches(url, '^(http|https|file)://') AS absolute, substring(replace(lower(url), ' ', '-'), 1, 80) AS section FROM p",
 }

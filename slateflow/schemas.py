@@ -35,6 +35,9 @@ PAYLOAD = _fields(
     chunk_index=T.IntegerType(), section_index=T.IntegerType(),
 )
 
+#: What normalization had to say of a source.
+META = _fields(source_id=_S, warning_count=T.IntegerType(), warnings=T.ArrayType(_fields(url=_S, kind=_S)))
+
 ITEM = _fields(
     url=_S, final_url=_S, content_type=_S, status_code=T.IntegerType(), etag=_S, last_modified=_S, body=_S, sha256=_S, label=_S, role=_S,
 )
@@ -52,5 +55,5 @@ REGISTRY = _fields(
 )
 
 STATE = _fields(
-    source_id=_S, status=_S, normalized_fingerprint=_S, metadata_hash=_S, record_hashes=T.MapType(_S, _S), success_snapshot=_S,
+    source_id=_S, status=_S, normalized_fingerprint=_S, metadata_hash=_S, record_hashes=T.MapType(_S, _S), success_snapshot=_S, success_entry=_S, last_run_at=_S,
 )

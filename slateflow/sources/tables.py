@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slateflow import schemas
+from slateflow.sources.versions import exists, write_json, write_text
 
 # The four built-in sources.
 SEED = [
@@ -55,14 +55,9 @@ def assemble(parents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; a missing file is an empty table and blank lines are skipped."""
-    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -73,23 +68,40 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The registry: one top-level array of entries."""
-    return spark.read.schema(schemas.REGISTRY).json(path, multiLine=True)
+    """The registry: one top-level array of entries; any other document is an error."""
+    return spark.read.schema(schemas.REGISTRY).json(_array_at(spark, path), multiLine=True)
+
+
+def registry_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(position, entry) of the registry's array, each entry as JSON text."""
+    whole = F.try_parse_json("value")
+    rows = spark.read.text(_array_at(spark, path), wholetext=True).select(F.posexplode(F.try_variant_get(whole, "$", "array<variant>")).alias("position", "v"))
+    return rows.select("position", F.to_json("v").alias("entry"))
+
+
+def _array_at(spark: SparkSession, path: str) -> str:
+    kind = spark.read.text(path, wholetext=True).select(F.schema_of_variant(F.try_parse_json("value")).alias("k")).first()
+    if kind is None or not (kind["k"] or "").startswith("ARRAY"):
+        raise ValueError(f"{path} must contain a top-level array")
+    return path
+
+
+def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows written as JSON, or none where the path doesn't exist."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_json_or(spark: SparkSession, path: str, schema: T.StructType, default: list) -> DataFrame:
-    """A JSON document, or `default` rows where the path doesn't exist (state, normalization meta)."""
-    return spark.read.schema(schema).json(path, multiLine=True) if _exists(spark, path) else spark.createDataFrame(default, schema)
+def write_report(spark: SparkSession, report: dict, folder: str) -> str:
+    """A refresh report as JSON, and Markdown beside it, named by its time; gives the JSON's path."""
+    path = f"{folder.rstrip('/')}/{file_safe(report['run_at'])}"
+    write_json(spark, path + ".json", report)
+    lines = [f"# Source refresh report {report['run_at']}", "", f"Status: {report['status']}", "", *[f"- {s['source_id']}: {s['status']}" for s in report["sources"]]]
+    write_text(spark, path + ".md", "\n".join(lines) + "\n")
+    return path + ".json"
 
 
-def write_report(report: dict, path: str) -> None:
-    """A driver-side report: indented, sorted keys, ASCII, newline at the end; Markdown beside it."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps(report, indent=2, ensure_ascii=True, sort_keys=True) + "\n", encoding="utf-8")
-    lines = [f"# Refresh {report.get('run_at', '')}", "", f"Status: {report.get('status', '')}", ""]
-    lines += [f"- {s['source_id']}: {s['status']}" for s in report.get("sources", [])]
-    p.with_suffix(".md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+def file_safe(timestamp: str) -> str:
+    return timestamp.replace(":", "-")
 
 
 def fetch_documents(spark: SparkSession, urls: DataFrame, timeout: float = 20.0) -> DataFrame:
@@ -153,22 +165,52 @@ def write_raw(raw: DataFrame, path: str) -> None:
     raw.withColumn("snapshot", F.replace("collected_at", F.lit(":"), F.lit("-"))).write.mode("append").partitionBy("snapshot").json(path)
 
 
+def _by_source(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("source_id").json(path)
+
+
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Normalized payloads, a folder for each source."""
-    payloads.select(*schemas.PAYLOAD.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").json(path)
+    """Normalized payloads, a folder for each source; sources not among them keep what they have."""
+    _by_source(payloads.select(*schemas.PAYLOAD.names), path)
 
 
 def read_payloads(spark: SparkSession, path: str, source_id: str | None = None) -> DataFrame:
     """Normalized payloads; one source's folder alone if `source_id` is given."""
-    rows = spark.read.schema(schemas.PAYLOAD).json(path)
+    rows = read_rows(spark, path, schemas.PAYLOAD)
     return rows if source_id is None else rows.where(F.col("source_id") == source_id)
 
 
-#: States of deployed instances: a kind, and what that kind carries.
-INSTANCE_KINDS = ("empty", "pending", "creation", "installation", "setting_up", "running")
+def warnings_by_source(meta: DataFrame) -> DataFrame:
+    """schemas.META from a row for each item (source_id, url, item_pos, warnings): each source's warnings in order of items."""
+    each = meta.select("source_id", "item_pos", "url", F.posexplode_outer("warnings").alias("pos", "kind"))
+    said = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("item_pos", "pos", F.struct("url", "kind").alias("w")))))
+    return each.groupBy("source_id").agg(F.transform(said, lambda x: x["w"]).alias("warnings")).select("source_id", F.size("warnings").alias("warning_count"), "warnings")
+
+
+def write_meta(meta: DataFrame, path: str) -> None:
+    """What normalization had to say of each source, beside its payloads."""
+    _by_source(meta.select(*schemas.META.names), path)
+
+
+def read_meta(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
+    """The meta of every source; one without any has no warnings."""
+    known = sources.select("source_id").join(read_rows(spark, path, schemas.META), "source_id", "left")
+    none = F.array().cast(schemas.META["warnings"].dataType)
+    return known.select("source_id", F.coalesce("warning_count", F.lit(0)).alias("warning_count"), F.coalesce("warnings", none).alias("warnings"))
+
+
+#: An instance's state as rows: a kind, and what that kind carries.
 INSTANCE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("principal", T.StringType()), T.StructField("message", T.StringType())])
+# Kinds of states, and whether each carries a principal and a message.
+INSTANCE_KINDS = {"Empty": (False, True), "Pending": (False, True), "Creation": (False, True), "Installation": (True, True), "SettingUp": (True, False), "Running": (True, False)}
 
 
 def list_instances(spark: SparkSession, path: str) -> DataFrame:
-    """Instances as rows of (kind, principal, message)."""
-    return read_jsonl(spark, path, INSTANCE)
+    """Deployed instances in order of kind and principal; a row of another kind, or without what its kind carries, fails the read."""
+    rows = read_jsonl(spark, path, INSTANCE)
+    fits = F.lit(False)
+    for kind, (principal, message) in INSTANCE_KINDS.items():
+        fits = fits | ((F.col("kind") == kind) & (F.col("principal").isNotNull() == F.lit(principal)) & (F.col("message").isNotNull() == F.lit(message)))
+    bad = F.concat(F.lit("not an instance state: "), F.to_json(F.struct("kind", "principal", "message")))
+    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("kind")).otherwise(F.raise_error(bad).cast("string"))
+    return rows.select(checked.alias("kind"), "principal", "message").orderBy("kind", "principal")

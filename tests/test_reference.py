@@ -9,7 +9,7 @@ from slateflow import schemas
 from slateflow.functions import text as X
 from slateflow.operators import catalog, ingest, memory, pack, refresh, resolve
 from slateflow.plans import bindings as B
-from slateflow.sources import tables
+from slateflow.sources import tables, versions
 
 
 def one(spark, expr, **values):
@@ -38,6 +38,22 @@ def test_resolve_examples(spark, query, base, reranked):
         assert got == reranked
 
 
+def test_resolve_by_pieces_is_resolve_by_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc9./ -É") for _ in range(rng.randrange(0, 6)))
+    rows = [dict(tables.SEED[0], source_id=f"/{word()}/{i}", title=word(), aliases=sorted({word() for _ in range(rng.randrange(0, 4))})) for i in range(150)]
+    src = tables.sources_from(spark, rows)
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 5))) for _ in range(120)] + ["", "...", "a", "  ", rows[3]["source_id"], rows[4]["title"]]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    got = []
+    for small in (4096, 0):
+        monkeypatch.setattr(resolve, "SMALL_CATALOG", small)
+        got.append(sorted((r["query_id"], r["source_id"], r["score"], r["reasons"]) for r in resolve.score_sources(q, src).collect()))
+    assert got[0] == got[1] and len(got[0]) > 2000
+
+
 def test_reasons_intent_entities(spark):
     q = spark.createDataFrame([(0, "next middleware"), (1, "stripe plan"), (2, "hello")], "query_id int, query string")
     r = resolve.resolve(q, tables.seed_catalog(spark)).where("query_id = 0").first()
@@ -92,22 +108,27 @@ def test_query_ranks_filters_and_fails(spark):
         (0, 1, "T", "one", "c", "15"), (0, 2, "two", "two", "u", None), (0, 3, "plain", "plain", "memory:///vercel/next.js", None), (1, 1, "T", "one", "c", "15"),
     ]
     assert {r["query_id"]: r["outcome"] for r in outcomes.collect()} == {0: "ok", 1: "ok", 2: "error", 3: "error"}
+    gone = memory.search(ask, s.where("source_id <> '/bad'"), m, errors=err)[1]
+    assert {r["query_id"]: r["outcome"] for r in gone.collect()}[3] == "missing"
+    said = {r["query_id"]: r["message"] for r in pack.warnings_of(gone).collect()}
+    assert said == {2: "Failed to query source canisters for /none", 3: "Failed to load source metadata for /bad"}
 
 
 def test_pack_budget_dedup_summary_cite(spark, tmp_path):
     s = tables.sources_from(spark, [source(spark, shard_ids=["a"]), source(spark, source_id="/e", title="next e", aliases=["next"], shard_ids=["e"])])
     j = lambda t, n: json.dumps({"title": t, "snippet": "x" * n, "citation": "c" + t})
     m = records(spark, [("a", 0, [1.0], j("A", 21)), ("a", 1, [0.9], j("A", 21)), ("a", 2, [0.8], j("B", 17)), ("a", 3, [0.7], j("never", 1))])
-    p = pack.pack_one(spark, "next", [1.0], s, m, max_tokens=3000)
+    ask = lambda t: spark.createDataFrame([(0, t, [1.0])], "query_id int, query string, vector array<float>")
+    p = pack.pack_one(ask("next"), s, m, max_tokens=3000)
     assert [e["title"] for e in p["evidence"]] == ["A", "B"]  # the repeat used one of the three places
     assert p["warnings"] == [{"kind": "empty_source", "message": "No snippets matched for /e"}]
     assert p["pack_summary"] == "Top evidence came from: A, B"
-    small = pack.pack_one(spark, "next", [1.0], s, m, max_tokens=4)
+    small = pack.pack_one(ask("next"), s, m, max_tokens=4)
     assert small["evidence"] == [] and small["pack_summary"] == "No evidence found for the query."
-    skip = pack.pack_one(spark, "next", [1.0], s, m, max_tokens=5)
+    skip = pack.pack_one(ask("next"), s, m, max_tokens=5)
     assert [e["title"] for e in skip["evidence"]] == ["B"]  # A costs 6
     with pytest.raises(pack.NoSources):
-        pack.pack_one(spark, "zzz", [1.0], s, m)
+        pack.pack_one(ask("zzz"), s, m)
     text = json.dumps(p)
     f = tmp_path / "pack.json"
     f.write_text(text)
@@ -189,7 +210,7 @@ def test_refresh_cycle(spark, tmp_path):
     assert [x["status"] for x in first.sources] == ["applied"] and stores.prod.read().count() == 1
     again = refresh.run_refresh(spark, reg, raw(spark, page), stores, embed)
     assert [x["status"] for x in again.sources] == ["noop"]
-    kept = spark.read.parquet(stores.state).first()
+    kept = versions.read_version(spark, stores.state, schemas.STATE).first()
     assert kept["success_snapshot"] is not None and kept["status"] == "noop"
     later = refresh.run_refresh(spark, reg, raw(spark, page.replace("About", "Now about")), stores, embed)
     assert [x["status"] for x in later.sources] == ["applied"]
@@ -199,6 +220,128 @@ def test_refresh_cycle(spark, tmp_path):
     assert refresh.run_refresh(spark, twice, raw(spark, page), stores, embed).status == "invalid_registry"
 
 
+class Lossy(memory.TableStore):
+    """A store that shows nothing for its first reads."""
+
+    def __init__(self, spark, path, blind):
+        super().__init__(spark, path)
+        self.blind = blind
+
+    def read(self):
+        self.blind -= 1
+        return super().read().limit(0) if self.blind >= 0 else super().read()
+
+
+def stores_at(spark, tmp_path, blind=0):
+    place = lambda n: str(tmp_path / n)
+    return refresh.Stores(memory.TableStore(spark, place("sm")), Lossy(spark, place("pm"), blind), place("sc"), place("pc"), place("state"), place("snap"))
+
+
+def same_vector(df):
+    return df.withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.lit(0.5).cast("float")))
+
+
+PAGE = "<article><p>About hooks and react.</p></article>"
+
+
+def test_refresh_of_an_empty_collection(spark, tmp_path):
+    stores, reg = stores_at(spark, tmp_path), registry(spark)
+    one_more = reg.withColumn("source_id", F.lit("/other"))
+    empty = raw(spark, PAGE).withColumn("items", F.slice("items", 1, 0))
+    first = refresh.run_refresh(spark, reg, empty, stores, same_vector)
+    assert first.sources == [{"source_id": "/react/docs", "status": "failed", "errors": ["/react/docs: payload collection is empty"]}] and first.status == "partial"
+    both = raw(spark, PAGE).unionByName(raw(spark, PAGE).withColumn("source_id", F.lit("/other")))
+    smoke_of = lambda x: x.withColumn("smoke_queries", F.struct(F.lit("react").alias("resolve"), F.lit("hooks").alias("query"), F.lit("react").alias("pack")))
+    assert [x["status"] for x in refresh.run_refresh(spark, reg.unionByName(smoke_of(one_more)), both, stores, same_vector).sources] == ["applied", "applied"]
+    gone = refresh.run_refresh(spark, reg.unionByName(smoke_of(one_more)), raw(spark, PAGE.replace("About", "More about")).unionByName(empty.withColumn("source_id", F.lit("/other"))), stores, same_vector)
+    assert {x["source_id"]: x["status"] for x in gone.sources} == {"/other": "failed", "/react/docs": "applied"}
+    kept = {r["source_id"]: r for r in versions.read_version(spark, stores.state, schemas.STATE).collect()}
+    assert len(kept["/other"]["record_hashes"]) == 1 and kept["/other"]["last_run_at"] == gone.run_at
+    assert versions.versions(spark, stores.prod_catalog) and versions.read_version(spark, stores.prod_catalog, schemas.SOURCE).count() == 2
+
+
+@pytest.mark.parametrize(("before", "blind", "status"), [(True, 1, "rolled_back"), (True, 2, "rollback_failed"), (False, 1, "unavailable")])
+def test_failed_publication(spark, tmp_path, before, blind, status):
+    stores, reg = stores_at(spark, tmp_path), registry(spark)
+    if before:
+        assert refresh.run_refresh(spark, reg, raw(spark, PAGE), stores, same_vector).status == "ok"
+    stores.prod.blind = blind
+    titled = reg.withColumn("catalog_metadata", F.col("catalog_metadata").withField("title", F.lit("React, renamed")))
+    got = refresh.run_refresh(spark, titled, raw(spark, PAGE.replace("About", "Much about")), stores, same_vector)
+    assert [x["status"] for x in got.sources] == [status] and got.status == "partial"
+    assert "query" in got.sources[0]["failures"]["prod"]
+    state = versions.read_version(spark, stores.state, schemas.STATE).collect()
+    assert len(state) == before
+    stores.prod.blind = 0
+    live = versions.read_version(spark, stores.prod_catalog, schemas.SOURCE).first()["title"]
+    text = json.loads(stores.prod.read().first()["payload"])["content"]
+    assert (live, text) == (("React Docs", "About hooks and react.") if before else ("React, renamed", "Much about hooks and react."))
+
+
+def test_failed_staging_and_review(spark, tmp_path):
+    stores, reg = stores_at(spark, tmp_path), registry(spark)
+    blind = reg.withColumn("smoke_queries", F.col("smoke_queries").withField("resolve", F.lit("nothing")))
+    got = refresh.run_refresh(spark, blind, raw(spark, PAGE), stores, same_vector)
+    assert got.sources[0]["status"] == "failed" and got.sources[0]["failures"] == {"staging": ["resolve"]}
+    assert refresh.run_refresh(spark, reg, raw(spark, PAGE), stores, same_vector, max_changed=0).sources[0]["status"] == "needs_review"
+    small = raw(spark, "<script>" + "x" * 100 + "</script>" + " " * 3000 + "<p>a</p>")
+    assert refresh.run_refresh(spark, reg, small, stores, same_vector).sources[0]["errors"] == ["/react/docs: extracted text from `https://react.dev/a` looks too small; upstream HTML may have changed"]
+    bare = reg.withColumn("memory_targets", F.col("memory_targets").withField("prod_shard_ids", F.array().cast("array<string>")))
+    assert refresh.run_refresh(spark, bare, raw(spark, PAGE), stores, same_vector).errors == ["/react/docs: no prod memory shard ids configured"]
+
+
+def test_reports_meta_and_versions(spark, tmp_path):
+    stores, reg = stores_at(spark, tmp_path), registry(spark)
+    got = refresh.run_refresh(spark, reg, raw(spark, "<p>About hooks and react.</p>"), stores, same_vector)
+    assert got.sources[0]["warnings"] == [{"url": "https://react.dev/a", "kind": "content_roots_unmatched"}]
+    assert got.sources[0]["diff"]["extraction_warning_count"] == 1 and got.sources[0]["diff"]["status"] == "new"
+    path = tables.write_report(spark, vars(got), str(tmp_path / "reports"))
+    text = open(path, encoding="ascii").read()
+    assert json.loads(text)["status"] == "partial" and text.endswith("}\n") and ":" not in path.rsplit("/", 1)[1]
+    assert "- /react/docs: needs_review" in open(path[:-5] + ".md").read()
+    payloads, meta = ingest.normalize(raw(spark, "<p>About hooks and react.</p>"), reg)
+    tables.write_payloads(payloads, str(tmp_path / "norm"))
+    tables.write_meta(tables.warnings_by_source(meta), str(tmp_path / "meta"))
+    assert tables.read_payloads(spark, str(tmp_path / "norm"), "/react/docs").first()["content"] == "About hooks and react."
+    more = reg.unionByName(reg.withColumn("source_id", F.lit("/new")))
+    assert {r["source_id"]: (r["warning_count"], len(r["warnings"])) for r in tables.read_meta(spark, str(tmp_path / "meta"), more).collect()} == {"/react/docs": (1, 1), "/new": (0, 0)}
+    h = "source_id string, record_key string, change string"
+    keys = refresh.diff_report(spark.createDataFrame([("/s", "b", "added"), ("/s", "a", "added"), ("/s", "c", "removed"), ("/s", "d", "same")], h)).first()
+    assert (keys["added"], keys["removed"], keys["changed"]) == (["a", "b"], ["c"], [])
+    p = str(tmp_path / "table")
+    for n in range(4):
+        versions.write_version(spark.range(n), p)
+    (tmp_path / "table" / "v=9").mkdir()  # an unfinished one doesn't count
+    assert versions.versions(spark, p) == [2, 3] and versions.read_version(spark, p, spark.range(0).schema).count() == 3
+
+
+def test_registry_files_and_instances(spark, tmp_path):
+    f = tmp_path / "registry.json"
+    f.write_text(json.dumps([{"source_id": "/a", "enabled": True}, {"source_id": "/a"}]))
+    assert tables.read_registry(spark, str(f)).count() == 2
+    said = [r["message"] for r in ingest.validate_registry(tables.registry_entries(spark, str(f))).collect()]
+    assert "/a: duplicate source_id" in said and "/a: missing `kind`" in said and said.count("/a: missing `enabled`") == 1
+    f.write_text('{"source_id": "/a"}')
+    with pytest.raises(ValueError, match="must contain a top-level array"):
+        tables.read_registry(spark, str(f))
+    i = tmp_path / "instances.jsonl"
+    i.write_text('{"kind": "Running", "principal": "aa"}\n\n{"kind": "Empty", "message": "none"}\n')
+    assert [(r["kind"], r["principal"]) for r in tables.list_instances(spark, str(i)).collect()] == [("Empty", None), ("Running", "aa")]
+    i.write_text('{"kind": "Running", "message": "no principal"}\n')
+    with pytest.raises(Exception, match="not an instance state"):
+        tables.list_instances(spark, str(i)).collect()
+
+
+def test_settings():
+    from slateflow import settings
+
+    assert [settings.is_yes(x) for x in ("1", "true", "TRUE", "yes", "True", "on", "YES", "0")] == [True] * 4 + [False] * 4
+    assert [settings.is_on(x) for x in ("1", "True", "YES", "On", "0", "")] == [True] * 4 + [False] * 2
+    got = settings.load(settings.RefreshSettings, {"SLATEFLOW_MAX_DELETED_RECORDS": "3", "SLATEFLOW_PROD_LOCAL": "ON"}, root="/x/", registry=None)
+    assert (got.max_deleted_records, got.prod_local, got.staging_local, got.path("raw"), got.registry) == (3, True, True, "/x/raw", "registry.json")
+    assert settings.load(settings.ReadSettings, {"SLATEFLOW_LOCAL": "on", "SLATEFLOW_CATALOG": "c"}) == settings.ReadSettings("c")
+
+
 def test_stream(spark, tmp_path):
     from slateflow.streaming.refresh import refresh_stream
 

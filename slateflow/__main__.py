@@ -98,9 +98,9 @@ def run(spark, a: argparse.Namespace) -> dict:
 def _catalog(spark, path: str):
     """A catalog that a refresh published, or a plain table."""
     from slateflow import schemas
-    from slateflow.sources import versions
+    from slateflow.sources import tables, versions
 
-    return versions.read_version(spark, path, schemas.SOURCE) if versions.versions(spark, path) else spark.read.schema(schemas.SOURCE).parquet(path)
+    return versions.read_version(spark, path, schemas.SOURCE) if versions.versions(spark, path) else tables.migrate(spark.read.parquet(path))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -127,10 +127,6 @@ def slug(source_id: Column) -> Column:
     return F.when(s == "", "root").otherwise(s)
 
 
-def utc_text(ts: Column) -> Column:
-    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def file_safe(timestamp: Column) -> Column:
     return F.replace(timestamp, F.lit(":"), F.lit("-"))
 
@@ -182,5 +178,5 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def canonical_hash(*fields: tuple[str, Column]) -> Column:
-    """SHA-256 of the name-sorted fields as JSON, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields, key=lambda f: f[0])]), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of the name-sorted fields as ASCII JSON, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields, key=lambda f: f[0])]), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}), 256)

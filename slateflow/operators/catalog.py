@@ -85,8 +85,3 @@ def replace(updates: DataFrame, position: str, check: bool = True) -> DataFrame:
 def seed_ignore(sources: DataFrame, seeds: DataFrame) -> DataFrame:
     """Insert seeds whose id is not there yet."""
     return sources.unionByName(seeds.join(sources.select("source_id"), "source_id", "left_anti").select(*schemas.SOURCE.names))
-
-
-def publish(catalog: DataFrame, path: str) -> None:
-    """Write a whole catalog in one commit."""
-    catalog.select(*schemas.SOURCE.names).write.mode("overwrite").parquet(path)

@@ -192,7 +192,7 @@ def assess(registry: DataFrame, payloads: DataFrame, meta: DataFrame, state: Dat
     old = state.select("source_id", F.explode("record_hashes").alias("record_key", "hash"))
     new = record_hashes(payloads, "item_pos", volatile).join(registry.select("source_id"), "source_id", "left_semi")
     changes = diff_records(old.join(registry.select("source_id"), "source_id", "left_semi"), new)
-    meta_hash = registry.select("source_id", F.sha2(F.to_json("catalog_metadata", {"ignoreNullFields": "false"}), 256).alias("new_meta"))
+    meta_hash = registry.select("source_id", X.canonical_hash(*[(f, F.col(f"catalog_metadata.{f}")) for f in schemas.REGISTRY["catalog_metadata"].dataType.names]).alias("new_meta"))
     problems = problems_of(registry, payloads, meta).groupBy("source_id").agg(F.array_sort(F.collect_list("message")).alias("messages"))
     rows = registry.select("source_id")
     for part in (diff_status(changes, max_changed, max_deleted), meta_hash, state.select("source_id", "metadata_hash", "success_snapshot"), problems, warnings_by_source(meta).withColumnRenamed("warnings", "extraction_warnings")):

@@ -93,7 +93,7 @@ def run(spark, a: argparse.Namespace) -> dict:
         small = [r["message"] for r in refresh.problems_of(chosen, payloads, meta).where("message like '%looks too small%'").orderBy("message").collect()]
         if small:
             return {"status": "failed", "errors": small}
-        tables.write_payloads(payloads, s.path("normalized"))
+        tables.write_payloads(ingest.ordered(payloads), s.path("normalized"))
         tables.write_meta(tables.warnings_by_source(meta), s.path("meta"))
         return {"status": "ok", "sources": ids(chosen)}
     payloads = ours(tables.read_payloads(spark, s.path("normalized")))

@@ -52,6 +52,34 @@ def assemble(parents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     return out.select(*[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in children else F.col(c) for c in schemas.SOURCE.names])
 
 
+#: Catalog schemas by version: what a table must have, and what later versions added.
+CATALOG_VERSIONS = [
+    ("source_id", "title", "domain", "trust", "retrieved_at", "aliases", "shard_ids", "supported_versions", "citations"),
+    ("skill_kind", "targets", "capabilities"),
+]
+
+
+def catalog_version(rows: DataFrame) -> int:
+    """The newest version whose columns a catalog table has; without those of the first it is no catalog."""
+    have, version = set(rows.columns), -1
+    for added in CATALOG_VERSIONS:
+        if not have.issuperset(added):
+            break
+        version += 1
+    if version < 0:
+        raise ValueError(f"not a catalog: no {', '.join(sorted(set(CATALOG_VERSIONS[0]) - have))}")
+    return version
+
+
+def migrate(rows: DataFrame) -> DataFrame:
+    """A catalog table of any version as schemas.SOURCE: what an older one lacks is null, or an empty list."""
+    catalog_version(rows)
+    none = F.array().cast("array<string>")
+    missing = {f.name: F.lit(None).cast("string") for f in schemas.SOURCE if f.name not in rows.columns}
+    rows = rows.withColumns(missing | {c: none for c in schemas.CHILDREN if c not in rows.columns})
+    return rows.select(*[F.coalesce(c, none).alias(c) if c in schemas.CHILDREN else F.col(c) for c in schemas.SOURCE.names])
+
+
 # ---------------------------------------------------------------- files
 
 

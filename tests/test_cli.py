@@ -15,6 +15,8 @@ def ask(spark, *argv):
 def test_commands(spark):
     assert ask(spark, "list")["count"] == 3 and ask(spark, "list", "--include-skills")["count"] == 4
     assert [s["source_id"] for s in ask(spark, "filter", "--version", "15")["sources"]] == ["/vercel/next.js"]
+    assert ask(spark, "filter", "--trust", "official", "--limit", "2")["filters"] == {"domain": None, "trust": "official", "version": None, "limit": 2}
+    assert ask(spark, "list")["filters"] is None
     got = ask(spark, "resolve", "next middleware")
     assert got["intent"] == "Code" and got["candidates"][0]["source_id"] == "/vercel/next.js"
     assert ask(spark, "cite", '{"query":"q","resolved_sources":[],"evidence":[],"warnings":[],"pack_summary":"","token_budget":1}') == {"citations": []}

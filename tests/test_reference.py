@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slateflow import schemas
 from slateflow.functions import text as X
@@ -332,6 +333,27 @@ def test_registry_files_and_instances(spark, tmp_path):
         tables.list_instances(spark, str(i)).collect()
 
 
+def test_the_last_payload_of_a_key_counts(spark):
+    row = ("/s", "t", "n", "https://a", "1", "é", "sec", ["x"], "r", 0, None)
+    rows = [(*row, 0), (*row[:5], "later", *row[6:], 2), (*row[:5], "between", *row[6:], 1)]
+    df = spark.createDataFrame(rows, T.StructType([*schemas.PAYLOAD.fields, T.StructField("item_pos", T.IntegerType())]))
+    got = refresh.record_hashes(df, "item_pos").collect()
+    want = refresh.record_hashes(df.where("content = 'later'"), "item_pos").first()["hash"]
+    assert [(r["record_key"], r["hash"]) for r in got] == [("https://a#0:0", want)]
+    assert refresh.record_hashes(df.withColumn("retrieved_at", F.lit("z")), "item_pos", ("retrieved_at",)).first()["hash"] == refresh.record_hashes(df, "item_pos", ("retrieved_at",)).first()["hash"]
+
+
+def test_catalogs_of_older_versions(spark):
+    new = tables.seed_catalog(spark)
+    old = new.drop("skill_kind", "targets", "capabilities").withColumn("citations", F.lit(None).cast("array<string>"))
+    assert (tables.catalog_version(new), tables.catalog_version(old)) == (1, 0)
+    got = tables.migrate(old)
+    assert got.schema.names == schemas.SOURCE.names and got.where("size(targets) = 0 and skill_kind is null and size(citations) = 0").count() == 4
+    assert tables.migrate(new).collect() == new.select(*schemas.SOURCE.names).collect()
+    with pytest.raises(ValueError, match="not a catalog: no title"):
+        tables.migrate(new.drop("title"))
+
+
 def test_settings():
     from slateflow import settings
 

@@ -7,11 +7,13 @@ passage around each hit. Case and runs of white space are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 #: Edits allowed per character of an item, and half the least length of an item that is matched with edits.
 ERROR_RATE, LEAST_PIECE = 0.05, 16
@@ -131,16 +133,10 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> Data
     with null id or null or blank text take no part. Null and empty texts hold nothing. A doc_id of
     several rows appears once for each item, with the fewest edits; rows without doc_id are left out.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-chars // BLOCK_CHARS))
+    tune(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    out = None
-    for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        block = sorted({(r["item_id"], normalize(r["text"])) for r in part.collect()})
+    out = docs.sparkSession.createDataFrame([], HITS)
+    for block in _blocks(items):
 
         def run(frames, block=block):
             finder = Matcher(block, rate)
@@ -148,15 +144,41 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> Data
                 rows = [(d, i, e, k) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, (e, k) in finder.find(normalize(t)).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "budget"])
 
-        found = src.mapInPandas(run, HITS)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(src.mapInPandas(run, HITS))
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("budget").alias("budget"))
 
 
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items as (item_id, normalized text), in blocks of about BLOCK_CHARS."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-chars // BLOCK_CHARS)
+    for b in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        yield sorted({(r["item_id"], normalize(r["text"])) for r in part.collect()})
+
+
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """`docs` without the documents that hold an item; rows without doc_id stay."""
-    bad = matches(docs, items, rate).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of `docs` whose text holds no item, with all their columns.
+
+    Each row is judged by its own text, whatever its doc_id, so null and repeated ids make no difference. Null
+    and empty texts stay, and so do all rows where there are no items. Nothing is shuffled.
+    """
+    tune(docs.sparkSession)
+    for n, block in enumerate(_blocks(items)):
+        if n:  # written between blocks, so that a task has one Python worker at a time
+            docs = materialize(docs, "clean")
+        docs = docs.where(F.pandas_udf(_free_of(block, rate), "boolean")(F.col("text").cast("string")))
+    return docs
+
+
+def _free_of(block: list[tuple[int, str]], rate: float):
+    def free(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Matcher(block, rate)
+        for x in texts:
+            yield pd.Series([not finder.find(normalize(t)) for t in x], dtype=bool)
+
+    return free
 
 
 def op8_pigeonhole(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:

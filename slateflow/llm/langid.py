@@ -267,11 +267,12 @@ def fit(docs: DataFrame, seed: int = 7) -> ByteNetwork | None:
     """Train on a bounded sample of labelled documents outside the held-out fold; None if no document has a label.
 
     SAMPLE_DOCS documents of each language, those with the smallest hash of the id; SAMPLE_WORDS words of
-    each, at even distances over the whole text. Only this sample reaches the driver.
+    each, at even distances over the whole text. Of rows that repeat an id and its language one counts, that
+    with the smallest text. Only this sample reaches the driver. An empty table gives None.
     """
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct()
+    ids = rows.select("doc_id", "lang").withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct()
     chosen = [r["doc_id"] for r in ids.collect()]
     if not chosen:
         return None
@@ -285,7 +286,8 @@ def fit(docs: DataFrame, seed: int = 7) -> ByteNetwork | None:
                 out += [(d, lang, i, p) for i, x in enumerate(pick) for p, _, _ in cut(x)]
             yield pd.DataFrame(out, columns=["doc_id", "lang", "i", "word"])
 
-    got = rows.select("doc_id", "lang", "text").where(F.col("doc_id").isin(chosen)).mapInPandas(sample, "doc_id long, lang string, i int, word binary").toPandas()
+    one = rows.where(F.col("doc_id").isin(chosen)).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = one.select("doc_id", "lang", "text").mapInPandas(sample, "doc_id long, lang string, i int, word binary").toPandas()
     if not len(got):
         return None
     got["word"] = got["word"].map(bytes)
@@ -319,7 +321,8 @@ def prediction(net: ByteNetwork | None):
 def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs (doc_id, text); other columns play no part.
 
-    Null text, empty text and text without a letter: `und`, 0.0; so is all if nothing could be learned.
+    Null text, empty text and text without a letter: `und`, 0.0; so is all if nothing could be learned. Repeated
+    rows are judged alike, and an empty table gives no rows.
     """
     tune(docs.sparkSession)
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prediction(net)(F.col("text").cast("string")).alias("p"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("slateflow.llm")
-from slateflow.llm import ann, common, decontaminate, html_wrapper, langid, near_dedup, packing, pii, sharding, substring_dedup, url_filter  # noqa: E402
+from slateflow.llm import ann, common, decontaminate, html_wrapper, langid, near_dedup, packing, pii, queries, sharding, substring_dedup, url_filter  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, p string, _text string, `group` long, score double"
 
@@ -284,6 +284,45 @@ def test_repeats(spark, monkeypatch, limit):
         assert substring_dedup.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_trees_of_words():
+    """Order, common prefixes and nodes at every depth, against plain comparison of words."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        rows = rng.integers(0, 3, (int(rng.integers(1, 60)), 9)).astype(np.uint64)
+        order, lcp = substring_dedup.suffix_order(rows)
+        s = [tuple(r) for r in rows[order].tolist()]
+        assert s == sorted(s) and lcp[0] == 0
+        for a, b, n in zip(s, s[1:], lcp[1:].tolist()):
+            assert a[:n] == b[:n] and (n == 9 or a[n] != b[n])
+        for depth in range(10):
+            node = substring_dedup.nodes(order, lcp, depth)
+            for i in range(len(rows)):
+                for j in range(i):
+                    assert (node[i] == node[j]) == (rows[i, :depth] == rows[j, :depth]).all()
+
+
+def test_repeats_below_deep_nodes(monkeypatch):
+    """Windows around an anchor, of which any part may differ on either side, against plain counting."""
+    rng = np.random.default_rng(4)
+    anchor = rng.integers(1, 2**60, 8).astype(np.uint64)
+    heads, words, windows = [], [], []
+    for k in range(60):
+        left, right = int(rng.integers(0, 28)), int(rng.integers(0, 28))
+        if left + right < 27:
+            right = 27 - left
+        text = np.r_[rng.choice([5, 6], left, p=[0.97, 0.03]), anchor, rng.choice([7, 8], right, p=[0.97, 0.03])].astype(np.uint64)
+        low = max(0, 27 - right)
+        heads.append((k, left, low, len(text), rng.random() < 0.05))
+        words.append(text)
+        windows.append({o: tuple(text[left - o : left - o + 35].tolist()) for o in range(low, left + 1)})
+    seen = Counter()
+    for h, w in zip(heads, windows):
+        for o, x in w.items():
+            seen[(o, x)] += 1 + h[4]
+    got = substring_dedup.deep_repeats(np.array(heads, dtype=substring_dedup.HEAD), np.concatenate(words))
+    assert [int(m) for m in got] == [sum(1 << o for o, x in w.items() if seen[(o, x)] > 1) for w in windows]
+
+
 # ---------------------------------------------------------------- op5
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -667,8 +706,17 @@ def test_decontaminate(spark, monkeypatch):
     for chars in (4_000_000, 1500):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
         assert {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.op8_pigeonhole(spark, d, b).collect()} == want
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    documents, benchmark = d.select("doc_id", "text").where("length(text) < 20000 or text is null").toPandas(), b.select("item_id", "text").toPandas()
+    c.register("documents", documents), c.register("benchmark", benchmark)
+    told = c.execute(queries.oracle_sql()["op8_pigeonhole"]).fetchall()
+    assert {(int(i), int(j)): e for i, j, e, _ in told} == {k: v for k, v in want.items() if k[0] != 404}
     left = decontaminate.clean(d, b)
-    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in texts} - {i for i, _ in want}
+    # Rows are judged one by one, also those without an id.
+    held = {t for i, t in texts if any((i, j) in want for j, _ in items)} | {items[0][1]}
+    assert left.columns == d.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter((i, t) for i, t in texts if t not in held)
+    assert decontaminate.clean(d, b.limit(0)).count() == len(texts)
     assert decontaminate.op8_pigeonhole(spark, d.limit(0), b).count() == 0 and decontaminate.op8_pigeonhole(spark, d, b.limit(0)).count() == 0
 
 
@@ -901,3 +949,36 @@ def test_language(spark):
     mixed = [t for _, t in texts[:3]]
     whole = langid.predict(langid.WordScores(net), [" ".join(mixed)])[0]
     assert 0 < whole[1] <= 1
+
+
+def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 3)
+    rows = [(7, f"aaa bbb {i % 2}", "x") for i in range(50)] + [(i, f"ccc{i}", "x") for i in range(20, 60)] + [(i, f"ddd{i}", "y") for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid.ByteNetwork, "train", lambda self, words, labels, **k: seen.append(set(words)))
+    langid.fit(df)
+    assert len({w for w in seen[0] if w[:3] in (b"ccc", b"ddd")}) + (b"aaa" in seen[0]) == 6 and not (b"0" in seen[0] and b"1" in seen[0])
+
+
+def test_language_is_the_mean_over_all_positions(spark):
+    """The whole query against the network run on each word by itself, all bytes of all words."""
+    rng = random.Random(16)
+    texts = [(i, prose(rng, rng.randrange(0, 60))) for i in range(80)] + [(90, "mot été ñandú"), (91, "x" * 500 + " tail"), (92, "日本語" * 90), (93, None), (94, "12"), (95, ".,.")]
+    d = docs_of(spark, texts, {i: "abc"[i % 3] for i in range(80)})
+    net = langid.fit(d)
+    got = by_id(langid.identify(d, net), "lang_pred", "score")
+    for i, t in texts:
+        total, n = np.zeros(len(net.langs)), 0
+        for w in (t or "").encode().split():
+            for piece, a, b in langid.cut(w):
+                total += net.positions(np.frombuffer(piece, dtype=np.uint8)[None])[0, a:b].sum(axis=0)
+                n += b - a
+            assert sum(b - a for _, a, b in langid.cut(w)) == len(w) and b"".join(p[a:b] for p, a, b in langid.cut(w)) == w
+        if not n or not re.search(r"[^\W\d_]", t):
+            assert got[i] == ("und", 0.0)
+            continue
+        lang, score = got[i]
+        assert abs(score - total.max() / n) < 1e-5 and total[net.langs.index(lang)] >= total.max() - 1e-5 * n
+    for piece, a, b in langid.cut(("日本語" * 90).encode()):
+        piece[a:b].decode()

@@ -200,7 +200,7 @@ class WordScores:
 
     def __init__(self, net: ByteNetwork, most: int = 1_000_000):
         self.net, self.table = net, HashTable(most)
-        self.sums = np.zeros((1024, len(net.langs)), dtype=np.float32)
+        self.sums = np.zeros((most, len(net.langs)), dtype=np.float32)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """Summed position probabilities of each word, through the network."""
@@ -228,8 +228,6 @@ class WordScores:
             new, where, _ = self.table.unseen(h, found)
             if len(new):
                 n = self.table.count + len(new)
-                if n > len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros((max(n - len(self.sums), len(self.sums)), self.sums.shape[1]), dtype=np.float32)])
                 raw = buf.tobytes()
                 self.sums[self.table.count : n] = self.score([raw[s:e] for s, e in zip(starts[a + where].tolist(), ends[a + where].tolist())])
                 self.table.add(new)

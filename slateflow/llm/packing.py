@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +27,8 @@ from .common import SPACES, HashTable, block_words, byte_blocks, materialize, sp
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are ranked in lanes of about so many, so that a hot length has no single sort.
-LANE_ROWS = 50_000
+#: Where the pieces of one length in one part begin is told to all tasks up to so many rows of it, and joined beyond.
+TOLD_ROWS = 200_000
 
 
 #: The steps before the merges that TextTokens takes by itself, as written in a tokenizer's file.
@@ -174,16 +175,18 @@ class TextTokens:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian bytes) on request.
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, part, nth, and ids (little-endian bytes) on request.
 
     A document's ids end with END_ID; a null or empty text is that id alone. Only longer documents than
-    `capacity` are cut, into pieces of `capacity`.
+    `capacity` are cut, into pieces of `capacity`. nth counts the pieces of one length in a part, which is what
+    one task wrote: to be written once, before it is read.
     """
     tune(docs.sparkSession)
     end = np.array([END_ID], dtype="<u4")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memory(("tokens", tokenizer), lambda: TextTokens(tokenizer))
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in frames:
             who, nth, cut = [], [], []
             for i, ids in enumerate(memo.ids(batch.column(1).to_pylist())):
@@ -194,11 +197,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
             sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
             cols = [batch.column(0).take(pa.array(who, type=pa.int32())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity), pa.array(sizes)]
             cols.append(pa.array([zlib.crc32(c) for c in cut], type=pa.int64()))
+            order = np.argsort(sizes, kind="stable")
+            alike = sizes[order]
+            first = np.searchsorted(alike, alike)
+            rank = np.empty(len(cut), dtype=np.int64)
+            rank[order] = np.arange(len(cut)) - first + seen[alike]
+            seen += np.bincount(sizes, minlength=capacity + 1)
+            cols += [pa.array(np.full(len(cut), part, dtype=np.int64)), pa.array(rank)]
             if keep_ids:
                 cols.append(pa.array([c.tobytes() for c in cut], type=pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+    fields = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long" + (", ids binary" if keep_ids else "")
     names = [f.split()[0] for f in fields.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, fields)
 
@@ -289,18 +299,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`parts` (pieces(), written once) with sequence_id and offset. Collected: a count for each length, `capacity` at most."""
-    spark = parts.sparkSession
-    counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    """`parts` (pieces(), written once) with sequence_id and offset. Collected: a count for each length, `capacity` at most.
+
+    A piece's rank among those of its length is its number in its part, after all of the parts before. So
+    pieces, and ids that they carry, are shuffled only where the starts of parts are too many to tell.
+    """
+    ends = materialize(parts.groupBy("part", "length").agg((F.max("nth") + 1).alias("_n")), "ends")
+    counts = {int(r["length"]): int(r["n"]) for r in ends.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
     r = np.array(runs, dtype=np.int64).reshape(-1, 4)
-    lanes = spark.createDataFrame([(k, -(-n // LANE_ROWS)) for k, n in counts.items()], "length long, _lanes long")
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_lanes"))
-    laned = parts.join(F.broadcast(lanes), "length").withColumn("_lane", key).drop("_lanes")
-    before = Window.partitionBy("length").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
-    base = laned.groupBy("length", "_lane").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    w = Window.partitionBy("length", "_lane").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = laned.withColumn("_nth", F.row_number().over(w)).join(base, ["length", "_lane"])
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ends.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if ends.count() <= TOLD_ROWS:
+        base = F.broadcast(base)
+    ranked = parts.join(base, ["part", "length"])
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         rank = rank.to_numpy()
@@ -310,8 +322,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at[idx] = lo + np.searchsorted(r[lo:hi, 1], rank[idx], side="right") - 1
         return pd.DataFrame({"sequence_id": r[at, 2] + rank - r[at, 1], "offset": r[at, 3]})
 
-    found = F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("_base") + F.col("_nth") - 1)
-    return ranked.withColumn("_at", found).select(*parts.columns, "_at.sequence_id", "_at.offset")
+    found = F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("_base") + F.col("nth"))
+    return ranked.withColumn("_at", found).select(*[c for c in parts.columns if c not in ("part", "nth")], "_at.sequence_id", "_at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

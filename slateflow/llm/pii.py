@@ -177,12 +177,18 @@ def mask(docs: DataFrame) -> DataFrame:
     at = {c: f"c_{i}" for i, c in enumerate(cols)}
     text = at["text"]
     spans = F.array_sort(F.transform(F.concat(*KINDS, DISCOVERED), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.withColumn("_spans", spans)
-    out = f"""aggregate(_spans, struct(0 AS at, cast(array() AS array<string>) AS parts),
-        (s, x) -> CASE WHEN x.start < s.at THEN struct(greatest(s.at, x.end) AS at, s.parts AS parts)
-                       ELSE struct(x.end AS at, concat(s.parts, array(substring({text}, s.at + 1, x.start - s.at), concat('<', upper(x.kind), '>'))) AS parts) END,
-        s -> array_join(array_append(s.parts, substring({text}, s.at + 1, length({text}) - s.at)), ''))"""
-    masked = F.when(F.size("_spans") > 0, F.expr(out)).otherwise(F.col(text))
+    apart = """aggregate(_spans, slice(_spans, 1, 0), (s, x) -> CASE WHEN size(s) > 0 AND x.start < element_at(s, -1).end
+        THEN array_append(slice(s, 1, size(s) - 1), named_struct('start', element_at(s, -1).start, 'end', greatest(element_at(s, -1).end, x.end), 'kind', element_at(s, -1).kind))
+        ELSE array_append(s, x) END)"""
+    # Text is put together piece by piece, so that a span costs a step in its piece and not in the whole text.
+    at_piece = f"i * {_PIECE}"
+    near = f"filter(_spans, x -> x.start < {at_piece} + length(p) AND x.end > {at_piece})"
+    piece = f"""aggregate({near}, named_struct('at', {at_piece}, 'parts', cast(array() AS array<string>)),
+        (s, x) -> named_struct('at', greatest(s.at, x.end), 'parts', concat(s.parts, array(substring(p, s.at - {at_piece} + 1, greatest(x.start - s.at, 0)), CASE WHEN x.start >= {at_piece} THEN concat('<', upper(x.kind), '>') ELSE '' END))),
+        s -> concat(array_join(s.parts, ''), substring(p, s.at - {at_piece} + 1, greatest(length(p) + {at_piece} - s.at, 0))))"""
+    found = found.withColumn("_spans", spans).withColumn("_spans", F.expr(apart))
+    found = found.withColumn("_pieces", F.when(F.size("_spans") > 0, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    masked = F.when(F.size("_spans") > 0, F.expr(f"array_join(transform(_pieces, (p, i) -> {piece}), '')")).otherwise(F.col(text))
     return found.select(*[(masked if c == "text" else F.col(at[c])).alias(c) for c in cols])
 
 

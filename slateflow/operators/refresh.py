@@ -213,7 +213,7 @@ def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores
     A source without payloads, with a suspicious page or with a broken payload fails and stays as it was.
     gate() decides three times: with nothing published yet, who goes to staging; with staging's result, who
     goes to production; and with production's, what each source ends as. One row a source reaches the driver,
-    for the report.
+    for these decisions and the report.
     """
     report = Report(datetime.now(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z"))
     entries = registry.select(F.monotonically_increasing_id().alias("position"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("entry"))
@@ -226,7 +226,7 @@ def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores
     payloads, meta = payloads.persist(), meta.persist()
     state = read_version(spark, stores.state, schemas.STATE)
     rows, new = assess(registry, payloads, meta, state, max_changed, max_deleted, volatile)
-    rows = rows.persist()
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # a row a source: what follows decides on small local tables
     publish = _publisher(spark, stores, embed, dry_run)
     of = lambda ids: registry.join(ids.select("source_id"), "source_id", "left_semi")
     told = {"staging": None, "prod": None, "rollback": None}
@@ -256,7 +256,8 @@ def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores
         if not lost.isEmpty():
             before = state.join(lost, "source_id").select(F.from_json("success_entry", schemas.REGISTRY).alias("e")).select("e.*")
             told["rollback"] = publish("prod", before, last_success(spark.read.parquet(stores.snapshots), lost).select(*schemas.PAYLOAD.names))
-    final = decide(told).persist()
+    final = decide(told)
+    final = spark.createDataFrame(final.collect(), final.schema)
     report.status = report_status(final).first()["status"]
     report.sources = [_told(r) for r in final.orderBy("source_id").collect()]
     if not dry_run:
@@ -267,8 +268,8 @@ def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores
         maps = new.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("record_key", "hash"))).alias("record_hashes"))
         updates = marks.join(maps, "source_id").join(fingerprint(new), "source_id").withColumnRenamed("fingerprint", "normalized_fingerprint").withColumn("last_run_at", F.lit(report.run_at))
         write_version(merge_state(state, updates.select(*schemas.STATE.names)).withColumn("last_run_at", F.lit(report.run_at)), stores.state)
-    for x in (payloads, meta, rows, final):
-        x.unpersist()
+    payloads.unpersist()
+    meta.unpersist()
     return report
 
 

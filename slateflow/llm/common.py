@@ -83,6 +83,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def parts_of(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` with the columns of `totals`, which has one row for each `key` and its number of rows in `count`. Nulls are a key.
+
+    A key of more than a thousandth of all rows is one of a thousand at most: those are broadcast, so that no
+    task gets a hot key's rows, and the others are joined by a shuffle. `totals` is a written table.
+    """
+    all_rows = totals.agg(F.sum(count).alias("n")).first()["n"] or 0
+    totals = totals.withColumnRenamed(key, "_key")
+    hot = totals.where(F.col(count) * 1000 > all_rows)
+    same = rows[key].eqNullSafe(F.col("_key"))
+    out = rows.join(F.broadcast(hot), same).drop("_key")
+    rest = rows.join(F.broadcast(hot.select("_key")), same, "left_anti").join(totals.where(F.col(count) * 1000 <= all_rows), same).drop("_key")
+    return out.unionByName(rest)
+
+
 _WORKER: dict = {}
 
 

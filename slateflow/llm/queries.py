@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_wrapper, langid, near_dedup, packing, pii, sharding, substring_dedup, url_filter
+from . import ann, decontaminate, exact_dedup, html_wrapper, langid, merkle, near_dedup, packing, pii, sharding, substring_dedup, url_filter, vector_codes
 from .common import read
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pigeonhole": lambda s, d: decontaminate.op8_pigeonhole(s, read(s, d, "documents"), read(s, d, "benchmark")),
         "op9_star_minhash": lambda s, d: near_dedup.op9_star_minhash(s, read(s, d, "documents")),
         "op10_byte_gru": lambda s, d: langid.op10_byte_gru(s, read(s, d, "documents")),
+        "op11_sparse_forest": lambda s, d: merkle.op11_sparse_forest(s, read(s, d, "documents")),
+        "op12_yinyang": lambda s, d: vector_codes.op12_yinyang(s, read(s, d, "embeddings")),
+        "op13_two_pass_bloom": lambda s, d: exact_dedup.op13_two_pass_bloom(s, read(s, d, "documents")),
     }
 
 
@@ -87,7 +90,69 @@ c(node, root) AS (SELECT rep, rep FROM rep UNION SELECT e.b, c.root FROM c JOIN
 m AS (SELECT node, min(root) AS component FROM c GROUP BY 1)
 SELECT u.doc_id, u.n::BIGINT AS n_shingles, coalesce(m.component, u.doc_id) AS component_id, u.doc_id = coalesce(m.component, u.doc_id) AS kept FROM u LEFT JOIN rep ON rep.h = u.h AND u.n > 0 LEFT JOIN m ON m.node = rep.rep"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """Nodes (key, level, place, hash, n) of the trees over leaves (key, place, hash, n)."""
+    return f"""{name}({key}, level, place, hash, n) AS (SELECT {key}, 0::BIGINT, place::BIGINT, hash, n::BIGINT FROM {leaves}
+  UNION ALL SELECT {key}, level + 1, place // 16, sha256(string_agg(hash, '' ORDER BY place)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY {key}, level, n, place // 16)"""
+
+
+def _runs(tree: str, key: str) -> str:
+    return f"SELECT {key}, level, place // 16 AS run, list(hash ORDER BY place) AS h FROM {tree} WHERE n > 1 GROUP BY {key}, level, place // 16"
+
+
+#: op11: trees level by level, then a walk from each leaf up its runs. DuckDB has no crc32: `crc` is its table of bytes, `cr` goes through the digits.
+_OP11 = f"""WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8),
+ct AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, *, {_leaf("text")} AS leaf, {_leaf(_LOWER.format("text"))} AS low FROM documents),
+cr(r, s, k, c) AS (SELECT r, doc_id::VARCHAR, 1::BIGINT, 4294967295::BIGINT FROM d WHERE doc_id IS NOT NULL UNION ALL SELECT r, s, k + 1, xor(t[(xor(c, ascii(s[k])) & 255) + 1], c >> 8) FROM cr, ct WHERE k <= length(s)),
+hit AS (SELECT r FROM cr WHERE k = length(s) + 1 AND xor(c, 4294967295) % 5 = 0),
+l AS (SELECT d.r, doc_id, leaf, CASE WHEN hit.r IS NULL THEN leaf ELSE low END AS used, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, leaf AS hash, count(*) OVER (PARTITION BY source) AS n FROM d LEFT JOIN hit ON hit.r = d.r),
+{_tree("nodes", "l", "src")},
+subs AS (SELECT 0 AS one, src AS place, hash, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree("top", "subs", "one")},
+runs AS ({_runs("nodes", "src")}),
+tops AS ({_runs("top", "one")}),
+lv AS (SELECT src, max(level) AS levels FROM nodes GROUP BY src),
+steps AS (SELECT r, x.level AS step, h, (l.place // (16 ** x.level)::BIGINT) % 16 AS i FROM l JOIN runs x ON x.src = l.src AND x.run = l.place // (16 ** (x.level + 1))::BIGINT
+  UNION ALL SELECT r, lv.levels + x.level, h, (l.src // (16 ** x.level)::BIGINT) % 16 FROM l JOIN lv ON lv.src = l.src JOIN tops x ON x.run = l.src // (16 ** (x.level + 1))::BIGINT),
+walk(r, step, acc) AS (SELECT r, 0::BIGINT, used FROM l UNION ALL SELECT w.r, w.step + 1, sha256(array_to_string(s.h[:s.i::BIGINT], '') || acc || array_to_string(s.h[s.i::BIGINT + 2:], '')) FROM walk w JOIN steps s ON s.r = w.r AND s.step = w.step),
+fold AS (SELECT r, arg_max(acc, step) AS folded FROM walk GROUP BY r),
+sib AS (SELECT r, string_agg(array_to_string(h[:i::BIGINT], '') || array_to_string(h[i::BIGINT + 2:], ''), '' ORDER BY step) AS p FROM steps GROUP BY r)
+SELECT doc_id, leaf, subs.hash AS subroot, rt.hash AS root, sha256(coalesce(p, '')) AS proof_sha256, folded AS folded_root, folded = rt.hash AS verified
+FROM l JOIN subs ON subs.place = l.src JOIN fold ON fold.r = l.r LEFT JOIN sib ON sib.r = l.r CROSS JOIN (SELECT hash FROM top WHERE n = 1) rt"""
+
+
+def _op12(rounds: int = vector_codes.ROUNDS) -> str:
+    """Lloyd rounds one after another, each with its assignment and its codebooks."""
+    out = ["""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS (SELECT r, p, x[p * (len(x) // 8) + 1:(p + 1) * (len(x) // 8)] AS x FROM v, range(8) t(p))",
+        "b0 AS (SELECT p, r - 1 AS j, x FROM parts WHERE r <= 16)"]
+    near = "SELECT r, p, x, min(struct_pack(d := d, j := j)) AS m FROM (SELECT s.r, s.p, s.x, b.j, list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts s JOIN {} b USING (p)) GROUP BY r, p, x"
+    for k in range(rounds):
+        out += [
+            f"a{k} AS MATERIALIZED ({near.format(f'b{k}')})",
+            f"s{k} AS (SELECT p, j, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT p, m.j AS j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, j, i)",
+            f"u{k} AS (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM s{k} GROUP BY p, j)",
+            f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(u.x, b.x) AS x FROM b{k} b LEFT JOIN u{k} u ON u.p = b.p AND u.j = b.j)",
+        ]
+    out.append(f"z AS MATERIALIZED ({near.format(f'b{rounds}')})")
+    out.append(f"digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b{rounds})")
+    out.append("e AS (SELECT r, string_agg(printf('%02x', m.j), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM z GROUP BY r)")
+    return ",\n".join(out) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN e USING (r) CROSS JOIN digest"
+
+
+_OP13 = f"""WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of the others, op3 needs a balance, op5 and op10 a fit, op6 a tokenizer, op7 a parser: tests compare them with brute force."""
-    return {"op1_redirect_classes": _OP1, "op2_block_join": _OP2, "op4_suffix_trees": _OP4, "op8_pigeonhole": _OP8, "op9_star_minhash": _OP9}
+    return {"op1_redirect_classes": _OP1, "op2_block_join": _OP2, "op4_suffix_trees": _OP4, "op8_pigeonhole": _OP8, "op9_star_minhash": _OP9, "op11_sparse_forest": _OP11, "op12_yinyang": _op12(), "op13_two_pass_bloom": _OP13}

@@ -84,7 +84,7 @@ def run(spark, a: argparse.Namespace) -> dict:
         told = resolve.describe(q).first()
         found = rows(resolve.resolve(q, sources, a.max_sources, a.include_skills).orderBy("rank").drop("query_id", "rank"))
         return {"query": a.query, "intent": told["intent"], "entities": told["entities"], "candidates": found}
-    records = memory.TableStore(spark, s.memory).read() if s.memory else spark.createDataFrame([], schemas.MEMORY)
+    records = _memory(spark, s.memory) if s.memory else spark.createDataFrame([], schemas.MEMORY)
     if a.command == "query" and catalog.get_source(sources, a.source_id).isEmpty():
         raise SystemExit(f"source not found: {a.source_id}")
     asked = embedded(spark.createDataFrame([(0, a.query)], "query_id int, query string"), a.vector, s.embedding_endpoint)
@@ -95,12 +95,35 @@ def run(spark, a: argparse.Namespace) -> dict:
     return {"source_id": a.source_id, "snippets": rows(found)}
 
 
+def _published(spark, path: str, what: str):
+    """The version of a published catalog or memory that the newest commit of its root names, None for a table of another kind.
+
+    A published folder is {root}/{what}/{environment}; {root} holds the commits.
+    """
+    from slateflow.sources.versions import Commits
+
+    root, _, env = path.rstrip("/").rpartition("/")
+    head = Commits(spark, f"{root.removesuffix('/' + what)}/state-commits").read()
+    return (head.get(env) or {}).get(what)
+
+
 def _catalog(spark, path: str):
     """A catalog that a refresh published, or a plain table."""
     from slateflow import schemas
-    from slateflow.sources import tables, versions
+    from slateflow.sources import tables
+    from slateflow.sources.versions import BucketTable
+
+    version = _published(spark, path, "catalog")
+    return tables.migrate(spark.read.parquet(path)) if version is None else BucketTable(spark, path, schemas.SOURCE, "source_id").read(version)
+
+
+def _memory(spark, path: str):
+    """A memory that a refresh published, or a plain table."""
+    from slateflow import schemas
+    from slateflow.operators.memory import TableStore
 
-    return versions.read_version(spark, path, schemas.SOURCE) if versions.versions(spark, path) else tables.migrate(spark.read.parquet(path))
+    version = _published(spark, path, "memory")
+    return spark.read.schema(schemas.MEMORY).parquet(path) if version is None else TableStore(spark, path, version).read()
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -65,19 +65,24 @@ def _sorted_children(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_sort(F.coalesce(c, F.array().cast("array<string>"))).alias(c) if c in schemas.CHILDREN else F.col(c) for c in schemas.SOURCE.names])
 
 
+def checked(updates: DataFrame) -> DataFrame:
+    """`updates` with sorted child values; raises where a child's values repeat."""
+    bad = duplicate_values(updates).limit(20).collect()
+    if bad:
+        raise DuplicateValues("; ".join(f"{r['source_id']}: repeated value in `{r['child']}`" for r in bad))
+    return _sorted_children(updates)
+
+
 def upsert(sources: DataFrame, updates: DataFrame, check: bool = True) -> DataFrame:
     """`sources` with each update's row in place of the row of its id, all child values replaced."""
-    if check:
-        bad = duplicate_values(updates).limit(20).collect()
-        if bad:
-            raise DuplicateValues("; ".join(f"{r['source_id']}: repeated value in `{r['child']}`" for r in bad))
-    return sources.join(updates.select("source_id"), "source_id", "left_anti").select(*schemas.SOURCE.names).unionByName(_sorted_children(updates))
+    updates = checked(updates) if check else _sorted_children(updates)
+    return sources.join(updates.select("source_id"), "source_id", "left_anti").select(*schemas.SOURCE.names).unionByName(updates)
 
 
 def replace(updates: DataFrame, position: str, check: bool = True) -> DataFrame:
     """A new catalog from rows in order of `position`; a later row of an id wins."""
-    if check and (bad := duplicate_values(updates).limit(20).collect()):
-        raise DuplicateValues("; ".join(f"{r['source_id']}: repeated value in `{r['child']}`" for r in bad))
+    if check:
+        checked(updates)
     w = Window.partitionBy("source_id").orderBy(F.desc(position))
     return _sorted_children(updates.withColumn("_n", F.row_number().over(w)).where("_n = 1"))
 

@@ -15,6 +15,8 @@ from slateflow.operators.memory import search
 from slateflow.operators.resolve import resolve
 
 HITS_PER_SOURCE = 3
+#: The token budget of a pack, unless another is given.
+TOKENS = 3000
 
 
 class NoSources(ValueError):
@@ -63,11 +65,11 @@ def evidence(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sour
     found = resolve(queries, sources, max_sources, include_skills).withColumnRenamed("rank", "src_rank")
     asked = found.select("query_id", "source_id", "src_rank").join(queries.select("query_id", "vector"), "query_id")
     asked = asked.withColumns({"version": F.lit(None).cast("string"), "top_k": F.lit(HITS_PER_SOURCE)})
-    snippets, outcomes = search(asked, sources if metadata is None else metadata, memory, errors=errors)
+    snippets, outcomes = search(asked, sources if metadata is None else metadata, memory, errors, HITS_PER_SOURCE)
     return found, drop_repeats(snippets), outcomes
 
 
-def pack(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, max_tokens: int = 3000, include_skills: bool = False, errors: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+def pack(queries: DataFrame, sources: DataFrame, memory: DataFrame, max_sources: int = 5, max_tokens: int = TOKENS, include_skills: bool = False, errors: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """One row for each query, as schemas.PACK with query_id and `failed`: no source answered and nothing was found."""
     found, snippets, outcomes = evidence(queries, sources, memory, max_sources, include_skills, errors, metadata)
     kept = trim(snippets, max_tokens)

@@ -46,7 +46,7 @@ def embedder(endpoint: str | None, vector: str | None, timeout: float = 30.0):
         return lambda rows: rows.withColumn("embedding", F.array(*[F.lit(v).cast("float") for v in values]))
     if endpoint:
         service = HttpEmbedder(endpoint, timeout)
-        return lambda rows: service.embed(rows, "text", "embedding")
+        return lambda rows: service.embed(rows, "text", "embedding", "error")
     raise SystemExit("an embedding endpoint or a vector is needed")
 
 
@@ -59,18 +59,20 @@ def stores_of(spark, s: RefreshSettings):
 
 
 def run(spark, a: argparse.Namespace) -> dict:
+    import uuid
     from datetime import UTC, datetime
 
     from pyspark.sql import functions as F
 
     from slateflow.operators import catalog, ingest, refresh
+    from slateflow.operators import record_state as R
     from slateflow.sources import tables, versions
 
     s = load(RefreshSettings, registry=a.registry, root=a.root, embedding_endpoint=a.embedding_endpoint)
     registry = tables.read_registry(spark, s.registry)
     chosen = tables.enabled_sources(registry, a.source, "daily" if a.command == "refresh" else None)
     ids = lambda df: [r["source_id"] for r in df.select("source_id").distinct().orderBy("source_id").collect()]
-    raw = lambda: tables.latest_snapshot(spark.read.schema(schemas.RAW).json(s.path("raw")))
+    raw = lambda: tables.read_latest_raw(spark, s.path("raw"))
     registry_errors = lambda: [r["message"] for r in ingest.validate_registry(tables.registry_entries(spark, s.registry)).orderBy("position", "message").collect()]
     ours = lambda df: df.join(chosen.select("source_id"), "source_id", "left_semi")
 
@@ -79,11 +81,20 @@ def run(spark, a: argparse.Namespace) -> dict:
         if bad:
             return {"status": "invalid_registry", "errors": bad, "sources": []}
         at = datetime.now(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
-        tables.write_raw(tables.collect(spark, chosen, at, s.http_timeout), s.path("raw"))
+        got, failed = tables.collect(spark, chosen, at, s.http_timeout, raw())
+        tables.write_raw(got, s.path("raw"))
+        lost: dict[str, list[str]] = {}
+        for r in failed.orderBy("source_id", "url").collect():
+            lost.setdefault(r["source_id"], []).append(f"{r['source_id']}: {r['url']}: {r['error']}")
         if a.command == "collect":
-            return {"status": "ok", "sources": ids(chosen)}
+            told = {"status": "failed" if lost else "ok", "sources": ids(got)}
+            return told | {"errors": [e for x in lost.values() for e in x]} if lost else told
         embed = embedder(s.embedding_endpoint, a.vector, s.embedding_timeout)
-        report = refresh.run_refresh(spark, chosen, ours(raw()), stores_of(spark, s), embed, a.dry_run, s.max_changed_records, s.max_deleted_records)
+        fetched = chosen.join(spark.createDataFrame([(i,) for i in lost], "source_id string"), "source_id", "left_anti")
+        report = refresh.run_refresh(spark, fetched, ours(raw()), stores_of(spark, s), embed, a.dry_run, s.max_changed_records, s.max_deleted_records)
+        if lost:  # what can't be fetched fails alone and stays as it was
+            report.status = "partial"
+            report.sources = sorted([*report.sources, *({"source_id": i, "status": "failed", "errors": e} for i, e in lost.items())], key=lambda x: x["source_id"])
         out = vars(report)
         if report.status != "invalid_registry":
             tables.write_report(spark, out, s.path("reports"))
@@ -104,14 +115,15 @@ def run(spark, a: argparse.Namespace) -> dict:
         errors += [r["message"] for r in refresh.problems_of(chosen, payloads.withColumn("item_pos", F.lit(0)), no_meta).orderBy("message").collect()]
         return {"status": "failed" if errors else "ok", "errors": errors}
     if a.command == "diff":
-        state = versions.read_version(spark, s.path("state"), schemas.STATE)
-        old = ours(state.select("source_id", F.explode("record_hashes").alias("record_key", "hash")))
-        changes = refresh.diff_records(old, refresh.record_hashes(payloads.withColumn("item_pos", F.lit(0)), "item_pos"))
-        told = refresh.diff_status(changes, s.max_changed_records, s.max_deleted_records).join(refresh.diff_report(changes), "source_id")
-        results = [r.asDict() for r in told.orderBy("source_id").collect()]
-        path = s.path("reports/latest-diff.json")
+        stores = stores_of(spark, s)
+        records, state = stores.records(), ours(stores.read_state())
+        now = R.bucketed(refresh.record_hashes(payloads.withColumn("item_pos", F.lit(0)), "item_pos"))
+        found = refresh.diff_states(records.hashes(state), now, records.digests(state), R.digests(now))
+        results = [r.asDict() for r in found.status(s.max_changed_records, s.max_deleted_records).orderBy("source_id").collect()]
+        path, keys = s.path("reports/latest-diff.json"), s.path("reports/latest-diff-keys")
         versions.write_json(spark, path, {"results": results})
-        return {"status": "ok", "report_path": path, "results": results}
+        tables.write_jsonl(refresh.diff_report(found.changes), keys)
+        return {"status": "ok", "report_path": path, "keys_path": keys, "results": results}
     if chosen.isEmpty():
         return {"status": "failed", "errors": [f"source not found: {a.source}"]}
     missing = [r["message"] for r in refresh.without_shards(chosen, a.env).collect()]
@@ -121,15 +133,22 @@ def run(spark, a: argparse.Namespace) -> dict:
     if a.dry_run:
         return told
     stores = stores_of(spark, s)
-    store, path = (stores.staging, stores.staging_catalog) if a.env == "staging" else (stores.prod, stores.prod_catalog)
+    number, head = stores.log().last(), stores.log().read()
+    at = dict(head.get(a.env) or {"catalog": None, "memory": None})
     if a.command == "apply-catalog":
-        versions.write_version(catalog.upsert(versions.read_version(spark, path, schemas.SOURCE), refresh.catalog_rows(chosen, a.env)), path)
+        at["catalog"] = stores.catalog(a.env).upsert(catalog.checked(refresh.catalog_rows(chosen, a.env)), at["catalog"])
+        stores.log().write(head | {a.env: at}, number)
         return told
     embed = embedder(s.embedding_endpoint, a.vector, s.embedding_timeout)
     if a.command == "apply-memory":
-        store.reset(refresh.records_for(payloads, chosen, a.env, embed))
+        store, new = stores.store(a.env), uuid.uuid4().hex
+        failed = store.add(refresh.records_for(payloads, chosen, a.env, embed), new)
+        if failed:
+            return told | {"status": "failed", "errors": [f"{i}: {e}" for i, e in failed]}
+        at["memory"] = store.switch(dict.fromkeys(ids(chosen), new), at["memory"])
+        stores.log().write(head | {a.env: at}, number)
         return told
-    failures = list(refresh.smoke(chosen, versions.read_version(spark, path, schemas.SOURCE), store.read(), embed).first()["failures"])
+    failures = list(refresh.smoke(chosen, *stores.published(a.env, head), embed).first()["failures"])
     return told | {"status": "failed" if failures else "ok", "failures": failures}
 
 

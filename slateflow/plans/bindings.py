@@ -85,6 +85,45 @@ def name_queries_sql(suffix: str = "") -> str:
     return f"SELECT DISTINCT p_name || '{suffix}' AS query_id, p_name || '{suffix}' AS query FROM part"
 
 
+#: What is asked beside a part's name: words of kinds, entities and topics; and what skills of parts are for.
+PHRASES = ["", " next migration auth", " debug React hooks", " supabase", " upgrade middleware"]
+TARGETS, CAPABILITIES = [["nextjs", "Vue"], ["React"], []], [["auth"], ["hooks", "Middleware"], [], ["deploy"]]
+
+
+def skills_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of `part` with targets and capabilities, by the part's key."""
+    key = F.regexp_extract("source_id", "/(\\d+)$", 1).cast("long")
+    pick = lambda lists: F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in lists]), (key % len(lists) + 1).cast("int"))
+    return parts_catalog(spark, sf_dir).withColumns({"targets": pick(TARGETS), "capabilities": pick(CAPABILITIES)})
+
+
+def _picked(lists: list[list[str]]) -> str:
+    return f"[{', '.join(_sql_value(x) for x in [sorted(y) for y in lists])}][(p_partkey % {len(lists)} + 1)::INT]"
+
+
+SKILLS_SQL = f"SELECT p.* REPLACE ({_picked(TARGETS)} AS targets, {_picked(CAPABILITIES)} AS capabilities) FROM ({PARTS_SQL.replace('AS citations FROM', 'AS citations, p_partkey FROM')}) p"
+
+
+def skill_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different name of a part with one of PHRASES: alone, it is an alias of its parts."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_size") % len(PHRASES) + 1).cast("int"))
+    asked = table(spark, sf_dir, "part").select(F.concat("p_name", phrase).alias("query")).distinct()
+    return asked.select(F.col("query").alias("query_id"), "query")
+
+
+SKILL_QUERIES_SQL = f"SELECT DISTINCT query AS query_id, query FROM (SELECT p_name || [{', '.join(map(_sql_value, PHRASES))}][(p_size % {len(PHRASES)} + 1)::INT] AS query FROM part)"
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different text of `conversations` with one of PHRASES, by its length."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.length("text") % len(PHRASES) + 1).cast("int"))
+    said = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat("text", phrase).alias("query")).distinct()
+    return said.select(F.sha2("query", 256).alias("query_id"), "query")
+
+
+SPOKEN_SQL = f"SELECT DISTINCT sha256(query) AS query_id, query FROM (SELECT text || [{', '.join(map(_sql_value, PHRASES))}][(length(text) % {len(PHRASES)} + 1)::INT] AS query FROM conversations WHERE text IS NOT NULL)"
+
+
 # ---------------------------------------------------------------- memory
 
 LABELS = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slateflow import schemas
 from slateflow.functions import text as X
 from slateflow.operators import catalog, ingest, memory, pack, refresh, resolve
+from slateflow.operators import record_state as R
 from slateflow.plans import bindings as B
 from slateflow.plans import oracles
 from slateflow.sources import tables
@@ -71,8 +72,10 @@ def catalog_replace(s, d):
 
 
 def catalog_seed_ignore(s, d):
-    have = catalog.upsert(tables.seed_catalog(s).where("source_id <> '/react/docs'"), tables.sources_from(s, [dict(tables.SEED[1], title="Mine")]))
-    return _flat(catalog.seed_ignore(have, tables.seed_catalog(s, partial=True)))
+    """Seeds beside the catalog of `part`, two of whose sources have the ids of seeds."""
+    p = B.parts_catalog(s, d)
+    ours = F.when(p.source_id == "/Brand#17/1", "/supabase/docs").when(p.source_id.endswith("/2"), "/react/docs").otherwise(p.source_id)
+    return _flat(catalog.seed_ignore(p.withColumn("source_id", ours), tables.seed_catalog(s, partial=True)))
 
 
 def catalog_child_arrays(s, d):
@@ -85,11 +88,11 @@ def catalog_child_arrays(s, d):
 
 
 def resolve_seed(s, d):
-    return _flat(resolve.resolve(B.seed_queries(s), B.seed(s), 5, include_skills=False))
+    return _flat(resolve.resolve(B.spoken(s, d), B.seed(s), 5, include_skills=False))
 
 
 def resolve_skill_reranked(s, d):
-    return _flat(resolve.resolve(B.seed_queries(s), B.seed(s), 5, include_skills=True))
+    return _flat(resolve.resolve(B.skill_queries(s, d), B.skills_catalog(s, d), 5, include_skills=True))
 
 
 def resolve_scale(s, d):
@@ -110,12 +113,12 @@ def query_intent(s, d):
 
 
 def query_entities(s, d):
-    return resolve.describe(B.seed_queries(s)).select("query_id", F.array_join("entities", "|").alias("entities"))
+    return resolve.describe(B.spoken(s, d)).select("query_id", F.array_join("entities", "|").alias("entities"))
 
 
 def query_task_kind_topics(s, d):
     q = X.normalize_engine(F.col("query"))
-    return B.seed_queries(s).select("query_id", X.task_kind(q).alias("kind"), F.array_join(X.skill_topics(q), "|").alias("topics"), F.array_join(X.skill_entities(q), "|").alias("targets"))
+    return B.spoken(s, d).select("query_id", X.task_kind(q).alias("kind"), F.array_join(X.skill_topics(q), "|").alias("topics"), F.array_join(X.skill_entities(q), "|").alias("targets"))
 
 
 def normalize_catalog_text(s, d):
@@ -137,15 +140,15 @@ def _asked_all(s, d, version=None, k=5):
 
 def vector_topk_query(s, d):
     q = B.asked(s, d).select("query_id", F.lit("/label/3").alias("source_id"), "vector", F.lit(None).cast("string").alias("version"), F.lit(5).alias("top_k"))
-    return _flat(memory.query(q, B.labels(s), B.memory(s, d)).drop("src_rank"))
+    return _flat(memory.query(q, B.labels(s), B.memory(s, d), most=5).drop("src_rank"))
 
 
 def vector_topk_per_source(s, d):
-    return _flat(memory.query(_asked_all(s, d, k=3), B.labels(s), B.memory(s, d)).select("query_id", "source_id", "hit_rank", "citation", "score"))
+    return _flat(memory.query(_asked_all(s, d, k=3), B.labels(s), B.memory(s, d), most=3).select("query_id", "source_id", "hit_rank", "citation", "score"))
 
 
 def vector_version_filter(s, d):
-    return _flat(memory.query(_asked_all(s, d, "2"), B.labels(s), B.memory(s, d)).select("query_id", "source_id", "hit_rank", "version", "citation", "score"))
+    return _flat(memory.query(_asked_all(s, d, "2"), B.labels(s), B.memory(s, d), most=5).select("query_id", "source_id", "hit_rank", "version", "citation", "score"))
 
 
 def payload_parse(s, d):
@@ -271,16 +274,24 @@ def payload_validate(s, d):
     return ingest.validate_payloads(_payloads(s, d), F.lit("/react/docs"), F.col("position")).select("position", "message")
 
 
-def _entries(s) -> DataFrame:
-    import json
-
-    full = {"source_id": "/a", "kind": "docs", "enabled": True, "public_urls": [], "discovery_urls": [], "normalization_profile": "p", "catalog_metadata": {"title": "t", "aliases": [], "domain": "d", "trust": "t", "supported_versions": [], "citations": []}, "memory_targets": {"staging_shard_ids": [], "prod_shard_ids": []}, "cadence": "daily", "version_strategy": "v", "extraction_hints": {"content_roots": [], "drop_selectors": [], "chunk_target_chars": 900}, "smoke_queries": {"resolve": "r", "query": "q", "pack": "p"}}
-    rows = [full, {**full, "source_id": "/b"}, {k: v for k, v in full.items() if k not in ("kind", "smoke_queries")}, {**full, "source_id": "/c", "memory_targets": {"prod_shard_ids": None}}, {"enabled": True}]
-    return s.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "position int, entry string")
+def _entries(s, d) -> DataFrame:
+    """A registry entry as JSON for each customer, keys left out by its number; every seventh has the id of its nation, so that ids repeat."""
+    n = F.col("c_custkey")
+    left = lambda k, x, name: F.when(n % k != 0, x).alias(name)
+    words = F.array(F.lit("w"))
+    meta = F.struct(left(2, F.lit("t"), "title"), words.alias("aliases"), F.lit("d").alias("domain"), left(3, F.lit("official"), "trust"), words.alias("supported_versions"), words.alias("citations"))
+    targets = F.struct(left(5, words, "staging_shard_ids"), words.alias("prod_shard_ids"))
+    smoke = F.struct(F.lit("r").alias("resolve"), left(4, F.lit("q"), "query"), F.lit("p").alias("pack"))
+    hints = F.struct(words.alias("content_roots"), words.alias("drop_selectors"), left(6, F.lit(900), "chunk_target_chars"))
+    source_id = F.when(n % 11 != 0, F.when(n % 7 == 0, F.concat(F.lit("/n/"), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit("/c/"), n.cast("string"))))
+    entry = F.struct(
+        source_id.alias("source_id"), left(8, F.lit("docs"), "kind"), F.lit(True).alias("enabled"), words.alias("public_urls"), words.alias("discovery_urls"), F.lit("p").alias("normalization_profile"),
+        left(9, meta, "catalog_metadata"), targets.alias("memory_targets"), F.lit("daily").alias("cadence"), F.lit("v").alias("version_strategy"), hints.alias("extraction_hints"), left(10, smoke, "smoke_queries"))
+    return B.table(s, d, "customer").select(n.alias("position"), F.to_json(entry).alias("entry"))
 
 
 def registry_validate(s, d):
-    return ingest.validate_registry(_entries(s))
+    return ingest.validate_registry(_entries(s, d))
 
 
 def registry_duplicates(s, d):
@@ -317,7 +328,13 @@ def diff_fingerprint(s, d):
 
 
 def diff_keys(s, d):
-    return refresh.diff_report(_changes(s, d)).select("source_id", *[F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("added", "removed", "changed")])
+    return refresh.diff_report(_changes(s, d))
+
+
+def diff_by_digest(s, d):
+    """Status and counts of each source by digests: records meet only in buckets that differ."""
+    old, new = (R.bucketed(_hashes(x)) for x in B.snapshots(s, d))
+    return refresh.diff_states(old, new, R.digests(old), R.digests(new)).status(3, 2)
 
 
 def page_meta(s, d):
@@ -353,7 +370,10 @@ def rollback_snapshot(s, d):
     o = B.table(s, d, "orders")
     snaps = o.select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("source_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("snapshot"), F.col("o_orderkey").alias("record"))
     failed = o.where("o_custkey % 3 = 0").select(F.concat(F.lit("/c/"), F.col("o_custkey").cast("string")).alias("source_id")).distinct()
-    return refresh.last_success(snaps, failed).select("source_id", "snapshot", "record")
+    # The state names the newest snapshot of half the sources and the oldest of the others; of some none.
+    named = F.when(F.col("o_custkey") % 5 != 0, F.when(F.col("o_custkey") % 2 == 0, F.max("snapshot")).otherwise(F.min("snapshot")))
+    state = snaps.withColumn("o_custkey", F.substring_index("source_id", "/", -1).cast("long")).groupBy("source_id", "o_custkey").agg(named.alias("success_snapshot"))
+    return refresh.last_success(snaps, failed, state).select("source_id", "snapshot", "record")
 
 
 def raw_union_roles(s, d):
@@ -406,7 +426,7 @@ _QUERIES = [
     resolve_seed, resolve_scale, resolve_skill_excluded, resolve_skill_reranked, resolve_overfetch_cut, query_intent, query_entities, query_task_kind_topics, normalize_catalog_text, normalize_engine_text,
     vector_topk_query, vector_topk_per_source, vector_version_filter, payload_parse, payload_parse_non_string, pack_dedup, pack_budget, pack_warnings, pack_warnings_failing, pack_summary, pack_summary_failing, pack_flagship, cite_pack,
     page_title, page_clean_text, page_sections, page_chunks, extraction_guard, page_meta, doc_chunks, doc_summaries, doc_token_estimate, payload_validate, registry_validate, registry_duplicates,
-    diff_records, diff_counts, diff_status, diff_fingerprint, diff_keys, refresh_gate, refresh_report_status, refresh_merge_state, rollback_snapshot, raw_union_roles, latest_snapshot, enabled_daily,
+    diff_records, diff_counts, diff_status, diff_fingerprint, diff_keys, diff_by_digest, refresh_gate, refresh_report_status, refresh_merge_state, rollback_snapshot, raw_union_roles, latest_snapshot, enabled_daily,
     embedding_text, slugs, record_keys, memory_tags, citation_fragments,
 ]
 

@@ -143,12 +143,22 @@ GATED = f"""SELECT *, decision IN ('noop', 'applied') AS merges_state, decision
 _PARTS = f"WITH p AS ({B.PARTS_SQL}), k AS (SELECT *, regexp_extract(source_id, '/(\\d+)$', 1)::BIGINT AS key FROM p) "
 _SPLIT = f"string_split(regexp_replace(t, '([.!?]){SPACE}+', '\\1' || chr(1), 'g'), chr(1))"
 
-_REGISTRY_MESSAGES = [
-    (1, "/b", []), (2, "/a", ["missing `kind`", "missing `smoke_queries`", "smoke_queries missing `resolve`", "smoke_queries missing `query`", "smoke_queries missing `pack`", "duplicate source_id"]),
-    (3, "/c", ["memory_targets missing `staging_shard_ids`"]),
-    (4, "<missing>", [f"missing `{k}`" for k in ("source_id", "kind", "public_urls", "discovery_urls", "normalization_profile", "catalog_metadata", "memory_targets", "cadence", "version_strategy", "extraction_hints", "smoke_queries")]
-     + [f"{p} missing `{k}`" for p, ks in (("catalog_metadata", ("title", "aliases", "domain", "trust", "supported_versions", "citations")), ("memory_targets", ("staging_shard_ids", "prod_shard_ids")), ("smoke_queries", ("resolve", "query", "pack")), ("extraction_hints", ("content_roots", "drop_selectors", "chunk_target_chars"))) for k in ks]),
-]
+def registry_messages() -> str:
+    """What a customer's entry lacks: top-level keys, and all keys below one that is left out."""
+    sid = "coalesce(CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_custkey % 7 = 0 THEN '/n/' || c_nationkey ELSE '/c/' || c_custkey END END, '<missing>')"
+    keys = {"catalog_metadata": ["title", "aliases", "domain", "trust", "supported_versions", "citations"], "memory_targets": ["staging_shard_ids"], "smoke_queries": ["resolve", "query", "pack"], "extraction_hints": ["chunk_target_chars"]}
+    gone = {"title": 2, "trust": 3, "staging_shard_ids": 5, "query": 4, "chunk_target_chars": 6}
+    whole = {"catalog_metadata": 9, "smoke_queries": 10}
+    rules = [(f"c_custkey % {k} = 0", f"missing `{name}`") for name, k in (("source_id", 11), ("kind", 8), *whole.items())]
+    for parent, names in keys.items():
+        for name in names:
+            tests = [f"c_custkey % {k} = 0" for k in (gone.get(name), whole.get(parent)) if k]
+            if tests:
+                rules.append((" OR ".join(tests), f"{parent} missing `{name}`"))
+    said = " UNION ALL ".join(f"SELECT position, sid || ': {text}' AS message FROM e WHERE {test}" for test, text in rules)
+    return f"""WITH e AS (SELECT c_custkey AS position, *, {sid} AS sid FROM customer), f AS (SELECT *, min(position) OVER (PARTITION BY sid) AS first FROM e WHERE sid <> '<missing>')
+        {said} UNION ALL SELECT position, sid || ': duplicate source_id' FROM f WHERE position > first"""
+
 
 SQL: dict[str, str] = {
     "catalog_list": f"WITH p AS ({B.PARTS_SQL}) SELECT {_FLAT} FROM p WHERE domain <> 'skill_knowledge'",
@@ -159,18 +169,18 @@ SQL: dict[str, str] = {
     "catalog_upsert": _PARTS + f""", u AS (SELECT * EXCLUDE (key) REPLACE ('new ' || title AS title, ['b', 'z'] AS aliases, CASE WHEN key % 10 = 0 THEN source_id || '/more' ELSE source_id END AS source_id) FROM k WHERE key % 5 = 0),
         a AS (SELECT * FROM p WHERE source_id NOT IN (SELECT source_id FROM u) UNION ALL BY NAME SELECT * FROM u) SELECT {_FLAT} FROM a""",
     "catalog_replace": _PARTS + f", r AS (SELECT * REPLACE ('/r/' || (key % 100) AS source_id) FROM k QUALIFY row_number() OVER (PARTITION BY key % 100 ORDER BY key DESC) = 1) SELECT {_FLAT} FROM r",
-    "catalog_seed_ignore": f"""WITH s AS ({B.SEED_SQL}), have AS (SELECT * REPLACE (CASE WHEN source_id = '/supabase/docs' THEN 'Mine' ELSE title END AS title) FROM s WHERE source_id <> '/react/docs'),
-        a AS (SELECT * FROM have UNION ALL BY NAME SELECT * REPLACE (NULL AS skill_kind, []::VARCHAR[] AS targets, []::VARCHAR[] AS capabilities, []::VARCHAR[] AS shard_ids) FROM s WHERE source_id = '/react/docs') SELECT {_FLAT} FROM a""",
+    "catalog_seed_ignore": f"""WITH s AS ({B.SEED_SQL}), p AS ({B.PARTS_SQL}), have AS (SELECT * REPLACE (CASE WHEN source_id = '/Brand#17/1' THEN '/supabase/docs' WHEN ends_with(source_id, '/2') THEN '/react/docs' ELSE source_id END AS source_id) FROM p),
+        a AS (SELECT * FROM have UNION ALL BY NAME SELECT * REPLACE (NULL AS skill_kind, []::VARCHAR[] AS targets, []::VARCHAR[] AS capabilities, []::VARCHAR[] AS shard_ids) FROM s WHERE source_id NOT IN (SELECT source_id FROM have)) SELECT {_FLAT} FROM a""",
     "catalog_child_arrays": f"WITH p AS ({B.PARTS_SQL}) SELECT {_FLAT} FROM p",
-    "resolve_seed": resolved(B.SEED_QUERIES_SQL, B.SEED_SQL, 5, False),
-    "resolve_skill_reranked": resolved(B.SEED_QUERIES_SQL, B.SEED_SQL, 5, True),
+    "resolve_seed": resolved(B.SPOKEN_SQL, B.SEED_SQL, 5, False),
+    "resolve_skill_reranked": resolved(B.SKILL_QUERIES_SQL, B.SKILLS_SQL, 5, True),
     "resolve_scale": "WITH " + scored(B.name_queries_sql(), B.PARTS_SQL) + f", kept AS (SELECT *, rank1 AS rank FROM top WHERE rank1 <= 10) SELECT {_OUT} FROM kept",
     "resolve_skill_excluded": resolved(B.name_queries_sql(), B.PARTS_SQL, 5, False),
     "resolve_overfetch_cut": resolved(B.name_queries_sql(" migration"), B.PARTS_SQL, 3, True),
     "query_intent": f"""WITH q AS (SELECT conv_id || ':' || turn AS query_id, text AS query FROM conversations UNION ALL SELECT query_id::VARCHAR, query FROM ({B.SEED_QUERIES_SQL}))
         SELECT query_id, CASE WHEN len(list_filter(['next', 'nextjs', 'next.js', 'react', 'supabase', 'hook'], lambda w: contains({low("coalesce(query, '')")}, w))) > 0 THEN 'Code' WHEN len(list_filter(['travel', 'trip', 'hotel'], lambda w: contains({low("coalesce(query, '')")}, w))) > 0 THEN 'Travel' ELSE 'General' END AS intent FROM q""",
-    "query_entities": f"SELECT query_id, array_to_string(list_filter(['next.js', 'supabase', 'react', 'middleware', 'auth'], lambda e: contains({low('query')}, e) OR contains({low('query')}, replace(e, '.', ''))), '|') AS entities FROM ({B.SEED_QUERIES_SQL})",
-    "query_task_kind_topics": f"SELECT query_id, {hints('eq', KINDS)}[1] AS kind, array_to_string({hints('eq', TOPICS)}, '|') AS topics, array_to_string({skill_entities('eq')}, '|') AS targets FROM (SELECT query_id, {eng('query')} AS eq FROM ({B.SEED_QUERIES_SQL}))",
+    "query_entities": f"SELECT query_id, array_to_string(list_filter(['next.js', 'supabase', 'react', 'middleware', 'auth'], lambda e: contains({low('query')}, e) OR contains({low('query')}, replace(e, '.', ''))), '|') AS entities FROM ({B.SPOKEN_SQL})",
+    "query_task_kind_topics": f"SELECT query_id, {hints('eq', KINDS)}[1] AS kind, array_to_string({hints('eq', TOPICS)}, '|') AS topics, array_to_string({skill_entities('eq')}, '|') AS targets FROM (SELECT query_id, {eng('query')} AS eq FROM ({B.SPOKEN_SQL}))",
     "normalize_catalog_text": f"SELECT doc_id, sha256(x) AS digest, len(list_filter(string_split(x, ' '), lambda t: t <> ''))::INT AS n_tokens FROM (SELECT doc_id, {cat("coalesce(text, '')")} AS x FROM documents)",
     "normalize_engine_text": f"SELECT doc_id, sha256({eng("coalesce(text, '')")}) AS digest FROM documents",
     "vector_topk_query": "WITH " + hits("SELECT query_id, '/label/3' AS source_id, 1 AS src_rank, vector FROM asked", 5) + "SELECT query_id, hit_rank, source_id, title, snippet, citation, trust, retrieved_at, version, false AS stale, round(score::FLOAT::DOUBLE, 4) AS score FROM hit",
@@ -210,18 +220,20 @@ SQL: dict[str, str] = {
         m AS (SELECT position, unnest([CASE WHEN {strip('title')} = '' THEN 'missing `title`' END, CASE WHEN {strip('snippet')} = '' THEN 'missing `snippet`' END, CASE WHEN source_id <> '/react/docs' THEN 'payload source_id mismatch' END,
           CASE WHEN citation LIKE 'ftp%' THEN 'citation must be absolute' END, CASE WHEN version = '' THEN 'version is required' END, CASE WHEN length(content) > 280 AND content = snippet THEN 'snippet should not duplicate long content' END]) AS m FROM p)
         SELECT position, '/react/docs[' || position || ']: ' || m AS message FROM m WHERE m IS NOT NULL""",
-    "registry_validate": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}: {m}')" for i, s, ms in _REGISTRY_MESSAGES for m in ms) + ") t(position, message)",
+    "registry_validate": registry_messages(),
     "registry_duplicates": "SELECT o_orderkey AS position, '/c/' || o_custkey AS source_id FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS f FROM orders) WHERE o_orderkey > f",
     "diff_records": _CHANGES + "SELECT * FROM changes WHERE change <> 'same'",
     "diff_counts": _CHANGES + "SELECT source_id, count(*) FILTER (change = 'added') AS added_records, count(*) FILTER (change = 'removed') AS removed_records, count(*) FILTER (change = 'changed') AS changed_records, count(*) FILTER (change <> 'same') AS total_changes FROM changes GROUP BY 1",
     "diff_status": _CHANGES + "SELECT source_id, CASE WHEN bool_and(change = 'added') THEN 'new' WHEN bool_and(change = 'removed') THEN 'deleted' WHEN bool_or(change <> 'same') THEN 'updated' ELSE 'noop' END AS status, count(*) FILTER (change <> 'same') > 3 OR count(*) FILTER (change = 'removed') > 2 AS needs_review FROM changes GROUP BY 1",
-    "diff_fingerprint": _CHANGES + "SELECT source_id, sha256(string_agg(hash, ',' ORDER BY record_key)) AS fingerprint FROM new GROUP BY 1",
-    "diff_keys": _CHANGES + "SELECT source_id, " + ", ".join(f"sha256(coalesce(string_agg(record_key, ',' ORDER BY record_key) FILTER (change = '{c}'), '')) AS {c}" for c in ("added", "removed", "changed")) + " FROM changes GROUP BY 1",
+    "diff_fingerprint": _CHANGES + "SELECT source_id, count(*) || ':' || sum(('0x' || substr(m, 1, 15))::BIGINT) % 1152921504606846976 || ':' || sum(('0x' || substr(m, 16, 15))::BIGINT) % 1152921504606846976 AS fingerprint FROM (SELECT source_id, sha256(record_key || chr(10) || hash) AS m FROM new) GROUP BY 1",
+    "diff_keys": _CHANGES + "SELECT source_id, change, record_key FROM changes WHERE change <> 'same'",
+    "diff_by_digest": _CHANGES + """SELECT source_id, count(*) FILTER (change = 'added') AS added_records, count(*) FILTER (change = 'removed') AS removed_records, count(*) FILTER (change = 'changed') AS changed_records, count(*) FILTER (change <> 'same') AS total_changes,
+        CASE WHEN bool_and(change = 'added') THEN 'new' WHEN bool_and(change = 'removed') THEN 'deleted' WHEN bool_or(change <> 'same') THEN 'updated' ELSE 'noop' END AS status, count(*) FILTER (change <> 'same') > 3 OR count(*) FILTER (change = 'removed') > 2 AS needs_review FROM changes GROUP BY 1""",
     "refresh_gate": GATED,
     "refresh_report_status": f"SELECT CASE WHEN coalesce(bool_or(partial), false) THEN 'partial' ELSE 'ok' END AS status FROM ({GATED})",
     "refresh_merge_state": """WITH s AS (SELECT c_custkey AS source_id, c_name AS status, c_mktsegment AS success_snapshot FROM customer), n AS (SELECT source_id, 'new ' || status AS status, CASE WHEN source_id % 4 = 0 THEN success_snapshot END AS success_snapshot FROM s WHERE source_id % 2 = 0),
         o AS (SELECT * FROM s WHERE source_id % 3 <> 0) SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(n.status, o.status) AS status, coalesce(n.success_snapshot, o.success_snapshot) AS success_snapshot FROM o FULL JOIN n USING (source_id)""",
-    "rollback_snapshot": "WITH s AS (SELECT '/c/' || o_custkey AS source_id, strftime(o_orderdate, '%Y-%m-%d') AS snapshot, o_orderkey AS record, o_custkey FROM orders) SELECT source_id, snapshot, record FROM s WHERE o_custkey % 3 = 0 QUALIFY snapshot = max(snapshot) OVER (PARTITION BY source_id)",
+    "rollback_snapshot": "WITH s AS (SELECT '/c/' || o_custkey AS source_id, strftime(o_orderdate, '%Y-%m-%d') AS snapshot, o_orderkey AS record, o_custkey FROM orders) SELECT source_id, snapshot, record FROM s WHERE o_custkey % 3 = 0 AND o_custkey % 5 <> 0 QUALIFY snapshot = CASE WHEN o_custkey % 2 = 0 THEN max(snapshot) OVER (PARTITION BY source_id) ELSE min(snapshot) OVER (PARTITION BY source_id) END",
     "raw_union_roles": "SELECT '/pages/' || page_id AS source_id, 'page' AS label, coalesce(url, '') AS url, 'public_urls' AS role FROM pages UNION ALL SELECT '/pages/' || page_id, 'host', regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*'), 'discovery_urls' FROM pages",
     "latest_snapshot": "SELECT '/u/' || user_id AS source_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS collected_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "enabled_daily": "SELECT '/p/' || p_partkey AS source_id, true AS enabled, 'daily' AS cadence FROM part WHERE p_size % 3 = 1 AND p_type <> 'PROMO'",

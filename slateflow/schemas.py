@@ -54,6 +54,7 @@ REGISTRY = _fields(
     smoke_queries=_fields(resolve=_S, query=_S, pack=_S),
 )
 
+#: A source's state. `hashes_run` and `success_snapshot` name the runs that hold its record hashes and its last published payloads.
 STATE = _fields(
-    source_id=_S, status=_S, normalized_fingerprint=_S, metadata_hash=_S, record_hashes=T.MapType(_S, _S), success_snapshot=_S, success_entry=_S, last_run_at=_S,
+    source_id=_S, status=_S, normalized_fingerprint=_S, metadata_hash=_S, hashes_run=_S, success_snapshot=_S, success_entry=_S, last_run_at=_S,
 )

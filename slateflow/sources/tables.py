@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slateflow import schemas
-from slateflow.sources.versions import exists, write_json, write_text
+from slateflow.sources.versions import exists, names, write_json, write_text
 
 # The four built-in sources.
 SEED = [
@@ -132,32 +131,77 @@ def file_safe(timestamp: str) -> str:
     return timestamp.replace(":", "-")
 
 
-def fetch_documents(spark: SparkSession, urls: DataFrame, timeout: float = 20.0) -> DataFrame:
-    """Fetch (source_id, url, label, role) in the executors: file:// as plain text with status 200, http(s) with its headers."""
-    import hashlib
-
-    import pandas as pd
-
-    def one(url: str) -> tuple:
-        from urllib.request import Request, urlopen
-
-        if url.startswith("file://"):
-            body = Path(url.removeprefix("file://")).read_text(encoding="utf-8")
-            return url, "text/plain", 200, None, None, body
-        with urlopen(Request(url, headers={"User-Agent": "slateflow/1"}), timeout=timeout) as r:  # noqa: S310
-            h = r.headers
-            return r.geturl(), h.get("Content-Type", ""), r.status, h.get("ETag"), h.get("Last-Modified"), r.read().decode("utf-8")
+#: What came of one URL: an item, or why there is none.
+FETCHED = T.StructType([T.StructField("source_id", T.StringType()), *schemas.ITEM.fields, T.StructField("error", T.StringType())])
 
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for s, u, label, role in zip(pdf["source_id"], pdf["url"], pdf["label"], pdf["role"]):
-                final, kind, status, etag, modified, body = one(u)
-                rows.append((s, u, final, kind, status, etag, modified, body, hashlib.sha256(body.encode()).hexdigest(), label, role))
-            yield pd.DataFrame(rows, columns=["source_id", *schemas.ITEM.names])
 
-    schema = T.StructType([T.StructField("source_id", T.StringType()), *schemas.ITEM.fields])
-    return urls.select("source_id", "url", "label", "role").mapInPandas(run, schema)
+def _fetch(frames):
+    """One request for each row (source_id, url, label, role, etag, last_modified); whatever goes wrong is the row's error."""
+    import hashlib
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    def one(url: str, etag: str | None, modified: str | None, timeout: float) -> tuple:
+        asks = {"User-Agent": "slateflow/1"} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
+        try:
+            with urlopen(Request(url, headers=asks), timeout=timeout) as r:  # noqa: S310
+                h, body = r.headers, r.read().decode("utf-8")
+                return r.geturl(), h.get("Content-Type", ""), r.status, h.get("ETag"), h.get("Last-Modified"), body, hashlib.sha256(body.encode()).hexdigest(), None
+        except HTTPError as e:
+            kept = e.code == 304
+            return e.geturl() or url, None, e.code, etag if kept else None, modified if kept else None, None, None, None if kept else f"HTTP {e.code}"
+        except (OSError, ValueError) as e:  # no connection, a time limit, a bad URL, bytes that aren't UTF-8
+            return url, None, None, None, None, None, None, str(e) or type(e).__name__
+
+    for pdf in frames:
+        rows = []
+        for s, u, label, role, etag, modified, timeout in pdf.itertuples(index=False):
+            final, kind, status, new_etag, new_modified, body, digest, error = one(u, etag, modified, timeout)
+            rows.append((s, u, final, kind, status, new_etag, new_modified, body, digest, label, role, error))
+        out = pd.DataFrame(rows, columns=FETCHED.names)
+        out["status_code"] = out["status_code"].astype("Int32")
+        yield out
+
+
+def _files(spark: SparkSession, urls: DataFrame) -> DataFrame:
+    """FETCHED of file:// URLs, by Spark's reader: plain text with status 200. The list of their paths, which a registry gives, is taken by the driver."""
+    paths = [r["url"] for r in urls.select("url").distinct().collect()]
+    there = [p for p in paths if exists(spark, p)]
+    none = F.lit(None).cast("string")
+    text = spark.createDataFrame([], "path string, body string")
+    if there:
+        text = spark.read.format("binaryFile").load([p.removeprefix("file://") for p in there]).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("body"))
+    rows = urls.withColumn("path", F.regexp_replace("url", "^file:/+", "/")).join(text, "path", "left")
+    found = F.col("body").isNotNull()
+    return rows.select(
+        "source_id", "url", F.col("url").alias("final_url"), F.when(found, "text/plain").alias("content_type"), F.when(found, 200).alias("status_code"), none.alias("etag"), none.alias("last_modified"),
+        "body", F.sha2("body", 256).alias("sha256"), "label", "role", F.when(~found, "no such file").alias("error"))
+
+
+def fetch_documents(spark: SparkSession, urls: DataFrame, timeout: float = 20.0, previous: DataFrame | None = None) -> DataFrame:
+    """FETCHED of (source_id, url, label, role): file:// as plain text with status 200, http(s) with its headers.
+
+    Requests go out from the executors, those to one host from one task after another. `previous` (FETCHED or
+    ITEM with source_id) makes them conditional: what hasn't changed since (304) is taken from there, with its
+    status and type. A request that fails is a row with `error`, and keeps no other back.
+    """
+    urls = urls.select("source_id", "url", "label", "role")
+    none = F.lit(None).cast("string")
+    known = None if previous is None else previous.where("body is not null").dropDuplicates(["source_id", "url", "role"])
+    web = urls.where(~F.startswith("url", F.lit("file://")))
+    if known is None:
+        web = web.withColumns({"etag": none, "last_modified": none})
+    else:
+        web = web.join(known.select("source_id", "url", "role", "etag", "last_modified"), ["source_id", "url", "role"], "left")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    web = web.select("source_id", "url", "label", "role", "etag", "last_modified", F.lit(float(timeout)).alias("timeout"))
+    got = web.repartition(parts, F.try_parse_url("url", F.lit("HOST"))).mapInPandas(_fetch, FETCHED)
+    if known is not None:
+        old = known.select("source_id", "url", "role", *[F.col(c).alias(f"_{c}") for c in ("final_url", "content_type", "status_code", "body", "sha256")])
+        same = F.col("status_code") == 304
+        got = got.join(old, ["source_id", "url", "role"], "left").select(
+            *[F.when(same, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if f"_{c}" in old.columns else F.col(c) for c in FETCHED.names])
+    return got.unionByName(_files(spark, urls.where(F.startswith("url", F.lit("file://")))))
 
 
 def raw_urls(registry: DataFrame) -> DataFrame:
@@ -167,7 +211,7 @@ def raw_urls(registry: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(raw: DataFrame) -> DataFrame:
-    """The newest collection of each source."""
+    """The newest collection of each source of any table; for stored collections read_latest_raw() reads less."""
     return raw.groupBy("source_id").agg(F.max_by(F.struct(*raw.columns), "collected_at").alias("r")).select("r.*")
 
 
@@ -178,19 +222,35 @@ def enabled_sources(registry: DataFrame, source_id: str | None = None, cadence:
     return out.where(F.col("cadence") == cadence) if cadence is not None else out
 
 
-def collect(spark: SparkSession, registry: DataFrame, collected_at: str, timeout: float = 20.0) -> DataFrame:
-    """One snapshot (schemas.RAW) of every source's URLs, items in order of role, label and URL; a failed fetch fails the run."""
-    items = fetch_documents(spark, raw_urls(registry), timeout)
+def collect(spark: SparkSession, registry: DataFrame, collected_at: str, timeout: float = 20.0, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One snapshot (schemas.RAW) of the sources whose URLs could all be fetched, items in order of role, label and URL; and (source_id, url, error) of what couldn't.
+
+    `previous`: the snapshots before (schemas.RAW), for conditional requests. Both tables come from one persisted
+    table of what was fetched, so that nothing is asked for twice.
+    """
+    if previous is not None:
+        previous = previous.select("source_id", F.explode("items").alias("i")).select("source_id", "i.*")
+    items = fetch_documents(spark, raw_urls(registry), timeout, previous).persist()
+    failed = items.where("error is not null").select("source_id", "url", "error")
     row = F.struct(*schemas.ITEM.names)
     rows = items.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("role", "label", "url", row.alias("i")))).alias("x"))
-    found = registry.select("source_id").join(rows, "source_id", "left")
+    found = registry.select("source_id").join(rows, "source_id", "left").join(failed.select("source_id"), "source_id", "left_anti")
     none = F.array().cast(schemas.RAW["items"].dataType)
-    return found.select("source_id", F.lit(collected_at).alias("collected_at"), F.coalesce(F.transform("x", lambda x: x["i"]), none).alias("items"))
+    return found.select("source_id", F.lit(collected_at).alias("collected_at"), F.coalesce(F.transform("x", lambda x: x["i"]), none).alias("items")), failed
 
 
 def write_raw(raw: DataFrame, path: str) -> None:
-    """Append a snapshot; latest_snapshot() over the table is its newest state."""
-    raw.withColumn("snapshot", F.replace("collected_at", F.lit(":"), F.lit("-"))).write.mode("append").partitionBy("snapshot").json(path)
+    """Add a snapshot: a folder for each source, and below it for each collection of it."""
+    raw.withColumn("snapshot", F.replace("collected_at", F.lit(":"), F.lit("-"))).write.mode("append").partitionBy("source_id", "snapshot").json(path)
+
+
+def read_latest_raw(spark: SparkSession, path: str) -> DataFrame:
+    """The newest collection of each source (schemas.RAW): the folders' names tell which, so that older pages are neither read nor shuffled."""
+    newest = [f"{path}/{s}/{found[-1]}" for s in names(spark, path) if s.startswith("source_id=") and (found := [n for n in names(spark, f"{path}/{s}") if n.startswith("snapshot=")])]
+    if not newest:
+        return spark.createDataFrame([], schemas.RAW)
+    schema = T.StructType([*schemas.RAW, T.StructField("snapshot", T.StringType())])
+    return spark.read.schema(schema).option("basePath", path).json(newest).select(*schemas.RAW.names)
 
 
 def _by_source(rows: DataFrame, path: str) -> None:

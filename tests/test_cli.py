@@ -73,8 +73,9 @@ def test_stages_one_by_one(spark, tmp_path, service, capsys):
 
     assert stage("collect") == {"status": "ok", "sources": ["/react/docs"]} == stage("normalize")
     assert stage("validate") == {"status": "ok", "errors": []}
-    diff = stage("diff", "--source", "/react/docs")["results"][0]
-    assert diff["status"] == "new" and diff["added"] == [f"{service}/a#0:0"] and json.load(open(f"{root}/reports/latest-diff.json"))["results"][0]["added_records"] == 1
+    told = stage("diff", "--source", "/react/docs")
+    assert [r.asDict() for r in spark.read.json(told["keys_path"]).collect()] == [{"change": "added", "record_key": f"{service}/a#0:0", "source_id": "/react/docs"}]
+    assert told["results"][0]["status"] == "new" and json.load(open(f"{root}/reports/latest-diff.json"))["results"][0]["added_records"] == 1
     env = ["--source", "/react/docs", "--env", "prod"]
     assert stage("apply-memory", *env, "--dry-run")["status"] == "ok"
     assert stage("apply-memory", *env)["status"] == stage("apply-catalog", *env)["status"] == stage("smoke", *env)["status"] == "ok"

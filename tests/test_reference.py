@@ -39,20 +39,28 @@ def test_resolve_examples(spark, query, base, reranked):
         assert got == reranked
 
 
-def test_resolve_by_pieces_is_resolve_by_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize(("small", "chars"), [(4096, 4_000_000), (0, 4_000_000), (0, 60)])
+def test_resolve_by_automata_is_resolve_by_all_pairs(spark, monkeypatch, small, chars):
     import random
 
+    from slateflow.functions import text as X
+
+    monkeypatch.setattr(resolve, "SMALL_CATALOG", small)
+    monkeypatch.setattr(resolve, "AUTOMATON_CHARS", chars)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc9./ -É") for _ in range(rng.randrange(0, 6)))
     rows = [dict(tables.SEED[0], source_id=f"/{word()}/{i}", title=word(), aliases=sorted({word() for _ in range(rng.randrange(0, 4))})) for i in range(150)]
     src = tables.sources_from(spark, rows)
     texts = [" ".join(word() for _ in range(rng.randrange(0, 5))) for _ in range(120)] + ["", "...", "a", "  ", rows[3]["source_id"], rows[4]["title"]]
-    q = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
-    got = []
-    for small in (4096, 0):
-        monkeypatch.setattr(resolve, "SMALL_CATALOG", small)
-        got.append(sorted((r["query_id"], r["source_id"], r["score"], r["reasons"]) for r in resolve.score_sources(q, src).collect()))
-    assert got[0] == got[1] and len(got[0]) > 2000
+    q = spark.createDataFrame([*enumerate(texts), (999, None)], "query_id int, query string")
+    n = X.normalize_catalog
+    both = q.crossJoin(src).withColumn("q", n(F.col("query"))).withColumn("toks", X.tokens(F.col("q")))
+    has = lambda c, x: F.when(F.contains("q", n(F.col(c))), F.lit(x)).otherwise(F.lit(0.0)).cast("float")
+    points = F.aggregate(F.transform("aliases", lambda a: X.alias_points(n(a), F.col("q"), F.col("toks"))), F.lit(0.0).cast("float"), lambda s, p: s + p)
+    want = both.withColumn("score", points + has("title", 0.7) + has("source_id", 0.8)).where("score > 0")
+    got = resolve.score_sources(q, src).collect()
+    assert sorted((r["query_id"], r["source_id"], r["score"]) for r in got) == sorted((r["query_id"], r["source_id"], r["score"]) for r in want.collect()) and len(got) > 2000
+    assert all(r["reasons"] for r in got)
 
 
 def test_reasons_intent_entities(spark):
@@ -96,14 +104,33 @@ def source(spark, **kw):
     return dict(tables.SEED[0], **kw)
 
 
-def test_query_ranks_filters_and_fails(spark):
+def test_search_in_blocks_is_search_by_pairs(spark, monkeypatch):
+    """Ties, equal vectors, versions, odd lengths, nulls, NaN and infinite components, several blocks of queries and lanes; and the limit is in the plan."""
+    import random
+
+    monkeypatch.setattr(memory, "HELD", 3)
+    rng = random.Random(6)
+    some = [[rng.choice([0.0, 0.5, 1.0, -1.0]) for _ in range(6)] for _ in range(20)] + [[float("nan")] * 6, [float("inf"), 1.0, 0.0, 0.0, 0.0, 0.0], [1.0] * 5, []]
+    s = tables.sources_from(spark, [source(spark, source_id=f"/{i}", shard_ids=sorted({str(i), str(i // 2), "all"})) for i in range(4)])
+    m = records(spark, [(rng.choice(["0", "1", "2", "all"]), k, rng.choice([*some, None]), json.dumps({"text": f"t{k}", "version": rng.choice(["1", "2", 3])})) for k in range(300)])
+    ask = spark.createDataFrame([(f"q{k}", f"/{k % 4}", rng.choice([*some, None]), rng.choice([None, None, "1"]), rng.choice([0, 1, 3, 200]), k) for k in range(24)], "query_id string, source_id string, vector array<float>, version string, top_k int, src_rank int")
+    got = [sorted(map(str, memory.search(ask, s, m, blocks=b)[0].collect())) for b in (False, True)]
+    assert len(got[0]) > 500 and [x for x in zip(*got) if x[0] != x[1]][:1] == [] and len(got[0]) == len(got[1])
+    plan = memory.search(ask, s, m)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    with pytest.raises(Exception, match="top_k is 2 at most"):
+        memory.search(ask, s, m, most=2)[0].collect()
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_query_ranks_filters_and_fails(spark, blocks):
     s = tables.sources_from(spark, [source(spark, shard_ids=["b", "a"]), source(spark, source_id="/none", shard_ids=[]), source(spark, source_id="/bad", shard_ids=["x"])])
     m = records(spark, [
         ("a", 0, [1.0, 0.0], json.dumps({"snippet": "one", "title": "T", "citation": "c", "version": "15"})), ("a", 1, [0.5, 0.0], "plain"), ("b", 0, [1.0, 0.0], json.dumps({"text": "two", "url": "u", "version": 3})),
     ])
     ask = spark.createDataFrame([(0, "/vercel/next.js", [1.0, 0.0], None, 5, 1), (1, "/vercel/next.js", [1.0, 0.0], "15", 0, 1), (2, "/none", [1.0, 0.0], None, 5, 1), (3, "/bad", [1.0, 0.0], None, 5, 1)], "query_id int, source_id string, vector array<float>, version string, top_k int, src_rank int")
     err = spark.createDataFrame([("x", "boom")], "shard_id string, error string")
-    snippets, outcomes = memory.search(ask, s, m, errors=err)
+    snippets, outcomes = memory.search(ask, s, m, errors=err, blocks=blocks)
     rows = [(r["query_id"], r["hit_rank"], r["title"], r["snippet"], r["citation"], r["version"]) for r in snippets.orderBy("query_id", "hit_rank").collect()]
     assert rows == [
         (0, 1, "T", "one", "c", "15"), (0, 2, "two", "two", "u", None), (0, 3, "plain", "plain", "memory:///vercel/next.js", None), (1, 1, "T", "one", "c", "15"),
@@ -208,10 +235,10 @@ def test_refresh_cycle(spark, tmp_path):
     dry = refresh.run_refresh(spark, reg, raw(spark, page), stores, embed, dry_run=True)
     assert [x["status"] for x in dry.sources] == ["dry_run"] and dry.status == "ok"
     first = refresh.run_refresh(spark, reg, raw(spark, page), stores, embed)
-    assert [x["status"] for x in first.sources] == ["applied"] and stores.prod.read().count() == 1
+    assert [x["status"] for x in first.sources] == ["applied"] and stores.published("prod")[1].count() == 1
     again = refresh.run_refresh(spark, reg, raw(spark, page), stores, embed)
     assert [x["status"] for x in again.sources] == ["noop"]
-    kept = versions.read_version(spark, stores.state, schemas.STATE).first()
+    kept = stores.read_state().first()
     assert kept["success_snapshot"] is not None and kept["status"] == "noop"
     later = refresh.run_refresh(spark, reg, raw(spark, page.replace("About", "Now about")), stores, embed)
     assert [x["status"] for x in later.sources] == ["applied"]
@@ -226,11 +253,11 @@ class Lossy(memory.TableStore):
 
     def __init__(self, spark, path, blind):
         super().__init__(spark, path)
-        self.blind = blind
+        self.blind = [blind]  # shared by all views of the store
 
     def read(self):
-        self.blind -= 1
-        return super().read().limit(0) if self.blind >= 0 else super().read()
+        self.blind[0] -= 1
+        return super().read().limit(0) if self.blind[0] >= 0 else super().read()
 
 
 def stores_at(spark, tmp_path, blind=0):
@@ -256,9 +283,9 @@ def test_refresh_of_an_empty_collection(spark, tmp_path):
     assert [x["status"] for x in refresh.run_refresh(spark, reg.unionByName(smoke_of(one_more)), both, stores, same_vector).sources] == ["applied", "applied"]
     gone = refresh.run_refresh(spark, reg.unionByName(smoke_of(one_more)), raw(spark, PAGE.replace("About", "More about")).unionByName(empty.withColumn("source_id", F.lit("/other"))), stores, same_vector)
     assert {x["source_id"]: x["status"] for x in gone.sources} == {"/other": "failed", "/react/docs": "applied"}
-    kept = {r["source_id"]: r for r in versions.read_version(spark, stores.state, schemas.STATE).collect()}
-    assert len(kept["/other"]["record_hashes"]) == 1 and kept["/other"]["last_run_at"] == gone.run_at
-    assert versions.versions(spark, stores.prod_catalog) and versions.read_version(spark, stores.prod_catalog, schemas.SOURCE).count() == 2
+    kept = {r["source_id"]: r for r in stores.read_state().collect()}
+    assert stores.records().hashes(stores.read_state().where("source_id = '/other'")).count() == 1 and kept["/other"]["last_run_at"] == gone.run_at
+    assert stores.published("prod")[0].count() == 2
 
 
 @pytest.mark.parametrize(("before", "blind", "status"), [(True, 1, "rolled_back"), (True, 2, "rollback_failed"), (False, 1, "unavailable")])
@@ -266,16 +293,16 @@ def test_failed_publication(spark, tmp_path, before, blind, status):
     stores, reg = stores_at(spark, tmp_path), registry(spark)
     if before:
         assert refresh.run_refresh(spark, reg, raw(spark, PAGE), stores, same_vector).status == "ok"
-    stores.prod.blind = blind
+    stores.prod.blind[0] = blind
     titled = reg.withColumn("catalog_metadata", F.col("catalog_metadata").withField("title", F.lit("React, renamed")))
     got = refresh.run_refresh(spark, titled, raw(spark, PAGE.replace("About", "Much about")), stores, same_vector)
     assert [x["status"] for x in got.sources] == [status] and got.status == "partial"
     assert "query" in got.sources[0]["failures"]["prod"]
-    state = versions.read_version(spark, stores.state, schemas.STATE).collect()
+    state = stores.read_state().collect()
     assert len(state) == before
-    stores.prod.blind = 0
-    live = versions.read_version(spark, stores.prod_catalog, schemas.SOURCE).first()["title"]
-    text = json.loads(stores.prod.read().first()["payload"])["content"]
+    stores.prod.blind[0] = 0
+    sources, records = stores.published("prod")
+    live, text = sources.first()["title"], json.loads(records.first()["payload"])["content"]
     assert (live, text) == (("React Docs", "About hooks and react.") if before else ("React, renamed", "Much about hooks and react."))
 
 
@@ -307,8 +334,8 @@ def test_reports_meta_and_versions(spark, tmp_path):
     more = reg.unionByName(reg.withColumn("source_id", F.lit("/new")))
     assert {r["source_id"]: (r["warning_count"], len(r["warnings"])) for r in tables.read_meta(spark, str(tmp_path / "meta"), more).collect()} == {"/react/docs": (1, 1), "/new": (0, 0)}
     h = "source_id string, record_key string, change string"
-    keys = refresh.diff_report(spark.createDataFrame([("/s", "b", "added"), ("/s", "a", "added"), ("/s", "c", "removed"), ("/s", "d", "same")], h)).first()
-    assert (keys["added"], keys["removed"], keys["changed"]) == (["a", "b"], ["c"], [])
+    keys = refresh.diff_report(spark.createDataFrame([("/s", "b", "added"), ("/s", "a", "added"), ("/s", "c", "removed"), ("/s", "d", "same")], h)).collect()
+    assert [tuple(r) for r in keys] == [("/s", "added", "a"), ("/s", "added", "b"), ("/s", "removed", "c")]
     p = str(tmp_path / "table")
     for n in range(4):
         versions.write_version(spark.range(n), p)
@@ -438,8 +465,9 @@ def test_collect_and_embed_over_http(spark, tmp_path):
     q = spark.createDataFrame([(0, "abc")], "query_id int, query string")
     assert memory.HttpEmbedder(base).embed(q).first()["vector"] == [3.0, 0.5]
     link = lambda x: [{"label": x, "url": f"{base}/{x}"}]
-    got = tables.collect(spark, registry(spark, public_urls=link("p"), discovery_urls=link("d")), "2026-01-01T00:00:00Z")
+    got, failed = tables.collect(spark, registry(spark, public_urls=link("p"), discovery_urls=link("d")), "2026-01-01T00:00:00Z")
+    assert failed.count() == 0
     tables.write_raw(got, str(tmp_path / "raw"))
-    back = tables.latest_snapshot(spark.read.schema(schemas.RAW).json(str(tmp_path / "raw"))).first()
+    back = tables.read_latest_raw(spark, str(tmp_path / "raw")).first()
     server.shutdown()
     assert [(i["role"], i["body"], i["content_type"]) for i in back["items"]] == [("discovery_urls", "<p>hi</p>", "text/html"), ("public_urls", "<p>hi</p>", "text/html")]

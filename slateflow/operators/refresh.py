@@ -377,17 +377,19 @@ def run_refresh(spark: SparkSession, registry: DataFrame, raw: DataFrame, stores
         bad += [r["message"] for r in without_shards(registry, env).orderBy("source_id").collect()]
     if bad:
         return Report(at, "invalid_registry", errors=bad)
-    payloads, meta = ingest.normalize(raw, registry)
-    payloads, meta = payloads.persist(), meta.persist()
+    run = f"{file_safe(at)}-{uuid.uuid4().hex[:8]}"
+    work = f"{stores.state.rstrip('/')}-work/{run}"
     try:
-        return _cycle(spark, registry, payloads, meta, stores, embed, at, dry_run, max_changed, max_deleted, volatile)
+        written = []
+        for name, df in zip(("payloads", "meta"), ingest.normalize(raw, registry)):  # written, so that extraction runs once, whatever executors are lost
+            df.write.parquet(f"{work}/{name}")
+            written.append(spark.read.schema(df.schema).parquet(f"{work}/{name}"))
+        return _cycle(spark, registry, *written, stores, embed, at, run, dry_run, max_changed, max_deleted, volatile)
     finally:
-        payloads.unpersist()
-        meta.unpersist()
+        delete(spark, work)
 
 
-def _cycle(spark, registry, payloads, meta, stores, embed, at, dry_run, max_changed, max_deleted, volatile) -> Report:
-    run = f"{file_safe(at)}-{uuid.uuid4().hex[:8]}"
+def _cycle(spark, registry, payloads, meta, stores, embed, at, run, dry_run, max_changed, max_deleted, volatile) -> Report:
     number, head = stores.log().last(), stores.log().read()
     state = stores.read_state(head)
     rows, shape = assess(registry, payloads, meta, state, stores.records(), None if dry_run else run, max_changed, max_deleted, volatile)

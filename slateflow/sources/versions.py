@@ -131,13 +131,15 @@ class BucketTable:
 
     def vacuum(self, keep: set[int]) -> None:
         """Drop all versions but `keep`, and folders that none of those names."""
-        used = {f.split("/")[0] for n in keep for f in self._folders(n).values()}
+        used = {f for n in keep for f in self._folders(n).values()}
         for n in self.versions():
             if n not in keep:
                 delete(self.spark, f"{self.path}/manifests/v={n}.json")
         for w in names(self.spark, f"{self.path}/data"):
-            if w not in used:
-                delete(self.spark, f"{self.path}/data/{w}")
+            buckets = [b for b in names(self.spark, f"{self.path}/data/{w}") if b.startswith("bucket=")]
+            kept = [b for b in buckets if f"{w}/{b}" in used]
+            for gone in [f"{w}/{b}" for b in buckets if b not in kept] if kept else [w]:
+                delete(self.spark, f"{self.path}/data/{gone}")
 
 
 class Commits:

@@ -192,7 +192,8 @@ def block_topk(x: np.ndarray, q: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
         if k[j] >= len(x):
             out.append(np.arange(len(x)))
             continue
-        low, high = s[:, j] - room[:, j], s[:, j] + room[:, j]
+        with np.errstate(all="ignore"):
+            low, high = s[:, j] - room[:, j], s[:, j] + room[:, j]
         odd = ~np.isfinite(s[:, j]) | ~np.isfinite(room[:, j])
         low = np.where(odd, -np.inf, low)
         out.append(np.flatnonzero(odd | (high >= np.partition(low, len(x) - k[j])[len(x) - k[j]])))
@@ -236,7 +237,8 @@ def _best_hits(frames):
     def close():
         if block:
             meet()
-        out.extend((*(a[c] for c in names if c != "version"), *h[1:]) for a, held in zip(asks, best) for h in held)
+        # pandas would give NaN back as null, so it goes in a column of its own.
+        out.extend((*(a[c] for c in names if c != "version"), *h[1:], h[3] != h[3]) for a, held in zip(asks, best) for h in held)
 
     for pdf in frames:
         names = [c for c in pdf.columns if c in _ASK]
@@ -255,11 +257,11 @@ def _best_hits(frames):
             meet()
             block = []
         if out:
-            yield pd.DataFrame(out, columns=[*(c for c in names if c != "version"), "hit_pos", "payload", "score"])
+            yield pd.DataFrame(out, columns=[*(c for c in names if c != "version"), "hit_pos", "payload", "score", "nan"])
             out = []
     close()
     if out:
-        yield pd.DataFrame(out, columns=[*(c for c in names if c != "version"), "hit_pos", "payload", "score"])
+        yield pd.DataFrame(out, columns=[*(c for c in names if c != "version"), "hit_pos", "payload", "score", "nan"])
 
 
 def best_hits(shards: DataFrame, memory: DataFrame) -> DataFrame:
@@ -274,13 +276,14 @@ def best_hits(shards: DataFrame, memory: DataFrame) -> DataFrame:
     asks = shards.join(many, "shard_id")
     kinds = {c: dict(shards.dtypes)[c] for c in _ASK}
     key = "xxhash64(shard_id, _block, {}) as lane"
-    asked = asks.selectExpr("*", f"pmod(xxhash64(query_id, source_id), size(_blocks)) as _block", f"explode(sequence(0, {LANES - 1})) as _lane").selectExpr(
+    asked = asks.selectExpr("*", "cast(pmod(xxhash64(query_id, source_id), size(_blocks)) as int) as _block", f"explode(sequence(0, {LANES - 1})) as _lane").selectExpr(
         key.format("_lane"), "0 as kind", *_ASK, "cast(vector as array<double>) as vector", "0L as hit_pos", "cast(null as string) as payload")
     version = F.when(F.col("_versions"), _payload_version(F.col("payload")))
     rows = memory.join(many, "shard_id").withColumn("version", version).selectExpr("*", "explode(_blocks) as _block").selectExpr(
         key.format(f"pmod(hash(hit_pos), {LANES})"), "1 as kind", *[f"cast('0' as {kinds[c]}) as {c}" if c != "version" else c for c in _ASK], "cast(embedding as array<double>) as vector", "hit_pos", "payload")
-    out = ", ".join([*(f"{c} {kinds[c]}" for c in _ASK if c != "version"), "hit_pos long, payload string, score double"])
-    return asked.unionByName(rows).repartition(parts, "lane").sortWithinPartitions("lane", "kind").mapInPandas(_best_hits, out)
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in _ASK if c != "version"), "hit_pos long, payload string, score double, nan boolean"])
+    found = asked.unionByName(rows).repartition(parts, "lane").sortWithinPartitions("lane", "kind").mapInPandas(_best_hits, out)
+    return found.withColumn("score", F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("score"))).drop("nan")
 
 
 def pair_hits(shards: DataFrame, memory: DataFrame) -> DataFrame:

@@ -292,7 +292,7 @@ class Publisher:
         ok = lambda: [i for i in ids if not any(i in f for f in failed.values())]
         if self.dry_run:
             sources = lambda some_ids: catalog_rows(some(entries, some_ids), env)
-            memory = lambda some_ids: records_for(some(content, some_ids), some(entries, some_ids), env, self.embed).where("error is null")
+            memory = lambda some_ids: records_for(some(content, some_ids), some(entries, some_ids), env, self.embed).where("error is null").select(*schemas.MEMORY.names)
         else:
             def write(some_ids):
                 run = f"{self.run}-{uuid.uuid4().hex[:8]}"

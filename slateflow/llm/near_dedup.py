@@ -2,17 +2,19 @@
 
 1. Every document gives one permutation's minima over BINS bins; empty bins borrow from bins that a hash of
    (bin, attempt) names. Documents with equal shingle sets fold into one class, so copies never pair up.
-2. BANDS bands of ROWS bins are buckets. In a bucket, each member has one edge, to the member with the
-   smallest id: as many edges as members, never all pairs. Edges whose signatures agree too little to be
-   near 0.75 go; the others of one centre meet in groups of bounded size, where all overlaps of full shingle
+2. BANDS bands of ROWS bins are buckets. Few shingles leave most bins to be borrowed, so a set of at most SHORT
+   shingles is also in the buckets of pairs of its smallest shingles, which short sets near enough always share.
+   In a bucket, each member has one edge, to the member with the smallest id: as many edges as members, never
+   all pairs. Edges whose sizes, or whose signatures where sets are not small, rule out 0.75 go; the others of one centre meet in groups of bounded size, where all overlaps of full shingle
    sets are counted. Their links give components.
 3. What a star can lose is a pair that shares a bucket but no near centre. So in every bucket that still has
-   several components, all members outside its largest one meet all its members by signature, and where
-   those agree the full sets are compared: in bounded tasks that give a row for each link that joins two
+   several components, all members outside its largest one meet all its members by size and signature, and
+   where those allow a link the full sets are compared: in bounded tasks that give a row for each link that joins two
    components, never one for each pair.
 
-A pair of similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32, about 5 in a million, and its
-signatures agree in fewer than LEAST_ESTIMATE of the bins with probability 1e-6. No other link is lost.
+Pairs of at most SHORT shingles lose no link. Beyond that, a pair of similarity 0.75 shares no bucket with
+probability (1 - 0.75^4)^32, about 5 in a million. Where the larger set has FEW shingles or more, signatures may
+also agree in fewer than LEAST_ESTIMATE of the bins, six standard errors below. No other link is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import MULTIPLIERS, components, discard, materialize, mix64, shingl
 BINS, BANDS, ROWS = 128, 32, 4
 #: Least estimated similarity of two documents whose full sets are compared: five standard errors of BINS minima below 0.75.
 LEAST_ESTIMATE = 0.55
+#: Sets of at most so many shingles have buckets of their own, and smaller ones than FEW are compared whatever their signatures.
+SHORT, FEW = 32, 64
 #: Documents of a group that is compared exactly in memory.
 GROUP_DOCS = 256
 #: Strays that a task holds, and members that it lets stream past them. No bound on either in total.
@@ -65,6 +69,24 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_keys(s: np.ndarray) -> np.ndarray:
+    """Buckets of a sorted set of at most SHORT hashes: pairs of its smallest ones, none for a larger set.
+
+    Of n hashes, a set near enough holds all but n // 4, so two of the n // 4 + 2 smallest are the two smallest
+    that both have; as the same holds for the other set, they share that pair.
+    """
+    if not 2 <= len(s) <= SHORT:
+        return s[:0]
+    i, j = np.triu_indices(len(s) // 4 + 2, 1)
+    return mix64(s[i] * MULTIPLIERS[ROWS] + s[j] * MULTIPLIERS[ROWS + 1])
+
+
+def may_link(same: np.ndarray, n: np.ndarray, other: int | np.ndarray) -> np.ndarray:
+    """Whether sets of n and other shingles whose signatures agree in `same` bins are compared in full."""
+    low, high = np.minimum(n, other), np.maximum(n, other)
+    return (4 * low >= 3 * high) & ((high < FEW) | ENOUGH[same])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """One row for each row of docs. Documents without words have the empty set: no bands, no key."""
     tune(docs.sparkSession)
@@ -81,7 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 m = mix64(signature(s))
                 b = mix64((m.reshape(BANDS, ROWS) * MULTIPLIERS[:ROWS]).sum(axis=1, dtype=np.uint64) + seeds)
-                bands.append(b.view(np.int64))
+                bands.append(np.r_[b, short_keys(s)].view(np.int64))
                 marks.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"n_shingles": n, "set_key": keys, "bands": bands, "marks": marks})
 
@@ -104,18 +126,19 @@ def stars(reps: DataFrame) -> DataFrame:
 
 
 def near_stars(edges: DataFrame, marks: DataFrame) -> DataFrame:
-    """Distinct edges (x, c) whose signatures agree enough."""
+    """Distinct edges (x, c) whose sizes and signatures allow a link. `marks`: (doc_id, n_shingles, marks)."""
 
     def run(frames):
         for pdf in frames:
             if len(pdf):
                 a = np.frombuffer(b"".join(pdf["mx"]), dtype=np.uint8).reshape(-1, BINS)
                 b = np.frombuffer(b"".join(pdf["mc"]), dtype=np.uint8).reshape(-1, BINS)
-                yield pdf.loc[ENOUGH[(a == b).sum(axis=1)], ["x", "c"]]
+                yield pdf.loc[may_link((a == b).sum(axis=1), pdf["nx"].to_numpy(), pdf["nc"].to_numpy()), ["x", "c"]]
 
     pairs = edges.select("x", "c").distinct()
-    both = pairs.join(marks.select(F.col("doc_id").alias("x"), F.col("marks").alias("mx")), "x").join(marks.select(F.col("doc_id").alias("c"), F.col("marks").alias("mc")), "c")
-    return both.select("x", "c", "mx", "mc").mapInPandas(run, "x long, c long").distinct()
+    side = lambda k: marks.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("marks").alias(f"m{k}"))
+    both = pairs.join(side("x"), "x").join(side("c"), "c").where("4 * least(nx, nc) >= 3 * greatest(nx, nc)")
+    return both.select("x", "c", "nx", "nc", "mx", "mc").mapInPandas(run, "x long, c long").distinct()
 
 
 def link_group(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -205,7 +228,7 @@ def strays(edges: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _faced(rows: DataFrame) -> DataFrame:
-    """(task, side, part, doc_id, k, marks) from (block, part, doc_id, k, marks, stray): every stray of a block meets every member in one task.
+    """(task, side, part, doc_id, k, n_shingles, marks) from (block, part, doc_id, k, n_shingles, marks, stray): every stray of a block meets every member in one task.
 
     A task has some strays (side 0) first, then the members of some of the block's parts (side 1), part by part.
     """
@@ -216,16 +239,16 @@ def _faced(rows: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = rows.where("stray").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("n_held"))).withColumn("j", every("n_streamed"))
     sent = rows.withColumn("i", every("n_held")).withColumn("j", F.pmod(F.xxhash64("part", F.lit(17)), F.col("n_streamed")))
-    cols = [F.xxhash64("block", "i", "j", F.lit(19)).alias("task"), "side", "part", "doc_id", "k", "marks"]
+    cols = [F.xxhash64("block", "i", "j", F.lit(19)).alias("task"), "side", "part", "doc_id", "k", "n_shingles", "marks"]
     both = held.withColumn("side", F.lit(0)).select(*cols).unionByName(sent.withColumn("side", F.lit(1)).select(*cols))
     return both.repartition(_parts(rows.sparkSession), "task").sortWithinPartitions("task", "side", "part", "doc_id")
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
-    """(x, group) from (block, part = group, doc_id, k, marks, stray): strays and the groups where a member of another component agrees enough."""
+    """(x, group) from (block, part = group, doc_id, k, n_shingles, marks, stray): strays and the groups where a member of another component may be linked."""
 
     def run(frames):
-        task, part, ids, ks, marks, held, hit = None, None, [], [], [], None, None
+        task, part, ids, ks, sizes, marks, held, hit = None, None, [], [], [], [], None, None
         out = []
 
         def close():
@@ -233,19 +256,23 @@ def near_groups(rows: DataFrame) -> DataFrame:
                 out.extend((ids[i], part) for i in np.flatnonzero(hit))
 
         for pdf in frames:
-            for t, side, p, d, k, m in pdf[["task", "side", "part", "doc_id", "k", "marks"]].itertuples(index=False):
+            for t, side, p, d, k, n, m in pdf[["task", "side", "part", "doc_id", "k", "n_shingles", "marks"]].itertuples(index=False):
                 if t != task:
                     close()
-                    task, part, ids, ks, marks, held, hit = t, None, [], [], [], None, None
+                    task, part, ids, ks, sizes, marks, held, hit = t, None, [], [], [], [], None, None
                 if side == 0:
-                    ids.append(d), ks.append(k), marks.append(m)
+                    ids.append(d), ks.append(k), sizes.append(n), marks.append(m)
                     continue
                 if held is None:
                     held, ks = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BINS).T.copy(), np.array(ks)
+                    sizes = np.array(sizes)
                 if p != part:
                     close()
                     part, hit = p, np.zeros(len(ids), dtype=bool)
-                hit |= ENOUGH[(held == np.frombuffer(m, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)] & (ks != k)
+                open_ = np.flatnonzero(~hit & (ks != k) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
+                if len(open_):
+                    same = (held[:, open_] == np.frombuffer(m, dtype=np.uint8)[:, None]).sum(axis=0, dtype=np.uint8)
+                    hit[open_] = may_link(same, sizes[open_], n)
             if out:
                 yield pd.DataFrame(out, columns=["x", "group"])
                 out.clear()
@@ -315,7 +342,7 @@ def stray_links(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFra
 
 
 def meetings(edges: DataFrame, comp: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs (x, group) and members (group, doc_id, k), where x agrees enough with a member of another component that it shares a bucket with.
+    """Pairs (x, group) and members (group, doc_id, k), where x may be linked with a member of another component that it shares a bucket with.
 
     None if no bucket has several components.
     """
@@ -348,7 +375,7 @@ def same_documents(sig: DataFrame, reps: DataFrame) -> DataFrame:
 
 def links(sig: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for representatives that are linked with others."""
-    marks = reps.select("doc_id", "marks")
+    marks = reps.select("doc_id", "n_shingles", "marks")
     edges = materialize(stars(reps), "stars")
     near = materialize(near_stars(edges, marks), "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

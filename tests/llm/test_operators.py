@@ -828,7 +828,7 @@ def test_members_of_a_bucket_that_agree_meet(spark, monkeypatch):
     for joined in (0, 20):  # none, or so many of each family in one component
         comp = spark.createDataFrame([(r[0], 1 + 40 * (i // 40)) for i, r in enumerate(reps) if i % 40 < joined], "node long, component long")
         k = {r[0]: r[0] for r in reps} | {r["node"]: r["component"] for r in comp.collect()}
-        pairs, named = near_dedup.meetings(near_dedup.stars(df), comp, df.select("doc_id", "marks"))
+        pairs, named = near_dedup.meetings(near_dedup.stars(df), comp, df.select("doc_id", "n_shingles", "marks"))
         group = {r["doc_id"]: r["group"] for r in named.collect()}
         got = {(r["x"], r["group"]) for r in pairs.collect()}
         want = 0
@@ -840,6 +840,40 @@ def test_members_of_a_bucket_that_agree_meet(spark, monkeypatch):
         assert want > 20 and Counter(group.values()).most_common(1)[0][1] < 40
 
 
+def test_short_sets_near_enough_share_a_bucket():
+    """100,000 pairs of sets of 3 to 32 shingles, as unlike as a link allows."""
+    rng = np.random.default_rng(12)
+    for i in range(100_000):
+        both = 3 + i % 28
+        rest = rng.integers(0, min(both // 3, 32 - both) + 1)
+        mine = rng.integers(0, rest + 1)
+        x = rng.integers(0, 1 << 63, both + rest).astype(np.uint64)
+        a, b = np.sort(x[: both + mine]), np.sort(np.r_[x[:both], x[both + mine :]])
+        assert 100 * both >= 75 * (both + rest) and max(len(a), len(b)) <= near_dedup.SHORT
+        assert len(np.intersect1d(near_dedup.short_keys(a), near_dedup.short_keys(b)))
+        assert near_dedup.may_link(np.array([0]), np.array([len(a)]), len(b))[0]
+    assert not len(near_dedup.short_keys(np.arange(33, dtype=np.uint64))) and not len(near_dedup.short_keys(x[:1])) and not len(near_dedup.short_keys(x[:0]))
+
+
+def test_short_documents(spark, monkeypatch):
+    """Pairs of 3 to 36 shingles about the threshold, and short documents that share a line and are otherwise unlike."""
+    for name, value in (("HELD", 50), ("STREAMED", 200), ("GROUP_DOCS", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(14)
+    texts = []
+    for i in range(600):
+        n = rng.randrange(3, 37)
+        w = prose(rng, n + 4, 10**6).split()
+        more = [f"t{rng.randrange(10**9)}" for _ in range(max(1, n // 3) + rng.randrange(-1, 2))]
+        texts += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + more))]
+    line = prose(rng, 14, 10**6)
+    texts += [(10**4 + i, f"{line} " + prose(rng, rng.randrange(1, 20), 10**6)) for i in range(300)]
+    want = linked(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.op9_star_minhash(spark, docs_of(spark, texts)).collect()}
+    assert sum(got[i] != x for i, x in want.items()) == 0 and len(got) == len(want)
+    assert 200 < sum(not x[2] for i, x in want.items() if i < 10**4) < 500
+
+
 def test_long_chain_and_hot_family(spark):
     """3,000 documents of which only neighbours are linked, at 0.75 exactly, and 3,000 versions of one text about the threshold."""
     words = [f"c{i}" for i in range(10 * 3000 + 74)]

@@ -85,15 +85,46 @@ def base_spans(df: DataFrame) -> DataFrame:
     return df.withColumn("_seeds", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
 
 
-def _two_words(start: str) -> str:
-    """SQL: the two words before the blank-separated token that holds code point `start`, from _pieces; all text before it where the nearest is not enough."""
+def _one_gap(words: str) -> str:
+    return rf"regexp_replace(lower({words}), r'\s+', ' ')"
+
+
+def _short(x: str) -> str:
+    """SQL: a long string by its digest."""
+    return f"CASE WHEN length({x}) > 64 THEN sha2({x}, 256) ELSE {x} END"
+
+
+def _near_words(start: str) -> str:
+    """SQL: the pattern before the blank-separated token that holds code point `start`, from _pieces; null where the nearest text doesn't hold two words."""
     k, words = f"cast({start} div {_PIECE} AS int)", r"r'(?<!\S)(\S++\s++\S++)\s++\S*+$'"
     near = f"right(concat(CASE WHEN {k} > 0 THEN _pieces[{k} - 1] ELSE '' END, left(_pieces[{k}], {start} % {_PIECE})), {_NEAR})"
-    whole = f"concat(array_join(slice(_pieces, 1, {k}), ''), left(_pieces[{k}], {start} % {_PIECE}))"
     # Text that starts in the middle of a word or of a gap is cut before its first blank, so that no part of a word is taken for a word.
     inner = f"regexp_extract(CASE WHEN {start} > {_NEAR} THEN regexp_replace({near}, r'^\\S++', '') ELSE {near} END, {words}, 1)"
-    two = f"CASE WHEN {inner} <> '' OR {start} <= {_NEAR} THEN {inner} ELSE regexp_extract({whole}, {words}, 1) END"
-    return rf"regexp_replace(lower({two}), r'\s+', ' ')"
+    return _one_gap(f"CASE WHEN {inner} <> '' OR {start} <= {_NEAR} THEN {inner} END")
+
+
+def _far_words(df: DataFrame) -> DataFrame:
+    """df, with the patterns that _near_words() left null in _tokens filled in.
+
+    Of a text that has any, all words are listed once, each with the pattern before it; a token finds its word
+    by the number of words that begin before it: in earlier pieces, and in its own. So the work for a token is
+    that of a piece, however long words and text are.
+    """
+    df = df.withColumn("_far", F.expr("exists(_tokens, x -> x.two IS NULL)"))
+    some = lambda sql, kind: F.expr(f"CASE WHEN _far THEN {sql} ELSE cast(array() AS array<{kind}>) END")
+    df = df.withColumn("_words", some(r"regexp_extract_all(_text, r'\S++', 0)", "string"))
+    plain = _one_gap("concat(_words[i - 2], ' ', _words[i - 1])")
+    df = df.withColumn("_before", some(f"transform(transform(_words, (w, i) -> CASE WHEN i < 2 THEN '' ELSE {plain} END), p -> {_short('p')})", "string"))
+    last = "CASE WHEN i = 0 THEN ' ' ELSE right(_pieces[i - 1], 1) END"
+    df = df.withColumn("_starts", some(rf"transform(_pieces, (p, i) -> size(regexp_extract_all(concat({last}, p), r'\s\S', 0)))", "int"))
+    df = df.withColumn("_sums", some("transform(_starts, (n, i) -> aggregate(slice(_starts, 1, i), 0, (s, v) -> s + v))", "int"))
+    k = f"cast(x.at div {_PIECE} AS int)"
+    own = rf"size(regexp_extract_all(concat(CASE WHEN {k} = 0 THEN ' ' ELSE right(g.pieces[{k} - 1], 1) END, left(g.pieces[{k}], x.at % {_PIECE} + 1)), r'\s\S', 0))"
+    # One struct holds what a token looks up: a column named inside the function could be computed anew for each token.
+    held = "array(named_struct('tokens', _tokens, 'before', _before, 'sums', _sums, 'pieces', _pieces))"
+    told = f"x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'two', CASE WHEN x.two IS NULL THEN g.before[g.sums[{k}] + {own} - 1] ELSE x.two END, 'seed', x.seed)"
+    df = df.withColumn("_tokens", F.expr(f"transform({held}, g -> transform(g.tokens, {told}))[0]"))
+    return df.drop("_far", "_words", "_before", "_starts", "_sums")
 
 
 def _identifiers(df: DataFrame) -> DataFrame:
@@ -113,8 +144,8 @@ def _identifiers(df: DataFrame) -> DataFrame:
     df = df.withColumn("_found", F.expr(
         "concat(transform(_seeds, x -> named_struct('at', x.start, 'start', x.start, 'token', x.match, 'seed', true)), transform(_found, x -> named_struct('at', x.at, 'start', x.start, 'token', x.token, 'seed', false)))"
     ))
-    tokens = f"transform(_found, x -> named_struct('start', x.start, 'end', x.start + length(x.token), 'token', x.token, 'two', {_two_words('x.at')}, 'seed', x.seed))"
-    return df.withColumn("_tokens", F.expr(tokens)).drop("_id", "_found", "_pieces", "_seeds")
+    tokens = f"transform(_found, x -> named_struct('at', x.at, 'start', x.start, 'end', x.start + length(x.token), 'token', x.token, 'two', {_near_words('x.at')}, 'seed', x.seed))"
+    return _far_words(df.withColumn("_tokens", F.expr(tokens))).drop("_id", "_found", "_pieces", "_seeds")
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least: float = LEAST_CONFIDENCE, seeds: int = LEAST_SEEDS) -> DataFrame:
@@ -138,15 +169,14 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     Null text is the empty text and has no spans; an empty table gives no rows. Repeated rows are found alike,
     each by itself, while a pattern counts an instance once however often it stands there. Rows need no key: a
     number given when the spans are first written joins them. Other columns may have any name. Discovered
-    identifiers have 4 code points at least.
+    identifiers have 4 code points at least. Work grows with a text's length, whatever the length of its words.
     """
     carry = carry or []
     df = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     df = _identifiers(base_spans(df)).drop("_digit", "_text").withColumn("_row", F.monotonically_increasing_id())
     df = materialize(df, "spans")
     token = df.select("_row", F.explode("_tokens").alias("t")).select("_row", "t.*")
-    name = F.when(F.length("token") > 64, F.sha2("token", 256)).otherwise(F.col("token")).alias("instance")  # a long token by its digest
-    marked = token.select("_row", "start", "end", "seed", name, F.col("two").alias("pattern")).where("pattern <> ''")
+    marked = token.select("_row", "start", "end", "seed", F.expr(_short("token")).alias("instance"), F.expr(_short("two")).alias("pattern")).where("pattern <> ''")
     good = confident_patterns(marked.select("pattern", "instance", "seed"))
     hits = marked.where("not seed").join(good, "pattern").select("_row", F.struct(F.lit(DISCOVERED).alias("kind"), "start", "end").alias("span"))
     extra = materialize(hits.groupBy("_row").agg(F.sort_array(F.collect_set("span")).alias(DISCOVERED)), "discovered")

@@ -29,6 +29,8 @@ def _pack(k: int, kind: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, block = key
         x = np.array(pdf["embedding"].tolist(), dtype=kind).reshape(len(pdf), dim)
+        if kind == "float64" and len(x):  # by a power of two, which changes no cosine, so that squares stay in range
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
         ids = pdf["vec_id"].to_numpy(dtype=np.int64)
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
@@ -139,7 +141,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both frames have vec_id and embedding, and other columns are ignored. Null ids and vectors that are null,
     empty, zero or hold a null or non-finite component take no part; vectors of different lengths are not
     compared. Every other row counts: an id with several vectors, on either side, is as near as its nearest.
-    Equal rows count once. A query whose id is the only one gets no row; an empty table gives none.
+    Equal rows count once. Components may be of any finite size: vectors of doubles are scaled by a power of two
+    before they are squared. A query whose id is the only one gets no row; an empty table gives none.
     """
     spark = vectors.sparkSession
     element = vectors.schema["embedding"].dataType.elementType.simpleString()

@@ -5,6 +5,7 @@ import html
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,6 +200,18 @@ def test_every_vector_of_a_repeated_id_counts(spark, monkeypatch, kind):
 # ---------------------------------------------------------------- op3
 
 
+@pytest.mark.parametrize("size", [1e-310, 1e-200, 1.0, 1e200, 1e307])
+def test_doubles_of_any_size(spark, size):
+    """Scores are those of the vectors at ordinary size, whatever the scale of each."""
+    rng = np.random.default_rng(5)
+    x = np.rint(rng.normal(size=(150, 6)) * 8) / 8
+    scaled = [(i, np.ldexp(v, int(np.log2(size))).tolist() if i % 3 else v.tolist()) for i, v in enumerate(x)]
+    kind = "vec_id long, embedding array<double>"
+    want = ann.op2_block_join(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], kind)).orderBy("query_id", "rank").collect()
+    got = ann.op2_block_join(spark, spark.createDataFrame(scaled, kind)).orderBy("query_id", "rank").collect()
+    assert got == want and len(got) == 15
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     texts = [(i, prose(rng, rng.randrange(1, 200))) for i in range(600)] + [(i, "same text") for i in range(600, 900)] + [(900, None), (901, ""), (None, "no id"), (None, "no id"), (902, "é" * 5000), (5, "twice"), (5, "twice")]
@@ -389,6 +402,21 @@ def test_context_is_the_text_before_a_whole_span(spark):
     assert got[0] == "phone:19:36"
 
 
+def test_texts_of_long_words(spark):
+    """Work grows with the text's length: 5 M characters of long words, and a token of very many spans; long contexts are found like others."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdef", k=n))
+    far = [word(5000), word(6000), word(430)]
+    texts = [(i, f"{word(9000)} {far[0]} {far[1]} u{i}@b.org {far[2]} {far[2]} 10.0.0.{i} end") for i in range(30)]
+    texts += [(100, f"x {far[0]}  {far[1]} acct-5519 {far[2]} {far[2]} id-77120 {far[1]} {far[1]} id-77121"), (101, f"{far[0]} acct-5519"), (102, f"{far[0][1:]} {far[1]} acct-5519")]
+    texts += [(103, f"{far[0]} {far[1]} " + "(a@b.c)" * 300 + " " + "a@b.c," * 300)]
+    texts += [(104, " ".join(word(430) + f"{i:04d}" for i in range(11_600))), (105, word(3000) + " " + word(3000) + " " + "a@b.c," * 20_000)]
+    want = discovered(texts[:-2])
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("context:")] for r in pii.op5_bootstrap(spark, docs_of(spark, texts)).collect()}
+    assert [got[i] for i, _ in texts[:-2]] == want and len(got) == len(texts)
+    assert len(want[30]) == 2 and not want[31] and not want[32]
+
+
 def discovered(texts):
     """The bootstrap by plain loops: each text's discovered spans."""
     rows = []

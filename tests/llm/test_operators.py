@@ -197,6 +197,28 @@ def test_every_vector_of_a_repeated_id_counts(spark, monkeypatch, kind):
     assert got == want
 
 
+def shuffled(plan) -> int:
+    """Bytes that a plan's exchanges have written."""
+    own = plan.metrics().get("dataSize").get().value() if plan.nodeName() == "Exchange" else 0
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    below += [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else []
+    return own + sum(map(shuffled, below))
+
+
+def test_search_shuffles_rows_once_for_many_queries(spark):
+    """8,192 queries against as many rows: what is shuffled is a few times the vectors, and the nearest are those of brute force."""
+    x = np.random.default_rng(6).normal(size=(8192, 64)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    out = ann.nearest(df, df, 5)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for q in range(0, 8192, 97):
+        score = y @ y[q]
+        score[q] = -9
+        assert [got[q, rank] for rank in range(1, 6)] == np.argsort(-score)[:5].tolist()
+    assert len(got) == 5 * 8192 and 0 < shuffled(out._jdf.queryExecution().executedPlan()) < 8 * x.nbytes, shuffled(out._jdf.queryExecution().executedPlan()) / x.nbytes
+
+
 # ---------------------------------------------------------------- op3
 
 
